@@ -186,10 +186,11 @@ def read_arc(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "page_id long, record_id string, url string, ip string, date string, digest string, n long, head binary, payload binary")
 
 
-def convert(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0) -> None:
+def convert(spark: SparkSession, arc: str, warc: str, shelf: Shelf, least_bytes: int = 0) -> None:
     """WARC files of ARC files. Of records with equal payloads of at least `least_bytes` bytes the one with the largest source id is the response."""
     response = F.max(F.struct("page_id", "record_id", "url", "date")).alias("first")
     first = read_arc(spark, arc, False).where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(response)
+    first = shelf.put(first, "responses")  # stored, so that the join can split a payload that many records share
     records = read_arc(spark, arc, True).join(first, ["digest", "n"], "left")
     columns = ["record_id", "url", "ip", "date", "digest", "n", "head", "payload", "first"]
 
@@ -283,7 +284,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     spark, shelf = pages.sparkSession, Shelf(pages.sparkSession, "archives")
     write_arc(pages, shelf.path("arc"), id_col, url_col, html_col)
-    convert(spark, shelf.path("arc"), shelf.path("warc"), least_bytes)
+    convert(spark, shelf.path("arc"), shelf.path("warc"), shelf, least_bytes)
     shelf.drop("arc")
     rows = read_warc(spark, shelf.path("warc"))
     first = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("source_id").alias("refers_to"))

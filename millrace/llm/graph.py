@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from .shared import Shelf
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, shelf: Shelf, name: str) -> DataFrame:
     """One star step: neighbours of each node are linked to the smallest of them.
 
     `edges` has one direction, a > b. The large star keeps the larger neighbours of both
     directions, the small star the smaller. A node with many neighbours moves as partial
-    minima, and the join back is one that adaptive execution can split.
+    minima; these are stored, so that the join back deals out both sides anew and adaptive
+    execution can split it.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = shelf.put(least, name)
     joined = both.join(least, "a")
     if large:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -38,7 +40,8 @@ def components(edges: DataFrame, shelf: Shelf, label: str) -> DataFrame:
         if tuple(sums) == before or sums["n"] == 0:
             break
         before, step = tuple(sums), step + 1
-        at = shelf.put(_star(_star(at, True), False), f"{label}{step}")
-        shelf.drop(f"{label}{step - 1}")
+        wide = shelf.put(_star(at, True, shelf, f"{label}{step}l"), f"{label}{step}w")
+        at = shelf.put(_star(wide, False, shelf, f"{label}{step}s"), f"{label}{step}")
+        shelf.drop(f"{label}{step - 1}", f"{label}{step}l", f"{label}{step}w", f"{label}{step}s")
     nodes = at.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

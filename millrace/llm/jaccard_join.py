@@ -293,6 +293,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     hub = F.min(F.struct("doc_id", "n", "pos")).alias("hub")
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), hub).where("m > 1").drop("m")
+    # Stored, so that the join deals out both sides anew and can split long lists.
+    lists = shelf.put(lists, "lists")
     star = postings.join(lists, "token").where("doc_id <> hub.doc_id").select(
         F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("hub.doc_id").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.pos").alias("py"),
     ).where(_close_lengths(F.col("nx"), F.col("ny"), t))
@@ -303,6 +305,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Only lists with members of more than one component are left, and of their pairs only those between components.
     member = postings.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     spread = member.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "doc_id").alias("main")).where("lo < hi").select("token", "main")
+    spread = shelf.put(spread, "spread")
     member = shelf.put(member.join(spread, "token"), "member")
     odd = member.where("c <> main").select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
     other = member.select("token", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"))

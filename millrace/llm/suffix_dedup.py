@@ -208,6 +208,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = _anchor_rows(rows.select("tid", "text"))
     repeated = found.groupBy("h").agg(F.sum("weight").alias("w")).where("w > 1").drop("w")
+    # Stored, so that the join deals out both sides anew and can split a hash that many texts share.
+    repeated = shelf.put(repeated, "repeated")
     # collect_set over one text: at most its own anchors, and copies of the text add nothing.
     wanted = found.join(repeated, "h").groupBy("tid", "n").agg(F.collect_set(F.struct("h", "lo", "hi")).alias("found"))
     wanted = shelf.put(wanted, "wanted")
