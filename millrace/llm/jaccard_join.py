@@ -15,8 +15,8 @@ Steps, all on Spark:
     Documents with equal sets are one class, carried on by their smallest id.
 2.  Prefix shingles of class representatives under the first order are dealt out by
     shingle; those that occur once go, the rest is a small table of postings.
-3.  Star pass: in every posting list, members are paired with the list's smallest
-    document, filtered, verified and joined into components. This costs one pair for each
+3.  Star pass: in every posting list, members are paired with the member that has the
+    shingle earliest in its prefix, filtered, verified and joined into components. This costs one pair for each
     posting, and turns large groups of near copies into one component.
 4.  Rest pass: pairs of one posting list whose members are still in different components,
     filtered by length and by position (what two documents can still share behind their
@@ -255,10 +255,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction, levels,
 
 
 def _plausible(pairs: DataFrame, t: Fraction) -> DataFrame:
-    """Length and position filters on rows (x, nx, px, y, ny, py), one for each common prefix shingle of a pair."""
-    one = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    """Position filters on rows (x, nx, px, y, ny, py), one for each common prefix shingle of a pair."""
+    # The first common shingle of a linked pair stands early enough in both that the rest can still hold the overlap.
+    least = (F.col("nx") + F.col("ny")) * t.numerator
+    early = [(F.col(n) - F.col(p)) * (t.numerator + t.denominator) >= least for n, p in (("nx", "px"), ("ny", "py"))]
+    one = pairs.where(early[0] & early[1]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     most = F.col("c") + F.least(F.col("nx") - 1 - F.col("px"), F.col("ny") - 1 - F.col("py"))
-    return one.where(most * (t.numerator + t.denominator) >= (F.col("nx") + F.col("ny")) * t.numerator).select("x", "y")
+    return one.where(most * (t.numerator + t.denominator) >= least).select("x", "y")
 
 
 def _close_lengths(a, b, t: Fraction):
@@ -291,7 +294,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     postings = postings.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     postings = shelf.put(postings.select("token", "doc_id", "n", "pos"), "postings")
 
-    hub = F.min(F.struct("doc_id", "n", "pos")).alias("hub")
+    # The hub is the member with the fewest rarer shingles: of near copies, the one nearest to their original.
+    hub = F.min(F.struct("pos", "doc_id", "n")).alias("hub")
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), hub).where("m > 1").drop("m")
     # Stored, so that the join deals out both sides anew and can split long lists.
     lists = shelf.put(lists, "lists")
