@@ -80,7 +80,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     histogram = sorted((r["n_tokens"], r["n"]) for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect())
     lengths, counts = np.array([x for x, _ in histogram], np.int64), np.array([x for _, x in histogram], np.int64)
     bounds = boundaries(lengths, counts, buckets)
-    rows = {b: int(counts[(lengths <= b) & (lengths > a)].sum()) for a, b in zip([-1, *bounds[:-1]], bounds, strict=True)}
+    rows = {b: int(counts[(lengths <= b) & (lengths > a)].sum()) for a, b in zip([-1, *bounds], bounds, strict=False)}
     shards = {b: min(MOST_SHARDS, -(-n // SHARD_ROWS)) for b, n in rows.items()}
     bucket = F.lit(None).cast("long")
     for b in reversed(bounds):
