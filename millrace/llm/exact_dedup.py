@@ -58,6 +58,8 @@ def radix_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     data = normalised(F.col("text")).cast("binary")
     counts = rows.groupBy(_head(data, FIRST_DIGIT).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+    # Stored, so that the join deals out both sides anew and can split a digit that many texts share.
+    counts = shelf.put(counts, "digits")
     opened = (
         rows.withColumn("digit", _head(data, FIRST_DIGIT)).join(counts, "digit")
         .withColumn("open", F.col("n") > 1)
@@ -75,6 +77,7 @@ def radix_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     while not active.isEmpty():
         here = active.withColumn("digit", _head(F.col("rest"), width)).withColumn("ended", F.octet_length("rest") <= width)
         groups = here.groupBy("path", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), _first(F.col("doc_id"), F.col("row")).alias("first"))
+        groups = shelf.put(groups, f"groups{level}")
         split = here.join(groups, ["path", "digit", "ended"]).select(
             "row", "doc_id", "text_sha256", "n", "first",
             F.when((F.col("n") > 1) & ~F.col("ended"), _tail(F.col("rest"), width)).alias("rest"),
