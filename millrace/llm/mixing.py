@@ -33,7 +33,7 @@ def _sums(sources: DataFrame, exponents: list[float], top: float) -> list[tuple[
     """For each exponent: sum of (T/top)**a, and of the same times ln(T/top)."""
     share = F.col("tokens") / F.lit(top)
     row = sources.agg(*[f for k, a in enumerate(exponents) for f in (F.sum(F.pow(share, F.lit(a))).alias(f"z{k}"), F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias(f"l{k}"))]).first()
-    return [(row[f"z{k}"], row[f"l{k}"]) for k in range(len(exponents))]
+    return [(row[f"z{k}"] or 0.0, row[f"l{k}"] or 0.0) for k in range(len(exponents))]
 
 
 def _bisect(sources: DataFrame, top: float, holds_high) -> float:
@@ -73,7 +73,7 @@ def temperature(sources: DataFrame, entropy: float, repeats: float, budget: int
             a = _bisect(sources, top, lambda a, z, ell: most(a, z) <= repeats)
     a = round(a, 9)
     (z, _), = _sums(sources, [a], top)
-    factor = top ** (1 - a) if budget is None else budget / (z * top) * top ** (1 - a)
+    factor = top ** (1 - a) if budget is None or not z else budget / (z * top) * top ** (1 - a)
     return a, factor, factor * z * top**a
 
 

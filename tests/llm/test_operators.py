@@ -4,7 +4,6 @@ import base64
 import collections
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import pytest
@@ -193,7 +192,7 @@ def test_archives(spark, tmp_path):
         about = b"%d 0 o\nfields\n" % version
         body = b"HTTP/1.1 200 OK\r\n\r\nbody\n\nhttp://no 1 2 3 4\n"
         raw = b"filedesc://f 0.0.0.0 20200101000000 text/plain " + more + b"%d\n" % len(about) + about + b"\nhttp://u 1.2.3.4 20200102030405 text/html " + more + b"%d\n" % len(body) + body + b"\n"
-        for data in (raw, zlib.compressobj(wbits=31).compress(raw[:0]) + _gz(raw)):
+        for data in (raw, _gz(raw)):
             assert [(r["url"], r["body"]) for r in archives.arc_records(data)] == [(b"http://u", body)]
 
 
