@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
@@ -77,14 +77,6 @@ def _from(values: Column, start: Column) -> Column:
     return F.slice(values, start.cast("int"), F.greatest(F.size(values), F.lit(1)))
 
 
-def body_lines(lines: Column) -> Column:
-    """Lines without digest headers, labels at the start, and badges."""
-    lines = F.filter(lines, lambda x: ~x.rlike(DIGEST_HEADER))
-    kept = F.array_position(F.transform(lines, lambda x: ~x.rlike(ACTION)), F.lit(True))
-    lines = F.when(kept > 0, _from(lines, F.greatest(kept, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(lines, lambda x: ~x.rlike(BADGE))
-
-
 def _inline(lines: Column, at: Column) -> Column:
     """One line "title at company - place"; without a place, that of the next lines."""
     line = F.element_at(lines, F.greatest(at, F.lit(1)).cast("int"))
@@ -115,9 +107,18 @@ def _one_per_line(lines: Column, at: Column) -> Column:
     return F.struct(title.alias("title"), read["company"].alias("company"), read["location"].alias("location"), normal_remote(read["location"]).alias("remote"))
 
 
-def title_company_location(lines: Column) -> Column:
-    """struct(title, company, location, remote) of a block's cleaned lines; null without a title."""
-    lines = body_lines(lines)
-    inline = F.array_position(F.transform(F.slice(lines, 1, 8), lambda x: x.rlike(TITLE_AT)), F.lit(True))
-    plain = F.array_position(F.transform(lines, is_title_like), F.lit(True))
-    return F.when(inline > 0, _inline(lines, inline)).when(plain > 0, _one_per_line(lines, plain)).cast(FIELDS)
+def with_fields(rows: DataFrame, lines: str, name: str) -> DataFrame:
+    """Adds struct(title, company, location, remote) of a block's cleaned lines; null without a title.
+
+    Digest headers, labels at the start and badges are no lines. Each step is a column of
+    its own, as the next ones use it many times.
+    """
+    rows = rows.withColumn("_body", F.filter(lines, lambda x: ~x.rlike(DIGEST_HEADER)))
+    rows = rows.withColumn("_kept", F.array_position(F.transform("_body", lambda x: ~x.rlike(ACTION)), F.lit(True)))
+    rows = rows.withColumn("_body", F.filter(F.when(F.col("_kept") > 0, _from(F.col("_body"), F.greatest("_kept", F.lit(1)))), lambda x: ~x.rlike(BADGE)))
+    rows = rows.withColumns({
+        "_inline": F.array_position(F.transform(F.slice("_body", 1, 8), lambda x: x.rlike(TITLE_AT)), F.lit(True)),
+        "_plain": F.array_position(F.transform("_body", is_title_like), F.lit(True)),
+    })
+    body, inline, plain = F.col("_body"), F.col("_inline"), F.col("_plain")
+    return rows.withColumn(name, F.when(inline > 0, _inline(body, inline)).when(plain > 0, _one_per_line(body, plain)).cast(FIELDS)).drop("_body", "_kept", "_inline", "_plain")

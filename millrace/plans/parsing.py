@@ -21,7 +21,7 @@ from ..sources.messages import text_links
 
 MARK = "\u0001"
 # The fields that count as filled when entries of one posting compete, and the mark of a card's own link.
-FILLED = ["company", "location", "salary", "employment_type", "posted_date", "remote_type"]
+FILLED = ["company", "location", "remote_type", "salary", "employment_type", "posted_date"]
 CARD_LINK = r"(?i)jobcard[-_]?body"
 
 
@@ -29,7 +29,7 @@ def _anchor_rows(messages: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     m = messages.withColumn("found", anchors(F.col("html")))
     plain = F.transform(text_links(F.col("text")), lambda u, i: F.struct(i.alias("pos"), u.alias("url"), F.lit("").alias("anchor_text"), none.alias("holder"), none.alias("above"), F.lit("").alias("below")))
-    rows = m.select("message_id", "slug", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(plain)).alias("a")).select("message_id", "slug", "a.*")
+    rows = m.select("message_id", "slug", F.explode_outer(F.when(F.size("found") > 0, F.col("found")).otherwise(plain)).alias("a")).where("a is not null").select("message_id", "slug", "a.*")
     return rows.withColumn("own", U.canonical_url(F.col("url"), F.col("slug")))
 
 
@@ -78,27 +78,29 @@ def blocks(messages: DataFrame) -> DataFrame:
         return F.struct((i + late).alias("ord"), x["url"].alias("url"), x["anchor_text"].alias("anchor_text"), x["own"].alias("own"), x["best_text"].alias("best_text"), x["above"].alias("above"), x["below"].alias("below"), F.coalesce(text, F.lit("")).alias("block"))
 
     titled = (F.col("slug") == "glassdoor") & F.exists("links", lambda x: _is_title_anchor(x["best_text"]))
-    return j.select("message_id", "slug", "subject", "received_at", titled.alias("by_anchor"), F.explode(F.transform("links", block)).alias("x")).select("message_id", "slug", "subject", "received_at", "by_anchor", "x.*")
+    # Outer, though no list is empty: the filter that Spark infers otherwise repeats the expressions.
+    return j.select("message_id", "slug", "subject", "received_at", titled.alias("by_anchor"), F.explode_outer(F.transform("links", block)).alias("x")).select("message_id", "slug", "subject", "received_at", "by_anchor", "x.*")
 
 
-def _around_title(f: Column, lines: Column, anchor: Column) -> Column:
-    """Fields where the anchor's text is the title, if it can be one: company and place are read again from the other lines."""
-    at = F.array_position(F.transform(lines, F.lower), F.lower(anchor))
-    rest = F.concat(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), F.slice(lines, (at + 1).cast("int"), F.greatest(F.size(lines), F.lit(1))))
-    again = F.when(at > 0, L.title_company_location(rest))
-    company = F.coalesce(again["company"], again["title"])
-    company = F.when(L.is_title_like(company) & (F.lower(company) != F.lower(anchor)), company)
-    none = F.lit(None).cast("string")
+def _around_title(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the fields where the anchor's text is the title, if it can be one: company and place are read again from the other lines."""
+    rows = rows.withColumn("_anchor", L.cleaned(F.col("anchor_text"))).withColumn("_at", F.array_position(F.transform("lines", F.lower), F.lower("_anchor")))
+    at, anchor, f, again, none = F.col("_at"), F.col("_anchor"), F.col("f"), F.col("_again"), F.lit(None).cast("string")
+    rest = F.concat(F.slice("lines", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), F.slice("lines", (at + 1).cast("int"), F.greatest(F.size("lines"), F.lit(1))))
+    rows = L.with_fields(rows.withColumn("_rest", F.when(at > 0, rest)), "_rest", "_again").withColumn("_titled", L.is_title_like(anchor))
+    rows = rows.withColumn("_company", F.coalesce(again["company"], again["title"]))
+    company = F.when(L.is_title_like(F.col("_company")) & (F.lower("_company") != F.lower(anchor)), F.col("_company"))
 
     def fields(company, location, remote):
         return F.struct(anchor.alias("title"), company.alias("company"), location.alias("location"), remote.alias("remote")).cast(L.FIELDS)
 
     title = f["title"]
-    return (
-        F.when(~L.is_title_like(anchor), f).when(title.isNull(), fields(none, none, none)).when(F.contains(F.lower(anchor), F.lower(title)), f)
+    out = (
+        F.when(~F.col("_titled"), f).when(title.isNull(), fields(none, none, none)).when(F.contains(F.lower(anchor), F.lower(title)), f)
         .when(at == 0, fields(F.when(F.lower(f["company"]) != F.lower(title), f["company"]), f["location"], f["remote"]))
         .otherwise(fields(company, again["location"], F.coalesce(f["remote"], again["remote"])))
     )
+    return rows.withColumn(name, out).drop("_anchor", "_at", "_rest", "_again", "_titled", "_company")
 
 
 def candidates(messages: DataFrame) -> DataFrame:
@@ -108,16 +110,17 @@ def candidates(messages: DataFrame) -> DataFrame:
     received_at, job_posted_at, posted_date, remote_type, salary, employment_type,
     is_promoted, first_seen. Empty tables give empty results.
     """
-    b = blocks(messages).withColumn("lines", L.lines_of(unescaped(F.col("block")))).withColumn("f", L.title_company_location(F.col("lines")))
-    anchor, by_anchor, slug = L.cleaned(F.col("anchor_text")), F.col("by_anchor"), F.col("slug")
+    b = blocks(messages).withColumn("lines", L.lines_of(unescaped(F.col("block"))))
+    b = _around_title(L.with_fields(b, "lines", "f"), "around")
+    by_anchor, slug = F.col("by_anchor"), F.col("slug")
     named = F.struct(
         F.when(_is_title_anchor(F.col("best_text")), F.col("best_text")).alias("title"), F.col("above").alias("company"),
         F.try_element_at(F.filter(L.lines_of(F.col("below")), lambda x: x.rlike(L.PLACE)), F.lit(1)).alias("location"), F.lit(None).cast("string").alias("remote"),
     ).cast(L.FIELDS)
-    f = F.when(by_anchor, named).when(slug == "linkedin", _around_title(F.col("f"), F.col("lines"), anchor)).otherwise(F.col("f"))
+    f = F.when(by_anchor, named).when(slug == "linkedin", F.col("around")).otherwise(F.col("f"))
     source = F.when(by_anchor, F.col("below")).otherwise(F.col("block"))
     # The generator computes the fields once a row; the filter on the title would repeat them else.
-    b = b.withColumn("read", F.explode(F.array(F.struct(f.alias("f"), source.alias("text"))))).select("*", "read.f.title", "read.f.company", "read.f.location", "read.f.remote", "read.text").drop("read", "f")
+    b = b.withColumn("read", F.explode(F.array(F.struct(f.alias("f"), source.alias("text"))))).select("*", "read.f.title", "read.f.company", "read.f.location", "read.f.remote", "read.text").drop("read", "f", "around", "lines")
     text = F.col("text")
     rows = b.select(
         "message_id", F.col("slug").alias("source"), "ord", "url", "anchor_text",

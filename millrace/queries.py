@@ -5,37 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
+from . import (
+    message_queries,  # noqa: F401  (registers the queries on messages and result pages)
+    rules,
+)
 from .functions import text as X
 from .functions import urls as U
 from .operators import identity as I
 from .operators import judge as J
 from .plans import postings as P
 from .sources import messages as M
+from .registry import QUERIES, SQL, query
+from .registry import listed as _list
+from .registry import picked as _pick
 from .sources.html import rendered
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _list(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def _pick(values, k: str) -> str:
-    return f"{_list(values)}[CAST(({k}) % {len(values)} + 1 AS INT)]"
-
-
 _CANDIDATES = f"""
     c0 AS (SELECT event_id AS n, user_id, user_id * 7 + event_id % 5 AS job, ts FROM events),
     cand AS (SELECT n AS seq, user_id, ts AS received_at,

@@ -88,7 +88,7 @@ def _first(values: Column, ok=lambda x: F.lit(True)) -> Column:
 
 def parsed_cards(pages: DataFrame) -> DataFrame:
     """One row per card with a title of pages (page_id, html, scraped_at): first non-blank text of each field, dates against scraped_at."""
-    c = pages.select("page_id", "scraped_at", F.explode(cards(F.col("html"))).alias("c")).select("page_id", "scraped_at", "c.*")
+    c = pages.select("page_id", "scraped_at", F.explode_outer(cards(F.col("html"))).alias("c")).where("c is not null").select("page_id", "scraped_at", "c.*")
     url = _first(F.col("links"))
     not_age = lambda x: ~x.rlike(AGE)
     sr = F.filter(F.split(F.col("view"), r"\s+-\s+"), lambda x: F.trim(x) != "")
