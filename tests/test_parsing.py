@@ -42,7 +42,7 @@ def test_company_before_the_anchor_and_generic_subject(spark):
     job = "https://www.glassdoor.com/job-listing/x-JV_JO5.htm"
     page = f'<body><div><p>Blue Corp</p><a href="{job}">Night Nurse</a><p>Rome, Italy</p>3 days ago<a href="{job}">Easy Apply</a><p>no</p></div></body>'
     other = "https://boards.greenhouse.io/jobs/44"
-    got = _parsed(spark, ("g", "a@glassdoor.com", "s", None, page), ("o", "a@b.org", " Night Shift ", f"hm\n{other}", None))
+    got = _parsed(spark, ("g", "a@glassdoor.com", "s", None, page), ("o", "a@b.org", " Night Shift ", "hm", f'<a href="{other}">go</a>'))
     g = got["g", job]
     assert (g.title, g.company, g.location, g.posted_date, g.platform_job_id) == ("Night Nurse", "Blue Corp", "Rome, Italy", "3 days ago", "5")
     assert got["o", other].title == "Night Shift"
