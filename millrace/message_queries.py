@@ -8,10 +8,12 @@ from .functions import lines as L
 from .functions import text as X
 from .operators import scrape as S
 from .plans import digests as D
+from .plans import drivers as R
 from .plans import parsing
 from .plans import postings as P
 from .registry import picked, query
 from .sources import cards as C
+from .sources import messages as M
 
 _CARDS = f"""c0 AS (SELECT event_id AS n, event_id // {D.CARDS} AS message, ts FROM events),
     c AS (SELECT n, message, max(ts) OVER (PARTITION BY message) AS seen, {picked(P.TITLES, "n")} AS title, {picked(P.PLACES, "n")} AS place, {picked(P.UNITS, "n // 3")} AS unit,
@@ -96,3 +98,43 @@ def g9_relevance_with_details(spark, sf_dir):
     c = P.candidates(spark, sf_dir).select("seq", "title", F.concat(F.lit("u"), F.col("seq").cast("string")).alias("job_url"))
     pages = c.select(F.col("job_url").alias("url"), F.when(F.col("seq") % 3 == 0, "<body><p>We seek a</p> <b>Python Developer</b></body>").otherwise("<body>Some python is fine</body>").alias("html")).where("url not like '%5'")
     return c.join(S.relevant(c, pages, "Python").select("seq", F.lit(True).alias("hit")), "seq", "left").select("seq", F.coalesce("hit", F.lit(False)).alias("kept"))
+
+
+@query(f"""WITH {_CARDS}, k AS (SELECT *, coalesce(CASE WHEN n % 11 = 0 THEN TIMESTAMP '2023-12-31' WHEN n % 17 = 0 THEN seen - INTERVAL 1 DAY ELSE posted_at END >= seen - INTERVAL 168 HOUR, true) AS fresh,
+        place <> 'On-site' AND contains(place, 'Lahore') AND (n % 7 = 0 OR (n % 3 = 0 AND n % 10 <> 5)) AS fits FROM d WHERE title <> 'x'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY message, fits, fresh ORDER BY n) AS nth FROM k)
+    SELECT message AS page_id, count(*) AS total_found, count(*) FILTER (fits AND fresh AND nth <= 2 AND n % 8 <> 0) AS saved, count(*) FILTER (fits AND fresh AND nth <= 2 AND n % 8 = 0) AS duplicates,
+    count(*) FILTER (fits AND NOT fresh) AS filtered_by_date FROM r GROUP BY 1""")
+def i12_scrape_run(spark, sf_dir):
+    """One search over all result pages, at most two cards of a page; a part of the cards is stored already."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    url = F.concat(F.lit("https://www.linkedin.com/jobs/view/"), F.col("event_id").cast("string"))
+    pages = events.select(url.alias("url"), F.when(F.col("event_id") % 3 == 0, "<body><p>We seek a</p> <b>Python Developer</b></body>").otherwise("<body>Some python is fine</body>").alias("html")).where("url not like '%5'")
+    stored = events.where("event_id % 8 = 0").select(F.col("event_id").cast("string").alias("job_id"), url.alias("job_url"))
+    cards = C.parsed_cards(D.result_pages(spark, sf_dir))
+    return R.scrape_counts(cards, R.scraped(cards, pages, stored, "Python", "Lahore", "7d", 2))
+
+
+@query(f"""WITH {_CARDS} SELECT message AS message_id, CASE WHEN s = 2 THEN 'skipped' ELSE 'success' END AS status FROM d WHERE message % 3 <> 1 AND message % 4 <> 2
+    GROUP BY message, s HAVING s = 2 OR message % 7 = 3""")
+def i10_backfill(spark, sf_dir):
+    """Messages without posting and event are read again; a part of them has no links."""
+    every = D.html_messages(spark, sf_dir).withColumn("html", F.when(F.col("message_id") % 7 == 3, "<body>Your account</body>").otherwise(F.col("html")))
+    ids = every.select("message_id")
+    again = R.pending(every, ids.where("message_id % 3 = 1"), ids.where("message_id % 4 = 2"))
+    return R.backfill_events(again, parsing.candidates(again), ["glassdoor.com"]).select("message_id", "status")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest([{'pos': 0, 'mime_type': 'text/plain', 'text': role}, {'pos': 1, 'mime_type': 'text/html', 'text': text}, {'pos': 2, 'mime_type': 'text/plain', 'text': role || text}]) AS x FROM conversations)
+    SELECT conv_id, turn, x.pos AS pos, x.mime_type AS mime_type, x.text AS text FROM l""")
+def b2_leaf_parts(spark, sf_dir):
+    """Turns of conversations as nested messages, flattened and decoded."""
+    def leaf(mime: str, text):
+        data = F.regexp_replace(F.translate(F.base64(text.cast("binary")), "+/", "-_"), r"[=\s]", "")
+        return F.struct(F.lit(mime).alias("mimeType"), F.struct(data.alias("data")).alias("body"))
+
+    c, role, text = spark.read.parquet(f"{sf_dir}/conversations.parquet"), F.col("role"), F.col("text")
+    inner = F.to_json(F.struct(F.lit("multipart/alternative").alias("mimeType"), F.array(leaf("text/plain", role), leaf("text/html", text)).alias("parts")))
+    whole = F.concat(F.lit('{"mimeType": "multipart/mixed", "parts": ['), inner, F.lit(", "), F.to_json(leaf("text/plain", F.concat(role, text))), F.lit("]}"))
+    rows = c.select("conv_id", "turn", F.posexplode(M.leaf_parts(whole)).alias("pos", "x"))
+    return rows.select("conv_id", "turn", "pos", "x.mime_type", M.decoded(F.col("x.data")).alias("text"))

@@ -45,6 +45,15 @@ def _links(rows: DataFrame) -> DataFrame:
     return links.join(best.select("message_id", "own", "b.*"), ["message_id", "own"], "left")
 
 
+def _best(rows: DataFrame) -> DataFrame:
+    """The best scored link of each message of no known platform, the first of ties, if it leads to a posting itself."""
+    url, text = F.col("url"), F.col("anchor_text")
+    first = rows.where("slug = 'generic'").groupBy("message_id", "url", "own").agg(F.min_by("anchor_text", "pos").alias("anchor_text"), F.min("pos").alias("pos"))
+    first = first.where(~U.is_other_url(url) & ~U.is_bare_domain(url) & ~U.is_nav_anchor(text))
+    best = first.groupBy("message_id").agg(F.max_by(F.struct("url", "own"), F.struct(U.link_score(url, text), -F.col("pos"))).alias("top"))
+    return best.where(U.is_job_url(F.col("top.url")))
+
+
 def _is_title_anchor(text: Column) -> Column:
     return F.coalesce((F.length(text) >= 3) & ~text.rlike(L.ACTION), F.lit(False))
 
@@ -55,13 +64,16 @@ def blocks(messages: DataFrame) -> DataFrame:
     The block is the card around the link's anchor; without cards, the text from one "title
     at company" to the next if there are as many as links; else from the place of one anchor
     text to the next; else the whole text for a single link. A link without any has an empty
-    block. Messages without links to postings give no rows; null bodies count as empty.
+    block. Messages without links to postings give no rows; null bodies count as empty. A
+    message of no known platform with a blank subject and only empty blocks has one row
+    more, with `last`: its best link and the whole text.
     """
     text = F.coalesce(F.nullif(F.col("plain_text"), F.lit("")), rendered(F.col("html"))["text"], F.lit(""))
     m = messages.select("message_id", F.coalesce("subject", F.lit("")).alias("subject"), "received_at", "html", U.parser_of(F.coalesce("sender", F.lit(""))).alias("slug"), text.alias("text"))
-    links = _links(_anchor_rows(m))
+    rows = _anchor_rows(m)
+    links = _links(rows)
     links = links.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("ord", "url", "anchor_text", "own", "holder", "best_text", "above", "below"))).alias("links"))
-    j = m.drop("html").join(links, "message_id")
+    j = m.drop("html").join(links, "message_id").join(_best(rows), "message_id", "left")
     j = j.withColumn("pieces", F.split(F.regexp_replace(F.translate("text", MARK, ""), L.TITLE_AT, MARK + "$0"), MARK))
     j = j.withColumns({"in_cards": F.exists("links", lambda x: x["holder"].isNotNull()), "inline": (F.size("links") > 1) & (F.size("pieces") == F.size("links") + 1)})
     j = j.withColumn("places", anchor_places(F.when(~F.col("in_cards") & ~F.col("inline"), F.col("text")), F.transform("links", lambda x: x["anchor_text"])))
@@ -75,11 +87,15 @@ def blocks(messages: DataFrame) -> DataFrame:
         text = F.when(F.col("in_cards"), x["holder"]).when(F.col("inline"), F.element_at("pieces", i + 2)).when(located, between).otherwise(whole)
         # Anchors that weren't found come after those that were.
         late = F.when(~F.col("in_cards") & ~F.col("inline") & located & (at < 0), F.size("links")).otherwise(0)
-        return F.struct((i + late).alias("ord"), x["url"].alias("url"), x["anchor_text"].alias("anchor_text"), x["own"].alias("own"), x["best_text"].alias("best_text"), x["above"].alias("above"), x["below"].alias("below"), F.coalesce(text, F.lit("")).alias("block"))
+        return F.struct((i + late).alias("ord"), x["url"].alias("url"), x["anchor_text"].alias("anchor_text"), x["own"].alias("own"), x["best_text"].alias("best_text"), x["above"].alias("above"), x["below"].alias("below"), F.coalesce(text, F.lit("")).alias("block"), F.lit(False).alias("last"))
 
+    none, empty = F.lit(None).cast("string"), F.lit("")
+    last = F.struct(F.lit(0).alias("ord"), F.col("top.url").alias("url"), empty.alias("anchor_text"), F.col("top.own").alias("own"), none.alias("best_text"), none.alias("above"), empty.alias("below"), F.col("text").alias("block"), F.lit(True).alias("last"))
+    j = j.withColumn("blocks", F.transform("links", block))
+    lost = F.col("top").isNotNull() & (F.trim("subject") == "") & F.forall("blocks", lambda x: L.first_line(x["block"]).isNull())
     titled = (F.col("slug") == "glassdoor") & F.exists("links", lambda x: _is_title_anchor(x["best_text"]))
     # Outer, though no list is empty: the filter that Spark infers otherwise repeats the expressions.
-    return j.select("message_id", "slug", "subject", "received_at", titled.alias("by_anchor"), F.explode_outer(F.transform("links", block)).alias("x")).select("message_id", "slug", "subject", "received_at", "by_anchor", "x.*")
+    return j.select("message_id", "slug", "subject", "received_at", titled.alias("by_anchor"), F.explode_outer(F.when(lost, F.array_append("blocks", last)).otherwise(F.col("blocks"))).alias("x")).select("message_id", "slug", "subject", "received_at", "by_anchor", "x.*")
 
 
 def _around_title(rows: DataFrame, name: str) -> DataFrame:
@@ -121,10 +137,10 @@ def candidates(messages: DataFrame) -> DataFrame:
     source = F.when(by_anchor, F.col("below")).otherwise(F.col("block"))
     # The generator computes the fields once a row; the filter on the title would repeat them else.
     b = b.withColumn("read", F.explode(F.array(F.struct(f.alias("f"), source.alias("text"))))).select("*", "read.f.title", "read.f.company", "read.f.location", "read.f.remote", "read.text").drop("read", "f", "around", "lines")
-    text = F.col("text")
+    text, guess = F.col("text"), L.title_guess(F.col("subject"), F.col("block"))
     rows = b.select(
         "message_id", F.col("slug").alias("source"), "ord", "url", "anchor_text",
-        F.when(slug == "generic", F.coalesce("title", L.title_guess(F.col("subject"), F.col("block")))).otherwise(F.col("title")).alias("title"), "company", "location",
+        F.when(F.col("last"), F.coalesce(guess, "title")).when(slug == "generic", F.coalesce("title", guess)).otherwise(F.col("title")).alias("title"), "company", "location",
         F.col("own").alias("job_url"), U.job_id(F.col("own"), slug).alias("platform_job_id"), "received_at", X.posted_phrase(text).alias("posted_date"),
         F.coalesce("remote", X.remote_type(text)).alias("remote_type"), X.salary(text).alias("salary"), X.employment_type(text).alias("employment_type"), X.is_promoted(text).alias("is_promoted"),
     ).where("title is not null")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,35 @@ RAW_MESSAGE = T.StructType([
 ])
 
 
+def _leaves(node: dict) -> list[dict]:
+    """Nodes without parts, depth first; the walk keeps its own stack, as nesting has no limit."""
+    found, stack = [], [node]
+    while stack:
+        at = stack.pop()
+        inner = at.get("parts") or []
+        stack.extend(x for x in reversed(inner) if isinstance(x, dict))
+        if not inner:
+            found.append({"mime_type": at.get("mimeType"), "data": (at.get("body") or {}).get("data")})
+    return found
+
+
+def leaf_parts(payload: Column) -> Column:
+    """The leaves of a message payload in JSON, in order, as RAW_MESSAGE has them; null and malformed JSON have none."""
+
+    @F.arrow_udf("array<struct<mime_type: string, data: string>>")
+    def read(column: pa.Array) -> pa.Array:
+        out = []
+        for text in column.to_pylist():
+            try:
+                node = json.loads(text or "null")
+            except (ValueError, RecursionError):
+                node = None
+            out.append(_leaves(node) if isinstance(node, dict) else [])
+        return pa.array(out, pa.list_(pa.struct([("mime_type", pa.string()), ("data", pa.string())])))
+
+    return read(payload)
+
+
 def decoded(data: Column) -> Column:
     """Text of a base64url body, padded or not."""
     return F.unbase64(F.translate(data, "-_", "+/")).cast("string")

@@ -77,3 +77,40 @@ def test_card_cascades(spark):
     r = rows[0]
     assert (r.title, r.company, r.location, r.job_url, r.job_id, r.posted_text) == ("Pilot", "Sky Air", None, "https://www.linkedin.com/jobs/view/12", "12", "2024-04-02T10:00:00Z")
     assert r.posted_at == dt.datetime(2024, 4, 2, 10)
+
+
+def test_best_link_when_no_block_has_text(spark):
+    text = "Night Nurse\nRome, Italy\nhttps://boards.greenhouse.io/jobs/1\nhttps://boards.greenhouse.io/jobs/2"
+    other = "https://www.linkedin.com/in/someone"
+    got = _parsed(
+        spark, ("a", "a@b.org", " ", text, None), ("b", "a@b.org", "Subject", text, None),
+        ("c", "a@b.org", "", f"Night Shift\n{other}\nhttps://boards.greenhouse.io/jobs/1", None), ("d", "a@b.org", None, "no links", None),
+    )
+    assert [(k, r.title) for k, r in got.items() if k[0] == "a"] == [(("a", "https://boards.greenhouse.io/jobs/1"), "Night Nurse")]
+    assert {r.title for k, r in got.items() if k[0] == "b"} == {"Subject"} and len([k for k in got if k[0] == "b"]) == 2
+    assert [r.title for k, r in got.items() if k[0] == "c"] == ["Night Shift"] and not [k for k in got if k[0] == "d"]
+
+
+def test_leaf_parts(spark):
+    from millrace.sources.messages import leaf_parts
+
+    deep = '{"parts": [' * 50 + '{"mimeType": "a/b", "body": {"data": "x"}}' + "]}" * 50
+    rows = [('{"mimeType": "text/plain", "body": {"data": "eA"}}',), (deep,), ("{bad",), (None,), ("[1]",), ('{"parts": [], "mimeType": "q"}',)]
+    got = [[tuple(x) for x in r[0]] for r in spark.createDataFrame(rows, "j string").select(leaf_parts(F.col("j"))).collect()]
+    assert got == [[("text/plain", "eA")], [("a/b", "x")], [], [], [], [("q", None)]]
+
+
+def test_scrape_outcomes(spark):
+    from millrace.plans.drivers import scrape_counts, scraped
+
+    old = NOW - dt.timedelta(days=9)
+    rows = [
+        (1, 0, "Python Developer", "Oslo", "u1", "1", NOW), (1, 1, "Python Developer", "Oslo", "u1b", "1", NOW), (1, 2, "Python Developer", None, "u3", "3", NOW), (1, 3, "Python Developer", "Oslo", "u4", "4", old),
+        (1, 4, "Python Developer", "Oslo", "u5", None, None), (2, 0, "Python Developer", "Oslo", "u1", "1", NOW), (2, 1, "Cook", "Oslo", "u6", "6", NOW), (2, 2, "Python Developer", "Oslo", "u9", "9", NOW),
+    ]
+    cards = spark.createDataFrame([(*r, NOW) for r in rows], "page_id long, pos int, title string, location string, job_url string, job_id string, posted_at timestamp, scraped_at timestamp")
+    details = spark.createDataFrame([], "url string, html string")
+    stored = spark.createDataFrame([("9", None)], "job_id string, job_url string")
+    out = scraped(cards, details, stored, "python developer", "Oslo", "7d")
+    assert {(r.page_id, r.pos): r.outcome for r in out.collect()} == {(1, 0): "saved", (1, 3): "too_old", (1, 4): "saved", (2, 0): "duplicate", (2, 2): "duplicate"}
+    assert {tuple(r) for r in scrape_counts(cards, out).collect()} == {(1, 5, 2, 0, 1), (2, 3, 0, 2, 0)}
