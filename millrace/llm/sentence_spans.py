@@ -7,9 +7,14 @@ runs wherever they stand. Runs are joined globally: a hash that occurs more than
 a first occurrence (smallest id, then position), and the sentences that any other
 occurrence covers are removed.
 
-A sentence ends after . ! or ? before white space, at a line end, before a word that
-begins with a capital (a passage set into the middle of another sentence), and after
-LONGEST_WORDS words.
+A sentence ends after . ! or ? (or an end mark of another script) before white space, at
+a line end, and before a word that begins with a capital (a passage set into the middle of
+another sentence). Inside a sentence there are further cuts where the words say so: after
+a word whose hash (of four characters and the length) is the least of itself and REACH words on either side, if these are all
+of one sentence. So a cut depends on nothing but the REACH words around it, and a passage
+is cut alike wherever it stands, whatever comes before it, from its first few words on;
+what is lost are the words up to the first shared cut and after the last. A character of
+a script without spaces (Chinese, Thai and others) counts as a word.
 
 The hash table is an aggregate with partial minima before the shuffle; the join back from
 repeated hashes to their occurrences is one that adaptive execution splits, so a passage
@@ -19,7 +24,7 @@ shuffled once, to their document's list of runs.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +33,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Shelf, text_or_empty
+from .words import mix
 
-LEAST_SENTENCES, LEAST_WORDS, LONGEST_WORDS = 2, 13, 24
-_PIECE = re.compile(r"\S+\s*")
+LEAST_SENTENCES, LEAST_WORDS, REACH = 2, 13, 4
+_SPACE, _CAPITAL, _END, _SINGLE, _MARK = 1, 2, 4, 8, 16
+
+
+def _kinds() -> np.ndarray:
+    """Bits for each character; single ones and their marks are those of scripts without spaces."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for c in range(0x20000):
+        kinds[c] = _SPACE * chr(c).isspace() | _CAPITAL * chr(c).isupper()
+    for c in ".!?…‼⁇⁈⁉‽。｡．！？؟۔।॥።፧፨։។៕။᠃᠉":
+        kinds[ord(c)] |= _END
+    for a, b in ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF)):
+        for c in range(a, b + 1):
+            kinds[c] |= _MARK if unicodedata.category(chr(c))[0] == "M" else _SINGLE
+    for a, b in ((0x3001, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF61, 0xFF9F), (0x20000, 0x3FFFF)):
+        kinds[a : b + 1] |= _SINGLE
+    for c in "！，．：；？":
+        kinds[ord(c)] |= _SINGLE
+    return kinds
+
+
+_KINDS = _kinds()
 
 
 def sentences(text: str) -> tuple[list[int], list[int], list[str]]:
-    """Starts and word counts of sentences, and their normalised texts; a sentence runs to the start of the next."""
-    starts, counts, bodies, body, at, fresh = [], [], [], [], 0, True
-    for m in _PIECE.finditer(text):
-        piece = m.group()
-        word = piece.rstrip()
-        if body and (fresh or word[0].isupper() or len(body) == LONGEST_WORDS):
-            starts.append(at)
-            counts.append(len(body))
-            bodies.append(" ".join(body))
-            body = []
-        if not body:
-            at = m.start()
-        body.append(word)
-        fresh = word[-1] in ".!?" or "\n" in piece
-    if body:
-        starts.append(at)
-        counts.append(len(body))
-        bodies.append(" ".join(body))
-    return starts, counts, bodies
+    """Starts and word counts of sentences (or the parts of long ones), and their normalised texts; each runs to the start of the next."""
+    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kinds = _KINDS[chars]
+    inside = (kinds & _SPACE) == 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    if not text.isascii() and (kinds & _SINGLE).any():
+        first |= (kinds & _SINGLE) != 0
+        first[1:] |= inside[1:] & ((kinds[:-1] & (_SINGLE | _MARK)) != 0) & ((kinds[1:] & _MARK) == 0)
+    starts = np.flatnonzero(first)
+    n = len(starts)
+    if not n:
+        return [], [], []
+    stops = np.flatnonzero(inside & np.append(~inside[1:] | first[1:], True))
+    begins = np.ones(n, bool)
+    begins[1:] = (kinds[starts[1:]] & _CAPITAL | kinds[stops[:-1]] & _END) != 0
+    lines = np.searchsorted(starts, np.flatnonzero(chars == 10))
+    begins[lines[lines < n]] = True
+    if n > 2 * REACH:
+        # Four characters and the length tell words apart well enough to choose among a few; equal values only add cuts.
+        length = (stops - starts).astype(np.uint64)
+        seen = chars[starts].astype(np.uint64) << np.uint64(40) ^ chars[stops].astype(np.uint64) << np.uint64(20) ^ length
+        seen ^= chars[np.minimum(starts + 1, stops)].astype(np.uint64) << np.uint64(30) ^ chars[(starts + stops) >> 1].astype(np.uint64) << np.uint64(10)
+        hashes, of = mix(seen), np.cumsum(begins)
+        least, span = hashes, 1
+        while span < 2 * REACH + 1:
+            step = min(span, 2 * REACH + 1 - span)
+            least, span = np.minimum(least[:-step], least[step:]), span + step
+        begins[REACH + 1 : n - REACH + 1] |= (hashes[REACH : n - REACH] == least) & (of[: n - 2 * REACH] == of[2 * REACH :])
+    at = np.flatnonzero(begins)
+    places = starts[at].tolist()
+    bodies = [" ".join(text[a:b].split()) for a, b in zip(places, [*places[1:], len(text)], strict=True)]
+    return places, np.diff(np.append(at, n)).tolist(), bodies
 
 
 def runs(counts: list[int], bodies: list[str]) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentences, digest) of every run."""
-    out, to, words = [], 0, 0
-    for at in range(len(counts)):
-        while to < len(counts) and (to - at < LEAST_SENTENCES or words < LEAST_WORDS):
-            words += counts[to]
-            to += 1
-        if to - at < LEAST_SENTENCES or words < LEAST_WORDS:
-            break
-        out.append((at, to - at, xxhash.xxh3_128_digest("\n".join(bodies[at:to]))))
-        words -= counts[at]
-    return out
+    n = len(counts)
+    if n < LEAST_SENTENCES:
+        return []
+    words = np.concatenate([[0], np.cumsum(counts)])
+    to = np.maximum(np.searchsorted(words, words[:-1] + LEAST_WORDS), np.arange(n) + LEAST_SENTENCES)
+    to = to[to <= n]
+    parts = [b.encode() for b in bodies]
+    places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1)])
+    joined, digest = memoryview(b"\n".join(parts)), xxhash.xxh3_128_digest
+    many = (to - np.arange(len(to))).tolist()
+    return [(at, k, digest(joined[a:b])) for at, k, a, b in zip(range(n), many, places.tolist(), (places[to] - 1).tolist(), strict=False)]
 
 
 def _spans(docs: DataFrame) -> DataFrame:

@@ -244,3 +244,28 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[0] == "doc_id" and rows.count() > 100
+
+
+@pytest.mark.parametrize("kind", ["mid_sentence", "unpunctuated", "changed_word", "chinese", "arabic", "hindi"])
+def test_sentence_spans_wherever_a_passage_stands(spark, kind):
+    rng = np.random.default_rng(7)
+    letters = {"chinese": "春夏秋冬山川風雨花鳥", "arabic": "ابتثجحخدذر", "hindi": "कखगघचछजझटठ"}.get(kind, "abcdefghij")
+    end = {"chinese": "。", "arabic": "؟", "hindi": "।"}.get(kind, ".")
+
+    def words(n, marks):
+        drawn = ["".join(rng.choice(list(letters), 6)) for _ in range(n)]
+        return [w + end if marks and k % 15 == 14 else w for k, w in enumerate(drawn)]
+
+    marked, between = kind not in ("unpunctuated", "changed_word"), "" if kind == "chinese" else " "
+    rows, least = [], []
+    for i in range(0, 40, 2):
+        passage = words(110, marked)
+        for k in (0, 1):
+            other = passage[:55] + ["jjjjjjjj"] + passage[56:] if kind == "changed_word" and k else passage
+            rows.append((i + k, between.join(words(31 + 8 * k + i % 7, marked) + other + words(23 + i % 5, marked))))
+        least.append(rows[-1][0])
+    found = {r.doc_id: r for r in sentence_spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size = 6 if kind == "chinese" else 1
+    shares = [found[i].removed_words / (110 * size) for i in least]
+    assert min(shares) > 0.3 and np.mean(shares) > 0.6 and max(shares) <= 1.1
+    assert all(found[i - 1].n_removed == 0 for i in least)
