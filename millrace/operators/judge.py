@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.text import is_reliable_title, search_text
 from ..functions.urls import any_in, is_job_url, job_id
+from ..sources.anchors import stored_field
 
 
-def reject_reason(title: Column, url: Column, posting_id: Column, received_at: Column, platform: Column | None = None) -> Column:
-    """Why a candidate is no posting; null where it is one."""
+def reject_reason(title: Column, url: Column, posting_id: Column, received_at: Column, platform: Column | None = None, visible: Column | None = None) -> Column:
+    """Why a candidate is no posting; null where it is one.
+
+    `title` is as found; `visible` is what cleaning leaves of it, for callers that have it already.
+    """
+    visible = stored_field(title) if visible is None else visible
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     known = ~blank(posting_id) | job_id(url, platform).isNotNull() | is_job_url(url)
     return (
-        F.when(title.isNull() | (title == ""), "missing title").when(blank(title), "title without visible text").when(~is_reliable_title(title), "unreliable title")
+        F.when(title.isNull() | (title == ""), "missing title").when(visible.isNull(), "title without visible text").when(~is_reliable_title(visible), "unreliable title")
         .when(blank(url) & blank(posting_id), "no url or id").when(~known, "unsupported url").when(received_at.isNull(), "missing received_at")
     )
 

@@ -10,10 +10,13 @@ from ..functions.text import employment_type, remote_type, salary
 from ..functions.urls import canonical_url, job_id, parser_of, platform_of
 from ..operators.identity import duplicates, fingerprint, fold
 from ..operators.judge import categories, freshness, reject_reason, status
+from ..sources.anchors import stored_field
 
 #: Titles and places of candidates derived from the event table.
 TITLES = ["Senior Python Developer", "PHP Laravel Developer", "Backend Engineer", "Machine Learning Engineer", "Account Manager", "LLM Engineer", "x"]
 PLACES = ["Lahore, Pakistan (Remote)", "Berlin, Germany", "Hybrid - Paris, France", "On-site"]
+#: Fields of a candidate that are cleaned before they are judged and stored; those read from the block have fixed values, but for the salary.
+FIELDS = ["title", "company", "location", "place", "description"]
 UNITS = ["minutes", "hours", "days", "weeks", "months"]
 
 
@@ -37,21 +40,23 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def processed(found: DataFrame, fresh_hours: int = 24 * 30) -> DataFrame:
     """Candidates with identity, fields, date, categories and an outcome: rejected, stale or accepted."""
     platform = parser_of(F.col("sender"))
+    cleaned = {c: stored_field(F.col(c)) for c in FIELDS if c in found.columns}
     read = F.struct(
+        F.col("title").alias("_raw_title"), *[v.alias(c) for c, v in cleaned.items()],
         platform.alias("platform"), canonical_url(F.col("url"), platform).alias("job_url"), posted_at(F.col("posted_text"), F.col("received_at")).alias("job_posted_at"),
-        remote_type(F.col("block")).alias("remote_type"), employment_type(F.col("block")).alias("employment_type"), salary(F.col("block")).alias("salary"),
-        categories(F.col("title"), F.lit(None).cast("string")).alias("categories"),
+        remote_type(F.col("block")).alias("remote_type"), employment_type(F.col("block")).alias("employment_type"), stored_field(salary(F.col("block"))).alias("salary"),
+        categories(cleaned["title"], F.lit(None).cast("string")).alias("categories"),
     )
     # The generator computes each of these once a row; later filters on them would repeat the expressions else.
-    rows = found.withColumn("_read", F.explode(F.array(read))).select("*", "_read.*").drop("_read")
+    rows = found.withColumn("_read", F.explode(F.array(read))).select(*[c for c in found.columns if c not in cleaned], "_read.*")
     rows = rows.withColumn("platform_job_id", job_id(F.col("job_url"), F.col("platform")))
     rows = rows.withColumns({
-        "reason": reject_reason(F.col("title"), F.col("job_url"), F.col("platform_job_id"), F.col("received_at"), F.col("platform")),
+        "reason": reject_reason(F.col("_raw_title"), F.col("job_url"), F.col("platform_job_id"), F.col("received_at"), F.col("platform"), F.col("title")),
         "age": freshness(F.col("job_posted_at"), F.col("received_at"), fresh_hours),
         "status": status(F.col("categories")),
         "fingerprint": fingerprint(F.col("platform"), F.col("job_url"), F.col("platform_job_id"), F.col("title"), F.lit(None).cast("string")),
     })
-    return rows.withColumn("outcome", F.when(F.col("reason").isNotNull(), "rejected").when(F.col("age") != "fresh", "stale").otherwise("accepted"))
+    return rows.withColumn("outcome", F.when(F.col("reason").isNotNull(), "rejected").when(F.col("age") != "fresh", "stale").otherwise("accepted")).drop("_raw_title")
 
 
 def postings(rows: DataFrame) -> DataFrame:

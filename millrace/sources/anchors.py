@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.lines import cleaned_field
 from .dom import Node, block_text, elements, joined, tree
 
 # Tags that may hold one posting, the longest text of such a holder, and the tags and number of following lines.
@@ -112,6 +113,11 @@ def unescaped(text: Column) -> Column:
     return decode(text)
 
 
+def stored_field(text: Column) -> Column:
+    """A field as it is stored: entities decoded, then cleaned; null without visible text."""
+    return cleaned_field(unescaped(text))
+
+
 def page_words(html: Column) -> Column:
     """Text of a detail page's body, its strings joined by one space; null html gives an empty text."""
 

@@ -114,3 +114,22 @@ def test_scrape_outcomes(spark):
     out = scraped(cards, details, stored, "python developer", "Oslo", "7d")
     assert {(r.page_id, r.pos): r.outcome for r in out.collect()} == {(1, 0): "saved", (1, 3): "too_old", (1, 4): "saved", (2, 0): "duplicate", (2, 2): "duplicate"}
     assert {tuple(r) for r in scrape_counts(cards, out).collect()} == {(1, 5, 2, 0, 1), (2, 3, 0, 2, 0)}
+
+
+def test_cleaned_before_judged_and_stored(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators.judge import reject_reason
+    from millrace.plans.postings import postings, processed
+
+    titles = ["<!--[if gte mso 9]><tr><![endif]-->", "&lt;td&gt;&nbsp;&lt;/td&gt;", "  ", None, "", "<b>x</b>", "Python &amp; Go Developer &lt;td&gt;(Remote)", "Backend  Engineer"]
+    rows = [(k, t, f"https://www.linkedin.com/jobs/view/{100 + k}", "jobs@linkedin.com", "Acme &lt;b&gt;Ltd&lt;/b&gt;", "now", "Full time", "2026-08-28 10:00:00") for k, t in enumerate(titles)]
+    found = spark.createDataFrame(rows, "seq long, title string, url string, sender string, company string, posted_text string, block string, at string").withColumn("received_at", F.col("at").cast("timestamp"))
+    invisible = "title without visible text"
+    want = [invisible, invisible, invisible, "missing title", "missing title", "unreliable title", None, None]
+    out = {r.seq: r for r in processed(found).collect()}
+    assert [out[k].reason for k in range(8)] == want
+    assert [out[k].title for k in (0, 6, 7)] == [None, "Python & Go Developer (Remote)", "Backend Engineer"] and out[6].company == "Acme Ltd"
+    judged = found.select("seq", reject_reason(F.col("title"), F.col("url"), F.lit(None).cast("string"), F.col("received_at")).alias("reason")).collect()
+    assert [r.reason for r in sorted(judged)] == want
+    assert sorted(r.title for r in postings(processed(found)).collect()) == ["Backend Engineer", "Python & Go Developer (Remote)"]
