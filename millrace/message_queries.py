@@ -11,7 +11,7 @@ from .plans import digests as D
 from .plans import drivers as R
 from .plans import parsing
 from .plans import postings as P
-from .registry import picked, query
+from .registry import SQL, by_line, document_lines, picked, query
 from .sources import cards as C
 from .sources import messages as M
 
@@ -65,6 +65,12 @@ def c9_title_like(spark, sf_dir):
     return d.select("doc_id", L.is_title_like(F.split("text", "\n", 2)[0]).alias("titled"))
 
 
+@query(by_line(SQL["c9_title_like"]))
+def c9_title_like_lines(spark, sf_dir):
+    d = document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return d.select("doc_id", "line", L.is_title_like(F.col("text")).alias("titled"))
+
+
 @query("SELECT doc_id, CASE WHEN trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) <> '' THEN left(trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g')), 255) END AS field FROM documents")
 def f12_cleaned_field(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", L.cleaned_field(F.col("text")).alias("field"))

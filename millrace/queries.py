@@ -15,7 +15,7 @@ from .operators import identity as I
 from .operators import judge as J
 from .plans import postings as P
 from .sources import messages as M
-from .registry import QUERIES, SQL, query
+from .registry import QUERIES, SQL, by_line, document_lines, query
 from .registry import listed as _list
 from .registry import picked as _pick
 from .sources.html import rendered
@@ -76,6 +76,11 @@ def c5_nav_anchor(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", U.is_nav_anchor(F.split("text", "\n", 2)[0]).alias("nav"))
 
 
+@query(by_line(SQL["c5_nav_anchor"]))
+def c5_nav_anchor_lines(spark, sf_dir):
+    return document_lines(_read(spark, sf_dir, "documents")).select("doc_id", "line", U.is_nav_anchor(F.col("text")).alias("nav"))
+
+
 @query("SELECT page_id, regexp_matches(url, '(?i)^https?://[^/]+/?$') AS bare, " + " OR ".join(f"contains(lower(url), '{p}')" for p in rules.OTHER_URLS) + " AS other FROM pages")
 def c6_c7_url_rejects(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", U.is_bare_domain(F.col("url")).alias("bare"), U.is_other_url(F.col("url")).alias("other"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -24,3 +27,15 @@ def listed(values) -> str:
 def picked(values, k: str) -> str:
     """SQL for the value at place k, counted around."""
     return f"{listed(values)}[CAST(({k}) % {len(values)} + 1 AS INT)]"
+
+
+def by_line(sql: str) -> str:
+    """SQL over the first lines of documents, carried over to all their lines (numbered from 1)."""
+    lines = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line FROM documents)"
+    return f"WITH {lines}, " + sql.removeprefix("WITH ").replace("doc_id", "doc_id, line").replace("FROM documents", "FROM lines")
+
+
+def document_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, line, text) of all lines of all documents, numbered from 1."""
+    rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return rows.withColumn("line", F.col("line") + 1)

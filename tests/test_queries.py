@@ -62,3 +62,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["c9_title_like_lines", "c5_nav_anchor_lines"])
+def test_every_line_is_judged(spark, name):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    assert QUERIES[name](spark, SF).count() == sum(t.count("\n") + 1 for t in texts if t is not None) > len(texts)
