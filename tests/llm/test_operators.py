@@ -269,3 +269,13 @@ def test_sentence_spans_wherever_a_passage_stands(spark, kind):
     shares = [found[i].removed_words / (110 * size) for i in least]
     assert min(shares) > 0.3 and np.mean(shares) > 0.6 and max(shares) <= 1.1
     assert all(found[i - 1].n_removed == 0 for i in least)
+
+
+def test_labelled_sample_has_one_row_an_id(spark):
+    rows = [(1, f"text {k}", "en") for k in range(300)] + [(i, None if i == 2 else f"other {i}", None) for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [quality.labelled_sample(t, labels, "quality", quality.held_out, 10, "doc_id", "text", "lang").collect() for t in (table, table.repartition(5))]
+    assert sorted(map(repr, found[0])) == sorted(map(repr, found[1])) and len(found[0]) == len({r.doc_id for r in found[0]}) == 10
+    every = quality.labelled_sample(table, labels, "quality", lambda c: c < 0, 100, "doc_id", "text", "lang").collect()
+    assert sorted(r.doc_id for r in every) == list(range(1, 40))
