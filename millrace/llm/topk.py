@@ -1,8 +1,9 @@
-"""Exact top-k inner products by a vector-approximation file.
+"""Exact top-k inner products with the bounds and the reading order of a vector-approximation file.
 
 Vectors are made integers, floor(scale * x). The approximation of a vector is the cell of
-each component on a grid of `CELL` integers; all vectors' cells are the approximation file,
-one byte a component. Vectors are dealt into blocks of at most BLOCK rows, queries into
+each component on a grid of `CELL` integers. No file of cells is stored: each pair of blocks
+holds the exact vectors, 8 bytes a component, and derives the cells from them, so the bounds
+save no reading. Vectors are dealt into blocks of at most BLOCK rows, queries into
 blocks of QUERIES; a pair of blocks is one group of work:
 
 1. scan the cells: cell corners bound every score from above and below;
