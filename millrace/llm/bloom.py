@@ -1,6 +1,7 @@
-"""A Bloom filter of 64-bit ids with a fixed size, for broadcasting.
+"""A Bloom filter of 64-bit ids for broadcasting, sized by their number up to MOST_BITS.
 
-It spares work and never decides: an id that passes by mistake drops out of the exact join behind it.
+It spares work and never decides: an id that passes by mistake drops out of the exact join
+behind it. Beyond MOST_BITS / 16 ids it lets more and more pass, and spares less.
 """
 
 from __future__ import annotations
@@ -11,53 +12,57 @@ from pyspark.sql import DataFrame
 
 from .words import mix
 
-BLOOM_BITS = 23
+#: Powers of two: the fewest bits, and the most (2**27 bits, 16 MB).
+LEAST_BITS, MOST_BITS = 20, 27
 CHUNK = 1 << 16
 
 
 class Bloom:
-    """Ids, two bits each, in 2**23 bits."""
+    """Ids, two bits each, in 2**k bits."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
+        self.bits, self.k = bits, int(len(bits) * 8).bit_length() - 1
 
     @staticmethod
-    def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def empty(ids: int) -> Bloom:
+        k = min(max((max(ids, 1) * 16 - 1).bit_length(), LEAST_BITS), MOST_BITS)
+        return Bloom(np.zeros(1 << (k - 3), np.uint8))
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = mix(ids.astype(np.int64).view(np.uint64), 7)
-        return h >> np.uint64(64 - BLOOM_BITS), (h >> np.uint64(8)) & np.uint64((1 << BLOOM_BITS) - 1)
+        return h >> np.uint64(64 - self.k), (h >> np.uint64(5)) & np.uint64((1 << self.k) - 1)
+
+    def add(self, ids: np.ndarray) -> None:
+        for p in self.places(ids):
+            np.bitwise_or.at(self.bits, p >> np.uint64(3), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
 
     def has(self, ids: np.ndarray) -> np.ndarray:
         a, b = self.places(ids)
         return ((self.bits[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (self.bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
-    @staticmethod
-    def all() -> Bloom:
-        return Bloom(np.full(1 << (BLOOM_BITS - 3), 255, np.uint8))
-
 
 def bloom_of(ids: DataFrame) -> Bloom:
-    """A filter of the ids of a one-column table: each task sends its 2**20 bytes, sparse."""
+    """A filter of the ids of a stored one-column table: tasks send the parts of their bits that aren't zero."""
+    n = ids.count()
 
     def run(batches):
-        bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+        mine = Bloom.empty(n)
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False)
-            for p in Bloom.places(x):
-                np.bitwise_or.at(bits, p >> np.uint64(3), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        for k in range(0, len(bits), CHUNK):
-            if (part := bits[k : k + CHUNK]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
+            mine.add(batch.column(0).to_numpy(zero_copy_only=False))
+        for k in range(0, len(mine.bits), CHUNK):
+            if (part := mine.bits[k : k + CHUNK]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], ["chunk", "bits"])
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("bits"), strict=True):
-                part = np.frombuffer(blob.as_py(), np.uint8)
+                part = np.frombuffer(pa.decompress(blob.as_buffer(), CHUNK, "zstd", asbytes=True), np.uint8)
                 sums[k] = sums[k] | part if k in sums else part
         for k, part in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
 
-    bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+    out = Bloom.empty(n)
     for r in ids.mapInArrow(run, "chunk int, bits binary").repartition(16, "chunk").mapInArrow(merge, "chunk int, bits binary").collect():
-        bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return Bloom(bits)
+        out.bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +11,16 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a new temporary one."""
+    """The folder named by spark.checkpoint.dir, which the driver and all executors must see.
+
+    Where that is unset, a folder beside the warehouse is used on one machine (master
+    "local[...]"); on a cluster there is nothing to fall back to, and this raises.
+    """
     found = spark.conf.get(_SETTING, None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors can see")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared"
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
 
@@ -34,8 +39,9 @@ class Shelf:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.option("compression", codec).parquet(self.path(name))
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Stores a table and reads it back; `by` names a column whose values get folders of their own."""
+        df.write.option("compression", "zstd").parquet(self.path(name), partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -50,9 +56,12 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def crc_mod(id_column: str, by: int) -> Column:
-    """crc32 of the id written as text, modulo `by`; a null id counts as empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(by).cast("bigint"))
+def free_name(wanted: str, *taken: list[str]) -> str:
+    """A column name that none of the lists holds, upper and lower case alike."""
+    low = {c.lower() for names in taken for c in names}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,35 +9,42 @@ What could repeat is found first, then sorted:
 2.  Segments. Texts with repeated anchors give, for each, the bytes of the windows that it
     owns. Equal segments are one, with a count (partial counts before the shuffle): a
     passage or copy that a third of the documents hold is one segment for the sorting.
-3.  Suffix arrays. Segments are dealt out by anchor hash and a task sorts a few MB at a
-    time: suffixes smaller than their successor directly, the rest induced by bucket
-    scans, then common prefixes of neighbours (suffixes.py). Neighbours with 200 bytes in
-    common are repeated windows. An anchor hash with more than HOT_SEGMENTS different
-    segments would be one group too large; its windows are dealt out singly and counted.
-4.  The windows found return to their texts by a join, and texts are cut and hashed.
-
-Texts are named by a 64-bit hash and their length; documents with one text share its work.
+3.  Splitting. An anchor with more than GROUP different segments is split by the bytes next
+    to it: windows in which the anchor stands at offsets a..b-1 all hold the a bytes
+    before it and the 201-b bytes from it on, so those bytes are the key of a group of its
+    own. Offsets are cut in WAYS parts a time, until every group is small or all its
+    windows are equal; a window goes to one group and no group is left out.
+4.  Suffix arrays. A task sorts the groups dealt to it, SORT_BYTES at a time: suffixes
+    smaller than their successor directly, the rest induced by bucket scans, then common
+    prefixes of neighbours (suffixes.py). Neighbours with 200 bytes in common are repeated
+    windows. A segment alone in its group has nothing to be sorted against: if it stands in
+    several places, all its windows repeat.
+5.  The windows found return to their texts by a join, and texts are cut and hashed.
+
+Texts are named by 95 bits of two hashes; documents with one text share its work.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of
 from .shared import Shelf, text_or_empty
 from .suffixes import DEPTH, repeated_windows
-from .words import buffers, mix, slices
+from .words import buffers, slices
 
 GRAM = 40
 REACH = DEPTH - GRAM + 1
-HOT_SEGMENTS = 20_000
-SORT_BYTES = 3 << 20
+#: Different segments that are sorted as one group, and parts that the offsets of a larger group are cut into.
+GROUP, WAYS = 1000, 4
+SORT_BYTES, SLICE = 1 << 20, 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(77))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = int(_RNG.integers(1, 1 << 60, dtype=np.uint64)) * 8 + 5
@@ -55,143 +62,201 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position on, for all positions with so many."""
     n = len(data)
     if len(_tables.get("up", ())) < n:
-        _tables["up"], _tables["down"] = _powers(_P, n), _powers(_INVERSE, n)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * _tables["up"][:n], dtype=np.uint64)])
-    return mix((sums[GRAM:] - sums[:-GRAM]) * _tables["down"][: n - GRAM + 1])
+        _tables["up"], _tables["down"] = _powers(_P, n + n // 4), _powers(_INVERSE, n + n // 4)
+    h = _BYTE[data]
+    h *= _tables["up"][:n]
+    np.cumsum(h, out=h)
+    out = h[GRAM - 1 :].copy()
+    out[1:] -= h[: n - GRAM]
+    out *= _tables["down"][: n - GRAM + 1]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def _sliding_least(h: np.ndarray) -> np.ndarray:
     """Least value of each REACH neighbouring values."""
-    n = len(h)
-    padded = np.concatenate([h, np.full(-n % REACH, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, REACH)
-    left = np.minimum.accumulate(padded, axis=1).ravel()[:n]
-    right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
-    return np.minimum(right[: n - REACH + 1], left[REACH - 1 :])
+    span = 1
+    while span < REACH:
+        step = min(span, REACH - span)
+        h, span = np.minimum(h[:-step], h[step:]), span + step
+    return h
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window, weight) of the anchors of a text of DEPTH bytes at least.
+def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, hash, first window, last window, weight) of the anchors of texts that lie one after another in `data`.
 
     An anchor owns neighbouring windows with one least hash, REACH of them at most; all
-    anchors together own each window once. Its weight is 2 if its hash stands in its windows
-    more than once (as in periodic text), so that they may repeat each other, else 1.
+    anchors together own each window once. Its weight is 2 if its hash also stands where
+    one of its windows starts that isn't the last (as in periodic text): only then can two
+    of its own windows be equal, as equal windows hold it at equal offsets. Else it is 1.
     """
+    able = np.flatnonzero(ends - begins >= DEPTH)
+    if not len(able):
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none, none
     h = gram_hashes(data)
     least = _sliding_least(h)
-    cut = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    many = np.diff(np.append(cut, len(least)))
+    n = len(least)
+    fresh = np.append(True, least[1:] != least[:-1])
+    fresh[begins[able]] = True
+    # Windows across the end of a text are none.
+    inside = np.zeros(n + 1, np.int32)
+    inside[begins[able]] += 1
+    np.add.at(inside, ends[able] - DEPTH + 1, -1)
+    cut = np.flatnonzero(fresh & (np.cumsum(inside[:-1]) > 0))
+    text = able[np.searchsorted(begins[able], cut, "right") - 1]
+    many = np.minimum(np.append(cut[1:], n), ends[text] - DEPTH + 1) - cut
     if many.max() > REACH:
         pieces = -(-many // REACH)
         step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        cut, many = np.repeat(cut, pieces) + step * REACH, np.minimum(np.repeat(many, pieces) - step * REACH, REACH)
-    value, wide = least[cut], many + REACH - 1
-    ends = np.cumsum(wide)
-    at = np.arange(ends[-1]) + np.repeat(cut - (ends - wide), wide)
-    hits = np.add.reduceat((h[at] == np.repeat(value, wide)).astype(np.int64), ends - wide)
-    return value, cut, cut + many - 1, np.minimum(hits, 2)
+        text, cut, many = np.repeat(text, pieces), np.repeat(cut, pieces) + step * REACH, np.minimum(np.repeat(many, pieces) - step * REACH, REACH)
+    here = np.concatenate([[0], np.cumsum(h[:n] == least, dtype=np.int32)])
+    weight = 1 + (here[cut + many - 1] > here[cut])
+    return text, least[cut], cut - begins[text], cut + many - 1 - begins[text], weight
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            tids = batch.column("tid").to_numpy(zero_copy_only=False)
+            t1, t2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t1", "t2"))
             everything, offsets = buffers(batch.column("text"))
-            for first, last in slices(offsets):
-                rows = []
-                for i in range(first, last):
-                    n = int(offsets[i + 1] - offsets[i])
-                    if n >= DEPTH:
-                        rows.append((tids[i], n, *anchors(everything[offsets[i] : offsets[i + 1]])))
-                if rows:
-                    many = [len(r[2]) for r in rows]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)), pa.array(np.concatenate([r[5] for r in rows]).astype(np.int32)),
-                        pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), many)), pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), many)),
-                        pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32)), pa.array(np.concatenate([r[4] for r in rows]).astype(np.int32)),
-                    ], ["h", "weight", "tid", "n", "lo", "hi"])
-
-    return texts.mapInArrow(run, "h long, weight int, tid long, n int, lo int, hi int")
+            for first, last in slices(offsets, SLICE):
+                part = offsets[first : last + 1] - offsets[first]
+                text, h, lo, hi, weight = anchors(everything[offsets[first] : offsets[last]], part[:-1], part[1:])
+                if len(text):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), weight.astype(np.int32), t1[first + text], t2[first + text], lo.astype(np.int32), hi.astype(np.int32))], ["h", "weight", "t1", "t2", "lo", "hi"])
 
+    return texts.mapInArrow(run, "h long, weight int, t1 long, t2 int, lo int, hi int")
 
-def _segments(rows: DataFrame) -> DataFrame:
-    """(h, seg, s1, s2, tid, n, lo) of texts with their repeated anchors."""
-    schema = pa.schema([("h", pa.int64()), ("seg", pa.binary()), ("s1", pa.int64()), ("s2", pa.int64()), ("tid", pa.int64()), ("n", pa.int32()), ("lo", pa.int32())])
-
-    def run(batches):
-        for batch in batches:
-            out, held = [], 0
-            for tid, n, text, found in zip(*(batch.column(c) for c in ("tid", "n", "text", "found")), strict=True):
-                data = text.as_buffer().to_pybytes()
-                tid, n = tid.as_py(), n.as_py()
-                for a in found.as_py():
-                    seg = data[a["lo"] : a["hi"] + DEPTH]
-                    d = xxhash.xxh3_128_digest(seg)
-                    out.append((a["h"], seg, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), tid, n, a["lo"]))
-                    held += len(seg)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
-    return rows.mapInArrow(run, "h long, seg binary, s1 long, s2 long, tid long, n int, lo int")
 
+def _segments(rows: DataFrame) -> DataFrame:
+    """A row for each repeated anchor of the texts; `key` names the group, the anchor stands at offsets from `oa` to below `ob` of its windows."""
+    data = F.col("text").cast("binary")
+    one = F.transform("found", lambda a: F.struct(a["h"].alias("h"), F.substring(data, a["lo"] + 1, a["hi"] - a["lo"] + DEPTH).alias("seg"), a["lo"].alias("lo")))
+    rows = rows.select("t1", "t2", F.explode(one).alias("a")).select(F.col("a.h").alias("key"), "a.h", F.lit(0).alias("oa"), F.lit(REACH).alias("ob"), "a.seg", "t1", "t2", "a.lo")
+    return rows.withColumns(_named())
 
-def _spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of neighbouring starts as (first, last)."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True))
 
+def _named() -> dict[str, Column]:
+    """A 128-bit name for the bytes of a segment; groups hold each segment's bytes once, so it only carries results back."""
+    return {"s1": F.xxhash64("seg"), "s2": F.xxhash64(F.lit(7), "seg")}
 
-def _sorted_windows(distinct: DataFrame) -> DataFrame:
-    """(h, s1, s2, spans) of different segments with repeated windows; rows of one anchor hash are sorted together."""
-    schema = pa.schema([("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
-    def judged(rows):
-        found = repeated_windows([r[3] for r in rows])
-        out = []
-        for (h, s1, s2, seg, many), starts in zip(rows, found, strict=True):
-            spans = [(0, len(seg) - DEPTH)] if many > 1 else _spans_of(starts)
-            if spans:
-                out.append((h, s1, s2, [{"a": a, "b": b} for a, b in spans]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+def _split(rows: DataFrame) -> DataFrame:
+    """The segments of groups that are too large, cut by where the anchor stands in their windows."""
 
     def run(batches):
-        rows, size = [], 0
         for batch in batches:
-            for h, s1, s2, seg, many in zip(batch.column("h").to_pylist(), batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), batch.column("seg"), batch.column("many").to_pylist(), strict=True):
-                if size > SORT_BYTES and h != rows[-1][0]:
-                    yield from judged(rows)
-                    rows, size = [], 0
-                seg = seg.as_buffer().to_pybytes()
-                rows.append((h, s1, s2, seg, many))
-                size += len(seg)
-        if rows:
-            yield from judged(rows)
+            out = []
+            for key, h, oa, ob, seg, t1, t2, lo in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "oa", "ob", "seg", "t1", "t2", "lo")), strict=True):
+                hits = np.flatnonzero(gram_hashes(np.frombuffer(seg, np.uint8)).view(np.int64) == h)
+                width, most = -(-(ob - oa) // WAYS), len(seg) - DEPTH
+                before = -1
+                for p in hits.tolist():
+                    # The windows from before+1 to p hold the anchor at p first.
+                    for a in range(oa, ob, width):
+                        b = min(a + width, ob)
+                        s, e = max(before + 1, p - b + 1), min(p - a, most)
+                        if s <= e:
+                            shared = seg[p - a : p + 1 + DEPTH - b]
+                            out.append((xxhash.xxh3_64_intdigest(b"%d %d " % (key, a) + shared) - (1 << 63), h, a, b, seg[s : e + DEPTH], t1, t2, lo + s))
+                    before = p
+                if len(out) > 20_000:
+                    yield pack(out)
+                    out = []
+            if out:
+                yield pack(out)
 
-    dealt = distinct.repartition("h").sortWithinPartitions("h")
-    return dealt.select("h", "s1", "s2", "seg", "many").mapInArrow(run, "h long, s1 long, s2 long, spans array<struct<a: int, b: int>>")
+    def pack(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
+    i, j = pa.int64(), pa.int32()
+    schema = pa.schema([("key", i), ("h", i), ("oa", j), ("ob", j), ("seg", pa.binary()), ("t1", i), ("t2", j), ("lo", j)])
+    return rows.select(schema.names).mapInArrow(run, "key long, h long, oa int, ob int, seg binary, t1 long, t2 int, lo int").withColumns(_named())
 
-def _single_windows(distinct: DataFrame) -> DataFrame:
-    """The same for anchor hashes with too many segments: windows are counted one by one, by a 128-bit digest."""
+
+def _sorted_windows(distinct: DataFrame) -> DataFrame:
+    """(key, s1, s2, a, b): runs a..b of repeated windows of different segments; the rows of a group are sorted together."""
+
+    def judged(rows: pa.RecordBatch):
+        key, s1, s2, many = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "s1", "s2", "many"))
+        edge = np.append(key[1:] != key[:-1], True)
+        alone = edge & np.append(True, edge[:-1]) & (many > 1)
+        text, offsets = buffers(rows.column("seg"))
+        lengths = np.diff(offsets)
+        at = np.flatnonzero(alone)
+        yield from found(key[at], s1[at], s2[at], np.zeros(len(at), np.int64), lengths[at] - DEPTH)
+        rest = np.flatnonzero(~alone)
+        # Whole groups, SORT_BYTES of them at a time.
+        ends = np.flatnonzero(edge[rest]) + 1
+        total, first = np.concatenate([[0], np.cumsum(lengths[rest])]), 0
+        while first < len(rest):
+            fit = ends[ends > first]
+            last = int(fit[max(int(np.searchsorted(total[fit], total[first] + SORT_BYTES, "right")) - 1, 0)])
+            yield from compared(rows, rest[first:last], lengths, many, key, s1, s2)
+            first = last
+
+    def compared(rows, rest, lengths, many, key, s1, s2):
+        text, offsets = buffers(rows.column("seg").take(pa.array(rest)))
+        text, lengths = text[offsets[0] : offsets[-1]], lengths[rest]
+        begins = np.cumsum(lengths) - lengths
+        hit = repeated_windows(text, lengths)
+        twice = many[rest] > 1
+        cover = np.zeros(len(text) + 1, np.int32)
+        np.add.at(cover, begins[twice], 1)
+        np.add.at(cover, begins[twice] + lengths[twice] - DEPTH + 1, -1)
+        place = np.flatnonzero(hit | (np.cumsum(cover[:-1]) > 0))
+        if len(place):
+            owner = np.searchsorted(begins, place, "right") - 1
+            new = np.append(True, (np.diff(place) > 1) | (np.diff(owner) > 0))
+            first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(place)) - 1
+            which = rest[owner[first]]
+            yield from found(key[which], s1[which], s2[which], place[first] - begins[owner[first]], place[last] - begins[owner[first]])
+
+    def found(key, s1, s2, a, b):
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(s1), pa.array(s2), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["key", "s1", "s2", "a", "b"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for h, s1, s2, seg, many in zip(batch.column("h").to_pylist(), batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), batch.column("seg"), batch.column("many").to_pylist(), strict=True):
-                seg = seg.as_buffer().to_pybytes()
-                at = range(len(seg) - DEPTH + 1)
-                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(seg[a : a + DEPTH]) for a in at), np.int64).reshape(-1, 2)
-                k = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * k, pa.int64()) for x in (h, s1, s2)] + [pa.array(at, pa.int32()), pa.array([many] * k, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["h", "s1", "s2", "a", "many", "w1", "w2"])
-
-    windows = distinct.select("h", "s1", "s2", "seg", "many").mapInArrow(run, "h long, s1 long, s2 long, a int, many long, w1 long, w2 long")
-    counts = windows.groupBy("w1", "w2").agg(F.sum("many").alias("all")).where(F.col("all") > 1).drop("all")
-    hit = windows.join(counts, ["w1", "w2"]).groupBy("h", "s1", "s2").agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("spans"))
-    return hit.select("h", "s1", "s2", "spans")
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("seg").nbytes
+            if size > SORT_BYTES:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                # All but the last group are whole.
+                keys = rows.column("key").to_numpy(zero_copy_only=False)
+                cut = int(np.searchsorted(keys, keys[-1], "left"))
+                if cut:
+                    yield from judged(rows.slice(0, cut))
+                held, size = [rows.slice(cut)], rows.slice(cut).column("seg").nbytes
+        if held:
+            yield from judged(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    dealt = distinct.repartition("key").sortWithinPartitions("key")
+    return dealt.select("key", "s1", "s2", "seg", "many").mapInArrow(run, "key long, s1 long, s2 long, a int, b int")
+
+
+def _windows(segments: DataFrame, shelf: Shelf) -> list[DataFrame]:
+    """Tables (t1, t2, a, b): the repeated windows a..b of texts."""
+    out, level = [], 0
+    while True:
+        distinct = shelf.put(segments.groupBy("key", "seg", "s1", "s2").agg(F.count(F.lit(1)).alias("many")), f"distinct{level}")
+        large = shelf.put(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("key"), f"large{level}")
+        more = not large.isEmpty()
+        windows = _sorted_windows(distinct.join(large, "key", "left_anti") if more else distinct)
+        places = segments.select("key", "s1", "s2", "t1", "t2", "lo").join(windows, ["key", "s1", "s2"])
+        out.append(shelf.put(places.select("t1", "t2", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b")), f"places{level}"))
+        shelf.drop(f"distinct{level}")
+        if not more:
+            shelf.drop("segments", *[f"segments{k}" for k in range(level + 1)])
+            return out
+        level += 1
+        segments = shelf.put(_split(segments.join(large, "key")), f"segments{level}")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,39 +269,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shelf = Shelf(docs.sparkSession, "suffixes")
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumns({"tid": F.xxhash64("text"), "n": F.octet_length("text")})
+    rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.shiftright(F.xxhash64(F.lit(7), "text"), 33).cast("int"), "n": F.octet_length("text")})
 
-    found = _anchor_rows(rows.select("tid", "text"))
+    found = shelf.put(_anchor_rows(rows.select("t1", "t2", "text")), "found")
     repeated = found.groupBy("h").agg(F.sum("weight").alias("w")).where("w > 1").drop("w")
     # Stored, so that the join deals out both sides anew and can split a hash that many texts share.
     repeated = shelf.put(repeated, "repeated")
     # collect_set over one text: at most its own anchors, and copies of the text add nothing.
-    wanted = found.join(repeated, "h").groupBy("tid", "n").agg(F.collect_set(F.struct("h", "lo", "hi")).alias("found"))
+    wanted = found.join(repeated, "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("h", "lo", "hi")).alias("found"))
     wanted = shelf.put(wanted, "wanted")
+    shelf.drop("found", "repeated")
 
     def passing(ids: DataFrame):
         sent = sc.broadcast(bloom_of(ids))
 
         @F.arrow_udf("boolean")
-        def may(tid: pa.Array) -> pa.Array:
-            return pa.array(sent.value.has(tid.to_numpy(zero_copy_only=False)))
+        def may(t1: pa.Array) -> pa.Array:
+            return pa.array(sent.value.has(t1.to_numpy(zero_copy_only=False)))
 
         return may
 
-    may = passing(wanted.select("tid"))
-    segments = _segments(rows.select("tid", "n", "text").where(F.col("n") >= DEPTH).where(may("tid")).join(wanted, ["tid", "n"]).select("tid", "n", "text", "found"))
+    may = passing(wanted.select("t1"))
+    segments = _segments(rows.select("t1", "t2", "text").where(F.col("n") >= DEPTH).where(may("t1")).join(wanted, ["t1", "t2"]))
     segments = shelf.put(segments, "segments")
-    distinct = segments.groupBy("h", "seg", "s1", "s2").agg(F.count(F.lit(1)).alias("many"))
-    distinct = shelf.put(distinct, "distinct")
-    hot = shelf.put(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT_SEGMENTS).select("h"), "hot")
-    if hot.isEmpty():
-        windows = _sorted_windows(distinct)
-    else:
-        windows = _sorted_windows(distinct.join(hot, "h", "left_anti")).unionByName(_single_windows(distinct.join(hot, "h", "left_semi")))
-    places = segments.select("h", "s1", "s2", "tid", "n", "lo").join(windows, ["h", "s1", "s2"])
-    spans = places.select("tid", "n", "lo", F.explode("spans").alias("s")).select("tid", "n", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"))
-    cuts = shelf.put(spans.groupBy("tid", "n").agg(F.collect_set(F.struct("a", "b")).alias("cuts")), "cuts")
-    shelf.drop("wanted", "segments", "distinct")
+    shelf.drop("wanted")
+    parts = _windows(segments, shelf)
+    cuts = shelf.put(reduce(DataFrame.unionByName, parts).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("cuts")), "cuts")
+    shelf.drop(*[f"places{k}" for k in range(len(parts))])
 
     @F.arrow_udf("struct<n_removed: long, n_spans: long, kept: binary, kept_sha256: string>")
     def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -258,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         types = (pa.int64(), pa.int64(), pa.binary(), pa.string())
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), (), ()), types, strict=True)], ["n_removed", "n_spans", "kept", "kept_sha256"])
 
-    may_lose = passing(cuts.select("tid"))
-    out = rows.withColumn("sha", F.sha2("text", 256)).withColumn("text", F.when((F.col("n") >= DEPTH) & may_lose("tid"), F.col("text")))
-    out = out.join(cuts, ["tid", "n"], "left").withColumn("cut", cut("text", "cuts"))
+    may_lose = passing(cuts.select("t1"))
+    out = rows.withColumn("sha", F.sha2("text", 256)).withColumn("text", F.when((F.col("n") >= DEPTH) & may_lose("t1"), F.col("text")))
+    out = out.join(cuts, ["t1", "t2"], "left").withColumn("cut", cut("text", "cuts"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_bytes"), "cut.n_removed", "cut.n_spans", F.coalesce("cut.kept_sha256", "sha").alias("kept_sha256"), "cut.kept")
