@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,9 +106,55 @@ def platform_of(sender: Column) -> Column:
     return out
 
 
-def parser_of(sender: Column) -> Column:
-    """The parser for a sender: in fixed order, whether or not the platform is enabled; generic for all others."""
-    out = F.lit("generic")
-    for slug in ("glassdoor", "wellfound", "indeed", "linkedin"):
-        out = F.when(F.contains(F.lower(sender), F.lit(f"{slug}.com")), F.lit(slug)).otherwise(out)
+#: Parsers in the order in which they are asked, with the part of a sender that each reads; the last reads all.
+PARSERS = [("linkedin", "linkedin.com"), ("indeed", "indeed.com"), ("wellfound", "wellfound.com"), ("glassdoor", "glassdoor.com"), ("generic", "")]
+
+
+def with_parser(slug: str, domain: str, before: str | None = None, parsers: list[tuple[str, str]] = PARSERS) -> list[tuple[str, str]]:
+    """The parsers with one more, before the last or before a named one; a name that isn't there is an error."""
+    names = [s for s, _ in parsers]
+    at = len(parsers) - 1 if before is None else names.index(before)
+    return [*parsers[:at], (slug, domain), *parsers[at:]]
+
+
+def parser_of(sender: Column, parsers: list[tuple[str, str]] = PARSERS) -> Column:
+    """The first parser for a sender, whether or not its platform is enabled."""
+    out = F.lit(parsers[-1][0])
+    for slug, domain in reversed(parsers[:-1]):
+        out = F.when(F.contains(F.lower(sender), F.lit(domain)), F.lit(slug)).otherwise(out)
     return out
+
+
+def enabled_domains() -> list[str]:
+    """Domains of the enabled platforms by priority."""
+    return [p.domain for p in sorted(rules.PLATFORMS, key=lambda p: p.priority) if p.enabled]
+
+
+# Host names that are never followed.
+BLOCKED_HOSTS = {"localhost", "0.0.0.0"}
+
+
+def _inner(host: str | None) -> bool | None:
+    try:
+        at = ipaddress.ip_address(host)
+    except ValueError:
+        return None
+    return at.is_loopback or at.is_private or at.is_link_local or at.is_reserved or at.is_multicast
+
+
+def unsafe_reason(url: Column) -> Column:
+    """Why a URL must not be followed; null where nothing speaks against it. Names aren't looked up: of hosts, the blocked ones and addresses in figures are judged."""
+
+    @F.arrow_udf("boolean")
+    def inner(hosts: pa.Array) -> pa.Array:
+        return pa.array([None if h is None else _inner(h) for h in hosts.to_pylist()], pa.bool_())
+
+    url = F.coalesce(_trim(url), F.lit(""))
+    scheme, place = F.lower(F.regexp_extract(url, _PARTS, 1)), F.lower(F.regexp_extract(url, _PARTS, 2))
+    name = F.regexp_replace(place, "^.*@", "")
+    host = F.when(F.startswith(name, F.lit("[")), F.regexp_extract(name, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(name, r":\d*$", ""))
+    figures = F.when(host.rlike(r"^[0-9.]+$|:"), host)
+    return (
+        F.when(~scheme.isin("http", "https"), "scheme is not http or https").when(host == "", "no host").when(host.isin(sorted(BLOCKED_HOSTS)), "blocked host")
+        .when(inner(figures), "internal or private address")
+    )

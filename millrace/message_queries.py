@@ -11,9 +11,10 @@ from .plans import digests as D
 from .plans import drivers as R
 from .plans import parsing
 from .plans import postings as P
-from .registry import SQL, by_line, document_lines, picked, query
+from .registry import LINES, document_lines, picked, query
 from .sources import cards as C
 from .sources import messages as M
+from .stored import spread, written
 
 _CARDS = f"""c0 AS (SELECT event_id AS n, event_id // {D.CARDS} AS message, ts FROM events),
     c AS (SELECT n, message, max(ts) OVER (PARTITION BY message) AS seen, {picked(P.TITLES, "n")} AS title, {picked(P.PLACES, "n")} AS place, {picked(P.UNITS, "n // 3")} AS unit,
@@ -57,15 +58,19 @@ def _line(*patterns: str) -> str:
     return "(" + " OR ".join("regexp_matches(t, '" + p.replace("'", "''") + "')" for p in whole) + ")"
 
 
-@query(f"""WITH l AS (SELECT doc_id, trim(split_part(text, chr(10), 1), ' ') AS t FROM documents), w AS (SELECT doc_id, t, string_split_regex(t, '\\s+') AS w FROM l)
-    SELECT doc_id, coalesce(NOT (length(t) < 3 OR {_line(L.ACTION, L.BADGE, L.PLACE, X.REMOTE, X.POSTED, X.SALARY_CURRENCY, X.SALARY_PLAIN)} OR NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]') OR regexp_matches(t, '[.,;:]$')
-    OR (NOT contains(t, ' ') AND length(t) < 6) OR (len(w) >= 2 AND (length(w[-1]) <= 2 OR length(w[1]) <= 2)) OR (NOT regexp_matches(w[-1], '(?i)[aeiou]') AND length(w[-1]) < 4)), false) AS titled FROM w""")
+_TITLED = f"""coalesce(NOT (length(t) < 3 OR {_line(L.ACTION, L.BADGE, L.PLACE, X.REMOTE, X.POSTED, X.SALARY_CURRENCY, X.SALARY_PLAIN)} OR NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]') OR regexp_matches(t, '[.,;:]$')
+    OR (NOT contains(t, ' ') AND length(t) < 6) OR (len(w) >= 2 AND (length(w[-1]) <= 2 OR length(w[1]) <= 2)) OR (NOT regexp_matches(w[-1], '(?i)[aeiou]') AND length(w[-1]) < 4)), false)"""
+_WORDS = f"{LINES}, l AS (SELECT doc_id, line, trim(text, ' ') AS t FROM lines), w AS (SELECT doc_id, line, t, string_split_regex(t, '\\s+') AS w FROM l)"
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({_TITLED}) AS titled FROM w GROUP BY doc_id")
 def c9_title_like(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", L.is_title_like(F.split("text", "\n", 2)[0]).alias("titled"))
+    """Lines of each document, and those that can be titles."""
+    rows = document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(L.is_title_like(F.col("text"))).alias("titled"))
 
 
-@query(by_line(SQL["c9_title_like"]))
+@query(f"WITH {_WORDS} SELECT doc_id, line, {_TITLED} AS titled FROM w")
 def c9_title_like_lines(spark, sf_dir):
     d = document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", "line", L.is_title_like(F.col("text")).alias("titled"))
@@ -92,11 +97,11 @@ def a6_access_wall(spark, sf_dir):
 
 @query("""WITH RECURSIVE r AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 8 <> 0 THEN p_partkey + 1 END AS dst FROM part),
     w AS (SELECT src, src AS place, 0 AS hops FROM r UNION ALL SELECT w.src, r.dst, w.hops + 1 FROM w JOIN r ON w.place = r.src WHERE r.dst IS NOT NULL AND w.hops < 5)
-    SELECT CAST(src AS VARCHAR) AS url, CAST(arg_max(place, hops) AS VARCHAR) AS final_url, max(hops) AS hops FROM w GROUP BY src""")
+    SELECT 'https://x.org/' || src AS url, 'https://x.org/' || arg_max(place, hops) AS final_url, max(hops) AS hops FROM w GROUP BY src""")
 def c16_redirects(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
-    moves = p.where("p_partkey % 8 <> 0").select(F.col("p_partkey").cast("string").alias("src"), (F.col("p_partkey") + 1).cast("string").alias("dst"))
-    return S.resolved(p.select(F.col("p_partkey").cast("string").alias("url")), moves)
+    p, url = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")), lambda k: F.concat(F.lit("https://x.org/"), k.cast("string"))
+    moves = p.where("p_partkey % 8 <> 0").select(url(F.col("p_partkey")).alias("src"), url(F.col("p_partkey") + 1).alias("dst"))
+    return S.resolved(p.select(url(F.col("p_partkey")).alias("url")), moves).select("url", "final_url", "hops")
 
 
 @query(f"WITH {_CARDS} SELECT n AS seq, CASE WHEN n % 7 = 0 THEN true WHEN n % 3 = 0 AND n % 10 <> 5 THEN true ELSE false END AS kept FROM d")
@@ -117,7 +122,7 @@ def i12_scrape_run(spark, sf_dir):
     url = F.concat(F.lit("https://www.linkedin.com/jobs/view/"), F.col("event_id").cast("string"))
     pages = events.select(url.alias("url"), F.when(F.col("event_id") % 3 == 0, "<body><p>We seek a</p> <b>Python Developer</b></body>").otherwise("<body>Some python is fine</body>").alias("html")).where("url not like '%5'")
     stored = events.where("event_id % 8 = 0").select(F.col("event_id").cast("string").alias("job_id"), url.alias("job_url"))
-    cards = C.parsed_cards(D.result_pages(spark, sf_dir))
+    cards = written(C.parsed_cards(D.result_pages(spark, sf_dir)), "cards")
     return R.scrape_counts(cards, R.scraped(cards, pages, stored, "Python", "Lahore", "7d", 2))
 
 
@@ -126,6 +131,7 @@ def i12_scrape_run(spark, sf_dir):
 def i10_backfill(spark, sf_dir):
     """Messages without posting and event are read again; a part of them has no links."""
     every = D.html_messages(spark, sf_dir).withColumn("html", F.when(F.col("message_id") % 7 == 3, "<body>Your account</body>").otherwise(F.col("html")))
+    every = written(every, "messages")
     ids = every.select("message_id")
     again = R.pending(every, ids.where("message_id % 3 = 1"), ids.where("message_id % 4 = 2"))
     return R.backfill_events(again, parsing.candidates(again), ["glassdoor.com"]).select("message_id", "status")

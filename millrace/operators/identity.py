@@ -20,16 +20,22 @@ def fingerprint(platform: Column, url: Column, job_id: Column, title: Column, co
     return F.sha2(F.coalesce(by_url, by_id, F.concat(platform, F.lit(":title:"), low(title), F.lit(":"), low(company))), 256)
 
 
-def fold(candidates: DataFrame, key: str = "fingerprint", seq: str = "seq", enriched: tuple[str, ...] = ENRICHED) -> DataFrame:
+def fold(candidates: DataFrame, key: str = "fingerprint", seq: str = "seq", enriched: tuple[str, ...] = ENRICHED, counted: str | None = None, placed: bool = False) -> DataFrame:
     """One row per key: the first sighting, with null columns of `enriched` filled from the next sighting that has them, and `sightings`.
 
+    Folds can be folded: `counted` names a column that says for how many sightings a row
+    stands; with `placed`, columns named <field>_at say which sighting a filled field is from,
+    and where there are such columns, they decide which value comes first.
+
     An aggregate with partial results before the shuffle: a posting seen by a third of all
     messages moves as one row a task.
     """
-    rest = [c for c in candidates.columns if c not in (key, *enriched)]
-    fill = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in enriched if c in candidates.columns]
-    one = candidates.groupBy(key).agg(F.min_by(F.struct(*rest), seq).alias("_first"), *fill, F.count(F.lit(1)).alias("sightings"))
-    return one.select(key, *[F.col("_first")[c].alias(c) for c in rest], *[c for c in enriched if c in candidates.columns], "sightings")
+    enriched = tuple(c for c in enriched if c in candidates.columns)
+    rest = [c for c in candidates.columns if c not in (key, *enriched, *(f"{c}_at" for c in enriched), counted)]
+    at = {c: F.when(F.col(c).isNotNull(), F.col(f"{c}_at" if f"{c}_at" in candidates.columns else seq)) for c in enriched}
+    fill = [F.min_by(c, at[c]).alias(c) for c in enriched] + ([F.min(at[c]).alias(f"{c}_at") for c in enriched] if placed else [])
+    one = candidates.groupBy(key).agg(F.min_by(F.struct(*rest), seq).alias("_first"), *fill, (F.sum(counted) if counted else F.count(F.lit(1))).alias("sightings"))
+    return one.select(key, *[F.col("_first")[c].alias(c) for c in rest], *enriched, *([f"{c}_at" for c in enriched] if placed else []), "sightings")
 
 
 def duplicates(candidates: DataFrame, key: str = "fingerprint", seq: str = "seq") -> DataFrame:

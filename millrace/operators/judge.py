@@ -44,8 +44,8 @@ def _pattern(keywords: list[str]) -> str:
     return r"\b(?:" + "|".join(re.escape(k.lower()) for k in keywords) + r")\b"
 
 
-def categories(title: Column, description: Column, wanted: dict[str, list[str]] | None = None, negative: dict[str, list[str]] | None = None) -> Column:
-    """Names of matching categories in rule order: any keyword as whole words, none of the negative ones.
+def categories(title: Column, description: Column, wanted: dict[str, list[str]] | None = None, negative: dict[str, list[str]] | None = None, disabled: frozenset[str] = frozenset()) -> Column:
+    """Names of matching categories in rule order: any keyword as whole words, none of the negative ones. Disabled categories play no part.
 
     The small rule table becomes one alternation for each category, so there is no join.
     """
@@ -53,11 +53,13 @@ def categories(title: Column, description: Column, wanted: dict[str, list[str]]
     text = F.lower(F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(description, F.lit(""))))
     hits = []
     for name, keywords in wanted.items():
+        if name in disabled:
+            continue
         hit = text.rlike(_pattern(keywords))
         if negative.get(name):
             hit = hit & ~text.rlike(_pattern(negative[name]))
         hits.append(F.when(hit, F.lit(name)))
-    return F.array_compact(F.array(*hits))
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
 def status(found: Column) -> Column:

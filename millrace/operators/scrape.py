@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import search_text
-from ..functions.urls import any_in
+from ..functions.urls import any_in, unsafe_reason
 from ..sources.anchors import page_words
 from .judge import keyword_matches
 
@@ -41,13 +41,21 @@ def is_walled(url: Column, html: Column) -> Column:
     return F.coalesce(any_in(url, WALL_URLS), F.lit(False)) | F.coalesce(any_in(F.lower(html), WALL_TEXTS), F.lit(False))
 
 
-def resolved(urls: DataFrame, moves: DataFrame, hops: int = HOPS) -> DataFrame:
-    """url with final_url and hops after following moves (src, dst) at most `hops` times: one equi-join a hop. Of several moves from one source the smallest counts."""
+def resolved(urls: DataFrame, moves: DataFrame, hops: int = HOPS, reason=unsafe_reason) -> DataFrame:
+    """url with final_url, hops, blocked and reason after following moves (src, dst) at most `hops` times: one equi-join a hop.
+
+    Of several moves from one source the smallest counts. Every URL on the way is judged
+    before it is followed; at the first that must not be, the chase stops, and final_url is
+    the URL that it began with.
+    """
     moves = moves.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst"))
-    out = urls.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"))
+    out = urls.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), reason(F.col("url")).alias("reason"))
     for _ in range(hops):
-        out = out.join(moves, out["final_url"] == moves["src"], "left").select("url", F.coalesce("dst", "final_url").alias("final_url"), (F.col("hops") + F.col("dst").isNotNull().cast("int")).alias("hops"))
-    return out
+        # Without a key a blocked chase finds no move.
+        at = out.withColumn("at", F.when(F.col("reason").isNull(), F.col("final_url")))
+        out = at.join(moves, at["at"] == moves["src"], "left").select("url", F.coalesce("dst", "final_url").alias("final_url"), (F.col("hops") + F.col("dst").isNotNull().cast("int")).alias("hops"), F.coalesce("reason", F.when(F.col("dst").isNotNull(), reason(F.col("dst")))).alias("reason"))
+    blocked = F.col("reason").isNotNull()
+    return out.select("url", F.when(blocked, F.col("url")).otherwise(F.col("final_url")).alias("final_url"), "hops", blocked.alias("blocked"), "reason")
 
 
 def relevant(cards: DataFrame, details: DataFrame, keyword: str) -> DataFrame:

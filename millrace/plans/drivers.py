@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import location_matches
@@ -10,6 +12,8 @@ from ..functions.urls import any_in
 from ..operators.identity import first_per_key, insert_if_absent
 from ..operators.judge import in_age_window
 from ..operators.scrape import relevant
+from ..operators.sinks import store_messages
+from ..stored import table_at, written
 
 #: Cards stored of one page at most, in the order of the page, after all filters.
 MOST_CARDS = 25
@@ -20,14 +24,16 @@ def scraped(cards: DataFrame, details: DataFrame, stored: DataFrame, keyword: st
 
     `cards` as parsed_cards gives them, `details` (url, html), `stored` (job_id, job_url).
     A card counts once a page by id, else by URL; then it must fit the keyword, the place and
-    the age; of each page the first `most` are left. Pages without cards give no rows.
+    the age; of each page the first `most` are left. Pages without cards give no rows. Cards
+    are used several times: they should come from a stored table.
     """
     own = F.coalesce(F.concat(F.lit("i:"), "job_id"), F.concat(F.lit("u:"), "job_url"), F.concat(F.lit("n:"), F.col("pos").cast("string")))
     once = first_per_key(cards, [F.col("page_id"), own], "pos")
-    near = relevant(once, details, keyword).where(location_matches(F.lit(place), F.coalesce("location", F.lit(""))))
+    near = relevant(written(once, "cards"), details, keyword).where(location_matches(F.lit(place), F.coalesce("location", F.lit(""))))
     near = near.withColumn("fresh", in_age_window(F.col("posted_at"), F.col("scraped_at"), age))
     place_in_page = F.row_number().over(Window.partitionBy("page_id", "fresh").orderBy("pos"))
     near = near.withColumn("nth", place_in_page).where(~F.col("fresh") | (F.col("nth") <= most))
+    near = written(near, "near")
     seq = F.struct("page_id", "pos")
     new = insert_if_absent(near.where("fresh").select("page_id", "pos", "job_id", "job_url", seq.alias("seq")), stored, "seq").select("page_id", "pos", F.lit("saved").alias("new"))
     out = near.join(new, ["page_id", "pos"], "left")
@@ -41,21 +47,50 @@ def scrape_counts(cards: DataFrame, outcomes: DataFrame) -> DataFrame:
     return rows.groupBy("page_id").agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in names.items()])
 
 
-def pending(emails: DataFrame, postings: DataFrame, events: DataFrame) -> DataFrame:
-    """Stored messages (message_id, ...) without a posting and without an event; rows of these tables without message_id play no part."""
-    done = postings.select("message_id").unionByName(events.select("message_id")).where("message_id is not null").distinct()
-    return emails.join(done, "message_id", "left_anti")
+def pending(emails: DataFrame, *done: DataFrame, key: str = "message_id") -> DataFrame:
+    """Stored messages that no table of outcomes has, by `key`. As with SQL's NOT IN, an outcome without a key leaves nothing pending, and a message without one only is where there are no outcomes.
+
+    An anti join on the key; whether there is an outcome without one is asked once, so nothing has to be broadcast.
+    """
+    outcomes = reduce(DataFrame.unionByName, [d.select(key) for d in done])
+    has = outcomes.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys")).first()
+    if has["rows"] > has["keys"]:
+        return emails.limit(0)
+    return emails.where(F.col(key).isNotNull() | F.lit(has["rows"] == 0)).join(outcomes.distinct(), key, "left_anti")
 
 
 def backfill_events(messages: DataFrame, candidates: DataFrame, excluded: list[str]) -> DataFrame:
     """One backfill_attempted event for each message (message_id, sender) that gives no posting: skipped for an excluded sender, else success.
 
-    `candidates` are those of the same messages. Messages with a candidate have their posting as outcome.
+    `candidates` are those of the same messages. Messages with a candidate have their posting
+    as outcome; one that can't be read (received_at null, where the column is there) has failed.
     """
     skipped = any_in(F.lower(F.coalesce("sender", F.lit(""))), excluded) if excluded else F.lit(False)
-    tagged = messages.select("message_id", skipped.alias("skipped"))
-    rows = tagged.join(candidates.select("message_id", F.lit(True).alias("found")).distinct(), "message_id", "left").where("skipped or found is null")
+    lost = F.col("received_at").isNull() if "received_at" in messages.columns else F.lit(False)
+    tagged = messages.select("message_id", skipped.alias("skipped"), lost.alias("lost"))
+    rows = tagged.join(candidates.select("message_id", F.lit(True).alias("found")).distinct(), "message_id", "left").where("skipped or lost or found is null")
     return rows.select(
-        "message_id", F.lit("backfill_attempted").alias("event_type"), F.when(F.col("skipped"), "skipped").otherwise("success").alias("status"),
-        F.when(F.col("skipped"), "Sender is excluded").otherwise("No posting in this message").alias("message"),
+        "message_id", F.lit("backfill_attempted").alias("event_type"), F.when(F.col("lost"), "failed").when(F.col("skipped"), "skipped").otherwise("success").alias("status"),
+        F.when(F.col("lost"), "Message can't be read").when(F.col("skipped"), "Sender is excluded").otherwise("No posting in this message").alias("message"),
     )
+
+
+def synced(messages: DataFrame, target: str, number: int, now: Column, excluded: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One sync run: stores the new messages of a batch and gives (account counts, messages to parse).
+
+    `messages` are normalised ones with account_id and seq. Per account: found, ingested,
+    skipped_duplicate (stored by another batch, or a second copy here) and failed (no
+    instant, so not stored; another run finds them again). Excluded senders are stored and not parsed.
+    """
+    messages = written(messages, "sync")
+    store_messages(messages.where("received_at is not null"), target, number, now)
+    stored = table_at(messages.sparkSession, target)
+    new = stored.where(F.col("batch") == number).select("account_id", "message_id", "seq")
+    parts = [
+        messages.groupBy("account_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("received_at").isNull()).alias("failed")),
+        new.groupBy("account_id").agg(F.count(F.lit(1)).alias("ingested")),
+    ]
+    counts = parts[0].join(parts[1], "account_id", "left").withColumn("ingested", F.coalesce("ingested", F.lit(0)))
+    counts = counts.select("account_id", "found", "ingested", (F.col("found") - F.col("ingested") - F.col("failed")).alias("skipped_duplicate"), "failed")
+    out = any_in(F.lower(F.coalesce("sender", F.lit(""))), excluded) if excluded else F.lit(False)
+    return counts, messages.join(new, ["account_id", "message_id", "seq"], "left_semi").where(~out)

@@ -18,6 +18,7 @@ from ..operators.identity import one_per_id
 from ..sources.anchors import anchor_places, anchors, unescaped
 from ..sources.html import rendered
 from ..sources.messages import text_links
+from ..stored import written
 
 MARK = "\u0001"
 # The fields that count as filled when entries of one posting compete, and the mark of a card's own link.
@@ -27,9 +28,8 @@ CARD_LINK = r"(?i)jobcard[-_]?body"
 
 def _anchor_rows(messages: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    m = messages.withColumn("found", anchors(F.col("html")))
     plain = F.transform(text_links(F.col("text")), lambda u, i: F.struct(i.alias("pos"), u.alias("url"), F.lit("").alias("anchor_text"), none.alias("holder"), none.alias("above"), F.lit("").alias("below")))
-    rows = m.select("message_id", "slug", F.explode_outer(F.when(F.size("found") > 0, F.col("found")).otherwise(plain)).alias("a")).where("a is not null").select("message_id", "slug", "a.*")
+    rows = messages.select("message_id", "slug", F.explode_outer(F.when(F.size("found") > 0, F.col("found")).otherwise(plain)).alias("a")).where("a is not null").select("message_id", "slug", "a.*")
     return rows.withColumn("own", U.canonical_url(F.col("url"), F.col("slug")))
 
 
@@ -69,11 +69,13 @@ def blocks(messages: DataFrame) -> DataFrame:
     more, with `last`: its best link and the whole text.
     """
     text = F.coalesce(F.nullif(F.col("plain_text"), F.lit("")), rendered(F.col("html"))["text"], F.lit(""))
-    m = messages.select("message_id", F.coalesce("subject", F.lit("")).alias("subject"), "received_at", "html", U.parser_of(F.coalesce("sender", F.lit(""))).alias("slug"), text.alias("text"))
+    m = messages.select("message_id", F.coalesce("subject", F.lit("")).alias("subject"), "received_at", anchors(F.col("html")).alias("found"), U.parser_of(F.coalesce("sender", F.lit(""))).alias("slug"), text.alias("text"))
+    # Parsed once and stored: the rows below are aggregated three times.
+    m = written(m, "parsed")
     rows = _anchor_rows(m)
     links = _links(rows)
     links = links.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("ord", "url", "anchor_text", "own", "holder", "best_text", "above", "below"))).alias("links"))
-    j = m.drop("html").join(links, "message_id").join(_best(rows), "message_id", "left")
+    j = m.drop("found").join(links, "message_id").join(_best(rows), "message_id", "left")
     j = j.withColumn("pieces", F.split(F.regexp_replace(F.translate("text", MARK, ""), L.TITLE_AT, MARK + "$0"), MARK))
     j = j.withColumns({"in_cards": F.exists("links", lambda x: x["holder"].isNotNull()), "inline": (F.size("links") > 1) & (F.size("pieces") == F.size("links") + 1)})
     j = j.withColumn("places", anchor_places(F.when(~F.col("in_cards") & ~F.col("inline"), F.col("text")), F.transform("links", lambda x: x["anchor_text"])))

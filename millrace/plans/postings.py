@@ -11,6 +11,7 @@ from ..functions.urls import canonical_url, job_id, parser_of, platform_of
 from ..operators.identity import duplicates, fingerprint, fold
 from ..operators.judge import categories, freshness, reject_reason, status
 from ..sources.anchors import stored_field
+from ..stored import spread
 
 #: Titles and places of candidates derived from the event table.
 TITLES = ["Senior Python Developer", "PHP Laravel Developer", "Backend Engineer", "Machine Learning Engineer", "Account Manager", "LLM Engineer", "x"]
@@ -22,7 +23,7 @@ UNITS = ["minutes", "hours", "days", "weeks", "months"]
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate postings, one for each event: tracked URLs, relative dates, and a block of text to read fields from."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("received_at"))
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("received_at"))
     n, job = F.col("event_id"), (F.col("user_id") * 7 + F.col("event_id") % 5)
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
     linkedin = F.concat(F.lit("https://"), pick(["www", "pk", "UK"], n), F.lit(".linkedin.com/comm/jobs/view/"), (1_000_000 + job).cast("string"), F.lit("/?trk=e"), n.cast("string"), F.lit("&utm_source=x"))
@@ -65,8 +66,30 @@ def postings(rows: DataFrame) -> DataFrame:
     return fold(kept)
 
 
-def events(rows: DataFrame) -> DataFrame:
-    """Audit events: every candidate is in exactly one of persisted, duplicate, stale and rejected."""
+#: What an event of each type says of the candidate.
+STATUS = {"job_persisted": "success", "duplicate_detected": "skipped", "filtered_stale": "skipped", "normalization_rejected": "skipped"}
+
+
+def event_counts(rows: DataFrame) -> DataFrame:
+    """(event_type, n) in one pass: of each fingerprint's accepted candidates one is persisted, all others are duplicates."""
+    each = rows.groupBy("outcome", F.when(F.col("outcome") == "accepted", F.col("fingerprint")).alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    counts = each.select(F.explode(F.when(F.col("outcome") == "accepted", F.array(
+        F.struct(F.lit("job_persisted").alias("event_type"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("duplicate_detected").alias("event_type"), (F.col("n") - 1).alias("n")),
+    )).otherwise(F.array(F.struct(F.when(F.col("outcome") == "stale", "filtered_stale").otherwise("normalization_rejected").alias("event_type"), "n")))).alias("e")).select("e.*")
+    return counts.where("n > 0").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def events(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Audit events (seq, event_type): every candidate is in exactly one of persisted, duplicate, stale and rejected.
+
+    `known` has the fingerprints of postings that are stored already. The rows are used
+    several times: they should come from a stored table.
+    """
+    if known is not None:
+        found = known.select("fingerprint", F.lit(True).alias("_known")).distinct()
+        old = rows.where("outcome = 'accepted'").join(found, "fingerprint", "left_semi").select("seq", F.lit("duplicate_detected").alias("event_type"))
+        rest = rows.where("outcome = 'accepted'").join(found, "fingerprint", "left_anti").select("seq", "fingerprint", "outcome")
+        return old.unionByName(events(rest.unionByName(rows.where("outcome <> 'accepted'").select("seq", "fingerprint", "outcome"))))
     kept = rows.where("outcome = 'accepted'")
     twice = duplicates(kept.select("fingerprint", "seq")).select("seq", F.lit("duplicate_detected").alias("event_type"))
     once = kept.groupBy("fingerprint").agg(F.min("seq").alias("seq")).select("seq", F.lit("job_persisted").alias("event_type"))
@@ -74,6 +97,15 @@ def events(rows: DataFrame) -> DataFrame:
     return once.unionByName(twice).unionByName(other)
 
 
+def served(rows: DataFrame, platforms: DataFrame, links: DataFrame, categories: DataFrame) -> DataFrame:
+    """Postings as they are served: the slug of their platform (table slug, name; null where it has none) and the sorted names of their categories, from category_links."""
+    names = links.join(categories.select(F.col("id").alias("category_id"), "name"), "category_id").groupBy("fingerprint").agg(F.array_sort(F.collect_set("name")).alias("categories"))
+    slugs = platforms.select(F.col("slug").alias("source")).distinct()
+    found = rows.drop("categories").join(slugs, rows["platform"] == slugs["source"], "left").join(names, "fingerprint", "left")
+    columns = ["seq", "title", "source", "job_url", "categories", "job_posted_at", "received_at", "status", "remote_type", "salary", "employment_type"]
+    return found.withColumn("categories", F.coalesce("categories", F.array().cast("array<string>"))).select(columns)
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     """One page, newest first; ties by descending number of arrival."""
     return rows.orderBy(F.col("received_at").desc(), F.col("seq").desc()).offset((number - 1) * size).limit(size)

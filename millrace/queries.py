@@ -8,49 +8,21 @@ from pyspark.sql import functions as F
 from . import (
     message_queries,  # noqa: F401  (registers the queries on messages and result pages)
     rules,
+    store_queries,  # noqa: F401  (registers the queries of sources, sinks and serving)
 )
 from .functions import text as X
 from .functions import urls as U
 from .operators import identity as I
 from .operators import judge as J
+from .plans import drivers as R
 from .plans import postings as P
+from .posting_sql import CANDIDATES, CATEGORY_SQL, FOLD, PROCESSED, flat
 from .sources import messages as M
-from .registry import QUERIES, SQL, by_line, document_lines, query
+from .registry import LINES, QUERIES, SQL, document_lines, query
 from .registry import listed as _list
 from .registry import picked as _pick
 from .sources.html import rendered
 
-_CANDIDATES = f"""
-    c0 AS (SELECT event_id AS n, user_id, user_id * 7 + event_id % 5 AS job, ts FROM events),
-    cand AS (SELECT n AS seq, user_id, ts AS received_at,
-        CASE WHEN n % 4 = 3 THEN 'https://www.indeed.com/viewjob?from=m&jk=j' || job || '&tk=' || n
-             ELSE 'https://' || {_pick(["www", "pk", "UK"], "n")} || '.linkedin.com/comm/jobs/view/' || (1000000 + job) || '/?trk=e' || n || '&utm_source=x' END AS url,
-        CASE WHEN n % 4 = 3 THEN 'https://www.indeed.com/viewjob?jk=j' || job ELSE 'https://www.linkedin.com/jobs/view/' || (1000000 + job) END AS clean,
-        CASE WHEN n % 4 = 3 THEN 'Alerts <alert@INDEED.com>' WHEN n % 13 = 0 THEN 'someone@example.org' ELSE 'Jobs <jobs@linkedin.com>' END AS sender,
-        {_pick(P.TITLES, "n")} AS title, {_pick(P.PLACES, "n")} AS place, {_pick(P.UNITS, "n // 3")} AS unit,
-        CASE WHEN n % 11 = 0 THEN 'new' WHEN n % 17 = 0 THEN 'Posted yesterday' ELSE 'Posted ' || (n % 40) || ' ' || {_pick(P.UNITS, "n // 3")} || ' ago' END AS posted_text,
-        {_pick(["Full time", "contractor", "Part-time", "role"], "n // 2")} || ' ' || {_pick(P.PLACES, "n")} || CASE WHEN n % 4 = 0 THEN ' $' || (50 + n % 50) || ',000 a year' ELSE '' END AS block,
-        n, job FROM c0),
-    dated AS (SELECT *, CASE WHEN n % 11 = 0 THEN NULL WHEN n % 17 = 0 THEN received_at - INTERVAL 1 DAY
-        WHEN unit = 'minutes' THEN received_at - to_minutes(CAST(n % 40 AS BIGINT)) WHEN unit = 'hours' THEN received_at - to_hours(CAST(n % 40 AS BIGINT))
-        WHEN unit = 'days' THEN received_at - to_days(CAST(n % 40 AS INT)) WHEN unit = 'weeks' THEN received_at - to_days(CAST(7 * (n % 40) AS INT))
-        ELSE received_at - to_months(CAST(n % 40 AS INT)) END AS job_posted_at,
-        CASE WHEN n % 4 = 3 THEN 'indeed' WHEN n % 13 = 0 THEN 'generic' ELSE 'linkedin' END AS platform FROM cand)"""
-_SQL_CATS = ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])({'|'.join(k)})($|[^a-z0-9_])') THEN '{name}' END" for name, k in rules.CATEGORIES.items())
-_PROCESSED = f"""{_CANDIDATES},
-    cats AS (SELECT *, lower(title) AS t FROM dated),
-    proc AS (SELECT *, array_to_string(list_filter([{_SQL_CATS}], lambda x: x IS NOT NULL), ',') AS cat,
-        regexp_extract(block, '(?i)\\b(remote|hybrid|on-?site)\\b', 1) AS r0,
-        CASE WHEN n % 4 = 0 THEN '$' || (50 + n % 50) || ',000 a year' END AS salary,
-        [{", ".join(repr(x) for x in ("full-time", "contract", "part-time"))}, NULL][CAST((n // 2) % 4 + 1 AS INT)] AS employment_type,
-        CASE WHEN length(title) < 3 THEN 'rejected' WHEN job_posted_at IS NOT NULL AND epoch_us(received_at) - epoch_us(job_posted_at) > 720 * 3600000000 THEN 'stale' ELSE 'accepted' END AS outcome,
-        sha256(platform || ':url:' || clean) AS fingerprint FROM cats),
-    acc AS (SELECT *, CASE WHEN r0 = '' THEN NULL WHEN lower(r0) IN ('on-site', 'onsite') THEN 'onsite' ELSE lower(r0) END AS remote_type FROM proc WHERE outcome = 'accepted'),
-    fold AS (SELECT fingerprint, arg_min(platform, seq) AS platform, arg_min(title, seq) AS title, arg_min(clean, seq) AS job_url, min(seq) AS seq, arg_min(received_at, seq) AS received_at,
-        arg_min(cat, seq) AS cat, arg_min(job_posted_at, seq) FILTER (job_posted_at IS NOT NULL) AS job_posted_at, arg_min(remote_type, seq) FILTER (remote_type IS NOT NULL) AS remote_type,
-        arg_min(salary, seq) FILTER (salary IS NOT NULL) AS salary, arg_min(employment_type, seq) FILTER (employment_type IS NOT NULL) AS employment_type, count(*) AS sightings FROM acc GROUP BY fingerprint)"""
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,18 +37,24 @@ def u1_canonical_url(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT seq, clean AS canonical, CASE WHEN n % 4 = 3 THEN 'j' || job ELSE CAST(1000000 + job AS VARCHAR) END AS job_id, true AS is_job FROM cand")
+@query(f"WITH {CANDIDATES} SELECT seq, clean AS canonical, CASE WHEN n % 4 = 3 THEN 'j' || job ELSE CAST(1000000 + job AS VARCHAR) END AS job_id, true AS is_job FROM cand")
 def u4_job_id(spark, sf_dir):
     c = P.candidates(spark, sf_dir)
     return c.select("seq", U.canonical_url(F.col("url")).alias("canonical"), U.job_id(F.col("url")).alias("job_id"), U.is_job_url(F.col("url")).alias("is_job"))
 
 
-@query("WITH a AS (SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, t <> '' AND (" + " OR ".join(f"contains(t, '{p}')" for p in rules.NAV_PHRASES) + f" OR regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(rules.NAV_WORDS)})($|[^\\p{{L}}\\p{{N}}_])')) AS nav FROM a")
+_NAV = "t <> '' AND (" + " OR ".join(f"contains(t, '{p}')" for p in rules.NAV_PHRASES) + f" OR regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(rules.NAV_WORDS)})($|[^\\p{{L}}\\p{{N}}_])'))"
+_NAV_LINES = f"{LINES}, a AS (SELECT doc_id, line, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM lines)"
+
+
+@query(f"WITH {_NAV_LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({_NAV}) AS nav FROM a GROUP BY doc_id")
 def c5_nav_anchor(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", U.is_nav_anchor(F.split("text", "\n", 2)[0]).alias("nav"))
+    """Lines of each document, and those that are anchors of navigation."""
+    rows = document_lines(_read(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(U.is_nav_anchor(F.col("text"))).alias("nav"))
 
 
-@query(by_line(SQL["c5_nav_anchor"]))
+@query(f"WITH {_NAV_LINES} SELECT doc_id, line, {_NAV} AS nav FROM a")
 def c5_nav_anchor_lines(spark, sf_dir):
     return document_lines(_read(spark, sf_dir, "documents")).select("doc_id", "line", U.is_nav_anchor(F.col("text")).alias("nav"))
 
@@ -86,20 +64,20 @@ def c6_c7_url_rejects(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", U.is_bare_domain(F.col("url")).alias("bare"), U.is_other_url(F.col("url")).alias("other"))
 
 
-@query(f"WITH {_CANDIDATES}, l AS (SELECT seq, user_id, url, {_pick(['Apply now', 'see it', 'View job'], 'n')} AS anchor FROM cand), s AS (SELECT user_id, seq, url, round(least(0.5 + CASE WHEN regexp_matches(lower(anchor), 'apply|view job') THEN 0.4 ELSE 0 END + 0.3 + 0.6, 0.99), 2) AS c FROM l) SELECT user_id, CAST(max(c) AS DOUBLE) AS confidence, arg_max(url, c * 1000000000 - seq) AS url FROM s GROUP BY user_id")
+@query(f"WITH {CANDIDATES}, l AS (SELECT seq, user_id, url, {_pick(['Apply now', 'see it', 'View job'], 'n')} AS anchor FROM cand), s AS (SELECT user_id, seq, url, round(least(0.5 + CASE WHEN regexp_matches(lower(anchor), 'apply|view job') THEN 0.4 ELSE 0 END + 0.3 + 0.6, 0.99), 2) AS c FROM l) SELECT user_id, CAST(max(c) AS DOUBLE) AS confidence, arg_max(url, c * 1000000000 - seq) AS url FROM s GROUP BY user_id")
 def u7_best_link(spark, sf_dir):
     c = P.candidates(spark, sf_dir).withColumn("anchor", F.element_at(F.array(*[F.lit(x) for x in ("Apply now", "see it", "View job")]), (F.col("seq") % 3 + 1).cast("int")))
     c = c.withColumn("c", U.link_score(F.col("url"), F.col("anchor")))
     return c.groupBy("user_id").agg(F.max("c").alias("confidence"), F.max_by("url", F.struct("c", -F.col("seq"))).alias("url"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT user_id, clean AS canonical, min(seq) AS first_seen, CAST(count(*) AS BIGINT) AS links FROM cand GROUP BY ALL")
+@query(f"WITH {CANDIDATES} SELECT user_id, clean AS canonical, min(seq) AS first_seen, CAST(count(*) AS BIGINT) AS links FROM cand GROUP BY ALL")
 def u8_job_links(spark, sf_dir):
     c = P.candidates(spark, sf_dir).where(U.is_job_url(F.col("url")) & ~U.is_other_url(F.col("url")) & ~U.is_bare_domain(F.col("url")))
     return c.groupBy("user_id", U.canonical_url(F.col("url")).alias("canonical")).agg(F.min("seq").alias("first_seen"), F.count(F.lit(1)).alias("links"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT seq, CASE WHEN n % 4 = 3 THEN 'indeed' WHEN n % 13 = 0 THEN NULL ELSE 'linkedin' END AS tag, CASE WHEN n % 4 = 3 THEN 'indeed' WHEN n % 13 = 0 THEN 'generic' ELSE 'linkedin' END AS parser FROM cand")
+@query(f"WITH {CANDIDATES} SELECT seq, CASE WHEN n % 4 = 3 THEN 'indeed' WHEN n % 13 = 0 THEN NULL ELSE 'linkedin' END AS tag, CASE WHEN n % 4 = 3 THEN 'indeed' WHEN n % 13 = 0 THEN 'generic' ELSE 'linkedin' END AS parser FROM cand")
 def c1_c3_platform_and_parser(spark, sf_dir):
     return P.tagged(spark, sf_dir)
 
@@ -128,19 +106,19 @@ def b4_b6_render_and_links(spark, sf_dir):
     return r.select("page_id", "r.text", F.size("r.links").alias("links"))
 
 
-@query(f"WITH {_PROCESSED} SELECT seq, CASE WHEN r0 = '' THEN NULL WHEN lower(r0) IN ('on-site', 'onsite') THEN 'onsite' ELSE lower(r0) END AS remote_type, employment_type, salary, CASE WHEN n % 11 <> 0 AND n % 17 <> 0 THEN posted_text END AS posted, false AS promoted FROM proc")
+@query(f"WITH {PROCESSED} SELECT seq, CASE WHEN r0 = '' THEN NULL WHEN lower(r0) IN ('on-site', 'onsite') THEN 'onsite' ELSE lower(r0) END AS remote_type, employment_type, salary, CASE WHEN n % 11 <> 0 AND n % 17 <> 0 THEN posted_text END AS posted, false AS promoted FROM proc")
 def f5_f9_fields(spark, sf_dir):
     c = P.candidates(spark, sf_dir)
     return c.select("seq", X.remote_type(F.col("block")).alias("remote_type"), X.employment_type(F.col("block")).alias("employment_type"), X.salary(F.col("block")).alias("salary"), X.posted_phrase(F.col("posted_text")).alias("posted"), X.is_promoted(F.col("block")).alias("promoted"))
 
 
-@query(f"WITH {_CANDIDATES}, l AS (SELECT seq, place, 'Acme ' || (n % 9) || ' - ' || place AS line FROM cand) SELECT seq, CASE WHEN contains(place, ',') OR place = 'On-site' THEN NULLIF(regexp_extract(line, '^([A-Za-z][A-Za-z0-9 .,&()''/-]*?)\\s+[-–—]\\s+([A-Za-z][A-Za-z .,''()-]*)$', 1), '') END AS company FROM l")
+@query(f"WITH {CANDIDATES}, l AS (SELECT seq, place, 'Acme ' || (n % 9) || ' - ' || place AS line FROM cand) SELECT seq, CASE WHEN contains(place, ',') OR place = 'On-site' THEN NULLIF(regexp_extract(line, '^([A-Za-z][A-Za-z0-9 .,&()''/-]*?)\\s+[-–—]\\s+([A-Za-z][A-Za-z .,''()-]*)$', 1), '') END AS company FROM l")
 def f3_company_split(spark, sf_dir):
     c = P.candidates(spark, sf_dir).withColumn("line", F.concat(F.lit("Acme "), (F.col("seq") % 9).cast("string"), F.lit(" - "), "place"))
     return c.select("seq", X.company_of(F.col("line")).alias("company"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT seq, epoch_us(job_posted_at) AS posted_us FROM dated")
+@query(f"WITH {CANDIDATES} SELECT seq, epoch_us(job_posted_at) AS posted_us FROM dated")
 def f10_relative_date(spark, sf_dir):
     from .functions.dates import posted_at
 
@@ -152,18 +130,18 @@ def f16_search_text(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", X.search_text(F.col("text")).alias("t"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT seq, len(list_intersect(['paris', 'germany'], string_split(trim(regexp_replace(lower(place), '[^a-z0-9]+', ' ', 'g')), ' '))) > 0 AS near FROM cand")
+@query(f"WITH {CANDIDATES} SELECT seq, len(list_intersect(['paris', 'germany'], string_split(trim(regexp_replace(lower(place), '[^a-z0-9]+', ' ', 'g')), ' '))) > 0 AS near FROM cand")
 def c14_location(spark, sf_dir):
     return P.candidates(spark, sf_dir).select("seq", X.location_matches(F.lit("Paris / Germany"), F.col("place")).alias("near"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT seq, length(title) >= 3 AS reliable, CASE WHEN length(title) < 3 THEN 'unreliable title' END AS reason FROM cand")
+@query(f"WITH {CANDIDATES} SELECT seq, length(title) >= 3 AS reliable, CASE WHEN length(title) < 3 THEN 'unreliable title' END AS reason FROM cand")
 def c10_c12_validity(spark, sf_dir):
     c = P.candidates(spark, sf_dir)
     return c.select("seq", X.is_reliable_title(F.col("title")).alias("reliable"), J.reject_reason(F.col("title"), F.col("url"), F.lit(None).cast("string"), F.col("received_at")).alias("reason"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT CASE WHEN job_posted_at IS NOT NULL AND epoch_us(received_at) - epoch_us(job_posted_at) > 86400000000 THEN 'too_old' ELSE 'fresh' END AS age, count(*) AS n FROM dated GROUP BY 1")
+@query(f"WITH {CANDIDATES} SELECT CASE WHEN job_posted_at IS NOT NULL AND epoch_us(received_at) - epoch_us(job_posted_at) > 86400000000 THEN 'too_old' ELSE 'fresh' END AS age, count(*) AS n FROM dated GROUP BY 1")
 def i2_freshness(spark, sf_dir):
     from .functions.dates import posted_at
 
@@ -171,7 +149,7 @@ def i2_freshness(spark, sf_dir):
     return c.groupBy(J.freshness(posted_at(F.col("posted_text"), F.col("received_at")), F.col("received_at")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT seq FROM dated WHERE job_posted_at IS NULL OR epoch_us(job_posted_at) >= epoch_us(received_at) - 168 * 3600000000")
+@query(f"WITH {CANDIDATES} SELECT seq FROM dated WHERE job_posted_at IS NULL OR epoch_us(job_posted_at) >= epoch_us(received_at) - 168 * 3600000000")
 def g11_age_window(spark, sf_dir):
     from .functions.dates import posted_at
 
@@ -179,47 +157,40 @@ def g11_age_window(spark, sf_dir):
     return c.where(J.in_age_window(F.col("p"), F.col("received_at"), "7d")).select("seq")
 
 
-@query(f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), f AS (SELECT doc_id, array_to_string(list_filter([{_SQL_CATS.replace('[^a-z0-9_]', chr(92) + 'P{L}').replace(chr(92) + 'P{L}', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]')}], lambda x: x IS NOT NULL), ',') AS cats FROM d) SELECT doc_id, cats, CASE WHEN cats <> '' THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS status FROM f")
+@query(f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), f AS (SELECT doc_id, array_to_string(list_filter([{CATEGORY_SQL.replace('[^a-z0-9_]', chr(92) + 'P{L}').replace(chr(92) + 'P{L}', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]')}], lambda x: x IS NOT NULL), ',') AS cats FROM d) SELECT doc_id, cats, CASE WHEN cats <> '' THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS status FROM f")
 def h4_h6_categories(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").withColumn("c", J.categories(F.lit(None).cast("string"), F.col("text")))
     return d.select("doc_id", F.array_join("c", ",").alias("cats"), J.status(F.col("c")).alias("status"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT seq, n % 7 IN (0) AS python, n % 7 = 1 AS php_laravel FROM cand")
+@query(f"WITH {CANDIDATES} SELECT seq, n % 7 IN (0) AS python, n % 7 = 1 AS php_laravel FROM cand")
 def g8_relevance(spark, sf_dir):
     fits = lambda k: J.keyword_matches(k, F.col("title"), rules.ROLES, rules.ROLE_WORDS, rules.STACK_WORDS)
     return P.candidates(spark, sf_dir).select("seq", fits("Python").alias("python"), fits("php laravel").alias("php_laravel"))
 
 
-@query(f"WITH {_PROCESSED} SELECT seq, fingerprint FROM proc")
+@query(f"WITH {PROCESSED} SELECT seq, fingerprint FROM proc")
 def i3_fingerprint(spark, sf_dir):
     return P.processed(P.candidates(spark, sf_dir)).select("seq", "fingerprint")
 
 
-_FOLD = "fingerprint, platform, title, job_url, seq, epoch_us(received_at) AS received_us, cat AS cats, CASE WHEN cat <> '' THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS status, epoch_us(job_posted_at) AS posted_us, remote_type, salary, employment_type, sightings"
-
-
-def _flat(rows: DataFrame) -> DataFrame:
-    return rows.select("fingerprint", "platform", "title", "job_url", "seq", F.unix_micros("received_at").alias("received_us"), F.array_join("categories", ",").alias("cats"), "status", F.unix_micros("job_posted_at").alias("posted_us"), "remote_type", "salary", "employment_type", "sightings")
-
-
-@query(f"WITH {_PROCESSED} SELECT {_FOLD} FROM fold")
+@query(f"WITH {PROCESSED} SELECT {FOLD} FROM fold")
 def i4_fold(spark, sf_dir):
-    return _flat(P.stored(spark, sf_dir))
+    return flat(P.stored(spark, sf_dir))
 
 
-@query(f"WITH {_PROCESSED}, e AS (SELECT CASE WHEN outcome = 'stale' THEN 'filtered_stale' WHEN outcome = 'rejected' THEN 'normalization_rejected' WHEN seq = min(seq) OVER (PARTITION BY fingerprint, outcome) THEN 'job_persisted' ELSE 'duplicate_detected' END AS event_type FROM proc) SELECT event_type, count(*) AS n FROM e GROUP BY 1")
+@query(f"WITH {PROCESSED}, e AS (SELECT CASE WHEN outcome = 'stale' THEN 'filtered_stale' WHEN outcome = 'rejected' THEN 'normalization_rejected' WHEN seq = min(seq) OVER (PARTITION BY fingerprint, outcome) THEN 'job_persisted' ELSE 'duplicate_detected' END AS event_type FROM proc) SELECT event_type, count(*) AS n FROM e GROUP BY 1")
 def i4_j4_events(spark, sf_dir):
-    return P.events(P.processed(P.candidates(spark, sf_dir))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return P.event_counts(P.processed(P.candidates(spark, sf_dir)))
 
 
-@query(f"WITH {_CANDIDATES} SELECT user_id AS account_id, clean AS message_id, min(seq) AS seq FROM cand WHERE seq % 3 <> 0 AND (user_id, clean) NOT IN (SELECT user_id, clean FROM cand WHERE seq % 3 = 0) GROUP BY 1, 2")
+@query(f"WITH {CANDIDATES} SELECT user_id AS account_id, clean AS message_id, min(seq) AS seq FROM cand WHERE seq % 3 <> 0 AND (user_id, clean) NOT IN (SELECT user_id, clean FROM cand WHERE seq % 3 = 0) GROUP BY 1, 2")
 def i5_message_dedup(spark, sf_dir):
     m = P.candidates(spark, sf_dir).select(F.col("user_id").alias("account_id"), U.canonical_url(F.col("url")).alias("message_id"), "seq")
     return I.new_messages(m.where("seq % 3 <> 0"), m.where("seq % 3 = 0"))
 
 
-@query(f"WITH {_CANDIDATES}, k AS (SELECT seq, CASE WHEN n % 6 <> 0 THEN job END AS job_id, CASE WHEN n % 9 <> 0 THEN clean END AS job_url FROM cand) SELECT min(seq) AS pos FROM k GROUP BY coalesce('i:' || job_id, 'u:' || job_url, 'n:' || seq)")
+@query(f"WITH {CANDIDATES}, k AS (SELECT seq, CASE WHEN n % 6 <> 0 THEN job END AS job_id, CASE WHEN n % 9 <> 0 THEN clean END AS job_url FROM cand) SELECT min(seq) AS pos FROM k GROUP BY coalesce('i:' || job_id, 'u:' || job_url, 'n:' || seq)")
 def i6_page_dedup(spark, sf_dir):
     return I.page_dedup(_cards(spark, sf_dir)).select("pos")
 
@@ -230,7 +201,7 @@ def _cards(spark, sf_dir):
     return P.candidates(spark, sf_dir).select(n.alias("pos"), F.when(n % 6 != 0, job).alias("job_id"), F.when(n % 9 != 0, U.canonical_url(F.col("url"))).alias("job_url"))
 
 
-@query(f"""WITH {_CANDIDATES}, k AS (SELECT seq AS pos, CASE WHEN n % 6 <> 0 THEN job END AS job_id, CASE WHEN n % 9 <> 0 THEN clean END AS job_url FROM cand),
+@query(f"""WITH {CANDIDATES}, k AS (SELECT seq AS pos, CASE WHEN n % 6 <> 0 THEN job END AS job_id, CASE WHEN n % 9 <> 0 THEN clean END AS job_url FROM cand),
     old AS (SELECT * FROM k WHERE pos % 10 = 0),
     f AS (SELECT * FROM k WHERE pos % 10 <> 0 AND (job_id IS NULL OR job_id NOT IN (SELECT job_id FROM old WHERE job_id IS NOT NULL)) AND (job_url IS NULL OR job_url NOT IN (SELECT job_url FROM old WHERE job_url IS NOT NULL))),
     a AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY pos) AS r FROM f), b AS (SELECT *, row_number() OVER (PARTITION BY job_url ORDER BY pos) AS s FROM a WHERE job_id IS NULL OR r = 1)
@@ -242,33 +213,33 @@ def i7_insert_if_absent(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_orderstatus = 'O'")
 def i9_backfill_not_in(spark, sf_dir):
-    _read(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
-    _read(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
-    return spark.sql("SELECT o_orderkey FROM _orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM _lineitem WHERE l_quantity > 45)")
+    orders = _read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
+    done = _read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.pending(orders, done, key="o_orderkey")
 
 
-@query(f"WITH {_PROCESSED}, b AS (SELECT user_id, clean, arg_max(seq, (salary IS NOT NULL)::INT * 1000000000 - seq) AS best, arg_min(salary, seq) FILTER (salary IS NOT NULL) AS salary, min(seq) AS first_seen FROM proc GROUP BY 1, 2) SELECT user_id, best AS seq, salary, first_seen FROM b")
+@query(f"WITH {PROCESSED}, b AS (SELECT user_id, clean, arg_max(seq, (salary IS NOT NULL)::INT * 1000000000 - seq) AS best, arg_min(salary, seq) FILTER (salary IS NOT NULL) AS salary, min(seq) AS first_seen FROM proc GROUP BY 1, 2) SELECT user_id, best AS seq, salary, first_seen FROM b")
 def g6_one_per_id(spark, sf_dir):
     rows = P.processed(P.candidates(spark, sf_dir)).select("user_id", "seq", F.col("job_url").alias("jid"), "salary", F.lit(False).alias("is_promoted"))
     return I.one_per_id(rows, "user_id", "jid", [F.col("salary").isNotNull()], "seq", ["salary"]).select("user_id", "seq", "salary", "first_seen")
 
 
-@query(f"WITH {_PROCESSED} SELECT {_FOLD} FROM fold ORDER BY received_at DESC, seq DESC LIMIT 20 OFFSET 20")
+@query(f"WITH {PROCESSED} SELECT {FOLD} FROM fold ORDER BY received_at DESC, seq DESC LIMIT 20 OFFSET 20")
 def k1_page(spark, sf_dir):
-    return _flat(P.page(P.stored(spark, sf_dir), 2, 20))
+    return flat(P.page(P.stored(spark, sf_dir), 2, 20))
 
 
-@query(f"WITH {_PROCESSED} SELECT count(*) AS total, CAST((count(*) + 19) // 20 AS BIGINT) AS total_pages FROM fold")
+@query(f"WITH {PROCESSED} SELECT count(*) AS total, CAST((count(*) + 19) // 20 AS BIGINT) AS total_pages FROM fold")
 def k2_k6_counts(spark, sf_dir):
     return P.stored(spark, sf_dir).agg(F.count(F.lit(1)).alias("total")).select("total", F.floor((F.col("total") + 19) / 20).alias("total_pages"))
 
 
-@query(f"WITH {_PROCESSED} SELECT seq, epoch_us(received_at) AS received_us FROM fold WHERE cat <> '' ORDER BY received_at DESC, seq DESC LIMIT 50")
+@query(f"WITH {PROCESSED} SELECT seq, epoch_us(received_at) AS received_us FROM fold WHERE cat <> '' ORDER BY received_at DESC, seq DESC LIMIT 50")
 def k5_k7_recent_relevant(spark, sf_dir):
     return P.page(P.stored(spark, sf_dir).where("status = 'RELEVANT'"), 1, 50).select("seq", F.unix_micros("received_at").alias("received_us"))
 
 
-@query(f"WITH {_PROCESSED} SELECT user_id, count(*) AS found, CAST(sum(CASE WHEN outcome = 'accepted' THEN 1 ELSE 0 END) AS BIGINT) AS ingested, CAST(sum(CASE WHEN outcome = 'stale' THEN 1 ELSE 0 END) AS BIGINT) AS filtered_by_date, CAST(sum(CASE WHEN outcome = 'rejected' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM proc GROUP BY user_id")
+@query(f"WITH {PROCESSED} SELECT user_id, count(*) AS found, CAST(sum(CASE WHEN outcome = 'accepted' THEN 1 ELSE 0 END) AS BIGINT) AS ingested, CAST(sum(CASE WHEN outcome = 'stale' THEN 1 ELSE 0 END) AS BIGINT) AS filtered_by_date, CAST(sum(CASE WHEN outcome = 'rejected' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM proc GROUP BY user_id")
 def k10_k11_summary(spark, sf_dir):
     p = P.processed(P.candidates(spark, sf_dir))
     return p.groupBy("user_id").agg(F.count(F.lit(1)).alias("found"), *[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("accepted", "ingested"), ("stale", "filtered_by_date"), ("rejected", "failed"))])

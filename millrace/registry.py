@@ -29,10 +29,8 @@ def picked(values, k: str) -> str:
     return f"{listed(values)}[CAST(({k}) % {len(values)} + 1 AS INT)]"
 
 
-def by_line(sql: str) -> str:
-    """SQL over the first lines of documents, carried over to all their lines (numbered from 1)."""
-    lines = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line FROM documents)"
-    return f"WITH {lines}, " + sql.removeprefix("WITH ").replace("doc_id", "doc_id, line").replace("FROM documents", "FROM lines")
+#: SQL: all lines of all documents, numbered from 1.
+LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line FROM documents)"
 
 
 def document_lines(documents: DataFrame) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from .html import BLOCKS, HIDDEN, VOID
+from .html import HIDDEN, VOID, Lines
 
 #: Tags whose strings belong to no text.
 CODE = {"script", "style", "template"}
@@ -78,6 +77,10 @@ def joined(node: Node, sep: str = "") -> str:
 
 def block_text(node: Node) -> str:
     """Lines at block tags, inline text joined, white space collapsed, blank lines gone."""
-    parts = (x if kind == "text" else "\n" if x.tag in BLOCKS else "" for kind, x in walk(node, HIDDEN))
-    lines = (re.sub(r"[ \t\r\f\v]+", " ", line).strip() for line in "".join(parts).split("\n"))
-    return "\n".join(line for line in lines if line)
+    lines = Lines()
+    for kind, x in walk(node, HIDDEN):
+        if kind == "text":
+            lines.add(x)
+        elif x is not node:
+            (lines.open if kind == "open" else lines.close)(x.tag)
+    return lines.text()

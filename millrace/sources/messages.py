@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .html import rendered
+
 RAW_MESSAGE = T.StructType([
     T.StructField("id", T.StringType(), False), T.StructField("threadId", T.StringType()), T.StructField("internalDate", T.StringType()),
     T.StructField("headers", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))),
@@ -60,7 +62,8 @@ def header(headers: Column, name: str) -> Column:
 
 
 def instant(internal_date: Column) -> Column:
-    return F.timestamp_millis(F.coalesce(internal_date.cast("long"), F.lit(0)))
+    """The instant of epoch milliseconds in a string, that of 0 for none; null for a string that is no number."""
+    return F.timestamp_millis(F.when(internal_date.isNull(), F.lit(0)).otherwise(internal_date.try_cast("long")))
 
 
 def text_links(text: Column) -> Column:
@@ -73,8 +76,15 @@ def content_hash(message_id: Column, subject: Column, text: Column) -> Column:
 
 
 def normalized(raw):
-    """RAW_MESSAGE rows with sender, subject, received_at, plain_text and html; html-only messages keep plain_text null for the renderer."""
-    return raw.select(
+    """RAW_MESSAGE rows with sender, subject, received_at, plain_text, html and links; html-only messages have the rendered html as text.
+
+    Links are those of the html, else those in the text. A message whose date is no number has received_at null: it can't be read.
+    """
+    plain, page = body(F.col("parts"), "text/plain"), body(F.col("parts"), "text/html")
+    rows = raw.withColumn("_page", rendered(page))
+    text = F.coalesce(plain, F.col("_page.text"), F.lit(""))
+    links = F.when(F.size("_page.links") > 0, F.col("_page.links")).otherwise(F.transform(text_links(text), lambda u: F.struct(u.alias("url"), F.lit("").alias("anchor_text"))))
+    return rows.select(
         F.col("id").alias("message_id"), F.col("threadId").alias("thread_id"), header(F.col("headers"), "From").alias("sender"), header(F.col("headers"), "Subject").alias("subject"),
-        instant(F.col("internalDate")).alias("received_at"), body(F.col("parts"), "text/plain").alias("plain_text"), body(F.col("parts"), "text/html").alias("html"),
+        instant(F.col("internalDate")).alias("received_at"), text.alias("plain_text"), page.alias("html"), links.alias("links"),
     )

@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.identity import new_messages
+from ..operators.sinks import store_new
 
 
 def store_messages(stream: DataFrame, target: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Appends new messages (account_id, message_id, seq, ...) to the Parquet table `target`; every five minutes with interval '5 minutes', else until the input ends.
 
-    A batch is written to its own folder (batch=<id>) by overwriting, so its repetition after a failure replaces it.
+    A batch is written to its own folder (batch=<id>) by overwriting, so its repetition after
+    a failure replaces it; it reads the stored buckets that its own keys fall into.
     """
-    spark = stream.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-        stored = spark.read.parquet(target).where(f"batch <> {number}") if there else batch.limit(0)
-        new_messages(batch, stored).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        store_new(batch, target, ["account_id", "message_id"], number)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
