@@ -35,17 +35,23 @@ class Shelf:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Stores a table and reads it back; `by` names a column whose values get folders of their own."""
+        self.names.append(name)
         df.write.option("compression", "zstd").parquet(self.path(name), partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.drop(*[n for n in self.names if n not in names])
+
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads."""
+        """Deletes tables, or folders of them ("table/column=value"), that no later step reads."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))

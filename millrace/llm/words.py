@@ -107,22 +107,22 @@ def words(column: pa.Array, lower: bool = True, most: int = SLICE_BYTES, between
         yield Words(first, data, ends, counts, mix(hashes + lengths.astype(np.uint64)), starts, lengths)
 
 
-def shingles(w: Words, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(index in the column, shingle hashes in text order) of each document.
+def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all documents, one after another in text order, and how many each document has.
 
     A document with fewer than `size` words, but some, has its whole sequence as one shingle.
     """
-    n = len(w.hashes)
+    n, begins = len(w.hashes), w.offsets[:-1]
     full = np.zeros(max(n - size + 1, 0), np.uint64)
     for k in range(size):
         full += w.hashes[k : n - size + 1 + k] * _PLACE[k] if len(full) else 0
-    full = mix(full)
-    offsets = w.offsets
-    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        if b - a >= size:
-            yield w.first + i, full[a : b - size + 1]
-        elif b > a:
-            terms = np.append(w.hashes[a:b] * _PLACE[: b - a], _PLACE[size + (b - a)])
-            yield w.first + i, mix(terms.sum(dtype=np.uint64, keepdims=True))
-        else:
-            yield w.first + i, np.zeros(0, np.uint64)
+    counts = np.where(w.counts >= size, w.counts - size + 1, np.minimum(w.counts, 1))
+    ends = np.cumsum(counts)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
+    at = np.arange(len(out)) + np.repeat(begins - (ends - counts), counts)
+    long = np.repeat(w.counts >= size, counts)
+    out[long] = full[at[long]]
+    for k in range(1, size):
+        some = np.flatnonzero(w.counts == k)
+        out[ends[some] - 1] = sum(w.hashes[begins[some] + j] * _PLACE[j] for j in range(k)) + _PLACE[size + k]
+    return mix(out), counts
