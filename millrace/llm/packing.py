@@ -2,10 +2,11 @@
 
 A global histogram of sequence lengths (at most `max_tokens` + 1 rows) goes to the
 driver, where dynamic programming picks the bucket boundaries that minimise padding.
-Inside a bucket, sequences get a global rank: they are dealt into many small shards,
-counted, ranked within their shard and shifted by the counts of the shards before. So
-batches are filled to their token budget across the whole bucket, however many rows a
-bucket holds, and no task sees a bucket whole. All of it is DataFrame operations.
+Inside a bucket, sequences get a global rank: rows are sorted by bucket and order across
+range partitions and stored; a row's rank is its place in its partition, shifted by the
+rows of its bucket in the partitions before. So batches are filled to their token budget
+across the whole bucket, however many rows a bucket holds, and no task sees a bucket
+whole. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from .shared import Shelf, text_or_empty
 
 MAX_TOKENS, BUCKETS, BUDGET = 4096, 16, 65_536
-#: Rows of a shard, and the most shards that a bucket is dealt into.
-SHARD_ROWS, MOST_SHARDS = 400, 20_000
 
 
 def count_words(text: Column) -> Column:
@@ -61,44 +60,55 @@ def _by_bucket(bucket: Column, values: dict[int, int]) -> Column:
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = 1) -> DataFrame:
+def stored_order() -> list[Column]:
+    """The order of a table's rows as its Parquet files hold them: by file name, then by row; for tables as read, before anything else."""
+    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = 1, order: list[Column] | None = None) -> DataFrame:
     """One row per sequence: doc_id, piece, first_token, n_tokens, bucket_tokens, batch, slot.
 
     A token is a word. A document of more than `max_tokens` is cut into pieces of that
     length, the last one shorter, so every word is in exactly one piece; null and empty
     texts are one sequence of no tokens in the shortest bucket. `batch` counts within a
     bucket; a batch has `slot` 0, 1, ... and budget // bucket_tokens rows (one at least),
-    the last of a bucket perhaps fewer. Repeated rows are sequences of their own; a null id
-    is carried through; an empty table gives an empty result; other columns play no part.
+    the last of a bucket perhaps fewer. Batches are filled in the order of `order`, columns
+    of `docs`; without it, in that of a hash of id, piece and text. Repeated rows are
+    sequences of their own; a null id is carried through; an empty table gives an empty
+    result; other columns play no part.
     """
     shelf = Shelf(docs.sparkSession, "packing")
-    whole = docs.select(F.col(id_col).alias("doc_id"), count_words(text_or_empty(text_col)).alias("words"))
+    order = order or [F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text_or_empty(text_col))]
+    whole = docs.select(F.col(id_col).alias("doc_id"), count_words(text_or_empty(text_col)).alias("words"), *[c.alias(f"o{k}") for k, c in enumerate(order)])
+    by = [f"o{k}" for k in range(len(order))]
     pieces = whole.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.lit(max_tokens))))))
     first = (F.col("piece") * max_tokens).alias("first_token")
-    pieces = pieces.select("doc_id", "piece", first, F.least(F.col("words") - F.col("piece") * max_tokens, F.lit(max_tokens)).cast("long").alias("n_tokens"))
+    pieces = pieces.select("doc_id", "piece", first, F.least(F.col("words") - F.col("piece") * max_tokens, F.lit(max_tokens)).cast("long").alias("n_tokens"), *by)
     pieces = shelf.put(pieces, "pieces")
     histogram = sorted((r["n_tokens"], r["n"]) for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect())
     lengths, counts = np.array([x for x, _ in histogram], np.int64), np.array([x for _, x in histogram], np.int64)
     bounds = boundaries(lengths, counts, buckets)
-    rows = {b: int(counts[(lengths <= b) & (lengths > a)].sum()) for a, b in zip([-1, *bounds], bounds, strict=False)}
-    shards = {b: min(MOST_SHARDS, -(-n // SHARD_ROWS)) for b, n in rows.items()}
     bucket = F.lit(None).cast("long")
     for b in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(bucket)
-    dealt = pieces.withColumn("bucket_tokens", bucket).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "piece"))
-    dealt = dealt.withColumn("shard", F.pmod("h", _by_bucket(F.col("bucket_tokens"), shards)))
-    before = dealt.groupBy("bucket_tokens", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = before.withColumn("before", F.sum("n").over(Window.partitionBy("bucket_tokens").orderBy("shard")) - F.col("n")).drop("n")
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("bucket_tokens", "shard").orderBy("h", "doc_id", "piece", "n_tokens")) - 1)
-    rank = F.col("rank") + F.col("before")
+    keys = ["bucket_tokens", *by, "doc_id", "piece"]
+    dealt = pieces.withColumn("bucket_tokens", bucket).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The number of a row is its partition's number and its place there; both are stored with it.
+    dealt = shelf.put(dealt.select("doc_id", "piece", "first_token", "n_tokens", "bucket_tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "dealt")
+    shelf.drop("pieces")
+    parts = dealt.groupBy("bucket_tokens", "part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    shift = F.sum("n").over(Window.partitionBy("bucket_tokens").orderBy("part")) - F.col("n") - F.col("first")
+    parts = shelf.put(parts.select("bucket_tokens", "part", shift.alias("shift")), "parts")
+    rank = F.col("row") + F.col("shift")
     fit = _by_bucket(F.col("bucket_tokens"), {b: max(1, budget // max(b, 1)) for b in bounds})
-    return ranked.join(before, ["bucket_tokens", "shard"]).select(
+    return dealt.join(parts, ["bucket_tokens", "part"]).select(
         "doc_id", "piece", "first_token", "n_tokens", "bucket_tokens",
         F.floor(rank / fit).alias("batch"), (rank % fit).alias("slot"),
     )
 
 
 def piece_texts(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The packed sequences with their words, joined by single spaces; for tables with one row per id."""
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), (F.col("first_token") + 1).cast("int"), F.greatest(F.col("n_tokens"), F.lit(0)).cast("int")), " ")
-    return packed.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col)), "doc_id").select(*packed.columns, cut.alias("words"))
+    """The packed sequences with their words, joined by single spaces; for tables with one row per id (a null id is an id)."""
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_or_empty("_text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), (F.col("first_token") + 1).cast("int"), F.greatest(F.col("n_tokens"), F.lit(0)).cast("int")), " ")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return packed.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*packed.columns, cut.alias("words"))
