@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.jaccard_join import near_dedup
 from millrace.llm.mixing import mix
-from millrace.llm.packing import pack
+from millrace.llm.packing import pack, stored_order
 from millrace.llm.quality import quality_filter
 from millrace.llm.shared import Shelf, table
 
@@ -32,18 +32,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is read once at least, those of small sources more often."""
+    """Every document is read once at least, those of small sources more often; rows stand in the order of the mix."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences with their length bucket, batch and place in the batch."""
-    return pack(docs)
+    """Sequences with their length bucket, batch and place in the batch; batches are filled in the order of the mix, as its files hold it."""
+    return pack(docs, order=stored_order())
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixture), ("packing", packing)]
 
-#: The classifier, the bisection and the dynamic programming have no SQL; tests hold run() against brute force.
+#: The classifier, the bisection and the dynamic programming have no SQL; tests hold each stage of a run, and run() itself, against brute force.
 ORACLE_SQL = None
 
 
