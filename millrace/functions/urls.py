@@ -97,6 +97,17 @@ def link_score(url: Column, anchor: Column) -> Column:
     return F.round(F.least(score, F.lit(rules.MOST_SCORE)), 2)
 
 
+def link_verdict(url: Column, anchor: Column) -> Column:
+    """struct(confidence, reason, direct) of a link: what its score is made of in words, and whether it leads to a posting itself."""
+    low, none = F.lower(anchor), F.lit(None).cast("string")
+    domain = F.coalesce(*[F.when(F.contains(F.lower(url), F.lit(d)), d) for d in rules.KNOWN_DOMAINS])
+    parts = F.array_compact(F.array(
+        F.when(any_in(low, rules.APPLY_PHRASES), F.concat(F.lit('"'), anchor, F.lit('" anchor'))).otherwise(none), F.concat(domain, F.lit(" URL")), F.when(is_job_url(url), "direct job-posting URL").otherwise(none),
+    ))
+    reason = F.when(F.size(parts) > 0, F.array_join(parts, " + ")).otherwise("generic link, no strong signal")
+    return F.struct(link_score(url, anchor).alias("confidence"), reason.alias("reason"), is_job_url(url).alias("direct"))
+
+
 def platform_of(sender: Column) -> Column:
     """Slug of the first enabled platform by priority whose domain is in the sender; null otherwise."""
     out = F.lit(None).cast("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -62,6 +62,18 @@ def categories(title: Column, description: Column, wanted: dict[str, list[str]]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
+def rule_tables(table: DataFrame) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """The wanted and the negative keywords of enabled categories, for categories(), from a rule table (id, name, enabled, keyword, negative).
+
+    Rules are few, and every one becomes a part of an expression; they come to the driver in the order of ids.
+    """
+    wanted: dict[str, list[str]] = {}
+    negative: dict[str, list[str]] = {}
+    for r in table.where("enabled").orderBy("id", "keyword").select("name", "keyword", "negative").collect():
+        (negative if r["negative"] else wanted).setdefault(r["name"], []).append(r["keyword"])
+    return wanted, negative
+
+
 def status(found: Column) -> Column:
     return F.when(F.size(found) > 0, "RELEVANT").otherwise("IRRELEVANT")
 

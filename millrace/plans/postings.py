@@ -106,6 +106,11 @@ def served(rows: DataFrame, platforms: DataFrame, links: DataFrame, categories:
     return found.withColumn("categories", F.coalesce("categories", F.array().cast("array<string>"))).select(columns)
 
 
+def relevant(rows: DataFrame) -> DataFrame:
+    """Postings that fit a category, whether or not they have been exported since."""
+    return rows.where(F.col("status").isin("RELEVANT", "EXPORTED"))
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     """One page, newest first; ties by descending number of arrival."""
     return rows.orderBy(F.col("received_at").desc(), F.col("seq").desc()).offset((number - 1) * size).limit(size)

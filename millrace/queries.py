@@ -236,7 +236,7 @@ def k2_k6_counts(spark, sf_dir):
 
 @query(f"WITH {PROCESSED} SELECT seq, epoch_us(received_at) AS received_us FROM fold WHERE cat <> '' ORDER BY received_at DESC, seq DESC LIMIT 50")
 def k5_k7_recent_relevant(spark, sf_dir):
-    return P.page(P.stored(spark, sf_dir).where("status = 'RELEVANT'"), 1, 50).select("seq", F.unix_micros("received_at").alias("received_us"))
+    return P.page(P.relevant(P.stored(spark, sf_dir)), 1, 50).select("seq", F.unix_micros("received_at").alias("received_us"))
 
 
 @query(f"WITH {PROCESSED} SELECT user_id, count(*) AS found, CAST(sum(CASE WHEN outcome = 'accepted' THEN 1 ELSE 0 END) AS BIGINT) AS ingested, CAST(sum(CASE WHEN outcome = 'stale' THEN 1 ELSE 0 END) AS BIGINT) AS filtered_by_date, CAST(sum(CASE WHEN outcome = 'rejected' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM proc GROUP BY user_id")

@@ -209,3 +209,50 @@ def i11_sync_run(spark, sf_dir):
     K.store_messages(m.where("seq % 3 = 0"), target, 0, now)
     late = m.where("seq % 3 <> 0").withColumn("received_at", F.when(F.col("seq") % 17 != 0, F.col("received_at")))
     return R.synced(late, target, 1, now, ["example.org"])[0]
+
+
+_LINKS = [
+    ("https://www.linkedin.com/jobs/view/1", "Apply now", 0.99, '"Apply now" anchor + linkedin.com URL + direct job-posting URL', True), ("https://www.indeed.com/jobs?q=x", "see it", 0.8, "indeed.com URL", False),
+    ("https://x.org/", "View Job here", 0.9, '"View Job here" anchor', False), ("https://x.org/about", "more", 0.5, "generic link, no strong signal", False), ("https://boards.greenhouse.io/jobs/7", "", 0.99, "direct job-posting URL", True),
+]
+
+
+@query(f"SELECT event_id, {'[' + ', '.join(str(x[2]) for x in _LINKS) + ']'}[CAST(event_id % 5 + 1 AS INT)]::DOUBLE AS confidence, {picked([x[3] for x in _LINKS], 'event_id')} AS reason, {'[' + ', '.join(str(x[4]) for x in _LINKS) + ']'}[CAST(event_id % 5 + 1 AS INT)] AS direct FROM events")
+def u7_link_verdict(spark, sf_dir):
+    rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(a).alias("anchor")) for u, a, *_ in _LINKS])
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", F.element_at(rows, (F.col("event_id") % 5 + 1).cast("int")).alias("l"))
+    return e.select("event_id", U.link_verdict(F.col("l.url"), F.col("l.anchor")).alias("v")).select("event_id", "v.*")
+
+
+_TEXTS = [("https://www.linkedin.com/jobs/view/12?x", "Full time, promoted", True, True), ("https://www.LINKEDIN.com/jobs/view/12", "unpromoted", False, False), ("https://jobs.LEVER.co/acme-1/", "Sponsored role", True, True), ("https://www.linkedin.com/feed", "", False, False), ("https://dice.com/detail/9", "self-promotion", True, False), (None, None, False, None)]
+_BOOLS = lambda k: "[" + ", ".join("NULL" if x[k] is None else str(x[k]) for x in _TEXTS) + f"][CAST(event_id % {len(_TEXTS)} + 1 AS INT)]"
+
+
+@query(f"SELECT event_id, {_BOOLS(2)} AS is_job, {_BOOLS(3)} AS promoted FROM events")
+def c8_f9_mixed(spark, sf_dir):
+    """URLs that are postings and that aren't, and blocks with and without the badge."""
+    from .functions import text as X
+
+    rows = F.array(*[F.struct(F.lit(u).cast("string").alias("url"), F.lit(t).cast("string").alias("block")) for u, t, *_ in _TEXTS])
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", F.element_at(rows, (F.col("event_id") % len(_TEXTS) + 1).cast("int")).alias("x"))
+    return e.select("event_id", U.is_job_url(F.col("x.url")).alias("is_job"), X.is_promoted(F.col("x.block")).alias("promoted"))
+
+
+_FOLLOWING = [(["Acme", "Berlin, Germany", "x"], "Berlin, Germany"), (["Acme", "Full time", "Remote"], "Remote"), (["a", "b", "c", "Paris, France"], None), (["On-site work", "Rome, Italy"], "On-site work"), ([], None)]
+
+
+@query(f"SELECT event_id, NULLIF({picked([p or '' for _, p in _FOLLOWING], 'event_id')}, '') AS place FROM events")
+def f4_following_place(spark, sf_dir):
+    from .functions.lines import following_place
+
+    rows = F.array(*[F.array(*[F.lit(x) for x in lines]).cast("array<string>") for lines, _ in _FOLLOWING])
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return e.select("event_id", following_place(F.element_at(rows, (F.col("event_id") % len(_FOLLOWING) + 1).cast("int"))).alias("place"))
+
+
+@query(f"WITH {CANDIDATES}, t AS (SELECT seq, lower(title) AS t FROM cand) SELECT seq, array_to_string(list_filter([{category_sql({k: rules.CATEGORIES[k] for k in ('PHP', 'Backend', 'Python')}, {'Python': 'senior'})}], lambda x: x IS NOT NULL), ',') AS cats FROM t")
+def a9_rule_table(spark, sf_dir):
+    """Categories whose rules are rows of a table, one category of it switched off."""
+    rows = [(k, name, name != "AI", w, False) for k, name in enumerate(("PHP", "AI", "Backend", "Python")) for w in rules.CATEGORIES[name]] + [(3, "Python", True, "senior", True)]
+    wanted, negative = J.rule_tables(written(spark.createDataFrame(rows, "id int, name string, enabled boolean, keyword string, negative boolean"), "rules"))
+    return P.candidates(spark, sf_dir).select("seq", F.array_join(J.categories(F.col("title"), F.lit(None).cast("string"), wanted, negative), ",").alias("cats"))
