@@ -1,20 +1,20 @@
-"""Exact top-k inner products with the bounds and the reading order of a vector-approximation file.
-
-Vectors are made integers, floor(scale * x). The approximation of a vector is the cell of
-each component on a grid of `CELL` integers. No file of cells is stored: each pair of blocks
-holds the exact vectors, 8 bytes a component, and derives the cells from them, so the bounds
-save no reading. Vectors are dealt into blocks of at most BLOCK rows, queries into
-blocks of QUERIES; a pair of blocks is one group of work:
-
-1. scan the cells: cell corners bound every score from above and below;
-2. the k-th largest lower bound is a floor under the k-th score, vectors whose upper bound
-   is below it go;
-3. read exact vectors in the order of their bounds, best first, a batch at a time, until
-   the k-th exact score is above the next upper bound.
-
-Each pair of blocks gives k rows a query at most, from which a window over the query takes
-the k best. The query set is stated by a predicate; every query meets every vector, in
-blocks, and no block is collected.
+"""Exact top-k inner products with a vector-approximation file.
+
+Vectors are made integers, floor(scale * x), and stored twice: exactly, by row number, and
+as the approximation file, one byte a component in blocks of at most BLOCK vectors. The
+byte is a cell of a fixed grid: 192 cells of one width around zero, that width a power of
+two taken from the typical size of the components, and on either side cells four times as
+wide each, up to the largest number; so one extreme vector widens no other's cells.
+
+1. The cells, and nothing else of the vectors, meet the queries, blocks against blocks.
+   A cell's corners bound every score from both sides. A pair of blocks passes on the
+   vectors whose upper bound reaches its own k-th largest lower bound.
+2. The k-th largest lower bound over all blocks is the floor of a query; vectors whose
+   upper bound is below it go.
+3. Exact vectors are fetched by row number in the order of their upper bounds, best first,
+   in rounds; a round ends when no vector is left whose bound reaches the k-th exact score.
+
+The query set is stated by a predicate; every query meets every vector's cells, in blocks.
 """
 
 from __future__ import annotations
@@ -26,52 +26,51 @@ from pyspark.sql import functions as F
 
 from .shared import Shelf
 
-BLOCK, QUERIES, CELL, BATCH = 16_384, 256, 2, 64
-
-
-def integers(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
-
-
-def _matrix(blobs: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(b.as_buffer() for b in blobs), np.int64).reshape(len(blobs), dim)
-
-
-def _safe(a: np.ndarray, b: np.ndarray, dim: int):
-    """A type in which inner products of these integers are exact: floats as far as they hold them, else 64-bit integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(dim, 1)
-    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of the k best of a block for each query, itself left out; ties to smaller ids."""
-    dim = vectors.shape[1]
-    kind = _safe(np.abs(vectors).max(initial=0) + CELL, queries, dim)
-    low = vectors // CELL * CELL
-    low, high = low.astype(kind), (low + CELL - 1).astype(kind)
-    q = queries.astype(kind)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    upper, lower = plus @ high.T + minus @ low.T, plus @ low.T + minus @ high.T
-    exact, out = vectors.astype(kind), []
-    for r, query in enumerate(query_ids):
-        able = np.flatnonzero(ids != query)
-        if not len(able):
-            continue
-        up, lo = upper[r, able], lower[r, able]
-        floor = np.partition(lo, len(lo) - k)[len(lo) - k] if len(lo) > k else None
-        able = able[up >= floor] if floor is not None else able
-        able = able[np.argsort(-upper[r, able], kind="stable")]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(able), BATCH):
-            rows = able[at : at + BATCH]
-            if len(best) == k and upper[r, rows[0]] < best[-1]:
-                break
-            best = np.concatenate([best, (exact[rows] @ q[r]).astype(np.int64)])
-            best_ids = np.concatenate([best_ids, ids[rows]])
-            order = np.lexsort((best_ids, -best))[:k]
-            best, best_ids = best[order], best_ids[order]
-        out += [(int(query), int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
-    return out
+BLOCK, QUERIES = 16_384, 1_024
+#: Queries that one matrix product takes at a time.
+STRIP = 128
+#: Cells of one width on either side of zero, and cells beyond them.
+LINEAR, WIDE = 96, 32
+
+
+def edges(step: int) -> np.ndarray:
+    """The smallest integer of each of the 256 cells."""
+    wide = [min(LINEAR * step * 4**k, 1 << 62) for k in range(WIDE)]
+    low = [-(1 << 63), *[-x for x in reversed(wide[1:])]]
+    return np.array([*low, *(step * np.arange(-LINEAR, LINEAR)), *wide], np.int64)
+
+
+def bounds(step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and half width of each cell."""
+    low = edges(step).astype(float)
+    high = np.append(low[1:], float(1 << 63)) - 1
+    return (low + high) / 2, (high - low) / 2
+
+
+def _blobs(v: pa.Array, dim: int) -> np.ndarray:
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+
+
+def scan(cells: np.ndarray, ids: np.ndarray, step: int, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """(place of the query, place of the vector, upper bound, lower bound) of what the cells of a block can't rule out, strip by strip."""
+    centre, half = bounds(step)
+    used = np.unique(cells)
+    most = float(np.abs(centre[used]).max(initial=0) + half[used].max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(cells.shape[1], 1)
+    # Half integers are exact in these types up to here; beyond, bounds are widened by more than sums can be off.
+    kind = np.float32 if most < 2**22 else np.float64
+    middle, reach = centre.astype(kind)[cells].T, half.astype(kind)[cells].T if half[used].any() else None
+    guard = most * 1e-12 if most >= 2**51 else 0.0
+    for at in range(0, len(queries), STRIP):
+        q = queries[at : at + STRIP].astype(kind)
+        score = (q @ middle).astype(float)
+        slack = (np.abs(q) @ reach).astype(float) + guard if reach is not None else guard
+        lower, upper = score - slack, score + slack
+        own = query_ids[at : at + STRIP, None] == ids[None, :]
+        lower[own] = upper[own] = -np.inf
+        floor = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+        r, c = np.nonzero((upper >= floor[:, None]) & ~own)
+        if len(r):
+            yield r + at, c, upper[r, c], lower[r, c]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -81,52 +80,91 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     part; only vectors of a query's own length are its candidates; rows with the query's
     own id aren't. Rows with one id are separate candidates and one query each; a query
     that stands in the table several times is answered once for each different vector.
-    An empty table gives an empty result; other columns play no part. Components beyond
-    2**62 / scale are outside the exact range.
+    An empty table gives an empty result; other columns play no part. Scores beyond 64
+    bits are outside the exact range.
     """
     spark, shelf = vectors.sparkSession, Shelf(vectors.sparkSession, "topk")
     good = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False))).select("id", "asks", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(F.lit(scale) * x)).alias("v"))
-    sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).collect()}
-    if not any(q for _, q in sizes.values()):
+    rows = rows.where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)) & (F.size("v") > 0))
+    exact = shelf.put(rows.select(F.monotonically_increasing_id().alias("row"), "id", "asks", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(F.lit(scale) * x)).alias("v")), "exact")
+    typical = F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.log2(1.0 + F.abs(x.cast("double")))) / F.col("dim"))
+    dims = exact.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked"), typical.alias("size"))
+    # 192 cells hold twelve times the typical component on either side.
+    step = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2((F.pow(F.lit(2.0), "size") - 1) * 12 / LINEAR)), F.lit(0))).cast("long")
+    dims = shelf.put(dims.where("asked > 0").select("dim", F.when(F.col("size") > 0, step).otherwise(F.lit(1)).alias("step"), *[F.ceil(F.col(c) / width).cast("long").alias(name) for c, width, name in (("n", BLOCK, "blocks"), ("asked", QUERIES, "strips"))]), "dims")
+    total = dims.agg(F.sum("blocks"), F.sum("strips"), F.sum(F.col("blocks") * F.col("strips"))).first()
+    if not total[0]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
-    def packed(what: str):
-        def run(batches):
-            groups: dict[tuple, list] = {}
-            for batch in batches:
-                v = batch.column("v")
-                for i, (dim, block, key) in enumerate(zip(batch.column("dim").to_pylist(), batch.column("block").to_pylist(), batch.column("id").to_pylist(), strict=True)):
-                    groups.setdefault((dim, block), []).append((key, np.array(v[i].values, np.int64).tobytes()))
-            for (dim, block), members in groups.items():
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([np.array([m[0] for m in members], np.int64).tobytes()]), pa.array([b"".join(m[1] for m in members)])], ["dim", "block", f"{what}_ids", f"{what}_vectors"])
-        return run
-
-    def dealt(df: DataFrame, what: str, width: int, at: int) -> tuple[DataFrame, Column]:
-        count = F.lit(1).cast("long")
-        for dim, n in sizes.items():
-            count = F.when(F.col("dim") == dim, F.lit(max(1, -(-n[at] // width))).cast("long")).otherwise(count)
-        blocks = max(1, sum(-(-n[at] // width) for n in sizes.values()))
-        df = df.withColumn("block", F.pmod(F.xxhash64("id"), count)).repartition(blocks, "dim", "block")
-        return df.select("id", "dim", "block", "v").mapInArrow(packed(what), f"dim int, block long, {what}_ids binary, {what}_vectors binary"), count
-
-    files, _ = dealt(rows, "all", BLOCK, 0)
-    asked, query_blocks = dealt(rows.where("asks").dropDuplicates(["id", "v"]), "ask", QUERIES, 1)
-    files, asked = shelf.put(files, "vectors"), shelf.put(asked, "queries")
-    pairs = files.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), query_blocks - 1))).join(asked.withColumnRenamed("block", "q"), ["dim", "q"])
-
-    def run(batches):
+    def approximated(batches):
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "step")), strict=True))
+            for key in set(keys):
+                some = batch.filter(pa.array([x == key for x in keys]))
+                cells = (np.searchsorted(edges(key[2]), _blobs(some.column("v"), key[0]), "right") - 1).astype(np.uint8)
+                held.setdefault(key, []).append((some.column("row").to_numpy(), some.column("id").to_numpy(), cells))
+        for (dim, block, step), parts in held.items():
+            columns = [np.concatenate(x).tobytes() for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block]), pa.array([step]), *(pa.array([x], pa.binary()) for x in columns)], ["dim", "block", "step", "rows", "ids", "cells"])
+
+    def gathered(batches):
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            keys = list(zip(batch.column("dim").to_pylist(), batch.column("strip").to_pylist(), strict=True))
+            for key in set(keys):
+                some = batch.filter(pa.array([x == key for x in keys]))
+                held.setdefault(key, []).append((some.column("q").to_numpy(), some.column("id").to_numpy(), _blobs(some.column("v"), key[0])))
+        for (dim, strip), parts in held.items():
+            columns = [np.concatenate(x).tobytes() for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([strip]), *(pa.array([x], pa.binary()) for x in columns)], ["dim", "strip", "qs", "query_ids", "queries"])
+
+    files = exact.join(dims, "dim").withColumn("block", F.pmod(F.xxhash64("row"), "blocks")).repartition(total[0], "dim", "block")
+    files = shelf.put(files.select("row", "id", "dim", "block", "step", "v").mapInArrow(approximated, "dim int, block long, step long, rows binary, ids binary, cells binary"), "cells")
+    queries = shelf.put(exact.where("asks").groupBy("id", "v", "dim").agg(F.min("row").alias("q")), "queries")
+    strips = queries.join(dims, "dim").withColumn("strip", F.pmod(F.xxhash64("q"), "strips")).repartition(total[1], "dim", "strip")
+    strips = shelf.put(strips.select("q", "id", "dim", "strip", "v").mapInArrow(gathered, "dim int, strip long, qs binary, query_ids binary, queries binary"), "strips")
+
+    def scanned(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r] for c in batch.schema.names}
-                dim = row["dim"].as_py()
-                ids, asks = np.frombuffer(row["all_ids"].as_buffer(), np.int64), np.frombuffer(row["ask_ids"].as_buffer(), np.int64)
-                found = search_block(ids, np.frombuffer(row["all_vectors"].as_buffer(), np.int64).reshape(len(ids), dim), asks, np.frombuffer(row["ask_vectors"].as_buffer(), np.int64).reshape(len(asks), dim), k)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
-
-    tasks = max(1, sum(-(-n // BLOCK) * -(-q // QUERIES) for n, q in sizes.values()))
-    found = pairs.repartition(min(tasks, 10_000)).mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                one = {c: batch.column(c)[r] for c in batch.schema.names}
+                ints = lambda c, one=one: np.frombuffer(one[c].as_buffer(), np.int64)
+                dim, ids, qs, numbers = one["dim"].as_py(), ints("ids"), ints("qs"), ints("rows")
+                cells = np.frombuffer(one["cells"].as_buffer(), np.uint8).reshape(len(ids), dim)
+                for a, b, upper, lower in scan(cells, ids, one["step"].as_py(), ints("query_ids"), ints("queries").reshape(-1, dim), k):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[a], numbers[b], ids[b], upper, lower)], ["q", "row", "id", "upper", "lower"])
+
+    pairs = files.join(dims.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)).alias("strip")), "dim").join(strips, ["dim", "strip"])
+    found = pairs.drop("block", "strip").repartition(min(total[2], 10_000)).mapInArrow(scanned, "q long, row long, id long, upper double, lower double")
+    found = shelf.put(found, "scanned")
+    shelf.drop("cells", "strips")
+
+    def kth(rows: DataFrame, by: str, name: str) -> DataFrame:
+        """(q, name): the k-th largest value of each query that has so many."""
+        order = Window.partitionBy("q").orderBy(F.col(by).desc())
+        return rows.select("q", by, F.row_number().over(order).alias("_n")).where(F.col("_n") == k).select("q", F.col(by).alias(name))
+
+    left = found.join(kth(found, "lower", "floor"), "q", "left").where("floor is null or upper >= floor")
+    order = Window.partitionBy("q").orderBy(F.col("upper").desc(), "id", "row")
+    left = shelf.put(left.select("q", "row", "id", "upper", F.row_number().over(order).alias("n")), "left")
+    shelf.drop("scanned")
+    asks = queries.select("q", F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    done, read, size = [], 0, k
+    while True:
+        # The next `size` of each query; after the first round only those whose bound reaches its k-th score so far.
+        now = left.where((F.col("n") > read) & (F.col("n") <= read + size))
+        now = now.join(exact.select("row", "v"), "row").join(asks, "q")
+        score = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+        done.append(shelf.put(now.select("q", "query_id", F.col("id").alias("vec_id"), score.alias("score")), f"scored{len(done)}"))
+        scored = done[0]
+        for more in done[1:]:
+            scored = scored.unionByName(more)
+        rest = left.where(F.col("n") > read + size).join(kth(scored, "score", "reached"), "q", "left").where("reached is null or upper >= reached").drop("reached")
+        read, size = read + size, size * 4
+        left = shelf.put(rest, f"left{len(done)}")
+        if left.isEmpty():
+            break
+    best = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
