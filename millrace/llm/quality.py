@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
 from .words import Words, words
 
 #: At most so many labelled rows are fitted.
@@ -208,7 +209,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def with_quality(docs: DataFrame, model: Additive, text_col: str = "text", name: str = "score") -> DataFrame:
     """The documents with all their columns and the score (0 to 1, higher: label 1 likelier) in a new last column `name`.
 
-    Null text counts as empty, and empty texts get a score too.
+    Where `name` is taken, the new column's name has underscores behind it; no column is
+    overwritten. Null text counts as empty, and empty texts get a score too.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -216,7 +218,7 @@ def with_quality(docs: DataFrame, model: Additive, text_col: str = "text", name:
     def score(text: pa.Array) -> pa.Array:
         return pa.array(sent.value.score(figures(text)))
 
-    return docs.withColumn(name, score(F.col(text_col).cast("string")))
+    return docs.withColumn(free_name(name, docs.columns), score(F.col(text_col).cast("string")))
 
 
 #: A document is rejected when its score is below this.
@@ -225,7 +227,5 @@ CUT = 0.3
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The documents with all their columns whose score reaches `cut`."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("_score", docs.columns)
     return with_quality(docs, fit_quality(docs, labels, id_col, text_col), text_col, name).where(F.col(name) >= cut).select([F.col(f"`{c}`") for c in docs.columns])

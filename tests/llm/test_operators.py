@@ -77,6 +77,41 @@ def test_jaccard_join(docs):
     assert jaccard_join.jaccard_components(empty(docs)).count() == 0
 
 
+def test_jaccard_join_links_the_texts_of_an_id(spark):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, one), (2, two), (3, one), (3, two), (4, ""), (4, one + " c"), (5, None), (6, "")]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 1), (4, 1), (5, 5), (6, 6)]
+
+
+def test_jaccard_join_between_lists(spark, monkeypatch):
+    """Texts that are mostly one frequent passage, with few counters, so that the passage stands in prefixes: links that only the rest pass can find."""
+    monkeypatch.setattr(jaccard_join, "LEAST_BITS", 16)
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 16)
+    rng = np.random.default_rng(4)
+    shared = [[f"p{s}w{k}" for k in range(60)] for s in range(3)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i // 2 if i % 5 == 0 else i}x{k}" for k in range(int(rng.integers(0, 22)))]
+        at = int(rng.integers(0, len(own) + 1))
+        rows.append((i, " ".join(own[:at] + shared[i % 3] + own[at:])))
+    sets = {i: x[0] for i, x in shingle_sets(rows).items()}
+    root = dict(zip(sets, sets, strict=True))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in sets}
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(3)
     for letters in (2, 3, 20):
@@ -108,23 +143,53 @@ def test_suffix_dedup(docs, monkeypatch, group):
 
 def test_sentence_spans(spark, docs):
     passage = "The first sentence of the passage stands here. A second one follows it at once. The third closes it with more words."
-    rows = [(1, "Own words open this text. " + passage + " Own words close it."), (2, "Something else before " + passage + " After that nothing."), (3, "A clean text. Nothing of it stands anywhere else. Not one sentence of these."), (4, None), (5, "")]
+    rows = [(1, "Own words open this text. " + passage + " Own words close it."), (2, "Something else before. " + passage + " After that nothing."), (3, "A clean text. Nothing of it stands anywhere else. Not one sentence of these."), (4, None), (5, "")]
     found = {r.doc_id: r for r in sentence_spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[1].text == rows[0][1] and found[3].text == rows[2][1]
-    assert found[2].text == "Something else before After that nothing." and found[2].n_removed == 3
+    assert found[2].text == "Something else before. After that nothing." and found[2].n_removed == 3
     assert (found[4].text, found[5].text, found[4].n_sentences) == ("", "", 0)
-    # Brute force over all documents: which sentences are covered by a run that isn't the first of its kind.
-    rows = [(r.doc_id, r.text or "") for r in docs.where("doc_id is not null and doc_id <> 3").distinct().collect()]
-    first, runs = {}, {}
-    for i, t in sorted(rows):
-        _, counts, bodies = sentence_spans.sentences(t)
-        runs[i] = [(a, n, tuple(bodies[a : a + n])) for a, n, _ in sentence_spans.runs(counts, bodies)]
-        for a, n, key in runs[i]:
-            first.setdefault(key, (i, a))
-    want = {i: len({s for a, n, key in found for s in range(a, a + n) if first[key] != (i, a)}) for i, found in runs.items()}
-    out = sentence_spans.remove_repeated_spans(docs.where("doc_id is not null and doc_id <> 3")).collect()
-    assert {r.doc_id: r.n_removed for r in out} == want and any(want.values())
+    # Brute force over all documents, null and repeated ids too: which sentences are covered by a run that isn't the first of its kind.
+    table = docs.withColumns({"n1": F.xxhash64(F.coalesce("text", F.lit(""))), "n2": F.shiftright(F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))), 33).cast("int")})
+    rows = sorted({(2**63 - 1 if r.doc_id is None else r.doc_id, r.n1, r.n2, r.text or "") for r in table.collect()})
+    first, every = {}, {}
+    for *name, t in rows:
+        bodies = pieces(t)
+        every[(*name, t)] = found = []
+        for a in range(len(bodies)):
+            b = next((b for b in range(a + sentence_spans.LEAST_SENTENCES, len(bodies) + 1) if sum(len(x) for x in bodies[a:b]) >= sentence_spans.LEAST_WORDS), None)
+            if b:
+                found.append((a, b, tuple(w for x in bodies[a:b] for w in x)))
+                first.setdefault(found[-1][2], (*name, a))
+    want = {(i, t): len({s for a, b, key in found for s in range(a, b) if first[key] != (i, n1, n2, a)}) for (i, n1, n2, t), found in every.items()}
+    out = sentence_spans.remove_repeated_spans(docs).join(docs.select("doc_id").distinct(), "doc_id", "left").collect()
+    got = collections.Counter((2**63 - 1 if r.doc_id is None else r.doc_id, r.n_removed) for r in out)
+    assert got == collections.Counter((i, want[i, t]) for i, t in ((2**63 - 1 if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect())) and any(want.values())
     assert sentence_spans.remove_repeated_spans(empty(docs)).count() == 0
+    # Two texts without id are two documents.
+    clean = "Every word of this is its own and no other text has any of them at all. It says so twice."
+    odd = spark.createDataFrame([(None, clean), (None, passage), (None, "Before it. " + passage), (7, passage)], "doc_id long, text string")
+    out = {r.text: r.n_removed for r in sentence_spans.remove_repeated_spans(odd).collect()}
+    assert out[clean] == 0 and out[passage] == 0 and sorted(out.values()) == [0, 0, 3, 3]
+
+
+def pieces(text):
+    """Words of the sentences of one text."""
+    import pyarrow as pa
+
+    slices = list(sentence_spans.sliced(pa.array([text])))
+    places = [*(p for s in slices for p in s.place.tolist()), len(text.encode())]
+    raw = text.encode()
+    return [raw[a:b].decode().split() for a, b in zip(places[:-1], places[1:], strict=True)]
+
+
+def test_sentences_end_at_marks_lines_and_least_words():
+    text = "One two. Three four!  Five\nsix 3.14 seven? Eight"
+    assert pieces(text) == [["One", "two."], ["Three", "four!"], ["Five"], ["six", "3.14", "seven?"], ["Eight"]]
+    assert pieces("") == [] and pieces(" \n") == [] and pieces("Ein Haus Am Meer") == [["Ein", "Haus", "Am", "Meer"]]
+    long = [f"w{k}" for k in range(200)]
+    cuts = np.cumsum([len(p) for p in pieces(" ".join(long))]).tolist()
+    shifted = np.cumsum([len(p) for p in pieces("x y z " + " ".join(long))]).tolist()
+    assert len(cuts) > 10 and {c + 3 for c in cuts[1:]} <= set(shifted)
 
 
 def test_boundaries_are_optimal():
@@ -151,6 +216,12 @@ def test_packing(docs):
     assert all(n == max(1, 1000 // max(b, 1)) for (b, k), n in slots.items() if k != last[b])
     assert len({(r.bucket_tokens, r.batch, r.slot) for r in found}) == len(found)
     assert packing.pack(empty(docs)).count() == 0
+    # Every piece's words, of one row an id.
+    one = docs.where("doc_id is null and text is not null or doc_id > 850 and doc_id <> 906").withColumn("words", F.lit("clash"))
+    texts = {r.doc_id: SPACE.sub(" ", r.text or "").split() for r in one.collect()}
+    cut = packing.piece_texts(one, packing.pack(one, max_tokens=100)).collect()
+    assert all(r.words.split() == texts[r.doc_id][r.first_token : r.first_token + r.n_tokens] for r in cut)
+    assert {i: sum(r.n_tokens for r in cut if r.doc_id == i) for i in texts} == {i: len(w) for i, w in texts.items()}
 
 
 def test_mixing(spark, docs):
@@ -172,7 +243,73 @@ def test_mixing(spark, docs):
     assert 980 < part < 1060
     whole = mixing.mix(docs)
     assert whole.columns == docs.columns and whole.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-    assert mixing.mix_plan(empty(docs)).count() == 0
+    assert mixing.mix_plan(empty(docs)).count() == 0 and mixing.mix(empty(docs)).count() == 0
+
+
+def readings(rows, entropy, repeats, budget=None):
+    """Brute force: how often each source is read, from (source, tokens) of documents."""
+    tokens = collections.Counter()
+    for s, n in rows:
+        tokens[s] += n
+    own = np.array([n for n in tokens.values() if n], float)
+
+    def spread(a):
+        w = own**a / (own**a).sum()
+        return -(w * np.log(w)).sum()
+
+    grid = np.linspace(0, 1, 100_001)
+    a = 1.0 if len(own) < 2 else max((x for x in grid if spread(x) >= entropy * np.log(len(own)) - 1e-9), default=0.0)
+    factor = lambda a: (own.max() ** (1 - a) if budget is None else budget / (own**a).sum())
+    if len(own) > 1 and factor(a) * own.min() ** (a - 1) > repeats:
+        a = min(x for x in grid if factor(x) * own.min() ** (x - 1) <= repeats)
+    return {s: factor(a) * n ** (a - 1) if n else 1.0 for s, n in tokens.items()}
+
+
+@pytest.mark.parametrize("how", [{}, {"entropy": 0.9, "repeats": 20.0}, {"entropy": 1.0, "repeats": 1.5}, {"entropy": 0.5, "repeats": 9.0, "budget": 9000}])
+def test_mixing_plan(spark, docs, how):
+    base = docs.withColumn("source", F.concat(F.coalesce("source", F.lit("none")), F.pmod(F.hash("doc_id"), F.lit(2)).cast("string"))).where("doc_id <> 906 and doc_id <> 907 or doc_id is null").cache()
+    rows = [(str(r.doc_id), r.text or "", r.source) for r in base.collect()]
+    plan = mixing.mix_plan(base, block_tokens=2000, **how).collect()
+    want = readings([(s, len(SPACE.sub(" ", t).split())) for _, t, s in rows], how.get("entropy", mixing.ENTROPY), how.get("repeats", mixing.REPEATS), how.get("budget"))
+    own, found = collections.Counter(), collections.defaultdict(collections.Counter)
+    most, docs_of = collections.Counter(), collections.Counter((i, s) for i, _, s in rows)
+    for _, t, s in rows:
+        n = len(t.split())
+        own[s] += n
+        most[s] = max(most[s], n)
+    for r in plan:
+        found[r.source][r.epoch] += r.n_tokens
+    for s, reads in want.items():
+        whole = int(reads + 1e-3)
+        assert all(found[s][e] == own[s] for e in range(whole))
+        # The partial epoch ends with the document that reaches the budget; equal rows (two at most) are read together.
+        part, due = found[s][whole], (reads - whole) * own[s]
+        assert due - 0.003 * own[s] <= part <= due + 2 * most[s] + 0.003 * own[s] if due > 0.002 * own[s] else part <= 2 * most[s]
+    epochs = collections.Counter((str(r.doc_id), r.source, r.epoch) for r in plan)
+    assert all(n <= docs_of[i, s] for (i, s, _), n in epochs.items())
+    # Every source runs through the blocks in the order of its epochs, and two readings are half an epoch apart at least.
+    blocks = max(r.block for r in plan) + 1
+    for r in plan:
+        assert abs((r.block + 0.5) / blocks - (r.epoch + 0.5) / want[r.source]) <= 0.5 / want[r.source] + 1.01 / blocks
+    mixed = mixing.mix(base, block_tokens=2000, **how)
+    assert collections.Counter(str(r.doc_id) for r in mixed.collect()) == collections.Counter(str(r.doc_id) for r in plan)
+
+
+def test_mixed_rows_are_packed_apart(spark, tmp_path):
+    """20 documents are read three times, 380 once: no batch holds two readings of one while others could fill it."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50)), "few" if i < 20 else "many") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixing.mix(table, entropy=1.0, repeats=3.0, block_tokens=1000).write.parquet(f"{tmp_path}/mix")
+    stored = spark.read.parquet(f"{tmp_path}/mix")
+    found = packing.pack(stored, budget=500, buckets=1, order=packing.stored_order()).collect()
+    batches = collections.defaultdict(list)
+    for r in found:
+        batches[r.bucket_tokens, r.batch].append(r.doc_id)
+    assert collections.Counter(r.doc_id for r in found)[3] == 3
+    assert all(len(set(b)) == len(b) for b in batches.values())
+    # Batches follow the stored order.
+    order = [r.doc_id for r in stored.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()]
+    assert [r.doc_id for r in sorted(found, key=lambda r: (r.batch, r.slot))] == order
 
 
 def test_archives(spark, tmp_path):
@@ -196,13 +333,53 @@ def test_archives(spark, tmp_path):
             assert [(r["url"], r["body"]) for r in archives.arc_records(data)] == [(b"http://u", body)]
 
 
+def test_archives_with_damaged_and_other_records(spark, tmp_path, monkeypatch):
+    about = b"1 0 o\nfields\n"
+    start = b"filedesc://f 0.0.0.0 20200101000000 text/plain %d\n" % len(about) + about
+    page = b"HTTP/1.1 200 OK\r\nX-Source-Id: 7\r\n\r\n<p>x</p>"
+    line = b" 1.2.3.4 20200102030405 text/html %d\n"
+    raw = start + b"\nhttp://a b/c" + line % len(page) + page
+    raw += b"\nnot a header\nnor this\nhttp://u 1.2.3.4 20200102030405 text/html many\n"
+    raw += b"\ndns:x.org 1.2.3.4 20200102 text/dns 3\nabc\nhttp://u 1.2.3.4 now text/html 3\nabc\n" + b"http://v" + line % len(page) + page + b"\nhttp://w" + line % 999 + b"short"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0").write_bytes(raw)
+    (tmp_path / "arc" / "part-1").write_bytes(_gz(start)[:30] + b"xxxxxxxx" + _gz(start)[38:])
+    (tmp_path / "arc" / "part-2").write_bytes(b"")
+    arc = f"file://{tmp_path}/arc"
+    reasons = [r.reason for r in archives.rejected(spark, arc).collect()]
+    assert sorted(reasons) == ["a record declares 999 bytes, the file has 5 more", "damaged compression", "no date", "no header line"]
+    shelf = archives.Shelf(spark, "test")
+    archives.convert(spark, arc, shelf.path("warc"), shelf)
+    found = {r.url: r for r in archives.read_warc(spark, shelf.path("warc")).collect()}
+    assert {u: r.record_type for u, r in found.items() if u != "http://v"} == {"http://a%20b/c": found["http://a%20b/c"].record_type, "dns:x.org": "resource"}
+    assert sorted(found[u].record_type for u in ("http://a%20b/c", "http://v")) == ["response", "revisit"] and all(r.reason is None for r in found.values())
+    assert (found["dns:x.org"].payload_bytes, found["dns:x.org"].date) == (3, "2020-01-02T00:00:00Z")
+    # Files of a few records each, every one with its version block.
+    monkeypatch.setattr(archives, "FILE_BYTES", 512)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"text {i % 7}") for i in range(50)], "page_id long, url string, html string").coalesce(2)
+    archives.write_arc(pages, shelf.path("many"))
+    sizes = [len(list(archives.arc_records(r.content))) for r in spark.read.format("binaryFile").load(shelf.path("many")).collect()]
+    assert sum(sizes) == 50 and max(sizes) == 2
+    assert archives.archive_pages(pages).where("record_type = 'response'").count() == 7
+    damaged = [f for f, _ in archives.warc_records(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort")]
+    assert [list(f) for f in damaged] == [["reason"]]
+
+
 def _gz(raw):
     import gzip
 
     return gzip.compress(raw[:50]) + gzip.compress(raw[50:])
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
+    reads, put = collections.Counter(), topk.Shelf.put
+
+    def counted(self, df, name, **how):
+        out = put(self, df, name, **how)
+        reads[name] = out.count()
+        return out
+
+    monkeypatch.setattr(topk.Shelf, "put", counted)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8).astype(np.float32)]) for i in range(300)]
     rows += [(400, None), (420, [None] * 8), (440, [float("nan")] * 8), (460, [0.5, 0.25]), (480, [0.5, -0.5]), (None, [0.1] * 8), (20, [0.3] * 8), (500, rows[7][1]), (501, rows[7][1])]
@@ -213,8 +390,33 @@ def test_topk(spark):
         scored = [(-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v)]
         want |= {(q, i, -s) for s, i in sorted(scored)[:10]} if q != 20 else set()
     assert {(r.query_id, r.vec_id, r.score) for r in found if r.query_id != 20} == want
+    # Exact vectors are read for a part of the pairs only, and with wide cells in more than one round.
+    pairs = 17 * 300
+    assert sum(n for name, n in reads.items() if name.startswith("scored")) < pairs / 4
+    reads.clear()
+    wide = [(i, [float(x) * 10.0 ** (i % 5) for x in rng.normal(0, 1, 6)]) for i in range(200)] + [(1000, [1e9] * 6)]
+    found = topk.top_k(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7).collect()
+    ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in wide}
+    for q in range(0, 200, 20):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:7]
+        assert [(r.vec_id, -r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(i, s) for s, i in scored]
+    assert reads["scored1"] > 0 and sum(n for name, n in reads.items() if name.startswith("scored")) < 11 * 200
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_cells_bound_their_integers():
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.integers(-300, 300, 500), rng.integers(-(1 << 61), 1 << 61, 500), [0, -1, 1, -(1 << 62), (1 << 62) - 1]])
+    for step in (1, 2, 64):
+        low = topk.edges(step)
+        cells = np.searchsorted(low, values, "right") - 1
+        centre, half = topk.bounds(step)
+        slack = np.abs(values) * 1e-12
+        assert len(low) == 256 and (np.diff(low) >= 0).all() and (np.abs(values - centre[cells]) <= half[cells] + slack).all()
+        assert (half[cells][np.abs(values) < topk.LINEAR * step] == (step - 1) / 2).all()
+
 
 @pytest.fixture(scope="module")
 def big(spark):
@@ -228,6 +430,8 @@ def test_quality(docs, big):
     odd = quality.with_quality(docs, model, name="q")
     assert odd.columns == [*docs.columns, "q"] and odd.where("q is null or q < 0 or q > 1").count() == 0
     assert quality.quality_filter(docs, big[1].limit(0)).count() == docs.count()
+    clash = quality.with_quality(docs.withColumn("score", F.lit("own")), model)
+    assert clash.columns[-2:] == ["score", "score_"] and clash.where("score <> 'own'").count() == 0
 
 
 def test_toxicity(docs, big):
@@ -237,13 +441,72 @@ def test_toxicity(docs, big):
     odd = toxicity.with_toxicity(docs, net, score="q")
     assert odd.where("q is null or q < 0 or q > 1 or flagged is null").count() == 0
     assert toxicity.fit_toxicity(docs, big[1].limit(0)).out.sum() == 0
+    clash = toxicity.with_toxicity(docs.withColumns({"score": F.lit("own"), "flagged": F.lit("own")}), net)
+    assert clash.columns[-4:] == ["score", "flagged", "score_", "flagged_"] and clash.where("score <> 'own' or flagged <> 'own'").count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, docs, tmp_path):
+    """Every stage of a run against brute force on what the stage before kept, with nulls, empty and repeated rows."""
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, SF)
-    assert rows.columns[0] == "doc_id" and rows.count() > 100
+    sf = f"{tmp_path}/sf"
+    plain = docs.drop("kept", "component_id", "n").where("doc_id <> 906 and doc_id <> 907 or doc_id is null")
+    plain.write.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    at, tables = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, sf)
+        out.write.parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "packing" or tables[name].columns == plain.columns
+        at = tables[name]
+    rows = {name: [(r.doc_id, r.text, r.source) for r in t.collect()] for name, t in tables.items() if name != "packing"}
+    before = spark.read.parquet(f"{sf}/documents.parquet")
+    scored = quality.with_quality(before, quality.fit_quality(before, labels), name="q").collect()
+    assert collections.Counter(rows["quality"]) == collections.Counter((r.doc_id, r.text, r.source) for r in scored if r.q >= 0.3)
+    # One of each class of texts, with the smallest id; ids last that are null.
+    classes = collections.defaultdict(list)
+    for i, t, _ in rows["quality"]:
+        classes[SPACE.sub(" ", t or "")].append(i)
+    assert collections.Counter(i for i, _, _ in rows["exact_dedup"]) == collections.Counter(min(g, key=lambda i: (i is None, i)) for g in classes.values())
+    # One id of each component.
+    sets = shingle_sets([(i, t) for i, t, _ in rows["exact_dedup"]])
+    ids = [i for i in sets if i is not None]
+    root = dict(zip(ids, ids, strict=True))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    assert collections.Counter(rows["near_dedup"]) == collections.Counter(r for r in rows["exact_dedup"] if r[0] is None or find(r[0]) == r[0])
+    # Readings of each source: all rows in whole epochs, and no row more than once in the last.
+    want = readings([(s, len((t or "").split())) for _, t, s in rows["near_dedup"]], mixing.ENTROPY, mixing.REPEATS)
+    own = collections.Counter(rows["near_dedup"])
+    for r, n in collections.Counter(rows["mixing"]).items():
+        assert int(want[r[2]] + 1e-3) * own[r] <= n <= (int(want[r[2]] - 1e-3) + 1) * own[r]
+    assert set(rows["mixing"]) == set(rows["near_dedup"])
+    # Every word is in one piece, and batches are full but for the last of a bucket.
+    packed = tables["packing"].collect()
+    words = collections.Counter()
+    for i, t, _ in rows["mixing"]:
+        words[i] += len(SPACE.sub(" ", t or "").split())
+    found = collections.Counter()
+    for r in packed:
+        found[r.doc_id] += r.n_tokens
+    assert found == words and len({(r.bucket_tokens, r.batch, r.slot) for r in packed}) == len(packed)
+    whole = corpus_pipeline.run(spark, sf)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, packed))
+    empty_sf = f"{tmp_path}/none"
+    plain.limit(0).write.parquet(f"{empty_sf}/documents.parquet")
+    labels.write.parquet(f"{empty_sf}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty_sf).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["mid_sentence", "unpunctuated", "changed_word", "chinese", "arabic", "hindi"])
