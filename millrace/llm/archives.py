@@ -5,12 +5,20 @@ line and as many bytes as the line declares. Version 1 lines have five fields, v
 lines ten. The converter reads lines by their version and bodies by their declared length
 (never by a separator), and makes WARC records of them: identifiers derived from the
 record's place and content, 14-digit dates as timestamps, record types, and SHA-1 digests
-of block and payload. A payload that occurs in several records is stored once, in a
-response; the others become revisits that refer to it.
+of block and payload. A block that is an HTTP response becomes a response record; all else
+(dns: lookups, plain files) a resource, whose payload is the whole block and which keeps
+its declared type. A payload that occurs in several responses is stored once; the others
+become revisits that refer to it.
+
+What can't be read is left out with a reason, and the rest of the file is read on: a URL
+may hold spaces (the fields are counted from the end of the line); a line that is no
+header, or has no length or no date, is passed over up to the next line that is one; a
+record longer than the rest of its file, and damaged compression, end the file.
 
 Files are written by Spark's text writer with the format's own separators as line ends,
-one file per task, gzip-compressed, and read as whole binary files, inflated in a stream.
-Which record is the response is one aggregate over digests and one join, on Spark.
+gzip-compressed, of about FILE_BYTES before compression, and read as whole binary files,
+inflated in a stream. Which record is the response is one aggregate over digests and one
+join, on Spark.
 """
 
 from __future__ import annotations
@@ -32,6 +40,8 @@ ARC_DATE = "20240101000000"
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 SOURCE_HEADER = b"X-Source-Id"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Bytes of a file before compression, by the mean size of its records.
+FILE_BYTES = 256 << 20
 _STEP = 1 << 20
 _FLUSH = 4 << 20
 
@@ -75,24 +85,56 @@ class Stream:
         out = self.buffer[self.pos : self.pos + n]
         self.pos += len(out)
         if len(out) < n:
-            raise ValueError(f"a record declares {n} bytes, the file has {len(out)} more")
+            raise Damaged(f"a record declares {n} bytes, the file has {len(out)} more")
         return out
 
 
+class Damaged(Exception):
+    """A record that can't be read; the message says why."""
+
+
+def _header(line: bytes, version: int) -> dict:
+    """Fields of a header line of a version; 0, where no version block stands before it, goes by the number of fields."""
+    parts = line.split(b" ")
+    if not version:
+        version = 2 if len(parts) >= 10 and parts[-1].isdigit() and parts[-8].isdigit() else 1
+    more = len(ARC_FIELDS[version].split(" ")) - 1
+    if len(parts) <= more:
+        raise Damaged("no header line")
+    fields = parts[-more:]
+    if not fields[-1].isdigit():
+        raise Damaged("no length")
+    if not (fields[1].isdigit() and 8 <= len(fields[1]) <= 14):
+        raise Damaged("no date")
+    # Old dates may lack hours, minutes or seconds.
+    return {"url": b" ".join(parts[:-more]), "ip": fields[0], "date": fields[1].ljust(14, b"0"), "type": fields[2], "length": int(fields[-1])}
+
+
 def arc_records(data) -> Iterator[dict]:
-    """The records of an ARC file after its version block."""
-    stream, version = Stream(data), 0
-    while (line := stream.line()) is not None:
-        if not line:
-            continue
-        fields = line.split(b" ")
-        body = stream.take(int(fields[-1]))
-        if line.startswith(b"filedesc://"):
-            version = int(body.split(b" ", 1)[0])
-            continue
-        if len(fields) != len(ARC_FIELDS[version].split(" ")):
-            raise ValueError(f"not a header line of version {version}: {line[:200]!r}")
-        yield {"url": fields[0], "ip": fields[1], "date": fields[2], "type": fields[3], "body": body}
+    """The records of an ARC file after its version block; where one can't be read, a `reason` and the line instead."""
+    stream, version, lost = Stream(data), 0, False
+    line = b""
+    try:
+        while (line := stream.line()) is not None:
+            if not line:
+                continue
+            try:
+                head = _header(line, 0 if line.startswith(b"filedesc://") else version)
+            except Damaged as e:
+                # One report for all lines up to the next header.
+                if not lost:
+                    yield {"reason": str(e), "line": line[:200]}
+                lost = True
+                continue
+            lost = False
+            body = stream.take(head.pop("length"))
+            if line.startswith(b"filedesc://"):
+                first = body.split(b" ", 1)[0]
+                version = int(first) if first in (b"1", b"2") else 0
+                continue
+            yield {**head, "body": body, "reason": None}
+    except (Damaged, zlib.error) as e:
+        yield {"reason": str(e) if isinstance(e, Damaged) else "damaged compression", "line": (line or b"")[:200]}
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -120,23 +162,27 @@ def _quoted(url: str | None, page) -> bytes:
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """ARC files of pages: version 1 and version 2 by turns of the task, one version to a file."""
+    """ARC files of pages: version 1 and version 2 by turns of the task, one version to a file; each file opens with its version block."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    records = _records_a_file(rows.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0])
 
     def run(batches):
         task = TaskContext.get().partitionId()
         version = 1 + task % 2
         about = f"{version} {1 if version == 1 else 0} millrace\n{ARC_FIELDS[version]}\n".encode()
-        line = f"filedesc://part-{task:05d}.arc 0.0.0.0 {ARC_DATE} text/plain " + ("" if version == 1 else f"200 - - 0 part-{task:05d}.arc ") + str(len(about))
-        out, held, started = [], 0, False
+        out, held, count = [], 0, 0
         for batch in batches:
             for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if not started:
+                name = f"part-{task:05d}-{count // records:05d}.arc"
+                if count % records == 0:
+                    # The writer opens a file every records + 1 rows, so this is the first row of one.
+                    line = f"filedesc://{name} 0.0.0.0 {ARC_DATE} text/plain " + ("" if version == 1 else f"200 - - 0 {name} ") + str(len(about))
                     out.append(line.encode() + b"\n" + about)
-                    started = True
+                count += 1
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                 source = b"" if page is None else SOURCE_HEADER + b": %d\r\n" % page
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + source + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
-                more = b"" if version == 1 else b"200 " + sha1_base32(payload).encode() + b" - 0 " + b"part-%05d.arc " % task
+                more = b"" if version == 1 else b"200 " + sha1_base32(payload).encode() + b" - 0 " + name.encode() + b" "
                 out.append(_quoted(url, page) + f" 0.0.0.0 {ARC_DATE} text/html ".encode() + more + b"%d\n" % len(block) + block)
                 held += len(block)
                 if held > _FLUSH:
@@ -145,12 +191,15 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    _write(rows.mapInArrow(run, "record binary"), path, "\n")
+    _write(rows.mapInArrow(run, "record binary"), path, "\n", records + 1)
+
 
+def _records_a_file(mean: float | None) -> int:
+    return max(1, int(FILE_BYTES / max(mean or 0.0, 1.0) + 1)) if (mean or 0) > 256 else FILE_BYTES // 256
 
-def _write(records: DataFrame, path: str, end: str) -> None:
-    records.select(F.col("record").cast("string")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+def _write(records: DataFrame, path: str, end: str, most: int) -> None:
+    records.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", most).option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -158,19 +207,27 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
-    """Records of ARC files with the parts of a WARC record that need no other record; payloads are zstd-compressed."""
+    """Records of ARC files with the parts of a WARC record that need no other record; payloads are zstd-compressed.
+
+    A record that can't be read has a `reason`, and its line as `url`.
+    """
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 file, rows, held = name.rsplit("/", 1)[-1], [], 0
                 for k, r in enumerate(arc_records(content.as_buffer())):
-                    head, payload = split_http(r["body"])
-                    digest, date, url = sha1_base32(payload), r["date"].decode(), r["url"].decode()
+                    if r["reason"]:
+                        rows.append((None, None, r["line"].decode(errors="replace"), None, None, None, None, None, None, r["reason"], None, None))
+                        continue
+                    http = r["body"].startswith(b"HTTP/")
+                    head, payload = split_http(r["body"]) if http else (b"", r["body"])
+                    digest, date, url = sha1_base32(payload), r["date"].decode(), _quoted(r["url"].decode(errors="surrogateescape"), k).decode()
                     source = http_field(head, SOURCE_HEADER)
                     made = uuid.uuid5(_SPACE, f"{file}|{k}|{url}|{date}|{digest}")
                     stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-                    rows.append((None if source is None else int(source), str(made), url, r["ip"].decode(), stamp, digest, len(payload), *((head, pa.compress(payload, "zstd", asbytes=True)) if payloads else (None, None))))
+                    kind, mime = ("response", "application/http;msgtype=response") if http else ("resource", _quoted(r["type"].decode(errors="replace"), k).decode())
+                    rows.append((int(source) if source is not None and source.lstrip(b"-").isdigit() else None, str(made), url, r["ip"].decode(errors="replace"), stamp, digest, len(payload), kind, mime, None, *((head, pa.compress(payload, "zstd", asbytes=True)) if payloads else (None, None))))
                     held += len(payload)
                     if held > _FLUSH:
                         yield pack(rows)
@@ -182,36 +239,44 @@ def read_arc(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    schema = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("record_id", "url", "ip", "date", "digest")), ("n", pa.int64()), ("head", pa.binary()), ("payload", pa.binary())])
-    return _files(spark, path).mapInArrow(run, "page_id long, record_id string, url string, ip string, date string, digest string, n long, head binary, payload binary")
+    s = pa.string()
+    schema = pa.schema([("page_id", pa.int64()), *((c, s) for c in ("record_id", "url", "ip", "date", "digest")), ("n", pa.int64()), ("kind", s), ("mime", s), ("reason", s), ("head", pa.binary()), ("payload", pa.binary())])
+    return _files(spark, path).mapInArrow(run, "page_id long, record_id string, url string, ip string, date string, digest string, n long, kind string, mime string, reason string, head binary, payload binary")
+
+
+def rejected(spark: SparkSession, arc: str) -> DataFrame:
+    """(reason, line) of what convert() leaves out."""
+    return read_arc(spark, arc, False).where("reason is not null").select("reason", F.col("url").alias("line"))
 
 
 def convert(spark: SparkSession, arc: str, warc: str, shelf: Shelf, least_bytes: int = 0) -> None:
-    """WARC files of ARC files. Of records with equal payloads of at least `least_bytes` bytes the one with the largest source id is the response."""
+    """WARC files of ARC files. Of responses with equal payloads of at least `least_bytes` bytes the one with the largest source id stays one."""
     response = F.max(F.struct("page_id", "record_id", "url", "date")).alias("first")
-    first = read_arc(spark, arc, False).where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(response)
+    first = read_arc(spark, arc, False).where((F.col("kind") == "response") & (F.col("n") >= least_bytes)).groupBy("digest", "n", "kind").agg(response)
     first = shelf.put(first, "responses")  # stored, so that the join can split a payload that many records share
-    records = read_arc(spark, arc, True).join(first, ["digest", "n"], "left")
-    columns = ["record_id", "url", "ip", "date", "digest", "n", "head", "payload", "first"]
+    most = _records_a_file(first.agg(F.avg("n")).first()[0])
+    records = read_arc(spark, arc, True).where("reason is null").join(first, ["digest", "n", "kind"], "left")
+    columns = ["record_id", "url", "ip", "date", "digest", "n", "kind", "mime", "head", "payload", "first"]
 
     def run(batches):
-        started = False
+        count = 0
         for batch in batches:
             out, held = [], 0
-            if not started and batch.num_rows:
-                about = b"software: millrace\r\nformat: WARC File Format 1.1\r\n"
-                made = uuid.uuid5(_SPACE, f"info|{TaskContext.get().partitionId()}|{batch.column(0)[0].as_py()}")
-                out.append(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{made}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n".encode() + about)
-                started = True
-            for record, url, ip, date, digest, n, head, payload, top in zip(*(batch.column(c) for c in columns), strict=True):
+            for record, url, ip, date, digest, n, kind, mime, head, payload, top in zip(*(batch.column(c) for c in columns), strict=True):
+                if count % most == 0:
+                    # The writer opens a file every most + 1 rows; each begins with a warcinfo record.
+                    about = b"software: millrace\r\nformat: WARC File Format 1.1\r\n"
+                    made = uuid.uuid5(_SPACE, f"info|{TaskContext.get().partitionId()}|{record}")
+                    out.append(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{made}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n".encode() + about)
+                count += 1
                 record, top, head = record.as_py(), top.as_py(), head.as_py()
                 kept = top is None or top["record_id"] == record
                 block = head + pa.decompress(payload.as_buffer(), n.as_py(), "zstd", asbytes=True) if kept else head
                 more = "" if kept else f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:uuid:{top['record_id']}>\r\nWARC-Refers-To-Target-URI: {top['url']}\r\nWARC-Refers-To-Date: {top['date']}\r\n"
                 fields = (
-                    f"WARC/1.1\r\nWARC-Type: {'response' if kept else 'revisit'}\r\nWARC-Record-ID: <urn:uuid:{record}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\n"
+                    f"WARC/1.1\r\nWARC-Type: {kind if kept else 'revisit'}\r\nWARC-Record-ID: <urn:uuid:{record}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\n"
                     f"WARC-IP-Address: {ip}\r\nWARC-Payload-Digest: sha1:{digest}\r\nWARC-Block-Digest: sha1:{sha1_base32(block)}\r\n{more}"
-                    f"Content-Type: application/http;msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+                    f"Content-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n"
                 )
                 out.append(fields.encode() + block)
                 held += len(block)
@@ -221,45 +286,62 @@ def convert(spark: SparkSession, arc: str, warc: str, shelf: Shelf, least_bytes:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    _write(records.select(columns).mapInArrow(run, "record binary"), warc, "\r\n\r\n")
+    _write(records.select(columns).mapInArrow(run, "record binary"), warc, "\r\n\r\n", most + 1)
 
 
 def warc_records(data) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields with lower-case names, block) of each record of a WARC file."""
+    """(header fields with lower-case names, block) of each record of a WARC file; where one can't be read, the last is a field `reason` only."""
     stream = Stream(data)
-    while (line := stream.line()) is not None:
-        if not line:
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:200]!r}")
-        fields = {}
-        while line := stream.line():
-            name, _, value = line.decode().partition(":")
-            fields[name.strip().lower()] = value.strip()
-        yield fields, stream.take(int(fields["content-length"]))
+    try:
+        while (line := stream.line()) is not None:
+            if not line:
+                continue
+            if not line.startswith(b"WARC/"):
+                raise Damaged("no WARC record")
+            fields = {}
+            while line := stream.line():
+                name, _, value = line.decode(errors="replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+            if not fields.get("content-length", "").isdigit():
+                raise Damaged("no length")
+            yield fields, stream.take(int(fields["content-length"]))
+    except (Damaged, zlib.error) as e:
+        yield {"reason": str(e) if isinstance(e, Damaged) else "damaged compression"}, b""
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per response and revisit: source_id, record_id, record_type, refers_to_record, payload_bytes, payload_digest, url, date.
+    """One row per response, resource and revisit: source_id, record_id, record_type, refers_to_record, payload_bytes, payload_digest, url, date, reason.
 
-    The digest of a response is computed from the payload and must be the one declared;
-    a revisit has no payload, its length and digest are those that it declares.
+    The digest of a stored payload is computed and must be the one declared; a revisit has
+    no payload, its length and digest are those that it declares. A record that can't be
+    read, or isn't what it declares, has a `reason`.
     """
 
+    def row(fields: dict[str, str], block: bytes):
+        if "reason" in fields:
+            return (*[None] * 8, fields["reason"])
+        kind = fields.get("warc-type")
+        if kind not in ("response", "resource", "revisit"):
+            return None
+        head, payload = (b"", block) if kind == "resource" else split_http(block)
+        declared, reason = fields.get("warc-payload-digest", "").removeprefix("sha1:"), None
+        length = http_field(head, b"Content-Length") or b""
+        if kind == "revisit":
+            n = int(length) if length.isdigit() else None
+        else:
+            n, made = len(payload), sha1_base32(payload)
+            reason = None if declared in ("", made) else "another digest than declared"
+            declared = made
+        source = http_field(head, SOURCE_HEADER) or b""
+        return (int(source) if source.lstrip(b"-").isdigit() else None, fields.get("warc-record-id"), kind, fields.get("warc-refers-to"), n, declared, fields.get("warc-target-uri"), fields.get("warc-date"), reason)
+
     def run(batches):
         for batch in batches:
             for content in batch.column(1):
                 rows = []
                 for fields, block in warc_records(content.as_buffer()):
-                    if fields["warc-type"] not in ("response", "revisit"):
-                        continue
-                    head, payload = split_http(block)
-                    declared = fields["warc-payload-digest"].removeprefix("sha1:")
-                    whole = fields["warc-type"] == "response"
-                    if whole and sha1_base32(payload) != declared:
-                        raise ValueError(f"the payload of {fields['warc-record-id']} is not the one declared")
-                    source = http_field(head, SOURCE_HEADER)
-                    rows.append((None if source is None else int(source), fields["warc-record-id"], fields["warc-type"], fields.get("warc-refers-to"), len(payload) if whole else int(http_field(head, b"Content-Length")), declared, fields["warc-target-uri"], fields["warc-date"]))
+                    if (one := row(fields, block)) is not None:
+                        rows.append(one)
                     if len(rows) == 4096:
                         yield pack(rows)
                         rows = []
@@ -270,8 +352,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     s = pa.string()
-    schema = pa.schema([("source_id", pa.int64()), ("record_id", s), ("record_type", s), ("refers_to_record", s), ("payload_bytes", pa.int64()), ("payload_digest", s), ("url", s), ("date", s)])
-    return _files(spark, path).mapInArrow(run, "source_id long, record_id string, record_type string, refers_to_record string, payload_bytes long, payload_digest string, url string, date string")
+    schema = pa.schema([("source_id", pa.int64()), ("record_id", s), ("record_type", s), ("refers_to_record", s), ("payload_bytes", pa.int64()), ("payload_digest", s), ("url", s), ("date", s), ("reason", s)])
+    return _files(spark, path).mapInArrow(run, "source_id long, record_id string, record_type string, refers_to_record string, payload_bytes long, payload_digest string, url string, date string, reason string")
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -280,12 +362,16 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Null html counts as empty; a page without URL gets a urn of its id; URL characters that
     a header line can't hold are percent-encoded. Of rows with one id and payload one is
     the response. A null id comes before all others. An empty table gives an empty result;
-    other columns play no part.
+    other columns play no part. A record of these archives that can't be read back raises.
     """
     spark, shelf = pages.sparkSession, Shelf(pages.sparkSession, "archives")
     write_arc(pages, shelf.path("arc"), id_col, url_col, html_col)
     convert(spark, shelf.path("arc"), shelf.path("warc"), shelf, least_bytes)
     shelf.drop("arc")
     rows = read_warc(spark, shelf.path("warc"))
-    first = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("source_id").alias("refers_to"))
-    return rows.join(first, "refers_to_record", "left").select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")
+    sound = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("an archive can't be read back: "), "reason")).cast("string")).otherwise(F.col("record_type"))
+    # A response looks itself up, so that no key stands for all of them.
+    rows = rows.withColumn("record_type", sound).withColumn("key", F.coalesce("refers_to_record", "record_id"))
+    first = rows.where("record_type = 'response'").select(F.col("record_id").alias("key"), F.col("source_id").alias("response_id"))
+    refers = F.when(F.col("record_type") == "revisit", F.col("response_id")).alias("refers_to")
+    return rows.join(first, "key", "left").select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers, "record_id", "url", "date")
