@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which the driver and all executors must see.
-
-    Where that is unset, a folder beside the warehouse is used on one machine (master
-    "local[...]"); on a cluster there is nothing to fall back to, and this raises.
-    """
-    found = spark.conf.get(_SETTING, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors can see")
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared"
-        spark.conf.set(_SETTING, found)
-    return found.rstrip("/")
+from ..stored import fresh_path
 
 
 class Shelf:
@@ -34,7 +17,7 @@ class Shelf:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = fresh_path(spark, label)
         self.names: list[str] = []
 
     def path(self, name: str) -> str:
