@@ -15,7 +15,7 @@ from ..sources.messages import content_hash
 from ..stored import table_at
 from .identity import first_per_key, fold, insert_if_absent
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 def _bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +32,8 @@ def _earlier(rows: DataFrame, target: str, number: int) -> DataFrame | None:
 
 
 def _write(rows: DataFrame, target: str, number: int) -> None:
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number}")
+    """A bucket's rows come together in few files; adaptive execution joins small buckets in a task and splits large ones."""
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number}")
 
 
 def store_new(rows: DataFrame, target: str, keys: list[str], number: int, seq: str = "seq") -> None:
