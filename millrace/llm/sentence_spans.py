@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import Shelf, text_or_empty
 from .words import buffers, mix, slices
 
-LEAST_SENTENCES, LEAST_WORDS, REACH, SLICE = 2, 13, 4, 1 << 19
+LEAST_SENTENCES, LEAST_WORDS, REACH, SLICE = 2, 13, 4, 1 << 17
 _SPACE, _END, _SINGLE, _MARK = 1, 2, 4, 8
 _RNG = np.random.Generator(np.random.PCG64(31))
 #: Bases of the polynomial hashes of words and, twice, of runs.

@@ -2,8 +2,8 @@
 
 A word is a longest run of bytes other than 0x20 and 0x09-0x0D. Words are hashed by a
 random polynomial over their bytes modulo 2**64 and mixed; shingles are hashed from the
-words' hashes. All work is numpy over slices of a few MB, so that memory stays bounded
-whatever the batch; one document is never cut.
+words' hashes. All work is numpy over slices of a quarter MB, which fit caches, so that
+memory stays bounded whatever the batch; one document is never cut.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _BYTE.copy()
