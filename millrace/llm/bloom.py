@@ -9,12 +9,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .sketch import CHUNK, chunks, merged, unpacked
 from .words import mix
 
 #: Powers of two: the fewest bits, and the most (2**27 bits, 16 MB).
 LEAST_BITS, MOST_BITS = 20, 27
-CHUNK = 1 << 16
 
 
 class Bloom:
@@ -49,20 +50,11 @@ def bloom_of(ids: DataFrame) -> Bloom:
         mine = Bloom.empty(n)
         for batch in batches:
             mine.add(batch.column(0).to_numpy(zero_copy_only=False))
-        for k in range(0, len(mine.bits), CHUNK):
-            if (part := mine.bits[k : k + CHUNK]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], ["chunk", "bits"])
-
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("bits"), strict=True):
-                part = np.frombuffer(pa.decompress(blob.as_buffer(), CHUNK, "zstd", asbytes=True), np.uint8)
-                sums[k] = sums[k] | part if k in sums else part
-        for k, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
+        for k, blob in chunks(mine.bits, np.uint8):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
     out = Bloom.empty(n)
-    for r in ids.mapInArrow(run, "chunk int, bits binary").repartition(16, "chunk").mapInArrow(merge, "chunk int, bits binary").collect():
-        out.bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    parts = ids.mapInArrow(run, "chunk int, blob binary").withColumn("source", F.spark_partition_id())
+    for r in merged(parts, np.uint8, np.bitwise_or, ids.rdd.getNumPartitions()).collect():
+        out.bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = unpacked(bytes(r["blob"]), np.uint8)
     return out

@@ -8,24 +8,21 @@ each of several orders, and only what is left in the intersection is verified.
 
 Orders. Every order puts frequent shingles last, by the level (log2) of an estimate from
 one count sketch over the whole corpus, and differs in the pseudo-random order within a
-level. The sketch has a counter for every LOAD shingles, 2**25 at most; beyond that (some
-4 GB of text) counters hold more shingles each, and only shingles that are more frequent
-than a counter's load still go last. An estimate only decides the order: any order is right.
+level. The sketch has a counter for every LOAD shingles, 2**25 at most, which some 1.6 GB
+of text reach; beyond that counters hold more shingles each, and only shingles that are
+more frequent than a counter's load still go last. An estimate only decides the order, and
+any order gives the same links: with more text prefixes hold more frequent shingles, and
+the exact passes below have more pairs to filter.
 
 Steps, all on Spark:
 1.  Each document gives its set's size and a 128-bit signature; each task adds its sketch.
     Documents with equal sets are one class, carried on by their smallest id.
 2.  Prefix shingles of class representatives under the first order are dealt out by
     shingle; those that occur once go, the rest is a small table of postings.
-3.  Star pass: in every posting list, members are paired with the member that has the
-    shingle earliest in its prefix, filtered, verified and joined into components. This costs one pair for each
-    posting, and turns large groups of near copies into one component.
-4.  Rest pass: pairs of one posting list whose members are still in different components.
-    Where a shingle stands in a document's prefix bounds the length of its partners, from
-    below and above; members look up the bands of lengths that can hold one, and meet no
-    others of the list. Then filtered by what two documents can still share behind their
-    last common prefix shingle, by the second and third order, then verified.
-    A pair inside one component can't change a component, so no link is lost.
+3.  Star pass and rest pass over the posting lists (posting_lists.py). Where a shingle
+    stands in a document's prefix bounds the length of its partners, from below and above.
+    Pairs are filtered by what two documents can still share behind their last common
+    prefix shingle, by the second and third order, then verified.
 
 State that grows with the corpus stays in tables. Broadcast are the sketch's levels (2**25
 bytes at most) and a Bloom filter of ids (bloom.py, 2**24 bytes at most); the Bloom filter
@@ -34,7 +31,6 @@ only spares work, and ids that it lets through by mistake drop out of the joins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -42,54 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom_of
-from .graph import components
+from .posting_lists import POSTING, Rules, classes_of, hot_level, linked, repeated, texts_of
 from .shared import Shelf, free_name
-from .words import mix, shingles, words
+from .sketch import Levels, chunks, counted
+from .words import blobs, mix, run_sums, sets, shared
 
 #: Shingles to a counter of the sketch, and powers of two: the fewest and the most counters.
 LOAD, LEAST_BITS, MOST_BITS = 8, 18, 25
 #: Bytes of text to a shingle, for the size of the sketch only.
 SHINGLE_BYTES = 6
-CHUNK = 1 << 16
 #: Documents after which a task sends its counters, before 16 bits can overflow.
 FLUSH_DOCS = 30_000
 ORDERS = 3
-#: A posting list estimated at one of HOT_PART documents or more, and 2**HOT_LEVEL at least, is dealt over SALTS tasks.
-HOT_PART, HOT_LEVEL, SALTS = 1024, 12, 64
-#: Lengths of a band of the rest pass differ by this factor.
-BAND = 1.07
-POSTING = "token long, doc_id long, n int, pos int"
-
-
-class Levels:
-    """Shingle -> level of frequency, from the sketch; a byte for each counter."""
-
-    def __init__(self, levels: np.ndarray):
-        self.levels, self.shift = levels, np.uint64(64 - (len(levels).bit_length() - 1))
-
-    def key(self, h: np.ndarray, order: int) -> np.ndarray:
-        level = self.levels[h >> self.shift].astype(np.uint64)
-        return (level << np.uint64(58)) | (mix(h, order + 1) >> np.uint64(6))
-
-
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first document, sorted sets one after another, their sizes) of slices of a batch."""
-    for w in words(batch.column("text")):
-        h, counts = shingles(w, size)
-        ends = np.cumsum(counts)
-        for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-            h[a:b].sort()
-        owner = np.repeat(np.arange(len(counts)), counts)
-        keep = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
-        yield w.first, h[keep], np.bincount(owner[keep], minlength=len(counts))
-
-
-def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums modulo 2**64 of neighbouring runs of values."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
 
 
 def _signed(docs: DataFrame, size: int, shelf: Shelf) -> tuple[DataFrame, Levels]:
@@ -101,10 +61,10 @@ def _signed(docs: DataFrame, size: int, shelf: Shelf) -> tuple[DataFrame, Levels
         counts, seen = np.zeros(1 << bits, np.uint16), 0
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, h, many in _sets(batch, size):
-                np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint16(1))
+            for first, h, many in sets(batch.column("text"), size):
+                counted(counts, h)
                 rows = len(many)
-                sums = [pa.array(_sums(mix(h, seed), many).view(np.int64)) for seed in (101, 202)]
+                sums = [pa.array(run_sums(mix(h, seed), many).view(np.int64)) for seed in (101, 202)]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(many.astype(np.int64)), *sums, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.array(np.zeros(rows, bool))], names)
                 seen += rows
                 if seen > FLUSH_DOCS:
@@ -113,49 +73,17 @@ def _signed(docs: DataFrame, size: int, shelf: Shelf) -> tuple[DataFrame, Levels
         yield from sketched(counts)
 
     def sketched(counts):
-        for k in range(len(counts) // CHUNK):
-            part = counts[k * CHUNK : (k + 1) * CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([k], pa.int32()), pa.array([_squeeze(part)], pa.binary()), pa.array([True])], names)
+        for k, blob in chunks(counts, np.uint32):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([k], pa.int32()), pa.array([blob], pa.binary()), pa.array([True])], names)
 
     names = ["doc_id", "n", "sig_a", "sig_b", "chunk", "blob", "sketch"]
     signed = docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, chunk int, blob binary, sketch boolean")
-    signed = shelf.put(signed, "signed", by="sketch")
-    levels = _levels(signed.where("sketch"), bits)
+    signed = shelf.put(signed.withColumn("source", F.spark_partition_id()), "signed", by="sketch")
+    levels = Levels.of(signed.where("sketch").select("chunk", "source", "blob"), bits)
     shelf.drop("signed/sketch=true")
     return signed.where("not sketch").select("doc_id", "n", "sig_a", "sig_b"), levels
 
 
-def _squeeze(part: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 2).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _spread(blob) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(blob, CHUNK * 2, codec="zstd", asbytes=True), np.uint8).reshape(2, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint16).ravel()
-
-
-def _levels(parts: DataFrame, bits: int) -> Levels:
-    """Sums the tasks' sketches chunk by chunk, streaming; a byte for each counter comes to the driver."""
-
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                part = _spread(blob.as_buffer())
-                sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
-        for k, total in sums.items():
-            level = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "levels"])
-
-    found = parts.select("chunk", "blob").repartition(max(16, (1 << bits) // CHUNK // 4), "chunk").mapInArrow(run, "chunk int, levels binary")
-    levels = np.zeros(1 << bits, np.uint8)
-    for r in found.collect():
-        levels[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["levels"]), np.uint8)
-    return Levels(levels)
-
-
 def _prefix(keys: np.ndarray, counts: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """The prefixes of sets, whose keys stand one after another: their keys in order, and how many each has."""
     ends = np.cumsum(counts)
@@ -173,7 +101,7 @@ def _prefixes(docs: DataFrame, size: int, t: Fraction, levels, order: int) -> Da
         rank = levels.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, h, counts in _sets(batch, size):
+            for first, h, counts in sets(batch.column("text"), size):
                 keys, most = _prefix(rank.key(h, order), counts, t)
                 if len(keys):
                     place = np.arange(len(keys)) - np.repeat(np.cumsum(most) - most, most)
@@ -183,38 +111,6 @@ def _prefixes(docs: DataFrame, size: int, t: Fraction, levels, order: int) -> Da
     return docs.mapInArrow(run, POSTING)
 
 
-def _repeated(prefixes: DataFrame, hot: int) -> DataFrame:
-    """The rows whose token has another row: dealt by token, sorted within the task, neighbours compared in one stream.
-
-    Lists from level `hot` on are dealt over several tasks; their rows all stay here, and
-    those that are alone after all go where lists are counted.
-    """
-
-    def run(batches):
-        held, held_token, held_kept = None, None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token = batch.column("token").to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.append(same, False) | np.append(token[0] == held_token if held is not None else False, same)
-            keep |= (token.view(np.uint64) >> np.uint64(58)) >= hot
-            if held is not None and not held_kept and token[0] == held_token:
-                yield held
-            yield batch.filter(pa.array(keep))
-            held, held_token, held_kept = batch.slice(batch.num_rows - 1), token[-1], bool(keep[-1])
-
-    salt = F.when(F.shiftrightunsigned("token", 58) >= hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
-    rows = prefixes.repartition("token", salt).sortWithinPartitions("token")
-    return rows.mapInArrow(run, POSTING)
-
-
-def _blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Runs of 64-bit values as binary rows."""
-    offsets = np.concatenate([[0], np.cumsum(counts * 8)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
 def _bound(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
     """The most shingles that two documents can share, from their sorted prefixes under one order; 0 without a common one."""
     i = np.searchsorted(x, y)
@@ -233,28 +129,22 @@ def _overlap(nx: int, ny: int, t: Fraction) -> int:
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction, levels, shelf: Shelf, label: str) -> DataFrame:
     """The pairs (x, y) that link: prefix filters of the other orders, intersected, then the whole sets."""
-    sc = docs.sparkSession.sparkContext
-    ids = shelf.put(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), f"{label}_ids")
-    bloom = sc.broadcast(bloom_of(ids))
-    names = ["doc_id", "n", *(f"p{k}" for k in range(1, ORDERS)), "whole"]
-
     def gather(batches):
-        rank, only = levels.value, bloom.value
+        rank = levels.value
         for batch in batches:
-            batch = batch.filter(pa.array(only.has(batch.column("doc_id").to_numpy(zero_copy_only=False))))
             ids = batch.column("doc_id")
-            for first, h, counts in _sets(batch, size):
+            for first, h, counts in sets(batch.column("text"), size):
                 full = np.flatnonzero(counts)
                 if len(full):
                     cut = [_prefix(rank.key(h, k), counts, t) for k in range(1, ORDERS)]
-                    columns = [_blobs(keys, most[full]) for keys, most in cut]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + full)), pa.array(counts[full].astype(np.int32)), *columns, _blobs(h, counts[full])], schema=schema)
+                    columns = [blobs(keys, most[full]) for keys, most in cut]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + full)), pa.array(counts[full].astype(np.int32)), *columns, blobs(h, counts[full])], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), *((f"p{k}", pa.binary()) for k in range(1, ORDERS)), ("whole", pa.binary())])
-    sets = shelf.put(docs.mapInArrow(gather, f"doc_id long, n int, {', '.join(f'p{k} binary' for k in range(1, ORDERS))}, whole binary"), f"{label}_sets")
+    gathered = shelf.put(texts_of(docs, pairs, shelf, label).mapInArrow(gather, f"doc_id long, n int, {', '.join(f'p{k} binary' for k in range(1, ORDERS))}, whole binary"), f"{label}_sets")
 
     def side(s: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
+        return gathered.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
 
     def filtered(batches):
         for batch in batches:
@@ -270,11 +160,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction, levels,
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("x_whole"), batch.column("y_whole"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                i = np.searchsorted(x, y)
-                i[i == len(x)] = 0
-                both = int((x[i] == y).sum())
-                keep.append(both * t.denominator >= t.numerator * (len(x) + len(y) - both))
+                a, b = a.as_buffer(), b.as_buffer()
+                both = shared(a, b)
+                keep.append(both * t.denominator >= t.numerator * (len(a) // 8 + len(b) // 8 - both))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     cols = ["n", *(f"p{k}" for k in range(1, ORDERS))]
@@ -282,7 +170,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, t: Fraction, levels,
     found = left.join(side("x", "whole"), "x").join(side("y", "whole"), "y").mapInArrow(checked, "x long, y long").distinct()
     found = shelf.put(found, f"{label}_links")
     shelf.drop(f"{label}_sets", f"{label}_left", f"{label}_ids", label)
-    bloom.unpersist()
     return found
 
 
@@ -300,18 +187,6 @@ def _close_lengths(a, b, t: Fraction):
     return F.least(a, b).cast("long") * t.denominator >= F.greatest(a, b).cast("long") * t.numerator
 
 
-def _one_class(plain: DataFrame, classes: DataFrame, shelf: Shelf) -> DataFrame | None:
-    """Links (x, y) between the classes of an id that stands with several texts; None where no id does."""
-    several = shelf.put(plain.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id"), "several")
-    if several.isEmpty():
-        return None
-    own = plain.join(several, "doc_id", "left_semi").join(classes, ["sig_a", "sig_b", "n"]).select("doc_id", "rep").distinct()
-    own = own.unionByName(several.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", F.col("doc_id").alias("rep"))).distinct()
-    own = shelf.put(own, "own")
-    least = shelf.put(own.groupBy("doc_id").agg(F.min("rep").alias("y")), "own_least")
-    return shelf.put(own.join(least, "doc_id").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct(), "own_links")
-
-
 def _between(rows: DataFrame, t: Fraction) -> tuple:
     """The least and the greatest length that a partner of a posting's document can have, if this is their first common prefix shingle."""
     def over(a, b: int):
@@ -321,10 +196,6 @@ def _between(rows: DataFrame, t: Fraction) -> tuple:
     return over(n * t.numerator + (t.denominator - 1), t.denominator).cast("int"), (over(left * (t.numerator + t.denominator), t.numerator) - n).cast("int")
 
 
-def _band(n):
-    return F.floor(F.log(n.cast("double")) / float(np.log(BAND))).cast("int")
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, shelf: Shelf | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id.
 
@@ -343,61 +214,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = every.where("doc_id is not null")
     plain, found = _signed(every, size, shelf)
     levels = spark.sparkContext.broadcast(found)
-    hot = max(HOT_LEVEL, (plain.count() // HOT_PART).bit_length())
-    classes = plain.where("n > 0 and doc_id is not null").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = shelf.put(classes, "classes")
-
-    postings = _repeated(_prefixes(texts, size, t, levels, 0), hot)
+    classes = classes_of(plain, shelf)
+    postings = repeated(_prefixes(texts, size, t, levels, 0), hot_level(plain.count()))
     # Copies of a class leave here, exactly; the table is small by now.
     postings = postings.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     postings = shelf.put(postings.select("token", "doc_id", "n", "pos"), "postings")
-
-    # The hub is the member with the fewest rarer shingles: of near copies, the one nearest to their original.
-    hub = F.min(F.struct("pos", "doc_id", "n")).alias("hub")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), hub).where("m > 1").drop("m")
-    # Stored, so that the join deals out both sides anew and can split long lists.
-    lists = shelf.put(lists, "lists")
-    star = postings.join(lists, "token").where("doc_id <> hub.doc_id").select(
-        F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("hub.doc_id").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.pos").alias("py"),
-    ).where(_close_lengths(F.col("nx"), F.col("ny"), t))
-    star = shelf.put(_plausible(star, t), "star")
-    shelf.drop("lists")
-    links = _verified(star, texts, size, t, levels, shelf, "star")
-    if (same := _one_class(plain, classes, shelf)) is not None:
-        links = links.unionByName(same)
-    joined = shelf.put(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), shelf, "first"), "joined")
-
-    # Only lists with members of more than one component are left, and of their pairs only those between components.
-    member = postings.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    member = shelf.put(member.withColumn("band", _band(F.col("n"))), "members")
-    shelf.drop("postings")
-    spread = member.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "doc_id").alias("main")).where("lo < hi").select("token", "main")
-    spread = shelf.put(spread, "spread")
-    member = shelf.put(member.join(spread, "token"), "member")
-    shelf.drop("members", "spread")
-    low, high = _between(member, t)
-    member = member.withColumns({"low": low, "high": high})
-    odd = member.where("c <> main and low <= high").withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
-    odd = odd.select("token", "band", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"), F.col("low").alias("lx"), F.col("high").alias("hx"))
-    other = member.select("token", "band", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"), F.col("low").alias("ly"), F.col("high").alias("hy"), (F.col("c") == F.col("main")).alias("in_main"))
-    fits = F.col("ny").between(F.col("lx"), F.col("hx")) & F.col("nx").between(F.col("ly"), F.col("hy"))
-    cross = odd.join(other, ["token", "band"]).where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & fits)
-    least, most = [F.when(F.col("x") < F.col("y"), F.struct(F.col(f"{a}").alias("id"), F.col(f"n{a}").alias("n"), F.col(f"p{a}").alias("p"))).otherwise(F.struct(F.col(f"{b}").alias("id"), F.col(f"n{b}").alias("n"), F.col(f"p{b}").alias("p"))) for a, b in (("x", "y"), ("y", "x"))]
-    cross = cross.select(least.alias("l"), most.alias("h")).select(F.col("l.id").alias("x"), F.col("l.n").alias("nx"), F.col("l.p").alias("px"), F.col("h.id").alias("y"), F.col("h.n").alias("ny"), F.col("h.p").alias("py"))
-    rest = shelf.put(_plausible(cross, t), "rest")
-    shelf.drop("member")
-    if not rest.isEmpty():
-        more = _verified(rest, texts, size, t, levels, shelf, "rest")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            joined = shelf.put(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), shelf, "second"), "joined_again")
-    group = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = plain.join(group, ["sig_a", "sig_b", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    if same is not None:
-        # A text without words shares the component of its id's other texts.
-        one = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("one"))
-        out = out.join(one, "doc_id", "left").withColumn("component_id", F.col("one"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rules = Rules(lambda a, b: _close_lengths(a, b, t), lambda rows: _between(rows, t), lambda pairs: _plausible(pairs, t))
+    return linked(plain, classes, postings, rules, lambda pairs, label: _verified(pairs, texts, size, t, levels, shelf, label), shelf)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:

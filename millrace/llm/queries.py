@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .archives import archive_pages
 from .exact_dedup import radix_classes
 from .jaccard_join import jaccard_components
+from .minhash_join import minhash_components
 from .mixing import mix_plan
 from .packing import pack
 from .quality import CUT, fit_quality, held_out, with_quality
@@ -62,7 +63,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_exact_dedup, op3_packing, op4_mixing, op5_archives, op6_jaccard_join, op7_quality, op8_topk, op9_suffix_dedup, op10_toxicity)}
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_exact_dedup, op3_packing, op4_mixing, op5_archives, op6_jaccard_join, op7_quality, op8_topk, op9_suffix_dedup, op10_toxicity, op11_minhash)}
+
+
+
+def _component_sql(size: int, kept: str = "") -> str:
+    """Components of documents whose sets of `size`-word shingles reach a Jaccard similarity of 0.8."""
+    return rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+                  ELSE list_distinct(list_transform(range(1, len(ws) - {size - 2}), lambda i: array_to_string(ws[i:i + {size - 1}], ' '))) END AS ss FROM w),
+        n AS (SELECT doc_id, CAST(len(ss) AS BIGINT) AS n FROM s),
+        t AS (SELECT doc_id, unnest(ss) AS sh FROM s),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reach)
+        SELECT n.doc_id, n.n AS n_shingles, min(r.reach) AS component_id{kept} FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n"""
+
 
 SQL = {
     "op2_exact_dedup": r"""
@@ -80,18 +103,8 @@ SQL = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
         FROM b""",
-    "op6_jaccard_join": r"""
-        WITH RECURSIVE w AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-                  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS ss FROM w),
-        n AS (SELECT doc_id, CAST(len(ss) AS BIGINT) AS n FROM s),
-        t AS (SELECT doc_id, unnest(ss) AS sh FROM s),
-        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
-        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-        r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reach)
-        SELECT n.doc_id, n.n AS n_shingles, min(r.reach) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n""",
+    "op6_jaccard_join": _component_sql(5),
+    "op11_minhash": _component_sql(2, ", n.doc_id = min(r.reach) AS kept"),
     "op8_topk": r"""
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

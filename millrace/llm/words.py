@@ -126,3 +126,38 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(w.counts == k)
         out[ends[some] - 1] = sum(w.hashes[begins[some] + j] * _PLACE[j] for j in range(k)) + _PLACE[size + k]
     return mix(out), counts
+
+
+def sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first document, sorted sets of distinct shingles one after another, their sizes), slice by slice."""
+    for w in words(column):
+        h, counts = shingles(w, size)
+        ends = np.cumsum(counts)
+        for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+            h[a:b].sort()
+        owner = np.repeat(np.arange(len(counts)), counts)
+        keep = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
+        yield w.first, h[keep], np.bincount(owner[keep], minlength=len(counts))
+
+
+def run_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of neighbouring runs of values."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of values as binary rows."""
+    offsets = np.concatenate([[0], np.cumsum(counts * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def shared(x, y) -> int:
+    """How many values two sorted binary sets of 64-bit values have in common."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    i = np.searchsorted(y, x)
+    i[i == len(y)] = 0
+    return int((y[i] == x).sum()) if len(y) else 0
