@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archives import archive_pages
+from .centroids import clusters
 from .exact_dedup import radix_classes
+from .hard_negatives import hard_negatives
 from .jaccard_join import jaccard_components
 from .minhash_join import minhash_components
 from .mixing import mix_plan
@@ -67,7 +69,16 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_exact_dedup, op3_packing, op4_mixing, op5_archives, op6_jaccard_join, op7_quality, op8_topk, op9_suffix_dedup, op10_toxicity, op11_minhash)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, changed)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_exact_dedup, op3_packing, op4_mixing, op5_archives, op6_jaccard_join, op7_quality, op8_topk, op9_suffix_dedup, op10_toxicity, op11_minhash, op12_centroids, op13_hard_negatives)}
 
 
 
@@ -87,7 +98,36 @@ def _component_sql(size: int, kept: str = "") -> str:
         SELECT n.doc_id, n.n AS n_shingles, min(r.reach) AS component_id{kept} FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n"""
 
 
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """K-means of whole numbers, a few common table expressions a round."""
+    text = f"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, e) - 1 AS INT) AS c, e FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k}))"""
+    for n in range(rounds + 1):
+        text += f""",
+        a{n} AS (SELECT vec_id, v.e, min((CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), c.c)) AS best FROM (SELECT *, row_number() OVER () AS r FROM v) v, c{n} c GROUP BY r, vec_id, v.e)"""
+        if n < rounds:
+            text += f""",
+        s{n} AS (SELECT best[2] AS c, p, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT best, unnest(e) AS x, unnest(range(1, 65)) AS p FROM a{n}) GROUP BY 1, 2),
+        m{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS e FROM s{n} GROUP BY c),
+        c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.e, c{n}.e) AS e FROM c{n} LEFT JOIN m{n} USING (c))"""
+    return text + f"""
+        SELECT vec_id, best[2] AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} c ON c.c = best[2]"""
+
+
 SQL = {
+    "op12_centroids": _centroid_sql(),
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
