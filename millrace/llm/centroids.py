@@ -3,10 +3,11 @@
 A Walsh-Hadamard transform of length d multiplies squared distances by d, exactly and in
 integers. Its coefficients are ordered from coarse to fine, by the sign changes of their
 rows. The search for a vector's nearest centroid adds up squared differences of
-coefficients block by block; what is left of a distance lies between the squared
-difference and the squared sum of the two remaining norms, so that a centroid whose least
-possible distance is above another's greatest goes. The others finish all coefficients,
-which gives the exact distance; ties go to the smaller number.
+coefficients block by block. After each block the centroid that leads is finished, which
+gives a distance that the nearest can't exceed; what is left of any distance is at least
+the squared difference of the two remaining norms, so that a centroid whose least possible
+distance is strictly above the leader's goes. The others finish all coefficients, which
+gives the exact distance; ties go to the smaller number.
 
 Vectors are stored once and stay where they lie: a round broadcasts the centroids (k rows),
 and each task sends a sum and a count for each cluster, whatever the sizes of clusters are.
@@ -53,21 +54,23 @@ def nearest(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     kind = np.float64 if max(np.abs(v).max(initial=0), np.abs(c).max(initial=0)) <= DOUBLES else object
     h = walsh(dim).astype(kind)
     a, b = v.astype(kind) @ h.T, c.astype(kind) @ h.T
-    # Norms of what stands behind each coefficient, for bounds only; these are widened by more than rounding can take.
+    # Norms of what stands behind each coefficient, for bounds only; bounds are widened by more than rounding can take.
     left = [np.sqrt(np.cumsum((x.astype(float) ** 2)[:, ::-1], axis=1)[:, ::-1]) for x in (a, b)]
     r, k = (x.ravel() for x in np.indices((len(v), len(c))))
-    sums, begin = np.zeros(len(r), kind), 0
+    sums, begin, most = np.zeros(len(r), kind), 0, np.full(len(v), np.inf)
     for end in _ends(dim):
         if begin:
             sums = sums + ((a[r, begin:end] - b[k, begin:end]) ** 2).sum(axis=1)
         else:
             sums = ((a[:, :end] ** 2).sum(axis=1)[:, None] + (b[:, :end] ** 2).sum(axis=1)[None, :] - 2 * (a[:, :end] @ b[:, :end].T)).ravel()
         begin = end
-        if end < dim:
-            x, y, so_far = left[0][r, end], left[1][k, end], sums.astype(float)
-            most = np.full(len(v), np.inf)
-            np.minimum.at(most, r, (so_far + (x + y) ** 2) * (1 + 1e-9) + 1)
-            keep = (so_far + (x - y) ** 2) * (1 - 1e-9) - 1 <= most[r]
+        if end < dim and len(r):
+            so_far = sums.astype(float)
+            order = np.lexsort((so_far, r))
+            lead = order[np.searchsorted(r[order], np.arange(len(v)))]
+            finished = so_far[lead] + ((a[:, end:] - b[k[lead], end:]).astype(float) ** 2).sum(axis=1)
+            most = np.minimum(most, finished * (1 + 1e-9) + 1)
+            keep = (so_far + (left[0][r, end] - left[1][k, end]) ** 2) * (1 - 1e-9) - 1 <= most[r]
             r, k, sums = r[keep], k[keep], sums[keep]
     exact = np.array([int(x) // dim for x in sums], np.int64) if kind is object else sums.astype(np.int64) // dim
     order = np.lexsort((k, exact, r))

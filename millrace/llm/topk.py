@@ -1,20 +1,21 @@
 """Exact top-k inner products with a vector-approximation file.
 
 Vectors are made integers, floor(scale * x), and stored twice: exactly, by row number, and
-as the approximation file, one byte a component in blocks of at most BLOCK vectors. The
-byte is a cell of a fixed grid: 192 cells of one width around zero, that width a power of
-two taken from the typical size of the components, and on either side cells four times as
-wide each, up to the largest number; so one extreme vector widens no other's cells.
-
-1. The cells, and nothing else of the vectors, meet the queries, blocks against blocks.
-   A cell's corners bound every score from both sides. A pair of blocks passes on the
-   vectors whose upper bound reaches its own k-th largest lower bound.
-2. The k-th largest lower bound over all blocks is the floor of a query; vectors whose
-   upper bound is below it go.
-3. Exact vectors are fetched by row number in the order of their upper bounds, best first,
-   in rounds; a round ends when no vector is left whose bound reaches the k-th exact score.
-
-The query set is stated by a predicate; every query meets every vector's cells, in blocks.
+as the approximation file, one byte a component. The byte is a cell of a fixed grid: 192
+cells of one width around zero, that width a power of two taken from the typical size of
+the components, and on either side cells four times as wide each, up to the largest
+number; so one extreme vector widens no other's cells.
+
+1.  The cells are scanned where they lie, and nothing else of the vectors; the queries go
+    past them in bounded groups (asked.py). A cell's corners bound every score from both
+    sides. A task keeps each query's k largest lower bounds so far, and passes on the
+    vectors whose upper bound reaches the k-th of them.
+2.  The k-th largest lower bound over all tasks is the floor of a query; vectors whose
+    upper bound is below it go.
+3.  Exact vectors are fetched by row number in the order of their upper bounds, best first,
+    in rounds; a round ends when no vector is left whose bound reaches the k-th exact score.
+
+The query set is stated by a predicate; every query meets every vector's cells.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asked import answers
 from .shared import Shelf
 
-BLOCK, QUERIES = 16_384, 1_024
-#: Queries that one matrix product takes at a time.
-STRIP = 128
+#: Queries, and vectors, that one matrix product takes at a time.
+STRIP, ROWS = 128, 8192
 #: Cells of one width on either side of zero, and cells beyond them.
 LINEAR, WIDE = 96, 32
 
@@ -47,99 +48,100 @@ def bounds(step: int) -> tuple[np.ndarray, np.ndarray]:
     return (low + high) / 2, (high - low) / 2
 
 
-def _blobs(v: pa.Array, dim: int) -> np.ndarray:
-    return v.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
-
-
-def scan(cells: np.ndarray, ids: np.ndarray, step: int, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(place of the query, place of the vector, upper bound, lower bound) of what the cells of a block can't rule out, strip by strip."""
-    centre, half = bounds(step)
-    used = np.unique(cells)
-    most = float(np.abs(centre[used]).max(initial=0) + half[used].max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(cells.shape[1], 1)
-    # Half integers are exact in these types up to here; beyond, bounds are widened by more than sums can be off.
-    kind = np.float32 if most < 2**22 else np.float64
-    middle, reach = centre.astype(kind)[cells].T, half.astype(kind)[cells].T if half[used].any() else None
-    guard = most * 1e-12 if most >= 2**51 else 0.0
-    for at in range(0, len(queries), STRIP):
-        q = queries[at : at + STRIP].astype(kind)
-        score = (q @ middle).astype(float)
-        slack = (np.abs(q) @ reach).astype(float) + guard if reach is not None else guard
-        lower, upper = score - slack, score + slack
-        own = query_ids[at : at + STRIP, None] == ids[None, :]
-        lower[own] = upper[own] = -np.inf
-        floor = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
-        r, c = np.nonzero((upper >= floor[:, None]) & ~own)
-        if len(r):
-            yield r + at, c, upper[r, c], lower[r, c]
+def _matrix(column, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
+
+
+class Scan:
+    """Queries of one length, one grid, and the k largest lower bounds that each has met."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, step: int, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.centre, self.half = bounds(step)
+        self.largest = np.abs(queries).max(initial=0)
+        self.lowest = np.full((len(ids), k), -np.inf)
+
+    def of(self, cells: np.ndarray, ids: np.ndarray):
+        """(place of the query, place of the vector, upper bound, lower bound) of what cells can't rule out, strip by strip."""
+        used, k = np.unique(cells), self.k
+        most = float(np.abs(self.centre[used]).max(initial=0) + self.half[used].max(initial=0)) * float(self.largest) * max(cells.shape[1], 1)
+        # Half integers are exact in these types up to here; beyond, bounds are widened by more than sums can be off.
+        kind = np.float32 if most < 2**22 else np.float64
+        middle, reach = self.centre.astype(kind)[cells].T, self.half.astype(kind)[cells].T if self.half[used].any() else None
+        guard = most * 1e-12 if most >= 2**51 else 0.0
+        for at in range(0, len(self.queries), STRIP):
+            q, held = self.queries[at : at + STRIP].astype(kind), self.lowest[at : at + STRIP]
+            score = (q @ middle).astype(float)
+            slack = (np.abs(q) @ reach).astype(float) + guard if reach is not None else guard
+            lower, upper = score - slack, score + slack
+            own = self.ids[at : at + STRIP, None] == ids[None, :]
+            lower[own] = upper[own] = -np.inf
+            top = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k :] if len(ids) > k else lower
+            both = np.concatenate([held, top], axis=1)
+            held[:] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            r, c = np.nonzero((upper >= held.min(axis=1)[:, None]) & ~own)
+            if len(r):
+                yield r + at, c, upper[r, c], lower[r, c]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best by integer inner product, ties to smaller ids.
 
     Rows without id or vector, and vectors with a null or non-finite component, take no
-    part; only vectors of a query's own length are its candidates; rows with the query's
-    own id aren't. Rows with one id are separate candidates and one query each; a query
-    that stands in the table several times is answered once for each different vector.
+    part; only vectors of a query's own length are its candidates, empty ones (whose scores
+    are all 0) those of an empty query; rows with the query's own id aren't. Rows with one
+    id are separate candidates and one query each; a query that stands in the table several
+    times is answered once for each different vector.
     An empty table gives an empty result; other columns play no part. Scores beyond 64
     bits are outside the exact range.
     """
     spark, shelf = vectors.sparkSession, Shelf(vectors.sparkSession, "topk")
     good = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)) & (F.size("v") > 0))
+    rows = rows.where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
     exact = shelf.put(rows.select(F.monotonically_increasing_id().alias("row"), "id", "asks", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(F.lit(scale) * x)).alias("v")), "exact")
-    typical = F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.log2(1.0 + F.abs(x.cast("double")))) / F.col("dim"))
-    dims = exact.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked"), typical.alias("size"))
+    typical = F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.log2(1.0 + F.abs(x.cast("double")))) / F.greatest("dim", F.lit(1)))
+    dims = exact.groupBy("dim").agg(F.count_if("asks").alias("asked"), typical.alias("size"))
     # 192 cells hold twelve times the typical component on either side.
     step = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2((F.pow(F.lit(2.0), "size") - 1) * 12 / LINEAR)), F.lit(0))).cast("long")
-    dims = shelf.put(dims.where("asked > 0").select("dim", F.when(F.col("size") > 0, step).otherwise(F.lit(1)).alias("step"), *[F.ceil(F.col(c) / width).cast("long").alias(name) for c, width, name in (("n", BLOCK, "blocks"), ("asked", QUERIES, "strips"))]), "dims")
-    total = dims.agg(F.sum("blocks"), F.sum("strips"), F.sum(F.col("blocks") * F.col("strips"))).first()
-    if not total[0]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dims = shelf.put(dims.where("asked > 0").select("dim", F.when(F.col("size") > 0, step).otherwise(F.lit(1)).alias("step")), "dims")
 
     def approximated(batches):
-        held: dict[tuple, list] = {}
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "step")), strict=True))
-            for key in set(keys):
-                some = batch.filter(pa.array([x == key for x in keys]))
-                cells = (np.searchsorted(edges(key[2]), _blobs(some.column("v"), key[0]), "right") - 1).astype(np.uint8)
-                held.setdefault(key, []).append((some.column("row").to_numpy(), some.column("id").to_numpy(), cells))
-        for (dim, block, step), parts in held.items():
-            columns = [np.concatenate(x).tobytes() for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block]), pa.array([step]), *(pa.array([x], pa.binary()) for x in columns)], ["dim", "block", "step", "rows", "ids", "cells"])
-
-    def gathered(batches):
-        held: dict[tuple, list] = {}
+            keys = np.stack([batch.column("dim").to_numpy(), batch.column("step").to_numpy()], axis=1)
+            for dim, step in np.unique(keys, axis=0).tolist():
+                some = batch.filter(pa.array((keys == [dim, step]).all(axis=1)))
+                cells = (np.searchsorted(edges(step), _matrix(some.column("v"), dim), "right") - 1).astype(np.uint8)
+                offsets = np.arange(len(cells) + 1, dtype=np.int32) * dim
+                blobs = pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(offsets), pa.py_buffer(cells.tobytes())])
+                yield pa.RecordBatch.from_arrays([some.column("row"), some.column("id"), some.column("dim"), blobs], ["row", "id", "dim", "cells"])
+
+    cells = shelf.put(exact.join(dims, "dim").select("row", "id", "dim", "step", "v").mapInArrow(approximated, "row long, id long, dim int, cells binary"), "cells")
+    queries = exact.where("asks").groupBy("id", "v", "dim").agg(F.min("row").alias("q"))
+    queries = shelf.put(queries.join(dims, "dim"), "queries")
+
+    def scanned(asked: pa.Table, batches):
+        sides = {}
+        for dim in set(asked.column("dim").to_pylist()):
+            some = asked.filter(pa.array(asked.column("dim").to_numpy() == dim))
+            sides[dim] = some.column("q").to_numpy(), Scan(some.column("id").to_numpy(), _matrix(some.column("v"), dim), some.column("step")[0].as_py(), k)
         for batch in batches:
-            keys = list(zip(batch.column("dim").to_pylist(), batch.column("strip").to_pylist(), strict=True))
-            for key in set(keys):
-                some = batch.filter(pa.array([x == key for x in keys]))
-                held.setdefault(key, []).append((some.column("q").to_numpy(), some.column("id").to_numpy(), _blobs(some.column("v"), key[0])))
-        for (dim, strip), parts in held.items():
-            columns = [np.concatenate(x).tobytes() for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([strip]), *(pa.array([x], pa.binary()) for x in columns)], ["dim", "strip", "qs", "query_ids", "queries"])
-
-    files = exact.join(dims, "dim").withColumn("block", F.pmod(F.xxhash64("row"), "blocks")).repartition(total[0], "dim", "block")
-    files = shelf.put(files.select("row", "id", "dim", "block", "step", "v").mapInArrow(approximated, "dim int, block long, step long, rows binary, ids binary, cells binary"), "cells")
-    queries = shelf.put(exact.where("asks").groupBy("id", "v", "dim").agg(F.min("row").alias("q")), "queries")
-    strips = queries.join(dims, "dim").withColumn("strip", F.pmod(F.xxhash64("q"), "strips")).repartition(total[1], "dim", "strip")
-    strips = shelf.put(strips.select("q", "id", "dim", "strip", "v").mapInArrow(gathered, "dim int, strip long, qs binary, query_ids binary, queries binary"), "strips")
-
-    def scanned(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                one = {c: batch.column(c)[r] for c in batch.schema.names}
-                ints = lambda c, one=one: np.frombuffer(one[c].as_buffer(), np.int64)
-                dim, ids, qs, numbers = one["dim"].as_py(), ints("ids"), ints("qs"), ints("rows")
-                cells = np.frombuffer(one["cells"].as_buffer(), np.uint8).reshape(len(ids), dim)
-                for a, b, upper, lower in scan(cells, ids, one["step"].as_py(), ints("query_ids"), ints("queries").reshape(-1, dim), k):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[a], numbers[b], ids[b], upper, lower)], ["q", "row", "id", "upper", "lower"])
-
-    pairs = files.join(dims.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)).alias("strip")), "dim").join(strips, ["dim", "strip"])
-    found = pairs.drop("block", "strip").repartition(min(total[2], 10_000)).mapInArrow(scanned, "q long, row long, id long, upper double, lower double")
-    found = shelf.put(found, "scanned")
-    shelf.drop("cells", "strips")
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in sides:
+                    continue
+                own = batch.filter(pa.array(dims == dim))
+                for at in range(0, own.num_rows, ROWS):
+                    some = own.slice(at, ROWS)
+                    rows, ids = some.column("row").to_numpy(), some.column("id").to_numpy()
+                    grid = np.frombuffer(b"".join(some.column("cells").to_pylist()), np.uint8).reshape(len(ids), dim)
+                    qs, scan = sides[dim]
+                    for a, b, upper, lower in scan.of(grid, ids):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[a], rows[b], ids[b], upper, lower)], ["q", "row", "id", "upper", "lower"])
+
+    found = answers(queries, cells, "q", "8 * dim + 64", scanned, "q long, row long, id long, upper double, lower double", shelf, "scanned")
+    shelf.drop("cells")
 
     def kth(rows: DataFrame, by: str, name: str) -> DataFrame:
         """(q, name): the k-th largest value of each query that has so many."""

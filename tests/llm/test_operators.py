@@ -382,7 +382,7 @@ def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk.Shelf, "put", counted)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8).astype(np.float32)]) for i in range(300)]
-    rows += [(400, None), (420, [None] * 8), (440, [float("nan")] * 8), (460, [0.5, 0.25]), (480, [0.5, -0.5]), (None, [0.1] * 8), (20, [0.3] * 8), (500, rows[7][1]), (501, rows[7][1])]
+    rows += [(400, None), (520, []), (521, []), (540, []), (420, [None] * 8), (440, [float("nan")] * 8), (460, [0.5, 0.25]), (480, [0.5, -0.5]), (None, [0.1] * 8), (20, [0.3] * 8), (500, rows[7][1]), (501, rows[7][1])]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)), F.col("vec_id") % 20 == 0, k=10).collect()
     good = [(i, tuple(int(np.floor(64 * x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
@@ -392,6 +392,7 @@ def test_topk(spark, monkeypatch):
     assert {(r.query_id, r.vec_id, r.score) for r in found if r.query_id != 20} == want
     # Exact vectors are read for a part of the pairs only, and with wide cells in more than one round.
     pairs = 17 * 300
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found if r.query_id in (520, 540)} == {(520, 1, 521, 0), (520, 2, 540, 0), (540, 1, 520, 0), (540, 2, 521, 0)}
     assert sum(n for name, n in reads.items() if name.startswith("scored")) < pairs / 4
     reads.clear()
     wide = [(i, [float(x) * 10.0 ** (i % 5) for x in rng.normal(0, 1, 6)]) for i in range(200)] + [(1000, [1e9] * 6)]
