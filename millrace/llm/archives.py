@@ -15,10 +15,10 @@ may hold spaces (the fields are counted from the end of the line); a line that i
 header, or has no length or no date, is passed over up to the next line that is one; a
 record longer than the rest of its file, and damaged compression, end the file.
 
-Files are written by Spark's text writer with the format's own separators as line ends,
-gzip-compressed, of about FILE_BYTES before compression, and read as whole binary files,
-inflated in a stream. Which record is the response is one aggregate over digests and one
-join, on Spark.
+Files are cut by running bytes: a task gathers records up to FILE_BYTES before compression
+(or one record that is larger by itself) and hands them to Spark's text writer as one row,
+which makes one gzip-compressed file. They are read as whole binary files, inflated in a
+stream. Which record is the response is one aggregate over digests and one join, on Spark.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ ARC_DATE = "20240101000000"
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 SOURCE_HEADER = b"X-Source-Id"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Bytes of a file before compression, by the mean size of its records.
-FILE_BYTES = 256 << 20
+#: Bytes of a file before compression; a larger record has a file of its own.
+FILE_BYTES = 32 << 20
 _STEP = 1 << 20
 _FLUSH = 4 << 20
 
@@ -164,42 +164,51 @@ def _quoted(url: str | None, page) -> bytes:
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """ARC files of pages: version 1 and version 2 by turns of the task, one version to a file; each file opens with its version block."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    records = _records_a_file(rows.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0])
+    most = FILE_BYTES
 
     def run(batches):
         task = TaskContext.get().partitionId()
         version = 1 + task % 2
         about = f"{version} {1 if version == 1 else 0} millrace\n{ARC_FIELDS[version]}\n".encode()
-        out, held, count = [], 0, 0
-        for batch in batches:
-            for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                name = f"part-{task:05d}-{count // records:05d}.arc"
-                if count % records == 0:
-                    # The writer opens a file every records + 1 rows, so this is the first row of one.
-                    line = f"filedesc://{name} 0.0.0.0 {ARC_DATE} text/plain " + ("" if version == 1 else f"200 - - 0 {name} ") + str(len(about))
-                    out.append(line.encode() + b"\n" + about)
-                count += 1
-                payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                source = b"" if page is None else SOURCE_HEADER + b": %d\r\n" % page
-                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + source + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
-                more = b"" if version == 1 else b"200 " + sha1_base32(payload).encode() + b" - 0 " + name.encode() + b" "
-                out.append(_quoted(url, page) + f" 0.0.0.0 {ARC_DATE} text/html ".encode() + more + b"%d\n" % len(block) + block)
-                held += len(block)
-                if held > _FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    _write(rows.mapInArrow(run, "record binary"), path, "\n", records + 1)
+        def name(file: int) -> str:
+            return f"part-{task:05d}-{file:05d}.arc"
+
+        def opening(file: int) -> bytes:
+            line = f"filedesc://{name(file)} 0.0.0.0 {ARC_DATE} text/plain " + ("" if version == 1 else f"200 - - 0 {name(file)} ") + str(len(about))
+            return line.encode() + b"\n" + about
+
+        def records():
+            for batch in batches:
+                for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    payload = html.as_buffer().to_pybytes() if html.is_valid else b""
+                    source = b"" if page is None else SOURCE_HEADER + b": %d\r\n" % page
+                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + source + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
+                    more = b"" if version == 1 else b"200 " + sha1_base32(payload).encode() + b" - 0 " + name(0).encode() + b" "
+                    yield _quoted(url, page) + f" 0.0.0.0 {ARC_DATE} text/html ".encode() + more + b"%d\n" % len(block) + block
+
+        yield from _archived(records(), opening, b"\n", most)
 
+    _write(rows.mapInArrow(run, "file binary"), path, "\n")
 
-def _records_a_file(mean: float | None) -> int:
-    return max(1, int(FILE_BYTES / max(mean or 0.0, 1.0) + 1)) if (mean or 0) > 256 else FILE_BYTES // 256
 
+def _archived(records: Iterator[bytes], opening, end: bytes, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows that are a file each: what opens it, then records until their bytes reach `most`."""
+    held, size, files = [], 0, 0
+    for record in records:
+        if held and size + len(record) > most:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["file"])
+            held, size, files = [], 0, files + 1
+        if not held:
+            held.append(opening(files))
+        held.append(record)
+        size += len(record) + len(end)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["file"])
 
-def _write(records: DataFrame, path: str, end: str, most: int) -> None:
-    records.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", most).option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+def _write(files: DataFrame, path: str, end: str) -> None:
+    files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -254,39 +263,35 @@ def convert(spark: SparkSession, arc: str, warc: str, shelf: Shelf, least_bytes:
     response = F.max(F.struct("page_id", "record_id", "url", "date")).alias("first")
     first = read_arc(spark, arc, False).where((F.col("kind") == "response") & (F.col("n") >= least_bytes)).groupBy("digest", "n", "kind").agg(response)
     first = shelf.put(first, "responses")  # stored, so that the join can split a payload that many records share
-    most = _records_a_file(first.agg(F.avg("n")).first()[0])
     records = read_arc(spark, arc, True).where("reason is null").join(first, ["digest", "n", "kind"], "left")
     columns = ["record_id", "url", "ip", "date", "digest", "n", "kind", "mime", "head", "payload", "first"]
+    most = FILE_BYTES
 
     def run(batches):
-        count = 0
-        for batch in batches:
-            out, held = [], 0
-            for record, url, ip, date, digest, n, kind, mime, head, payload, top in zip(*(batch.column(c) for c in columns), strict=True):
-                if count % most == 0:
-                    # The writer opens a file every most + 1 rows; each begins with a warcinfo record.
-                    about = b"software: millrace\r\nformat: WARC File Format 1.1\r\n"
-                    made = uuid.uuid5(_SPACE, f"info|{TaskContext.get().partitionId()}|{record}")
-                    out.append(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{made}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n".encode() + about)
-                count += 1
-                record, top, head = record.as_py(), top.as_py(), head.as_py()
-                kept = top is None or top["record_id"] == record
-                block = head + pa.decompress(payload.as_buffer(), n.as_py(), "zstd", asbytes=True) if kept else head
-                more = "" if kept else f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:uuid:{top['record_id']}>\r\nWARC-Refers-To-Target-URI: {top['url']}\r\nWARC-Refers-To-Date: {top['date']}\r\n"
-                fields = (
-                    f"WARC/1.1\r\nWARC-Type: {kind if kept else 'revisit'}\r\nWARC-Record-ID: <urn:uuid:{record}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\n"
-                    f"WARC-IP-Address: {ip}\r\nWARC-Payload-Digest: sha1:{digest}\r\nWARC-Block-Digest: sha1:{sha1_base32(block)}\r\n{more}"
-                    f"Content-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n"
-                )
-                out.append(fields.encode() + block)
-                held += len(block)
-                if held > _FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    _write(records.select(columns).mapInArrow(run, "record binary"), warc, "\r\n\r\n", most + 1)
+        task = TaskContext.get().partitionId()
+        about = b"software: millrace\r\nformat: WARC File Format 1.1\r\n"
+
+        def opening(file: int) -> bytes:
+            made = uuid.uuid5(_SPACE, f"info|{warc}|{task}|{file}")
+            return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{made}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n".encode() + about
+
+        def made():
+            for batch in batches:
+                for record, url, ip, date, digest, n, kind, mime, head, payload, top in zip(*(batch.column(c) for c in columns), strict=True):
+                    record, top, head = record.as_py(), top.as_py(), head.as_py()
+                    kept = top is None or top["record_id"] == record
+                    block = head + pa.decompress(payload.as_buffer(), n.as_py(), "zstd", asbytes=True) if kept else head
+                    more = "" if kept else f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:uuid:{top['record_id']}>\r\nWARC-Refers-To-Target-URI: {top['url']}\r\nWARC-Refers-To-Date: {top['date']}\r\n"
+                    fields = (
+                        f"WARC/1.1\r\nWARC-Type: {kind if kept else 'revisit'}\r\nWARC-Record-ID: <urn:uuid:{record}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\n"
+                        f"WARC-IP-Address: {ip}\r\nWARC-Payload-Digest: sha1:{digest}\r\nWARC-Block-Digest: sha1:{sha1_base32(block)}\r\n{more}"
+                        f"Content-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n"
+                    )
+                    yield fields.encode() + block
+
+        yield from _archived(made(), opening, b"\r\n\r\n", most)
+
+    _write(records.select(columns).mapInArrow(run, "file binary"), warc, "\r\n\r\n")
 
 
 def warc_records(data) -> Iterator[tuple[dict[str, str], bytes]]:
