@@ -62,6 +62,11 @@ def store_messages(messages: DataFrame, target: str, number: int, now: Column) -
     store_new(message_rows(messages, now), target, ["account_id", "message_id"], number)
 
 
+def store_rejected(rows: DataFrame, target: str, number: int) -> None:
+    """Keeps lines that give no message (account_id, file, line, reason), for a person or a later program to look at."""
+    rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+
 def store_postings(sightings: DataFrame, target: str, number: int) -> None:
     """Adds a batch of accepted sightings (fingerprint, seq, ...), folded. Nothing stored is read or changed: read_postings folds the batches."""
     _write(_bucketed(fold(sightings, placed=True), ["fingerprint"]), target, number)

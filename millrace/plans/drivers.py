@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import location_matches
@@ -12,7 +12,9 @@ from ..functions.urls import any_in
 from ..operators.identity import first_per_key, insert_if_absent
 from ..operators.judge import in_age_window
 from ..operators.scrape import relevant
-from ..operators.sinks import store_messages
+from ..operators.sinks import store_messages, store_rejected
+from ..sources.landing import landed
+from ..sources.messages import normalized
 from ..stored import table_at, written
 
 #: Cards stored of one page at most, in the order of the page, after all filters.
@@ -75,22 +77,39 @@ def backfill_events(messages: DataFrame, candidates: DataFrame, excluded: list[s
     )
 
 
-def synced(messages: DataFrame, target: str, number: int, now: Column, excluded: list[str]) -> tuple[DataFrame, DataFrame]:
+def synced(messages: DataFrame, target: str, number: int, now: Column, excluded: list[str], lost: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One sync run: stores the new messages of a batch and gives (account counts, messages to parse).
 
-    `messages` are normalised ones with account_id and seq. Per account: found, ingested,
-    skipped_duplicate (stored by another batch, or a second copy here) and failed (no
-    instant, so not stored; another run finds them again). Excluded senders are stored and not parsed.
+    `messages` are normalised ones with account_id and seq; `lost` has a row (account_id) for
+    each that couldn't be read at all. Per account: found, ingested, skipped_duplicate
+    (stored by another batch, or a second copy here) and failed (lost, or without an instant,
+    so not stored; another run finds them again). Excluded senders are stored and not parsed.
     """
     messages = written(messages, "sync")
     store_messages(messages.where("received_at is not null"), target, number, now)
     stored = table_at(messages.sparkSession, target)
     new = stored.where(F.col("batch") == number).select("account_id", "message_id", "seq")
-    parts = [
-        messages.groupBy("account_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("received_at").isNull()).alias("failed")),
-        new.groupBy("account_id").agg(F.count(F.lit(1)).alias("ingested")),
-    ]
-    counts = parts[0].join(parts[1], "account_id", "left").withColumn("ingested", F.coalesce("ingested", F.lit(0)))
-    counts = counts.select("account_id", "found", "ingested", (F.col("found") - F.col("ingested") - F.col("failed")).alias("skipped_duplicate"), "failed")
+    kinds = [messages.select("account_id", F.when(F.col("received_at").isNull(), "failed").otherwise("read").alias("kind")), new.select("account_id", F.lit("ingested").alias("kind"))]
+    if lost is not None:
+        kinds.append(lost.select("account_id", F.lit("failed").alias("kind")))
+    counts = reduce(DataFrame.unionByName, kinds).groupBy("account_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("read", "ingested", "failed")])
+    counts = counts.select("account_id", (F.col("read") + F.col("failed")).alias("found"), "ingested", (F.col("read") - F.col("ingested")).alias("skipped_duplicate"), "failed")
     out = any_in(F.lower(F.coalesce("sender", F.lit(""))), excluded) if excluded else F.lit(False)
     return counts, messages.join(new, ["account_id", "message_id", "seq"], "left_semi").where(~out)
+
+
+def synced_folder(spark: SparkSession, folder: str, target: str, rejected: str, number: int, now: Column, excluded: list[str], account: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """A sync run over a landing folder: what can be read is stored, what can't goes to the table `rejected` (account_id, file, line, reason), and both are counted.
+
+    The account is a folder of the landing folder (account_id=...), or given. Every line is
+    in one of ingested, skipped_duplicate and failed.
+    """
+    rows = landed(spark, folder)
+    rows = rows if account is None else rows.withColumn("account_id", account)
+    rows = written(rows.withColumn("seq", F.monotonically_increasing_id()), "landed")
+    store_rejected(rows.where("reason is not null").select("account_id", "file", "line", "reason"), rejected, number)
+    lost = table_at(spark, rejected)
+    lost = None if lost is None else lost.where(F.col("batch") == number)
+    good = rows.where("reason is null")
+    messages = normalized(good, "account_id", "seq")
+    return synced(messages, target, number, now, excluded, lost)

@@ -6,19 +6,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import any_in
-from .messages import RAW_MESSAGE
+from .messages import is_broken, opened
 
+#: A line of a landing folder; the payload stays as its JSON text until it is opened.
+_LINE = "id string, threadId string, internalDate string, payload string, _bad string"
 
-def raw_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages with their payload (RAW_MESSAGE) from files of JSON lines, each id once.
 
-    One scan reads ids and payloads alike. Of several copies of an id one is kept; lines
-    that are no JSON, or have no id, give no message.
+def read_lines(lines: DataFrame) -> DataFrame:
+    """Lines of text files (value, and what else the reader gives) as messages: file, line, reason, id, threadId, internalDate, headers, parts.
+
+    A message is an object with an id, an instant in epoch milliseconds (none: 0) and a
+    payload of nested parts, headers at its root. What can't be read keeps its line and has
+    a reason; what can be read has neither. Blank lines are no lines. Works on streams alike.
     """
-    rows = spark.read.schema(RAW_MESSAGE).option("mode", "PERMISSIVE").json(folder).where("id is not null")
+    more = [c for c in lines.columns if c != "value"]
+    rows = lines.where(F.trim("value") != "").select(*more, F.col("_metadata.file_path").alias("file"), "value", F.from_json("value", _LINE, {"columnNameOfCorruptRecord": "_bad"}).alias("m"))
+    rows = rows.withColumn("p", opened(F.coalesce("m.payload", F.lit("{}"))))
+    reason = (
+        F.when(F.col("m").isNull() | F.col("m._bad").isNotNull() | ~F.startswith(F.ltrim("value"), F.lit("{")), "no JSON object").when(F.coalesce(F.trim("m.id"), F.lit("")) == "", "no id")
+        .when(F.col("m.internalDate").isNotNull() & F.col("m.internalDate").try_cast("long").isNull(), "date is no number").when(F.col("p").isNull(), "payload is no object")
+        .when(F.exists("p.parts", lambda x: is_broken(x["data"])), "body is no base64")
+    )
+    rows = rows.withColumn("reason", reason)
+    return rows.select(*more, "file", F.when(F.col("reason").isNotNull(), F.col("value")).alias("line"), "reason", "m.id", "m.threadId", "m.internalDate", "p.headers", "p.parts")
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """read_lines of a folder of JSON lines, with the columns that its folders name (account_id=7/...)."""
+    return read_lines(spark.read.text(folder))
+
+
+def raw_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of a folder (RAW_MESSAGE), of several copies of an id one; what can't be read is in rejected_lines()."""
+    rows = landed(spark, folder).where("reason is null").select("id", "threadId", "internalDate", "headers", "parts")
     return rows.groupBy("id").agg(F.min(F.struct(*[c for c in rows.columns if c != "id"])).alias("m")).select("id", "m.*")
 
 
+def rejected_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, line, reason) of the lines that give no message."""
+    return landed(spark, folder).where("reason is not null").select("file", "line", "reason")
+
+
 def lookback_query(after: int, excluded: list[str] | None = None, category: str = "updates") -> str:
     """A mailbox search for what came after an instant in epoch seconds: its category, if one is named, and no excluded sender."""
     return " ".join([f"after:{after}", *([f"category:{category}"] if category else []), *(f"-from:{d}" for d in excluded or [])])

@@ -21,19 +21,71 @@ from .stored import fresh_path, spread, table_at, written
 _LONG = "'Subject ' || repeat('ab', 600)"
 
 
-@query("SELECT conv_id || ':' || turn AS message_id, role || '@x.org' AS sender, 'Turn ' || turn AS subject, (1700000000000 + conv_id * 1000) * 1000 AS received_us, text AS plain_text FROM conversations WHERE text <> ''")
-def a1_a2_message_scan(spark, sf_dir):
-    """Turns of conversations as a landing folder of JSON messages, each twice, read back once."""
+def _leaf(mime: str, text):
+    """A node of a payload without parts; its data is base64url, padding stripped."""
+    data = F.regexp_replace(F.translate(F.base64(text.cast("binary")), "+/", "-_"), r"[=\s]", "")
+    return F.to_json(F.struct(F.lit(mime).alias("mimeType"), F.struct(data.alias("data")).alias("body")))
+
+
+def _conversation_lines(spark, sf_dir):
+    """(conv_id, turn, account_id, value): turns of conversations as lines of a landing folder. By turns the payload nests plain text and html three deep, has html only, or is plain text itself."""
     c = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text <> ''"))
-    data = F.regexp_replace(F.translate(F.base64(F.col("text").cast("binary")), "+/", "-_"), r"[=\s]", "")
-    head = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    raw = c.select(
-        F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("id"), F.lit("t").alias("threadId"), (F.lit(1_700_000_000_000) + F.col("conv_id") * 1000).cast("string").alias("internalDate"),
-        F.array(head("from", F.concat("role", F.lit("@x.org"))), head("Subject", F.concat(F.lit("Turn "), F.col("turn").cast("string")))).alias("headers"), F.array(F.struct(F.lit("text/plain").alias("mime_type"), data.alias("data"))).alias("parts"),
-    )
-    folder = fresh_path(spark, "landing")
-    raw.unionByName(raw).select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
-    return M.normalized(A.raw_messages(spark, folder)).select("message_id", "sender", "subject", F.unix_micros("received_at").alias("received_us"), "plain_text")
+    conv, turn, role = F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("role")
+    html = F.concat(F.lit("<html><body><p>From <b>"), role, F.lit("</b></p><div>turn "), turn, F.lit('<br><a href="https://x.org/'), conv, F.lit('">see</a></div></body></html>'))
+    heads = F.to_json(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("from", F.concat(role, F.lit("@x.org"))), ("Subject", F.concat(F.lit("Turn "), turn)))]))
+    many = lambda kind, *parts: F.concat(F.lit(f'"mimeType": "multipart/{kind}", "parts": ['), F.concat_ws(", ", *parts), F.lit("]"))
+    nested = many("mixed", F.concat(F.lit("{"), many("related", F.concat(F.lit("{"), many("alternative", _leaf("text/plain", F.col("text")), _leaf("text/html", html)), F.lit("}")), _leaf("image/png", role)), F.lit("}")), _leaf("application/pdf", role))
+    only = many("alternative", _leaf("text/html", html))
+    flat = F.regexp_replace(_leaf("text/plain", F.concat("text", F.lit(" (https://x.org/p"), conv, F.lit(")."))), r"^\{|\}$", "")
+    payload = F.concat(F.lit('{"headers": '), heads, F.lit(", "), F.when(F.col("turn") % 3 == 0, nested).when(F.col("turn") % 3 == 1, only).otherwise(flat), F.lit("}"))
+    line = F.concat(F.lit('{"id": "'), conv, F.lit(":"), turn, F.lit('", "threadId": "t", "internalDate": "'), (F.lit(1_700_000_000_000) + F.col("conv_id") * 1000).cast("string"), F.lit('", "payload": '), payload, F.lit("}"))
+    return c.select("conv_id", "turn", (F.col("conv_id") % 3).alias("account_id"), line.alias("value"))
+
+
+@query("""SELECT conv_id || ':' || turn AS message_id, role || '@x.org' AS sender, 'Turn ' || turn AS subject, (1700000000000 + conv_id * 1000) * 1000 AS received_us,
+    CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'From ' || role || chr(10) || 'turn ' || turn || chr(10) || 'see' ELSE text || ' (https://x.org/p' || conv_id || ').' END AS plain_text,
+    CASE turn % 3 WHEN 2 THEN 'https://x.org/p' || conv_id || ' ' ELSE 'https://x.org/' || conv_id || ' see' END AS links FROM conversations WHERE text <> ''""")
+def a1_a2_message_scan(spark, sf_dir):
+    """A landing folder of JSON messages with nested payloads, each twice, read back once."""
+    folder, lines = fresh_path(spark, "landing"), _conversation_lines(spark, sf_dir).select("value")
+    lines.unionByName(lines).write.text(folder)
+    m = M.normalized(A.raw_messages(spark, folder))
+    return m.select("message_id", "sender", "subject", F.unix_micros("received_at").alias("received_us"), "plain_text", F.array_join(F.transform("links", lambda x: F.concat(x["url"], F.lit(" "), x["anchor_text"])), "|").alias("links"))
+
+
+#: What makes a line of the folder unreadable, by its number: each cuts or changes the line.
+_SPOILT = [(11, "no JSON object"), (13, "no id"), (17, "date is no number"), (19, "payload is no object"), (23, "body is no base64")]
+_REASON = "CASE " + " ".join(f"WHEN (conv_id * 31 + turn) % {k} = 0 THEN '{r}'" for k, r in _SPOILT) + " END"
+
+
+def _spoilt_folder(spark, sf_dir):
+    """The same lines with some spoilt, the first turn of each conversation twice, and blank lines between."""
+    k, v = F.col("conv_id") * 31 + F.col("turn"), F.col("value")
+    ways = [F.substring(v, 1, 40), F.regexp_replace(v, '"id": "[^"]*", ', ""), F.regexp_replace(v, '"internalDate": "[0-9]*"', '"internalDate": "soon"'), F.regexp_replace(v, '"payload": .*$', '"payload": "none"}'), F.regexp_replace(v, '"data": ?"[^"]*"', '"data": "A"')]
+    spoilt = F.coalesce(*[F.when(k % n == 0, way) for (n, _), way in zip(_SPOILT, ways, strict=True)], v)
+    folder, lines = fresh_path(spark, "landing"), _conversation_lines(spark, sf_dir).withColumn("value", spoilt)
+    twice = lines.unionByName(lines.where("turn = 0")).select("account_id", F.explode(F.array("value", F.lit("  "))).alias("value"))
+    twice.write.partitionBy("account_id").text(folder)
+    return folder
+
+
+@query(f"""WITH l AS (SELECT *, conv_id % 3 AS account_id, {_REASON} AS reason FROM conversations WHERE text <> ''), t AS (SELECT * FROM l UNION ALL SELECT * FROM l WHERE turn = 0),
+    g AS (SELECT account_id, count(*) AS found, count(*) FILTER (reason IS NOT NULL) AS failed, count(DISTINCT CASE WHEN reason IS NULL THEN conv_id || ':' || turn END) AS fresh, count(DISTINCT CASE WHEN reason IS NULL AND conv_id % 4 = 0 THEN conv_id || ':' || turn END) AS old FROM t GROUP BY 1)
+    SELECT account_id, found, fresh - old AS ingested, found - failed - fresh + old AS skipped_duplicate, failed FROM g""")
+def i11_folder_sync(spark, sf_dir):
+    """A sync run over a folder with broken lines, of which a part is stored already: every line is ingested, a duplicate or failed."""
+    folder, target, rejected, now = _spoilt_folder(spark, sf_dir), fresh_path(spark, "synced"), fresh_path(spark, "rejected"), F.lit("2024-01-01").cast("timestamp")
+    earlier = A.landed(spark, folder).where("reason is null and cast(split(id, ':')[0] as long) % 4 = 0")
+    K.store_messages(M.normalized(earlier, "account_id").withColumn("seq", F.lit(0).cast("long")), target, 0, now)
+    counts = R.synced_folder(spark, folder, target, rejected, 1, now, ["example.org"])[0]
+    return counts.select(F.col("account_id").cast("long"), "found", "ingested", "skipped_duplicate", "failed")
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT *, {_REASON} AS reason FROM conversations WHERE text <> '' UNION ALL SELECT *, {_REASON} FROM conversations WHERE text <> '' AND turn = 0) WHERE reason IS NOT NULL GROUP BY 1")
+def a1_rejected_lines(spark, sf_dir):
+    """Lines that give no message, by reason; each keeps its file and text."""
+    rows = A.rejected_lines(spark, _spoilt_folder(spark, sf_dir)).where("file is not null and line is not null")
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {CANDIDATES} SELECT seq FROM cand WHERE floor(epoch_us(received_at) / 1000000) >= floor((SELECT max(epoch_us(received_at)) FROM cand) / 1000000 - 100 * 3600) AND NOT contains(lower(sender), 'example.org')")

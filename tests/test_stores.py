@@ -21,13 +21,21 @@ def test_text_of_pages(spark):
 
 def test_landing_folder(spark, tmp_path):
     (tmp_path / "m").mkdir()
-    (tmp_path / "m" / "1.json").write_text('{"id": "a", "internalDate": "x", "headers": []}\n{bad\n{"id": "b"}\n{"id": "a", "internalDate": "x", "headers": []}\n{"threadId": "c"}\n')
-    got = {r.id: r for r in A.raw_messages(spark, f"file://{tmp_path}/m").collect()}
-    assert set(got) == {"a", "b"}
+    lines = ['{"id": "a", "internalDate": "x"}', "{bad", '{"id": "b"}', "", '{"id": "b", "payload": {"parts": 3}}', '{"threadId": "c"}', "[1]", '{"id": "d", "payload": "x"}', '{"id": "e", "payload": {"body": {"data": "A"}}}', '{"id": "f", "internalDate": 5, "payload": {"headers": [{"name": "FROM", "value": "x@y"}, 7], "body": {"data": "_-8="}, "mimeType": "text/plain"}}']
+    (tmp_path / "m" / "1.json").write_text("\n".join(lines))
+    folder = f"file://{tmp_path}/m"
+    got = {r.id: r for r in A.raw_messages(spark, folder).collect()}
+    assert set(got) == {"b", "f"}
+    bad = {r.line: r.reason for r in A.rejected_lines(spark, folder).collect()}
+    assert bad == dict(zip([lines[k] for k in (0, 1, 5, 6, 7, 8)], ["date is no number", "no JSON object", "no id", "no JSON object", "payload is no object", "body is no base64"], strict=True))
     from millrace.sources.messages import normalized
 
-    at = {r.message_id: str(r.received_at) for r in normalized(A.raw_messages(spark, f"file://{tmp_path}/m")).collect()}
-    assert at == {"a": "None", "b": "1970-01-01 00:00:00"}
+    at = {r.message_id: (str(r.received_at), r.sender, r.plain_text) for r in normalized(A.raw_messages(spark, folder)).collect()}
+    assert at == {"b": ("1970-01-01 00:00:00", "", ""), "f": ("1970-01-01 00:00:00.005000", "x@y", "\ufffd\ufffd")}
+    target, rejected, now = f"file://{tmp_path}/t", f"file://{tmp_path}/r", F.lit("2024-01-01").cast("timestamp")
+    counts = [tuple(R.synced_folder(spark, folder, target, rejected, n, now, [], F.lit(7))[0].first()) for n in (0, 0, 1)]
+    assert counts == [(7, 9, 2, 1, 6), (7, 9, 2, 1, 6), (7, 9, 0, 3, 6)]
+    assert table_at(spark, rejected).count() == 12 and table_at(spark, target).count() == 2
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "jobs-1.html").write_text("<p>x</p>")
     assert [(r.page_id, r.html) for r in A.saved_pages(spark, f"file://{tmp_path}/p").collect()] == [("jobs-1", "<p>x</p>")]
