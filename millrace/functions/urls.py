@@ -38,35 +38,54 @@ def _words(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def kept_params(query: Column, url: Column, platform: Column | None = None) -> Column:
+def kept_params(query: Column, url: Column, platform: Column | None = None, rule: Column | None = None) -> Column:
     """The query string without tracking parameters, sorted by decoded name and value, encoded again."""
     pairs = F.filter(F.split(query, "&"), lambda x: x != "")
     decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
     pairs = F.transform(pairs, lambda x: F.struct(decoded(F.regexp_extract(x, "^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("v")))
-    required = F.coalesce(_pick(url, platform, lambda p: _words(p.required)), _words(()))
-    noise = F.coalesce(_pick(url, platform, lambda p: _words([*rules.TRACKING_PARAMS, *p.tracking])), _words(rules.TRACKING_PARAMS))
+    if rule is None:
+        required = F.coalesce(_pick(url, platform, lambda p: _words(p.required)), _words(()))
+        noise = F.coalesce(_pick(url, platform, lambda p: _words([*rules.TRACKING_PARAMS, *p.tracking])), _words(rules.TRACKING_PARAMS))
+    else:
+        required, noise = F.coalesce(rule["required"], _words(())), F.concat(_words(rules.TRACKING_PARAMS), F.coalesce(rule["tracking"], _words(())))
     kept = F.filter(pairs, lambda x: F.array_contains(required, F.lower(x["k"])) | ~(F.startswith(F.lower(x["k"]), F.lit("utm_")) | F.array_contains(noise, F.lower(x["k"]))))
     encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
     return F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat(encoded(x["k"]), F.lit("="), encoded(x["v"]))), "&")
 
 
-def canonical_url(url: Column, platform: Column | None = None) -> Column:
-    """One spelling for all URLs of a posting: no tracking, fragment, alias path, doubled or last slash; lower-case scheme and host."""
+def canonical_url(url: Column, platform: Column | None = None, rule: Column | None = None) -> Column:
+    """One spelling for all URLs of a posting: no tracking, fragment, alias path, doubled or last slash; lower-case scheme and host.
+
+    The URL rules are those of the named platform, else of the first whose domain is in the
+    URL; `rule` is a struct of them from a platform table (platforms.with_platform).
+    """
     url = _trim(url)
     scheme, host, path, query = [F.regexp_extract(url, _PARTS, k) for k in (1, 2, 3, 4)]
     scheme, host = F.lower(scheme), F.lower(host)
     name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", "")
-    fixed = _pick(url, platform, lambda p: F.lit(None).cast("string") if p.host is None else F.when((name == p.domain) | F.endswith(name, F.lit(f".{p.domain}")), F.lit(p.host)))
-    alias = _pick(url, platform, lambda p: F.lit(False) if p.alias is None else F.lit(True))
-    path = F.when(F.coalesce(alias, F.lit(False)), F.regexp_replace(path, r"^(.*?)/comm/", "$1/")).otherwise(path)
+    if rule is None:
+        fixed = _pick(url, platform, lambda p: F.lit(None).cast("string") if p.host is None else F.when((name == p.domain) | F.endswith(name, F.lit(f".{p.domain}")), F.lit(p.host)))
+        alias = _pick(url, platform, lambda p: F.lit(False) if p.alias is None else F.lit(True))
+        path = F.when(F.coalesce(alias, F.lit(False)), F.regexp_replace(path, r"^(.*?)/comm/", "$1/")).otherwise(path)
+    else:
+        domain = F.lower(rule["domain"])
+        fixed = F.when((name == domain) | F.endswith(name, F.concat(F.lit("."), domain)), rule["host"])
+        # The first alias path in it becomes a slash.
+        cut = F.coalesce(F.position(rule["alias"], path), F.lit(0))
+        path = F.when(cut > 0, F.concat(F.substring(path, F.lit(1), cut), F.substring(path, cut + F.length(rule["alias"]), F.length(path)))).otherwise(path)
     path = F.regexp_replace(path, "/{2,}", "/")
     path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    params = kept_params(query, url, platform)
+    params = kept_params(query, url, platform, rule)
     whole = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), F.coalesce(fixed, host))).otherwise(""), path, F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))
     return F.when((scheme == "") & (host == ""), url).otherwise(whole)
 
 
-def job_id(url: Column, platform: Column | None = None) -> Column:
+def job_id(url: Column, platform: Column | None = None, rule: Column | None = None) -> Column:
+    """The posting's id in a URL, by the first pattern of its platform that finds one; null for none."""
+    if rule is not None:
+        found = F.filter(F.transform(rule["id_patterns"], lambda p: F.call_function("regexp_extract", url, p, F.lit(1))), lambda x: x != "")
+        return F.try_element_at(found, F.lit(1))
+
     def first(p):
         return F.coalesce(*[F.nullif(F.regexp_extract(url, pattern, 1), F.lit("")) for pattern in p.id_patterns])
 
@@ -153,6 +172,12 @@ def _inner(host: str | None) -> bool | None:
     return at.is_loopback or at.is_private or at.is_link_local or at.is_reserved or at.is_multicast
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and brackets; empty for none."""
+    name = F.regexp_replace(F.lower(F.regexp_extract(_trim(url), _PARTS, 2)), "^.*@", "")
+    return F.when(F.startswith(name, F.lit("[")), F.regexp_extract(name, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(name, r":\d*$", ""))
+
+
 def unsafe_reason(url: Column) -> Column:
     """Why a URL must not be followed; null where nothing speaks against it. Names aren't looked up: of hosts, the blocked ones and addresses in figures are judged."""
 
@@ -161,9 +186,7 @@ def unsafe_reason(url: Column) -> Column:
         return pa.array([None if h is None else _inner(h) for h in hosts.to_pylist()], pa.bool_())
 
     url = F.coalesce(_trim(url), F.lit(""))
-    scheme, place = F.lower(F.regexp_extract(url, _PARTS, 1)), F.lower(F.regexp_extract(url, _PARTS, 2))
-    name = F.regexp_replace(place, "^.*@", "")
-    host = F.when(F.startswith(name, F.lit("[")), F.regexp_extract(name, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(name, r":\d*$", ""))
+    scheme, host = F.lower(F.regexp_extract(url, _PARTS, 1)), host_of(url)
     figures = F.when(host.rlike(r"^[0-9.]+$|:"), host)
     return (
         F.when(~scheme.isin("http", "https"), "scheme is not http or https").when(host == "", "no host").when(host.isin(sorted(BLOCKED_HOSTS)), "blocked host")

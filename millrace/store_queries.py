@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .functions import urls as U
+from .operators import addresses as N
 from .operators import judge as J
+from .operators import platforms as T
+from .operators import rule_join as H
 from .operators import scrape as S
 from .operators import sinks as K
 from .plans import drivers as R
@@ -16,6 +19,7 @@ from .registry import listed, picked, query
 from .sources import landing as A
 from .sources import messages as M
 from .sources.html import rendered
+from .streaming import ingest as I
 from .stored import fresh_path, spread, table_at, written
 
 _LONG = "'Subject ' || repeat('ab', 600)"
@@ -81,6 +85,17 @@ def i11_folder_sync(spark, sf_dir):
     return counts.select(F.col("account_id").cast("long"), "found", "ingested", "skipped_duplicate", "failed")
 
 
+@query("SELECT conv_id || ':' || turn AS message_id, conv_id % 3 AS account_id, role || '@x.org' AS sender, (1700000000000 + conv_id * 1000) * 1000 AS received_us FROM conversations WHERE text <> ''")
+def i5_landing_stream(spark, sf_dir):
+    """A stream over a landing folder that is stopped, gets more files, some lines of them again, and goes on from its checkpoint."""
+    folder, target, checkpoint = (fresh_path(spark, n) for n in ("landing", "streamed", "checkpoint"))
+    lines = written(_conversation_lines(spark, sf_dir), "lines")
+    for part in (lines.where("turn % 2 = 0"), lines):
+        part.select("account_id", "value").write.mode("append").partitionBy("account_id").text(folder)
+        I.append(I.landing_messages(spark, folder, 24), target, checkpoint).awaitTermination()
+    return table_at(spark, target).select("message_id", F.col("account_id").cast("long"), "sender", F.unix_micros("received_at").alias("received_us"))
+
+
 @query(f"SELECT reason, count(*) AS n FROM (SELECT *, {_REASON} AS reason FROM conversations WHERE text <> '' UNION ALL SELECT *, {_REASON} FROM conversations WHERE text <> '' AND turn = 0) WHERE reason IS NOT NULL GROUP BY 1")
 def a1_rejected_lines(spark, sf_dir):
     """Lines that give no message, by reason; each keeps its file and text."""
@@ -114,19 +129,38 @@ def c4_registered_parser(spark, sf_dir):
     return P.candidates(spark, sf_dir).select("seq", U.parser_of(F.col("sender"), parsers).alias("parser"))
 
 
-_HOPS = [
-    ("https://example.org/a?b", None), ("ftp://example.org/", "scheme is not http or https"), ("http:///path", "no host"), ("http://LOCALHOST:80/", "blocked host"), ("https://u:p@127.0.0.1/x", "internal or private address"),
-    ("http://[::1]:8080/", "internal or private address"), ("http://10.2.3.4", "internal or private address"), ("http://8.8.8.8/", None), ("http://169.254.169.254/latest", "internal or private address"), ("https://[2606:4700::1111]/", None),
-    ("http://224.0.0.1/", "internal or private address"), ("mailto:a@b", "scheme is not http or https"), ("http://[fe80::1]/", "internal or private address"),
+#: Ways to write a URL around a number, and why it must not be followed.
+_HOSTS = [
+    ("'https://example.org/' || {k} || '?b'", None), ("'ftp://example.org/' || {k}", "scheme is not http or https"), ("'http:///path' || {k}", "no host"), ("'http://LOCALHOST:' || {k} || '/'", "blocked host"),
+    ("'https://u:p@127.0.0.' || ({k} % 256) || '/x'", "internal or private address"), ("'http://[::ffff:10.0.0.' || ({k} % 256) || ']:8080/'", "internal or private address"), ("'http://10.2.' || ({k} % 256) || '.4'", "internal or private address"),
+    ("'http://8.8.' || ({k} % 256) || '.8/'", None), ("'http://169.254.' || ({k} % 256) || '.254/latest'", "internal or private address"), ("'https://[2606:4700::' || ({k} % 1000) || ']/'", None),
+    ("'http://224.0.' || ({k} % 256) || '.1/'", "internal or private address"), ("'mailto:a' || {k} || '@b'", "scheme is not http or https"), ("'http://[fe80::' || ({k} % 1000) || ']/'", "internal or private address"),
 ]
+_HOST_URL = "CASE {k} % " + str(len(_HOSTS)) + " " + " ".join(f"WHEN {i} THEN {u}" for i, (u, _) in enumerate(_HOSTS)) + " END"
 
 
-@query(f"SELECT event_id, {picked([u for u, _ in _HOPS], 'event_id')} AS url, NULLIF({picked([r or '' for _, r in _HOPS], 'event_id')}, '') AS reason FROM events")
+@query(f"SELECT event_id, {_HOST_URL.format(k='event_id')} AS url, NULLIF({picked([r or '' for _, r in _HOSTS], 'event_id')}, '') AS reason FROM events")
 def c15_safe_urls(spark, sf_dir):
-    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", F.element_at(F.array(*[F.lit(u) for u, _ in _HOPS]), (F.col("event_id") % len(_HOPS) + 1).cast("int")).alias("url"))
+    """URLs whose hosts and addresses vary with the event."""
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", F.expr(_HOST_URL.format(k="event_id")).alias("url"))
     return e.withColumn("reason", U.unsafe_reason(F.col("url")))
 
 
+_ADDRESS = "CASE user_id % 6 WHEN 0 THEN '10.' || (user_id % 256) || '.0.1' WHEN 1 THEN '93.184.' || (user_id % 256) || '.34' WHEN 2 THEN '2606:2800::' || user_id WHEN 3 THEN 'fd00::' || user_id WHEN 4 THEN '172.' || (user_id % 64) || '.1.1' END"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), a AS (SELECT user_id, {_ADDRESS} AS address FROM u)
+    SELECT 'https://User' || user_id || '.example.org:8443/x' AS url, CASE WHEN address IS NULL THEN 'host has no address' WHEN user_id % 6 IN (0, 3) OR (user_id % 6 = 4 AND user_id % 64 BETWEEN 16 AND 31) OR user_id % 12 = 1 THEN 'internal or private address' END AS reason FROM a""")
+def c15_resolved_addresses(spark, sf_dir):
+    """Hosts of users with the addresses they resolve to, some of them with a second one that is private."""
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    host = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(".example.org"))
+    addresses = e.select("user_id", host.alias("host"), F.expr(_ADDRESS).alias("address")).where("address is not null")
+    addresses = addresses.select("host", "address").unionByName(e.where("user_id % 12 = 1").select(host.alias("host"), F.lit("192.168.7.7").alias("address")))
+    urls = e.select(F.concat(F.lit("https://User"), F.col("user_id").cast("string"), F.lit(".example.org:8443/x")).alias("url"))
+    return N.resolved_reason(urls, addresses, N.networks(spark))
+
+
 _URL = "CASE WHEN {k} % 16 = 6 THEN 'http://10.0.0.' || ({k} % 200) ELSE 'https://x.org/' || {k} END"
 
 
@@ -308,3 +342,43 @@ def a9_rule_table(spark, sf_dir):
     rows = [(k, name, name != "AI", w, False) for k, name in enumerate(("PHP", "AI", "Backend", "Python")) for w in rules.CATEGORIES[name]] + [(3, "Python", True, "senior", True)]
     wanted, negative = J.rule_tables(written(spark.createDataFrame(rows, "id int, name string, enabled boolean, keyword string, negative boolean"), "rules"))
     return P.candidates(spark, sf_dir).select("seq", F.array_join(J.categories(F.col("title"), F.lit(None).cast("string"), wanted, negative), ",").alias("cats"))
+
+
+_BOARD = ("board", "Greenhouse.io", 5, ["board_id"], ["gh_src"], "/embed/", ["/jobs/([0-9]+)", "board_id=([0-9]+)"], "boards.greenhouse.io", True)
+
+
+@query(f"""WITH {CANDIDATES}, k AS (SELECT seq, n, n % 5 = 0 AS board, clean, job FROM cand)
+    SELECT seq, CASE WHEN board THEN 'board' WHEN n % 4 = 3 THEN 'indeed' ELSE 'linkedin' END AS slug, CASE WHEN board THEN 'https://boards.greenhouse.io/acme/jobs/' || n || '?b=2' ELSE clean END AS job_url,
+        CASE WHEN board THEN CAST(n AS VARCHAR) WHEN n % 4 = 3 THEN 'j' || job ELSE CAST(1000000 + CAST(job AS BIGINT) AS VARCHAR) END AS job_id FROM k""")
+def u1_u5_platform_table(spark, sf_dir):
+    """Platforms as rows, a fifth among them: canonical URLs and ids by the rules that are joined to each URL."""
+    n = F.col("seq")
+    board = F.concat(F.lit("HTTPS://x.greenhouse.io:443/embed/acme//jobs/"), n.cast("string"), F.lit("/?gh_src=1&utm_source=z&b=2"))
+    c = P.candidates(spark, sf_dir).select("seq", F.when(n % 5 == 0, board).otherwise(F.col("url")).alias("url"))
+    platforms = T.platform_table(spark).unionByName(spark.createDataFrame([_BOARD], T.SCHEMA))
+    rows = T.with_platform(c, platforms, "seq", "url")
+    rows = rows.withColumn("job_url", U.canonical_url(F.col("url"), rule=F.col("platform")))
+    return rows.select("seq", "platform.slug", "job_url", U.job_id(F.col("job_url"), rule=F.col("platform")).alias("job_id"))
+
+
+_KEYWORDS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents),
+    r AS (SELECT doc_id, doc_id % 50 AS category_id, w[1] AS keyword, CASE WHEN doc_id % 70 = 0 THEN 'negative' ELSE 'exact' END AS match_type FROM w WHERE len(w) >= 3
+        UNION ALL SELECT doc_id, doc_id % 50, w[2] || ' ' || w[3], CASE WHEN doc_id % 35 = 0 THEN 'negative' ELSE 'word_boundary' END FROM w WHERE len(w) >= 3)"""
+
+
+@query(rf"""WITH {_KEYWORDS}, d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_ ]', '|', 'g') || ' ' AS t FROM documents),
+    t AS (SELECT doc_id, t, unnest(list_distinct(string_split_regex(t, '[ |]+'))) AS token FROM d),
+    h AS (SELECT DISTINCT t.doc_id, r.category_id, r.match_type FROM t JOIN r ON t.token = split_part(r.keyword, ' ', 1) WHERE r.category_id % 10 <> 3
+        AND (contains(t.t, ' ' || r.keyword || ' ') OR contains(t.t, ' ' || r.keyword || '|') OR contains(t.t, '|' || r.keyword || ' ') OR contains(t.t, '|' || r.keyword || '|'))),
+    k AS (SELECT doc_id, category_id FROM h GROUP BY ALL HAVING count(*) FILTER (match_type = 'negative') = 0),
+    g AS (SELECT doc_id, string_agg('c' || category_id, ',' ORDER BY category_id) AS cats FROM k GROUP BY 1)
+    SELECT doc_id, coalesce(cats, '') AS cats FROM documents LEFT JOIN g USING (doc_id)""")
+def h1_h3_rule_join(spark, sf_dir):
+    """Two keywords from each document, fifty categories of which some are switched off: all documents against all of them."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w")).where("size(w) >= 3")
+    kinds = [("w[0]", 70, "exact"), ("concat(w[1], ' ', w[2])", 35, "word_boundary")]
+    keywords = [words.select((F.col("doc_id") % 50).alias("category_id"), F.expr(k).alias("keyword"), F.when(F.col("doc_id") % n == 0, "negative").otherwise(kind).alias("match_type")) for k, n, kind in kinds]
+    keywords = written(keywords[0].unionByName(keywords[1]).distinct(), "keywords")
+    categories = keywords.select(F.col("category_id").alias("id")).distinct().select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"), (F.col("id") % 10 != 3).alias("enabled"))
+    return H.classified(docs, categories, keywords, "doc_id", "text").select("doc_id", F.array_join("categories", ",").alias("cats"))
