@@ -16,6 +16,8 @@ from .words import mix
 
 #: Powers of two: the fewest bits, and the most (2**27 bits, 16 MB).
 LEAST_BITS, MOST_BITS = 20, 27
+#: Ids up to which one in seventy of the others passes.
+CAPACITY = 1 << (MOST_BITS - 4)
 
 
 class Bloom:
@@ -42,9 +44,9 @@ class Bloom:
         return ((self.bits[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (self.bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def bloom_of(ids: DataFrame) -> Bloom:
-    """A filter of the ids of a stored one-column table: tasks send the parts of their bits that aren't zero."""
-    n = ids.count()
+def bloom_of(ids: DataFrame, n: int | None = None) -> Bloom:
+    """A filter of the `n` ids of a stored one-column table: tasks send the parts of their bits that aren't zero."""
+    n = ids.count() if n is None else n
 
     def run(batches):
         mine = Bloom.empty(n)

@@ -2,14 +2,14 @@
 
 A signature has COORDINATES values: under each of as many hash functions, the smallest hash
 of the document's distinct word shingles. Two documents agree in a coordinate with the
-probability of their Jaccard similarity, so documents that reach 0.8 agree in 51 of 64 on
-average and in fewer than MATCHES = 32 with a probability of 6 in a thousand million.
+probability of their Jaccard similarity, so documents that reach 0.8 agree in 102 of 128 on
+average and in fewer than MATCHES = 77 with a probability of 8 in a hundred million.
 
 1.  Documents with equal sets are one class, by a 128-bit signature of the whole set; its
     smallest id carries the signature on.
 2.  A pair (coordinate, value) is a token. One count sketch over all tokens gives a global
-    order, frequent tokens last. A document is posted under the first PREFIX of its tokens:
-    two that agree in MATCHES coordinates share at least MATCHES - (COORDINATES - PREFIX)
+    order, frequent tokens last. A document is posted under the first PREFIX =
+    COORDINATES - MATCHES + 1 of its tokens: two that agree in MATCHES coordinates share one
     of them. Tokens that the sketch has seen once are in no second document: they take
     their place in the order and aren't posted, and a document with more than
     COORDINATES - MATCHES of them isn't posted at all.
@@ -17,6 +17,13 @@ average and in fewer than MATCHES = 32 with a probability of 6 in a thousand mil
     the rest of both signatures is skipped for pairs that can't reach MATCHES with it.
 4.  Pairs that are left are counted over their whole signatures; those with MATCHES
     agreements or more are confirmed on their full sets.
+5.  Copies of one text that have been changed too much to link with it, or with each other,
+    would be compared all with all. But the star pass has measured them against a common
+    hub h, and of x and y it knows the differences from h, D(x) and D(y). As
+    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, two that link must share differences, the
+    more the farther they are from h. So documents with one hub are joined by what they have
+    in common against it, with prefixes that follow from this bound, exactly; the posting
+    lists pair only documents with different hubs.
 
 The posting order decides only how much work is done. State that grows with the corpus
 stays in tables; broadcast are the sketch's levels (2**25 bytes at most) and a Bloom filter
@@ -37,7 +44,8 @@ from .shared import Shelf
 from .sketch import Levels, chunks, counted
 from .words import blobs, mix, run_sums, sets, shared
 
-COORDINATES, MATCHES, PREFIX = 64, 32, 40
+COORDINATES, MATCHES = 128, 77
+PREFIX = COORDINATES - MATCHES + 1
 #: Tokens to a counter of the sketch, and powers of two: the fewest and the most counters.
 LOAD, LEAST_BITS, MOST_BITS = 2, 18, 25
 _RNG = np.random.Generator(np.random.PCG64(11))
@@ -121,19 +129,26 @@ def _rules(t: Fraction) -> Rules:
         return F.floor((n * t.numerator + t.denominator - 0.5) / t.denominator).cast("int"), F.floor((n * t.denominator + 0.5) / t.numerator).cast("int")
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose common posted tokens, with what can follow the last of them and what no prefix holds, can still reach MATCHES."""
+        """Pairs whose common posted tokens, with what can follow the last of them, can still reach MATCHES."""
         one = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.greatest(F.max("px"), F.max("py")).alias("p"))
-        return one.where(F.col("c") + F.least(F.lit(COORDINATES - 1) - F.col("p"), F.lit(COORDINATES - PREFIX)) >= MATCHES).select("x", "y")
+        return one.where(F.col("c") + (COORDINATES - 1) - F.col("p") >= MATCHES).select("x", "y")
 
     return Rules(close, between, plausible)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, t: Fraction, shelf: Shelf, label: str) -> DataFrame:
-    """The pairs (x, y) that link: agreements counted over whole signatures, then the whole sets."""
+def _beside(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (x, y) with columns of both documents."""
+    for side in ("x", "y"):
+        pairs = pairs.join(rows.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+    return pairs
+
+
+def _measured(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, t: Fraction, shelf: Shelf, label: str) -> DataFrame:
+    """(x, y, nx, ny, linked, added, removed) of the pairs with MATCHES agreements: whether their full sets link, and what x has more and less than y."""
 
     def agreeing(batches):
         for batch in batches:
-            same = (_matrix(batch.column("x_of")) == _matrix(batch.column("y_of"))).sum(axis=1)
+            same = (_matrix(batch.column("x_signature")) == _matrix(batch.column("y_signature"))).sum(axis=1)
             yield batch.select(["x", "y"]).filter(pa.array(same >= MATCHES))
 
     def gather(batches):
@@ -142,23 +157,82 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, t:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(counts)), blobs(h, counts)], ["doc_id", "whole"])
 
     def confirmed(batches):
+        for batch in batches:
+            rows = []
+            for a, b in zip(batch.column("x_whole"), batch.column("y_whole"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                added, removed = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                linked = (len(x) - len(added)) * t.denominator >= t.numerator * (len(y) + len(added))
+                rows.append((len(x), len(y), linked, added.tobytes(), removed.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["x", "y", "nx", "ny", "linked", "added", "removed"])
+
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    left = shelf.put(_beside(pairs, reps, ["signature"]).mapInArrow(agreeing, "x long, y long"), f"{label}_left")
+    whole = shelf.put(texts_of(texts, left, shelf, label).mapInArrow(gather, "doc_id long, whole binary"), f"{label}_sets")
+    found = _beside(left, whole, ["whole"]).mapInArrow(confirmed, "x long, y long, nx int, ny int, linked boolean, added binary, removed binary")
+    found = shelf.put(found, f"{label}_measured")
+    shelf.drop(f"{label}_left", f"{label}_sets", f"{label}_ids", label)
+    return found
+
+
+def _hubs(measured: DataFrame, shelf: Shelf) -> DataFrame:
+    """(doc_id, hub) of the measured documents and of those they were measured against: of a document's hubs, itself among them if it is one, the one that most were measured against."""
+    weight = shelf.put(measured.groupBy(F.col("y").alias("hub")).agg(F.count(F.lit(1)).alias("weight")), "weights")
+    every = measured.select(F.col("x").alias("doc_id"), F.col("y").alias("hub")).unionByName(weight.select(F.col("hub").alias("doc_id"), "hub"))
+    best = every.join(weight, "hub").groupBy("doc_id").agg(F.min(F.struct((-F.col("weight")).alias("w"), "hub")).alias("best"))
+    return shelf.put(best.select("doc_id", "best.hub"), "hubs")
+
+
+def _by_difference(measured: DataFrame, hubs: DataFrame, joined: DataFrame, t: Fraction, shelf: Shelf) -> DataFrame:
+    """Links (x, y) between documents of one hub that are in different components: at least one of them doesn't link with the hub.
+
+    Differences are ordered with those that the hub lacks first, which few documents share.
+    """
+    up, down = t.denominator + t.numerator, t.denominator - t.numerator
+    component = joined.withColumnRenamed("node", "doc_id")
+    placed = hubs.join(component, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    torn = placed.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub")
+    torn = shelf.put(torn, "torn")
+    own = measured.select(F.col("x").alias("doc_id"), F.col("y").alias("hub"), "nx", "ny", "linked", "added", "removed").join(placed, ["doc_id", "hub"]).join(torn, "hub")
+    own = shelf.put(own, "differences")
+
+    def posted(batches):
+        for batch in batches:
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("hub", "doc_id", "nx", "ny", "linked", "c")}
+            found = [np.frombuffer(a.as_py() + r.as_py(), np.int64) for a, r in zip(batch.column("added"), batch.column("removed"), strict=True)]
+            a = np.array([len(e) for e in found], np.int64)
+            # The fewest common differences with any partner: one, or what follows for a document that links with the hub from a partner that doesn't.
+            bound = -(-(down * c["ny"].astype(np.int64) + 1 + a * up - down * c["nx"].astype(np.int64)) // (2 * up))
+            many = np.maximum(a - np.where(c["linked"], np.maximum(bound, 1), 1) + 1, 0)
+            at = np.repeat(np.arange(len(a)), many)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            e = np.concatenate([f[:k] for f, k in zip(found, many, strict=True)]) if len(at) else np.zeros(0, np.int64)
+            columns = [c["hub"][at], e, c["doc_id"][at], c["nx"][at].astype(np.int32), a[at].astype(np.int32), place.astype(np.int32), c["linked"][at].astype(bool), c["c"][at]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["hub", "e", "doc_id", "n", "a", "pos", "linked", "c"])
+
+    rows = shelf.put(own.mapInArrow(posted, "hub long, e long, doc_id long, n int, a int, pos int, linked boolean, c long"), "difference_lists")
+    names = ("doc_id", "n", "a", "pos", "c")
+    x = rows.where("not linked").select("hub", "e", *[F.col(k).alias(f"x_{k}") for k in names])
+    y = rows.select("hub", "e", "linked", *[F.col(k).alias(f"y_{k}") for k in names])
+    # At least so many common differences; the first of them stands early enough in both.
+    least = F.greatest(F.lit(1), F.ceil(((F.col("x_a") + F.col("y_a")) * up - (F.col("x_n") + F.col("y_n")) * down) / (2 * up)))
+    early = (F.col("x_pos") <= F.col("x_a") - least) & (F.col("y_pos") <= F.col("y_a") - least)
+    pairs = x.join(y, ["hub", "e"]).where((F.col("x_c") != F.col("y_c")) & (F.col("linked") | (F.col("x_doc_id") < F.col("y_doc_id"))) & early)
+    pairs = shelf.put(pairs.select("hub", F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y")).distinct(), "difference_pairs")
+
+    def settled(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("x_of"), batch.column("y_of"), strict=True):
-                a, b = a.as_buffer(), b.as_buffer()
-                both = shared(a, b)
-                keep.append(both * t.denominator >= t.numerator * (len(a) // 8 + len(b) // 8 - both))
+            for a, b, p, q, n, m in zip(*(batch.column(k) for k in ("x_added", "y_added", "x_removed", "y_removed", "x_nx", "y_nx")), strict=True):
+                a, b, p, q = (v.as_buffer() for v in (a, b, p, q))
+                apart = (len(a) + len(b) + len(p) + len(q)) // 8 - 2 * (shared(a, b) + shared(p, q))
+                keep.append(apart * up <= down * (n.as_py() + m.as_py()))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-        for side in ("x", "y"):
-            pairs = pairs.join(rows.select(F.col("doc_id").alias(side), F.col(column).alias(f"{side}_of")), side)
-        return pairs
-
-    left = shelf.put(beside(pairs, reps, "signature").mapInArrow(agreeing, "x long, y long"), f"{label}_left")
-    whole = shelf.put(texts_of(texts, left, shelf, label).mapInArrow(gather, "doc_id long, whole binary"), f"{label}_sets")
-    found = shelf.put(beside(left, whole, "whole").mapInArrow(confirmed, "x long, y long").distinct(), f"{label}_links")
-    shelf.drop(f"{label}_left", f"{label}_sets", f"{label}_ids", label)
+    for side in ("x", "y"):
+        pairs = pairs.join(own.select("hub", F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("added", "removed", "nx")]), ["hub", side])
+    found = shelf.put(pairs.mapInArrow(settled, "x long, y long").distinct(), "difference_links")
+    shelf.drop("torn", "differences", "difference_lists", "difference_pairs")
     return found
 
 
@@ -190,7 +264,20 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = spark.sparkContext.broadcast(_levels(reps, shelf))
     postings = shelf.put(repeated(_posted(reps, levels), hot_level(reps.count())), "postings")
     texts = every.where("doc_id is not null")
-    found = linked(plain, classes, postings, _rules(t), lambda pairs, label: _verified(pairs, reps, texts, size, t, shelf, label), shelf)
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        return _measured(pairs, reps, texts, size, t, shelf, label).where("linked").select("x", "y").distinct()
+
+    def settled(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        measured = spark.read.schema("x long, y long, nx int, ny int, linked boolean, added binary, removed binary").parquet(shelf.path("star_measured"))
+        # An id that stands with several texts has no one difference from its hub; such ids stay with the posting lists.
+        several = shelf.put(reps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id"), "several_texts")
+        for side in ("x", "y"):
+            measured = measured.join(several.withColumnRenamed("doc_id", side), side, "left_anti")
+        hubs = _hubs(measured, shelf)
+        return _by_difference(measured, hubs, joined, t, shelf), hubs
+
+    found = linked(plain, classes, postings, _rules(t), verified, shelf, settled)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

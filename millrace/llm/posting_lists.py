@@ -12,7 +12,8 @@ posting, and turns large groups of near copies into one component.
 Rest pass: pairs of one list whose members are still in different components, within the
 bands of lengths that a partner can have. Lists of a band with more than LIST members are
 dealt over cells, so that no task holds more than LIST by LIST of their pairs. A pair
-inside one component can't change a component, so no link is lost.
+inside one component can't change a component, so no link is lost. Pairs that a join has
+settled by other means (documents with one hub) are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom_of
+from . import bloom
 from .graph import components
 from .shared import Shelf
 
@@ -84,16 +85,23 @@ def classes_of(signed: DataFrame, shelf: Shelf) -> DataFrame:
 
 
 def texts_of(texts: DataFrame, pairs: DataFrame, shelf: Shelf, label: str) -> DataFrame:
-    """The rows of `texts` whose doc_id is in a pair (x, y): a broadcast filter spares the join what it can, the join decides."""
+    """The rows of `texts` whose doc_id is in a pair (x, y), and few others, which drop out of the joins behind.
+
+    While a broadcast filter has room for the ids, it passes them over without a shuffle of
+    texts; with more ids than that, texts are joined with them.
+    """
     sc = texts.sparkSession.sparkContext
     ids = shelf.put(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), f"{label}_ids")
-    bloom = sc.broadcast(bloom_of(ids))
+    n = ids.count()
+    if n > bloom.CAPACITY:
+        return texts.join(ids, "doc_id", "left_semi")
+    sent = sc.broadcast(bloom.bloom_of(ids, n))
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(bloom.value.has(batch.column("doc_id").to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(sent.value.has(batch.column("doc_id").to_numpy(zero_copy_only=False))))
 
-    return texts.mapInArrow(run, texts.schema).join(ids, "doc_id", "left_semi")
+    return texts.mapInArrow(run, texts.schema)
 
 
 def _one_class(plain: DataFrame, classes: DataFrame, shelf: Shelf) -> DataFrame | None:
@@ -126,9 +134,13 @@ def _star_pairs(postings: DataFrame, rules: Rules, shelf: Shelf) -> DataFrame:
     return star
 
 
-def _rest_pairs(postings: DataFrame, joined: DataFrame, rules: Rules, shelf: Shelf) -> DataFrame:
+def _rest_pairs(postings: DataFrame, joined: DataFrame, hubs: DataFrame | None, rules: Rules, shelf: Shelf) -> DataFrame:
     # Only lists with members of more than one component are left, and of their pairs only those between components.
     member = postings.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    if hubs is not None:
+        member = member.join(hubs, "doc_id", "left").withColumn("hub", F.coalesce("hub", "doc_id"))
+    else:
+        member = member.withColumn("hub", F.col("doc_id"))
     member = shelf.put(member.withColumn("band", _band(F.col("n"))), "members")
     shelf.drop("postings")
     spread = member.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "doc_id").alias("main")).where("lo < hi").select("token", "main")
@@ -138,8 +150,8 @@ def _rest_pairs(postings: DataFrame, joined: DataFrame, rules: Rules, shelf: She
     low, high = rules.between(member)
     member = member.withColumns({"low": low, "high": high})
     odd = member.where("c <> main and low <= high").withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
-    odd = odd.select("token", "band", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"), F.col("low").alias("lx"), F.col("high").alias("hx"))
-    other = member.select("token", "band", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"), F.col("low").alias("ly"), F.col("high").alias("hy"), (F.col("c") == F.col("main")).alias("in_main"))
+    odd = odd.select("token", "band", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"), F.col("hub").alias("hx"), F.col("low").alias("lx"), F.col("high").alias("gx"))
+    other = member.select("token", "band", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"), F.col("hub").alias("hy"), F.col("low").alias("ly"), F.col("high").alias("gy"), (F.col("c") == F.col("main")).alias("in_main"))
     # A long list of a band is cut both ways: each side's share of a cell is LIST rows, and every pair has one cell.
     sizes = [rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / LIST).alias(name)) for rows, name in ((odd, "odd_cells"), (other, "other_cells"))]
     long = shelf.put(sizes[0].join(sizes[1], ["token", "band"]).where("odd_cells > 1 and other_cells > 1"), "long")
@@ -154,8 +166,8 @@ def _rest_pairs(postings: DataFrame, joined: DataFrame, rules: Rules, shelf: She
             return rows.drop("odd_cells", "other_cells")
 
         cross = dealt(odd, "odd_cells", "x").join(dealt(other, "other_cells", "y"), ["token", "band", "odd_cells_at", "other_cells_at"])
-    fits = F.col("ny").between(F.col("lx"), F.col("hx")) & F.col("nx").between(F.col("ly"), F.col("hy"))
-    cross = cross.where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & fits)
+    fits = F.col("ny").between(F.col("lx"), F.col("gx")) & F.col("nx").between(F.col("ly"), F.col("gy"))
+    cross = cross.where((F.col("cx") != F.col("cy")) & (F.col("hx") != F.col("hy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & fits)
     least, most = [F.when(F.col("x") < F.col("y"), F.struct(F.col(f"{a}").alias("id"), F.col(f"n{a}").alias("n"), F.col(f"p{a}").alias("p"))).otherwise(F.struct(F.col(f"{b}").alias("id"), F.col(f"n{b}").alias("n"), F.col(f"p{b}").alias("p"))) for a, b in (("x", "y"), ("y", "x"))]
     cross = cross.select(least.alias("l"), most.alias("h")).select(F.col("l.id").alias("x"), F.col("l.n").alias("nx"), F.col("l.p").alias("px"), F.col("h.id").alias("y"), F.col("h.n").alias("ny"), F.col("h.p").alias("py"))
     rest = shelf.put(rules.plausible(cross), "rest")
@@ -163,11 +175,13 @@ def _rest_pairs(postings: DataFrame, joined: DataFrame, rules: Rules, shelf: She
     return rest
 
 
-def linked(plain: DataFrame, classes: DataFrame, postings: DataFrame, rules: Rules, verified: Callable[[DataFrame, str], DataFrame], shelf: Shelf) -> DataFrame:
+def linked(plain: DataFrame, classes: DataFrame, postings: DataFrame, rules: Rules, verified: Callable[[DataFrame, str], DataFrame], shelf: Shelf, settled: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `plain` (doc_id, n, sig_a, sig_b).
 
     `postings` is stored under that name; `verified` gives the pairs (x, y) that link, stored,
-    of pairs that passed the filters. Rows with one id are one document that links where any
+    of pairs that passed the filters. `settled` may give, from the star pass's components
+    (node, component), a hub for documents (doc_id, hub) and all links between documents of
+    one hub that are in different components, both stored. Rows with one id are one document that links where any
     of its texts does, all in one component; rows without an id have component null.
     """
     def grouped(links: DataFrame, label: str) -> DataFrame:
@@ -177,11 +191,13 @@ def linked(plain: DataFrame, classes: DataFrame, postings: DataFrame, rules: Rul
     if (same := _one_class(plain, classes, shelf)) is not None:
         links = links.unionByName(same)
     joined = shelf.put(grouped(links, "first"), "joined")
-    rest = _rest_pairs(postings, joined, rules, shelf)
-    if not rest.isEmpty():
-        more = verified(rest, "rest")
-        if not more.isEmpty():
-            joined = shelf.put(grouped(links.unionByName(more), "second"), "joined_again")
+    near, hubs = (None, None) if settled is None else settled(joined)
+    rest = _rest_pairs(postings, joined, hubs, rules, shelf)
+    more = [x for x in (near, None if rest.isEmpty() else verified(rest, "rest")) if x is not None and not x.isEmpty()]
+    if more:
+        for x in more:
+            links = links.unionByName(x)
+        joined = shelf.put(grouped(links, "second"), "joined_again")
     group = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("component", "rep").alias("component_id"))
     out = plain.join(group, ["sig_a", "sig_b", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     if same is not None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .words import mix
 
-CHUNK, FAN = 1 << 16, 32
+CHUNK, FAN = 1 << 16, 256
 PART = "chunk int, source int, blob binary"
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import asked, centroids, hard_negatives, minhash_join, posting_lists, sketch
+from millrace.llm import asked, bloom, centroids, hard_negatives, minhash_join, posting_lists, sketch
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -65,6 +65,7 @@ def test_minhash_join(spark, texts):
 def test_minhash_join_with_hot_lists(spark, monkeypatch):
     """A frequent passage in texts that don't all link, few counters and short cells: links that only the rest pass finds, over several cells."""
     monkeypatch.setattr(posting_lists, "LIST", 8)
+    monkeypatch.setattr(bloom, "CAPACITY", 10)
     for name, bits in (("LEAST_BITS", 16), ("MOST_BITS", 16)):
         monkeypatch.setattr(minhash_join, name, bits)
     rng = np.random.default_rng(5)
@@ -77,6 +78,32 @@ def test_minhash_join_with_hot_lists(spark, monkeypatch):
     assert found_components(minhash_join.minhash_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_components(rows, 2)
 
 
+def test_minhash_join_of_copies_around_one_text(spark, monkeypatch):
+    """Copies of a text with many changes, some of them the same: links among copies that don't link with the text itself, found by their differences from it."""
+    rng = np.random.default_rng(12)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(0, " ".join(base))]
+    changes = [sorted(rng.choice(120, 16, replace=False)) for _ in range(12)]
+    for i in range(1, 240):
+        own = list(base)
+        for at in changes[i % 12][: int(rng.integers(2, 17))]:
+            own[at] = f"c{i % 12}x{at}"
+        for at in rng.integers(0, 120, int(rng.integers(0, 5))):
+            own[at] = f"d{int(rng.integers(0, 500))}"
+        rows.append((i, " ".join(own)))
+    made, put = {}, minhash_join.Shelf.put
+
+    def counted(self, df, name, **how):
+        out = put(self, df, name, **how)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash_join.Shelf, "put", counted)
+    want = brute_components(rows, 2)
+    assert found_components(minhash_join.minhash_components(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert made["difference_links"] > 0 and made["rest"] < made["difference_pairs"] + 500
+
+
 def test_signatures_agree_as_often_as_sets_do():
     rng = np.random.default_rng(9)
     agreed = []
