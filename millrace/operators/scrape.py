@@ -61,7 +61,8 @@ def resolved(urls: DataFrame, moves: DataFrame, hops: int = HOPS, reason=unsafe_
 def relevant(cards: DataFrame, details: DataFrame, keyword: str) -> DataFrame:
     """Cards (title, job_url, ...) that fit a keyword by title, else with the text of their detail page (url, html).
 
-    Only the cards whose title doesn't fit meet the details. One that only mentions a
+    Only the pages of cards whose title doesn't fit are read: details are first cut down to
+    their URLs, before any page is moved where these are few enough to broadcast. One that only mentions a
     technology in its description, without a role beside it, goes. Cards without a page that
     fit by title stay; blank keywords keep all cards.
     """
@@ -70,7 +71,8 @@ def relevant(cards: DataFrame, details: DataFrame, keyword: str) -> DataFrame:
     fits = lambda text: keyword_matches(keyword, text, rules.ROLES, rules.ROLE_WORDS, rules.STACK_WORDS)
     by_title = fits(F.coalesce("title", F.lit("")))
     misses = cards.where(~by_title & F.col("job_url").isNotNull())
-    pages = details.groupBy(F.col("url").alias("_url")).agg(F.min("html").alias("_html"))
+    wanted = misses.select(F.col("job_url").alias("_wanted")).distinct()
+    pages = details.join(wanted, details["url"] == wanted["_wanted"], "left_semi").groupBy(F.col("url").alias("_url")).agg(F.min("html").alias("_html"))
     read = misses.join(pages, misses["job_url"] == pages["_url"]).withColumn("_words", page_words(F.col("_html")))
     tech = [w for w in re.sub("[^a-z0-9]+", " ", keyword.lower()).split() if w not in rules.ROLE_WORDS]
     passing = F.lit(False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import rules
+from .functions import registered as G
 from .functions import urls as U
 from .operators import addresses as N
 from .operators import judge as J
@@ -12,8 +13,10 @@ from .operators import platforms as T
 from .operators import rule_join as H
 from .operators import scrape as S
 from .operators import sinks as K
+from .plans import compaction as C
 from .plans import drivers as R
 from .plans import postings as P
+from .plans import serving as V
 from .posting_sql import CANDIDATES, FOLD, PROCESSED, category_sql, flat
 from .registry import listed, picked, query
 from .sources import landing as A
@@ -382,3 +385,35 @@ def h1_h3_rule_join(spark, sf_dir):
     keywords = written(keywords[0].unionByName(keywords[1]).distinct(), "keywords")
     categories = keywords.select(F.col("category_id").alias("id")).distinct().select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"), (F.col("id") % 10 != 3).alias("enabled"))
     return H.classified(docs, categories, keywords, "doc_id", "text").select("doc_id", F.array_join("categories", ",").alias("cats"))
+
+
+@query(f"WITH {CANDIDATES} SELECT seq, clean AS job_url, CASE WHEN n % 4 = 3 THEN 'j' || job ELSE CAST(1000000 + job AS VARCHAR) END AS job_id, true AS is_job, 0.99::DOUBLE AS score FROM cand")
+def u6_sql_functions(spark, sf_dir):
+    """URL functions called by name."""
+    G.register(spark)
+    P.candidates(spark, sf_dir).createOrReplaceTempView("u6_candidates")
+    return spark.sql("SELECT seq, canonical_url(url) AS job_url, platform_job_id(canonical_url(url)) AS job_id, is_job_url(url) AS is_job, link_score(url, 'see it') AS score FROM u6_candidates")
+
+
+@query(f"WITH {PROCESSED} SELECT seq, fingerprint, epoch_us(received_at) AS received_us FROM fold ORDER BY received_at DESC, seq DESC LIMIT 40 OFFSET 80")
+def k1_keyset_page(spark, sf_dir):
+    """The third and fourth page of twenty from published files: one by its number, the next by the place where that ended."""
+    target = fresh_path(spark, "served")
+    V.publish(P.stored(spark, sf_dir), target, 1, 100)
+    found = V.served(spark, target, 1)
+    page = written(found.page(5, 20), "page")
+    last = page.agg(F.min(F.struct("received_at", "seq")).alias("p")).first()["p"]
+    rows = page if last is None else page.unionByName(found.after(last["received_at"], last["seq"], 20))
+    return rows.select("seq", "fingerprint", F.unix_micros("received_at").alias("received_us"))
+
+
+@query(f"WITH {PROCESSED} SELECT {FOLD} FROM fold")
+def i4_j3_compaction(spark, sf_dir):
+    """Postings of five batches, out of order; two compactions between them, and what they took in deleted."""
+    table, rows = C.PostingTable(spark, fresh_path(spark, "tiers"), 8), _accepted(written(P.processed(P.candidates(spark, sf_dir)), "processed"))
+    for number in range(5):
+        table.add(rows.where(F.col("seq") % 5 == (3 * number + 2) % 5), number)
+        if number in (1, 3):
+            table.compact(number + 1)
+    table.retire()
+    return flat(table.read())
