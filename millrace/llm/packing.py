@@ -60,9 +60,14 @@ def _by_bucket(bucket: Column, values: dict[int, int]) -> Column:
     return out
 
 
+def file_place(name: Column) -> list[Column]:
+    """Where a file of Spark's writers stands among its table's: by the number of its task, which has more than five figures from 100,000 on, then by that of the task's file."""
+    return [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.regexp_extract(name, r"-c(\d+)", 1).try_cast("long"), name]
+
+
 def stored_order() -> list[Column]:
-    """The order of a table's rows as its Parquet files hold them: by file name, then by row; for tables as read, before anything else."""
-    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    """The order of a table's rows as its Parquet files hold them: by file, then by row; for tables as read, before anything else."""
+    return [*file_place(F.col("_metadata.file_name")), F.col("_metadata.row_index")]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = 1, order: list[Column] | None = None) -> DataFrame:
