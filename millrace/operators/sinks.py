@@ -72,6 +72,23 @@ def store_postings(sightings: DataFrame, target: str, number: int) -> None:
     _write(_bucketed(fold(sightings, placed=True), ["fingerprint"]), target, number)
 
 
+def store_links(sightings: DataFrame, categories: DataFrame, target: str, number: int) -> None:
+    """Adds the category links of a batch's postings (status, categories, seq), each with the sighting that it is from; nothing stored is read.
+
+    `categories` (id, name, enabled) is the category table. Postings that a later batch
+    sees again bring links too; read_links() keeps those of the first sighting.
+    """
+    first = fold(sightings.select("fingerprint", "seq", "status", "categories"), placed=True)
+    links = category_links(first, categories, ["fingerprint", "seq"]).select("fingerprint", "seq", "category_id", F.lit(None).cast("double").alias("confidence"), F.lit("rules").alias("matched_by"))
+    _write(_bucketed(links, ["fingerprint"]), target, number)
+
+
+def read_links(spark: SparkSession, target: str, postings: DataFrame) -> DataFrame | None:
+    """(fingerprint, category_id, confidence, matched_by) of stored postings (fingerprint, seq): a posting keeps the categories of its first sighting."""
+    found = table_at(spark, target)
+    return None if found is None else found.join(postings.select("fingerprint", "seq"), ["fingerprint", "seq"]).select("fingerprint", "category_id", "confidence", "matched_by")
+
+
 def read_postings(spark: SparkSession, target: str) -> DataFrame | None:
     """One row a fingerprint: first sighting of all batches, null fields filled from later ones, all sightings counted; None where nothing is stored."""
     found = table_at(spark, target)
@@ -84,14 +101,15 @@ def known_postings(sightings: DataFrame, target: str, number: int) -> DataFrame
     return None if found is None else found.select("fingerprint").distinct()
 
 
-def category_links(postings: DataFrame, categories: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """(key, category_id): postings and the rows of the category table (id, name, enabled) that have one of their `categories` as name; names may repeat there."""
-    names = postings.where("status = 'RELEVANT'").select(key, F.explode("categories").alias("name")).distinct()
-    return names.join(categories.select(F.col("id").alias("category_id"), "name"), "name").select(key, "category_id")
+def category_links(postings: DataFrame, categories: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, category_id): postings and the rows of the category table (id, name, enabled) that have one of their `categories` as name; names may repeat there."""
+    keys = keys or ["fingerprint"]
+    names = postings.where("status = 'RELEVANT'").select(*keys, F.explode("categories").alias("name")).distinct()
+    return names.join(categories.select(F.col("id").alias("category_id"), "name"), "name").select(*keys, "category_id")
 
 
 def store_events(events: DataFrame, target: str, number: int) -> None:
-    """Adds audit events (seq, event_type, ...). An event is never changed, so nothing stored is read."""
+    """Adds audit events (postings.EVENT). An event is never changed, so nothing stored is read."""
     _write(_bucketed(events, ["seq"]), target, number)
 
 

@@ -62,7 +62,7 @@ def pending(emails: DataFrame, *done: DataFrame, key: str = "message_id") -> Dat
 
 
 def backfill_events(messages: DataFrame, candidates: DataFrame, excluded: list[str]) -> DataFrame:
-    """One backfill_attempted event for each message (message_id, sender) that gives no posting: skipped for an excluded sender, else success.
+    """One backfill_attempted event (postings.EVENT) for each message (message_id, sender) that gives no posting: skipped for an excluded sender, else success.
 
     `candidates` are those of the same messages. Messages with a candidate have their posting
     as outcome; one that can't be read (received_at null, where the column is there) has failed.
@@ -71,9 +71,11 @@ def backfill_events(messages: DataFrame, candidates: DataFrame, excluded: list[s
     lost = F.col("received_at").isNull() if "received_at" in messages.columns else F.lit(False)
     tagged = messages.select("message_id", skipped.alias("skipped"), lost.alias("lost"))
     rows = tagged.join(candidates.select("message_id", F.lit(True).alias("found")).distinct(), "message_id", "left").where("skipped or lost or found is null")
+    none = F.lit(None).cast("string")
     return rows.select(
-        "message_id", F.lit("backfill_attempted").alias("event_type"), F.when(F.col("lost"), "failed").when(F.col("skipped"), "skipped").otherwise("success").alias("status"),
+        F.lit(None).cast("long").alias("seq"), "message_id", none.alias("fingerprint"), F.lit("backfill_attempted").alias("event_type"), F.when(F.col("lost"), "failed").when(F.col("skipped"), "skipped").otherwise("success").alias("status"),
         F.when(F.col("lost"), "Message can't be read").when(F.col("skipped"), "Sender is excluded").otherwise("No posting in this message").alias("message"),
+        none.alias("metadata"), F.lit(None).cast("timestamp").alias("created_at"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import posted_at
@@ -97,6 +97,29 @@ def events(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return once.unionByName(twice).unionByName(other)
 
 
+#: The columns of an audit event, of postings and of backfill runs alike; what doesn't apply is null.
+EVENT = ["seq", "message_id", "fingerprint", "event_type", "status", "message", "metadata", "created_at"]
+# What an event says, and the fields that it names.
+MESSAGES = {
+    "job_persisted": ("Persisted with status %s", ["_status"]), "duplicate_detected": ("Fingerprint %s already exists", ["fingerprint"]),
+    "filtered_stale": ("Job '%s' older than %sh (reason: %s)", ["title", "_hours", "age"]), "normalization_rejected": ("Candidate rejected during normalization: %s", ["reason"]),
+}
+
+
+def described(found: DataFrame, rows: DataFrame, created_at: Column, fresh_hours: int = 24 * 30) -> DataFrame:
+    """Events (seq, event_type) of processed rows in full (EVENT), with a sentence on what happened and the fields it rests on as JSON."""
+    message_id = F.col("message_id") if "message_id" in rows.columns else F.lit(None).cast("string")
+    own = rows.select("seq", message_id.cast("string").alias("message_id"), "fingerprint", "title", "reason", "age", "platform", "job_url", F.col("status").alias("_status"), F.lit(str(fresh_hours)).alias("_hours"))
+    e = found.select("seq", "event_type").join(own, "seq")
+    kind, message = F.col("event_type"), F.lit(None).cast("string")
+    for name, (form, columns) in MESSAGES.items():
+        message = F.when(kind == name, F.format_string(form, *[F.col(c) for c in columns])).otherwise(message)
+    outcome = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[kind]
+    identified = F.when(kind.isin("job_persisted", "duplicate_detected"), F.col("fingerprint"))
+    about = F.to_json(F.struct("platform", "job_url", "title"))
+    return e.select("seq", "message_id", identified.alias("fingerprint"), "event_type", outcome.alias("status"), message.alias("message"), about.alias("metadata"), created_at.alias("created_at"))
+
+
 def served(rows: DataFrame, platforms: DataFrame, links: DataFrame, categories: DataFrame) -> DataFrame:
     """Postings as they are served: the slug of their platform (table slug, name; null where it has none) and the sorted names of their categories, from category_links."""
     names = links.join(categories.select(F.col("id").alias("category_id"), "name"), "category_id").groupBy("fingerprint").agg(F.array_sort(F.collect_set("name")).alias("categories"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import rules
+from .functions import lines as L
 from .functions import registered as G
+from .functions import text as X
 from .functions import urls as U
+from .functions.dates import posted_at
 from .operators import addresses as N
 from .operators import judge as J
 from .operators import platforms as T
@@ -15,6 +18,7 @@ from .operators import scrape as S
 from .operators import sinks as K
 from .plans import compaction as C
 from .plans import drivers as R
+from .plans import parsing
 from .plans import postings as P
 from .plans import serving as V
 from .posting_sql import CANDIDATES, FOLD, PROCESSED, category_sql, flat
@@ -257,7 +261,13 @@ def j3_posting_store(spark, sf_dir):
     return flat(K.read_postings(spark, target))
 
 
-@query(f"WITH {PROCESSED} SELECT seq, CASE WHEN outcome = 'stale' THEN 'filtered_stale' WHEN outcome = 'rejected' THEN 'normalization_rejected' WHEN seq = min(seq) OVER (PARTITION BY fingerprint, outcome) THEN 'job_persisted' ELSE 'duplicate_detected' END AS event_type, CASE WHEN outcome = 'accepted' AND seq = min(seq) OVER (PARTITION BY fingerprint, outcome) THEN 'success' ELSE 'skipped' END AS status FROM proc")
+_EVENTS = """e AS (SELECT *, CASE WHEN outcome = 'stale' THEN 'filtered_stale' WHEN outcome = 'rejected' THEN 'normalization_rejected' WHEN seq = min(seq) OVER (PARTITION BY fingerprint, outcome) THEN 'job_persisted' ELSE 'duplicate_detected' END AS event_type FROM proc)"""
+
+
+@query(f"""WITH {PROCESSED}, {_EVENTS} SELECT seq, event_type, CASE WHEN event_type = 'job_persisted' THEN 'success' ELSE 'skipped' END AS status, CASE WHEN outcome = 'accepted' THEN fingerprint END AS fingerprint,
+    CASE event_type WHEN 'job_persisted' THEN 'Persisted with status ' || CASE WHEN cat <> '' THEN 'RELEVANT' ELSE 'IRRELEVANT' END WHEN 'duplicate_detected' THEN 'Fingerprint ' || fingerprint || ' already exists'
+        WHEN 'filtered_stale' THEN 'Job ' || chr(39) || title || chr(39) || ' older than 720h (reason: too_old)' ELSE 'Candidate rejected during normalization: unreliable title' END AS message,
+    '{{"platform":"' || platform || '","job_url":"' || clean || '","title":"' || title || '"}}' AS metadata FROM e""")
 def j4_event_store(spark, sf_dir):
     """Events of three batches in order of arrival, each against the postings stored before it; the last twice."""
     rows = written(P.processed(P.candidates(spark, sf_dir)), "processed")
@@ -265,10 +275,20 @@ def j4_event_store(spark, sf_dir):
     for number in (0, 1, 2, 2):
         batch = rows.where(F.floor(F.col("seq") * 3 / (most + 1)) == number)
         found = P.events(batch, K.known_postings(_accepted(batch), target, number))
-        state = F.create_map(*[F.lit(x) for kv in P.STATUS.items() for x in kv])[F.col("event_type")]
-        K.store_events(found.withColumn("status", state), events, number)
+        K.store_events(P.described(found, batch, F.lit("2024-01-01").cast("timestamp")), events, number)
         K.store_postings(_accepted(batch), target, number)
-    return table_at(spark, events).select("seq", "event_type", "status")
+    return table_at(spark, events).select("seq", "event_type", "status", "fingerprint", "message", "metadata")
+
+
+@query(f"WITH {PROCESSED}, l AS (SELECT fingerprint, unnest(string_split(cat, ',')) AS name FROM fold WHERE cat <> '') SELECT fingerprint, CAST(id AS INT) AS category_id, 'rules' AS matched_by FROM l JOIN (VALUES {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in _IDS)}) v(id, name) USING (name)")
+def j3_category_pivot(spark, sf_dir):
+    """Category links written with the postings of three batches, one of them twice: those of each posting's first sighting."""
+    target, links, rows = fresh_path(spark, "postings"), fresh_path(spark, "links"), written(P.processed(P.candidates(spark, sf_dir)), "processed")
+    for number in (2, 0, 1, 2):
+        batch = _accepted(rows).where(F.col("seq") % 3 == number)
+        K.store_postings(batch, target, number)
+        K.store_links(batch, _categories(spark), links, number)
+    return K.read_links(spark, links, K.read_postings(spark, target)).select("fingerprint", "category_id", "matched_by")
 
 
 def _first(rows: str) -> str:
@@ -300,43 +320,103 @@ def i11_sync_run(spark, sf_dir):
     return R.synced(late, target, 1, now, ["example.org"])[0]
 
 
-_LINKS = [
-    ("https://www.linkedin.com/jobs/view/1", "Apply now", 0.99, '"Apply now" anchor + linkedin.com URL + direct job-posting URL', True), ("https://www.indeed.com/jobs?q=x", "see it", 0.8, "indeed.com URL", False),
-    ("https://x.org/", "View Job here", 0.9, '"View Job here" anchor', False), ("https://x.org/about", "more", 0.5, "generic link, no strong signal", False), ("https://boards.greenhouse.io/jobs/7", "", 0.99, "direct job-posting URL", True),
-]
+#: URLs around a number with what a domain and a posting count for, and anchor texts with whether they say "apply".
+_LINK_URLS = [("https://www.linkedin.com/jobs/view/", "", "linkedin.com", True), ("https://www.indeed.com/jobs?q=", "&l=x", "indeed.com", False), ("https://x.org/", "/about", None, False), ("https://boards.greenhouse.io/jobs/", "", None, True), ("https://WELLFOUND.com/people/", "-a", "wellfound.com", False)]
+_LINK_TEXTS = [("Apply now ", True), ("see role ", False), ("View Job ", True), ("more ", False)]
 
 
-@query(f"SELECT event_id, {'[' + ', '.join(str(x[2]) for x in _LINKS) + ']'}[CAST(event_id % 5 + 1 AS INT)]::DOUBLE AS confidence, {picked([x[3] for x in _LINKS], 'event_id')} AS reason, {'[' + ', '.join(str(x[4]) for x in _LINKS) + ']'}[CAST(event_id % 5 + 1 AS INT)] AS direct FROM events")
-def u7_link_verdict(spark, sf_dir):
-    rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(a).alias("anchor")) for u, a, *_ in _LINKS])
-    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", F.element_at(rows, (F.col("event_id") % 5 + 1).cast("int")).alias("l"))
-    return e.select("event_id", U.link_verdict(F.col("l.url"), F.col("l.anchor")).alias("v")).select("event_id", "v.*")
+def _case(k: str, values: list[str]) -> str:
+    """SQL: the value at place k, counted around."""
+    return f"CASE {k} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
-_TEXTS = [("https://www.linkedin.com/jobs/view/12?x", "Full time, promoted", True, True), ("https://www.LINKEDIN.com/jobs/view/12", "unpromoted", False, False), ("https://jobs.LEVER.co/acme-1/", "Sponsored role", True, True), ("https://www.linkedin.com/feed", "", False, False), ("https://dice.com/detail/9", "self-promotion", True, False), (None, None, False, None)]
-_BOOLS = lambda k: "[" + ", ".join("NULL" if x[k] is None else str(x[k]) for x in _TEXTS) + f"][CAST(event_id % {len(_TEXTS)} + 1 AS INT)]"
+_LINK = f"""l AS (SELECT event_id, {_case('user_id', [f"'{t}' || user_id" for t, _ in _LINK_TEXTS])} AS anchor, {_case('user_id', [str(x) for _, x in _LINK_TEXTS])} AS apply,
+    {_case('event_id', [f"'{d}'" if d else 'NULL' for _, _, d, _ in _LINK_URLS])} AS domain, {_case('event_id', [str(j) for *_, j in _LINK_URLS])} AS direct FROM events)"""
 
 
-@query(f"SELECT event_id, {_BOOLS(2)} AS is_job, {_BOOLS(3)} AS promoted FROM events")
-def c8_f9_mixed(spark, sf_dir):
-    """URLs that are postings and that aren't, and blocks with and without the badge."""
-    from .functions import text as X
+@query(f"""WITH {_LINK} SELECT event_id, round(least(0.99, 0.5 + CASE WHEN apply THEN 0.4 ELSE 0 END + CASE WHEN domain IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN direct THEN 0.6 ELSE 0 END), 2)::DOUBLE AS confidence,
+    coalesce(nullif(concat_ws(' + ', CASE WHEN apply THEN '"' || anchor || '" anchor' END, domain || ' URL', CASE WHEN direct THEN 'direct job-posting URL' END), ''), 'generic link, no strong signal') AS reason, direct FROM l""")
+def u7_link_verdict(spark, sf_dir):
+    """Links whose URL and anchor text vary with event and user."""
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    url = F.expr(_case("event_id", [f"concat('{a}', user_id, '{b}')" for a, b, *_ in _LINK_URLS]))
+    anchor = F.expr(_case("user_id", [f"concat('{t}', user_id)" for t, _ in _LINK_TEXTS]))
+    return e.select("event_id", U.link_verdict(url, anchor).alias("v")).select("event_id", "v.*")
 
-    rows = F.array(*[F.struct(F.lit(u).cast("string").alias("url"), F.lit(t).cast("string").alias("block")) for u, t, *_ in _TEXTS])
-    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", F.element_at(rows, (F.col("event_id") % len(_TEXTS) + 1).cast("int")).alias("x"))
-    return e.select("event_id", U.is_job_url(F.col("x.url")).alias("is_job"), X.is_promoted(F.col("x.block")).alias("promoted"))
 
+_URLS = [("https://www.linkedin.com/jobs/view/", "?x", True), ("https://www.LINKEDIN.com/jobs/view/", "", False), ("https://jobs.LEVER.co/acme-", "/", True), ("https://www.linkedin.com/feed/", "", False), ("https://dice.com/detail/", "", True), ("https://x.org/jobs/view/", "", False)]
+_BADGES = [("Role {} promoted", True), ("Role {} unpromoted", False), ("Sponsored {}", True), ("{} self-promotion", False), ("PROMOTED {}", True)]
 
-_FOLLOWING = [(["Acme", "Berlin, Germany", "x"], "Berlin, Germany"), (["Acme", "Full time", "Remote"], "Remote"), (["a", "b", "c", "Paris, France"], None), (["On-site work", "Rome, Italy"], "On-site work"), ([], None)]
 
+@query(f"SELECT event_id, {_case('event_id', [str(j) for *_, j in _URLS])} AS is_job, {_case('user_id', [str(p) for _, p in _BADGES])} AS promoted FROM events")
+def c8_f9_mixed(spark, sf_dir):
+    """URLs that are postings and that aren't, and blocks with and without the badge, around ids of events and users."""
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    url = F.expr(_case("event_id", [f"concat('{a}', user_id, '{b}')" for a, b, _ in _URLS]))
+    block = F.expr(_case("user_id", [f"replace('{t}', '{{}}', event_id)" for t, _ in _BADGES]))
+    return e.select("event_id", U.is_job_url(url).alias("is_job"), X.is_promoted(block).alias("promoted"))
 
-@query(f"SELECT event_id, NULLIF({picked([p or '' for _, p in _FOLLOWING], 'event_id')}, '') AS place FROM events")
-def f4_following_place(spark, sf_dir):
-    from .functions.lines import following_place
 
-    rows = F.array(*[F.array(*[F.lit(x) for x in lines]).cast("array<string>") for lines, _ in _FOLLOWING])
-    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return e.select("event_id", following_place(F.element_at(rows, (F.col("event_id") % len(_FOLLOWING) + 1).cast("int"))).alias("place"))
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Town ' || chr(97 + CAST(doc_id % 26 AS INT)) || ', Land' WHEN 1 THEN 'Remote ' || doc_id WHEN 2 THEN NULL ELSE 'On-site at ' || doc_id END AS place FROM documents")
+def f4_following_place(spark, sf_dir):
+    """Places on the first to fourth line after a company, which vary with the document."""
+    d, n = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), F.col("doc_id")
+    own, text = F.concat(F.lit("Acme "), n.cast("string")), lambda head: F.concat(F.lit(head), n.cast("string"))
+    town = F.concat(F.lit("Town "), F.chr(F.lit(97) + n % 26), F.lit(", Land"))
+    lines = F.when(n % 4 == 0, F.array(own, town, text("Remote "))).when(n % 4 == 1, F.array(own, text("Full time "), text("Remote "))).when(n % 4 == 2, F.array(own, text("a "), text("b "), town)).otherwise(F.array(text("On-site at "), town))
+    return d.select("doc_id", L.following_place(lines).alias("place"))
+
+
+@query("WITH e AS (SELECT event_id, ts, date_trunc('day', ts) + to_days(CAST(event_id % 5 - 2 AS INT)) AS d FROM events) SELECT event_id, CASE WHEN event_id % 3 = 2 THEN epoch_us(ts - INTERVAL 2 DAY) WHEN d <= ts THEN epoch_us(d) END AS posted_us FROM e")
+def f11_future_dates(spark, sf_dir):
+    """Explicit dates from two days before to two days after the reference: a later one is no date, and doesn't fall back to the relative phrase behind it."""
+    e, n = spread(spark.read.parquet(f"{sf_dir}/events.parquet")), F.col("event_id")
+    day = F.date_add(F.to_date("ts"), (n % 5 - 2).cast("int"))
+    text = F.when(n % 3 == 0, F.concat(F.lit("Posted on "), F.date_format(day, "MMM d, yyyy"), F.lit(" 2 days ago"))).when(n % 3 == 1, F.concat(F.lit("posted "), F.date_format(day, "yyyy-MM-dd"), F.lit(", 2 days ago"))).otherwise("Posted 2 days ago")
+    return e.select("event_id", F.unix_micros(posted_at(text, F.col("ts").cast("timestamp"))).alias("posted_us"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\s\p{Z}]+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE l[1] END AS title FROM l""")
+def f14_title_guess(spark, sf_dir):
+    """The subject where there is one, else the first line of a document that isn't blank."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", L.title_guess(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "source", F.lit("  "))).otherwise("  "), F.col("text")).alias("title"))
+
+
+@query("SELECT sha256(coalesce(html, '') || chr(10)) AS content, count(*) AS n FROM pages GROUP BY 1")
+def a4_saved_pages(spark, sf_dir):
+    """Pages saved one a file and read back."""
+    folder = fresh_path(spark, "saved")
+    spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.coalesce("html", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return A.saved_pages(spark, folder).groupBy(F.sha2("html", 256).alias("content")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id AS message_id, 'generic' AS source, CASE event_id % 3 WHEN 0 THEN 'Data ' || user_id || ' Engineer' WHEN 1 THEN 'Opening ' || user_id ELSE 'see below:' END AS title, 'https://boards.greenhouse.io/jobs/' || event_id AS job_url,
+    event_id % 3 = 0 AS dated FROM events WHERE event_id % 4 <> 3""")
+def e5_g7_generic_messages(spark, sf_dir):
+    """Messages of no known platform with one link: the whole text is its block, and the title that of the block, else the subject, else the first line. A link that is no posting gives none."""
+    e, n = spread(spark.read.parquet(f"{sf_dir}/events.parquet")), F.col("event_id")
+    url = F.when(n % 4 != 3, F.concat(F.lit("https://boards.greenhouse.io/jobs/"), n.cast("string"))).otherwise(F.concat(F.lit("https://x.org/about/"), n.cast("string")))
+    head = F.when(n % 3 == 0, F.concat(F.lit("Data "), F.col("user_id").cast("string"), F.lit(" Engineer<br>Posted 2 days ago"))).otherwise("see below:")
+    subject = F.when(n % 3 == 1, F.concat(F.lit("Opening "), F.col("user_id").cast("string"))).otherwise(" ")
+    html = F.concat(F.lit("<html><body>"), head, F.lit('<br><a href="'), url, F.lit('">Go</a></body></html>'))
+    m = e.select(n.alias("message_id"), F.lit("board@example.org").alias("sender"), subject.alias("subject"), F.col("ts").cast("timestamp").alias("received_at"), F.lit(None).cast("string").alias("plain_text"), html.alias("html"))
+    return parsing.candidates(m).select("message_id", "source", "title", "job_url", F.col("posted_date").isNotNull().alias("dated"))
+
+
+@query("""WITH m AS (SELECT event_id, user_id, unnest([0, 1]) AS k FROM events) SELECT event_id AS message_id, CASE k WHEN 0 THEN 'Python ' || user_id || ' Developer' ELSE 'Warehouse ' || user_id || ' Clerk' END AS title, CASE k WHEN 0 THEN 'Acme Works' ELSE 'Beta Works' END AS company,
+    CASE k WHEN 0 THEN 'Berlin, Germany' ELSE 'Paris, France' END AS location, 'https://boards.greenhouse.io/jobs/' || (2 * event_id + k) AS job_url FROM m""")
+def e4_anchor_positions(spark, sf_dir):
+    """Messages without cards whose text is cut from the place of one anchor's text to that of the next."""
+    e, n, u = spread(spark.read.parquet(f"{sf_dir}/events.parquet")), F.col("event_id"), F.col("user_id").cast("string")
+
+    def job(k: int, kind: str, role: str, company: str, place: str):
+        return F.concat(F.lit('<a href="https://boards.greenhouse.io/jobs/'), (2 * n + k).cast("string"), F.lit(f'">{kind} '), u, F.lit(f" {role}</a><br>{company}<br>{place}<br>"))
+
+    html = F.concat(F.lit("<html><body>New for you<br>"), job(0, "Python", "Developer", "Acme Works", "Berlin, Germany"), job(1, "Warehouse", "Clerk", "Beta Works", "Paris, France"), F.lit("</body></html>"))
+    m = e.select(n.alias("message_id"), F.lit("board@example.org").alias("sender"), F.lit("Alert").alias("subject"), F.col("ts").cast("timestamp").alias("received_at"), F.lit(None).cast("string").alias("plain_text"), html.alias("html"))
+    return parsing.candidates(m).select("message_id", "title", "company", "location", "job_url")
 
 
 @query(f"WITH {CANDIDATES}, t AS (SELECT seq, lower(title) AS t FROM cand) SELECT seq, array_to_string(list_filter([{category_sql({k: rules.CATEGORIES[k] for k in ('PHP', 'Backend', 'Python')}, {'Python': 'senior'})}], lambda x: x IS NOT NULL), ',') AS cats FROM t")

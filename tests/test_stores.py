@@ -91,3 +91,30 @@ def test_unsafe_urls(spark):
     urls = [(None, "scheme is not http or https"), ("HTTP://8.8.8.8", None), ("http://user@localhost", "blocked host"), ("http://[::ffff:10.0.0.1]/", "internal or private address"), ("http://1.2.3", None), ("https://x.org", None)]
     got = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "i int, u string").select("i", U.unsafe_reason(F.col("u")).alias("r")).collect()
     assert [r.r for r in sorted(got)] == [w for _, w in urls]
+
+
+def test_links_keep_the_first_sighting(spark, tmp_path):
+    postings, links = f"file://{tmp_path}/p", f"file://{tmp_path}/l"
+    schema = "fingerprint string, seq long, status string, categories array<string>, title string"
+    batches = [[("a", 5, "RELEVANT", ["AI", "PHP"], "x"), ("b", 6, "IRRELEVANT", [], "y")], [("a", 1, "RELEVANT", ["Python"], "z"), ("a", 2, "RELEVANT", ["AI"], "z"), ("b", 9, "RELEVANT", ["AI"], "y"), ("c", 3, "RELEVANT", ["None"], "n")]]
+    categories = spark.createDataFrame([(1, "AI"), (2, "PHP"), (3, "Python"), (4, "Python")], "id int, name string")
+    for number in (0, 1, 0):
+        rows = spark.createDataFrame(batches[number], schema)
+        K.store_postings(rows, postings, number)
+        K.store_links(rows, categories, links, number)
+    assert sorted((r.fingerprint, r.category_id, r.matched_by) for r in K.read_links(spark, links, K.read_postings(spark, postings)).collect()) == [("a", 3, "rules"), ("a", 4, "rules")]
+
+
+def test_events_say_what_happened(spark):
+    rows = spark.createDataFrame(
+        [(1, "f", "t", None, "fresh", "p", "u", "RELEVANT", "accepted"), (2, "f", "t", None, "fresh", "p", "u", "RELEVANT", "accepted"), (3, "g", None, "missing title", "fresh", "p", None, "IRRELEVANT", "rejected"), (4, "h", "o'x", None, "too_old", "p", "u", "IRRELEVANT", "stale")],
+        "seq long, fingerprint string, title string, reason string, age string, platform string, job_url string, status string, outcome string",
+    )
+    got = {r.seq: r for r in P.described(P.events(rows), rows, F.lit("2024-01-01").cast("timestamp"), 24).collect()}
+    assert {k: (r.event_type, r.status, r.fingerprint, r.message) for k, r in got.items()} == {
+        1: ("job_persisted", "success", "f", "Persisted with status RELEVANT"), 2: ("duplicate_detected", "skipped", "f", "Fingerprint f already exists"),
+        3: ("normalization_rejected", "skipped", None, "Candidate rejected during normalization: missing title"), 4: ("filtered_stale", "skipped", None, "Job 'o'x' older than 24h (reason: too_old)"),
+    }
+    assert got[3].metadata == '{"platform":"p"}' and list(got[1].asDict()) == P.EVENT
+    m = spark.createDataFrame([("a", "x@y")], "message_id string, sender string")
+    assert R.backfill_events(m, m.limit(0), []).columns == P.EVENT
