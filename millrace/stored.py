@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +32,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Of each scratch() that is open, the tables written so far.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what written() has stored inside it: for runs whose results are stored or collected by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            removed(spark, path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The table, written once and read back, for plans that use it several times."""
+    """The table, written once and read back, for plans that use it several times; it stays until the scratch() around it ends."""
     path = fresh_path(df.sparkSession, label)
+    for tables in _OPEN[-1:]:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

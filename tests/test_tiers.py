@@ -114,3 +114,15 @@ def test_sql_functions_are_the_columns(spark):
     url, platform = F.col("url"), F.col("platform")
     want = df.select(U.canonical_url(url), U.canonical_url(url, platform), U.job_id(url), U.job_id(url, platform), U.is_job_url(url), U.link_score(url, F.col("anchor"))).collect()
     assert [tuple(r) for r in found] == [tuple(r) for r in want]
+
+
+def test_scratch_deletes_what_was_written(spark):
+    from millrace.stored import scratch, table_at, written
+
+    with scratch(spark):
+        one = written(spark.range(3), "one")
+        with scratch(spark):
+            two = written(spark.range(4), "two").inputFiles()[0]
+        assert one.count() == 3 and table_at(spark, two.rsplit("/", 1)[0]) is None
+        path = one.inputFiles()[0].rsplit("/", 1)[0]
+    assert table_at(spark, path) is None and written(spark.range(2), "kept").count() == 2
