@@ -37,9 +37,11 @@ def u1_canonical_url(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(f"WITH {CANDIDATES} SELECT seq, clean AS canonical, CASE WHEN n % 4 = 3 THEN 'j' || job ELSE CAST(1000000 + job AS VARCHAR) END AS job_id, true AS is_job FROM cand")
+@query(f"""WITH {CANDIDATES} SELECT seq, CASE WHEN n % 6 = 5 THEN 'https://www.linkedin.com/feed/' || n ELSE clean END AS canonical, CASE WHEN n % 6 = 5 THEN NULL WHEN n % 4 = 3 THEN 'j' || job ELSE CAST(1000000 + job AS VARCHAR) END AS job_id, n % 6 <> 5 AS is_job FROM cand""")
 def u4_job_id(spark, sf_dir):
+    """URLs of candidates, every sixth of them no posting."""
     c = P.candidates(spark, sf_dir)
+    c = c.withColumn("url", F.when(F.col("seq") % 6 == 5, F.concat(F.lit("https://uk.linkedin.com/comm/feed/"), F.col("seq").cast("string"), F.lit("/?trk=x#top"))).otherwise(F.col("url")))
     return c.select("seq", U.canonical_url(F.col("url")).alias("canonical"), U.job_id(F.col("url")).alias("job_id"), U.is_job_url(F.col("url")).alias("is_job"))
 
 
@@ -106,9 +108,11 @@ def b4_b6_render_and_links(spark, sf_dir):
     return r.select("page_id", "r.text", F.size("r.links").alias("links"))
 
 
-@query(f"WITH {PROCESSED} SELECT seq, CASE WHEN r0 = '' THEN NULL WHEN lower(r0) IN ('on-site', 'onsite') THEN 'onsite' ELSE lower(r0) END AS remote_type, employment_type, salary, CASE WHEN n % 11 <> 0 AND n % 17 <> 0 THEN posted_text END AS posted, false AS promoted FROM proc")
+@query(f"WITH {PROCESSED} SELECT seq, CASE WHEN r0 = '' THEN NULL WHEN lower(r0) IN ('on-site', 'onsite') THEN 'onsite' ELSE lower(r0) END AS remote_type, employment_type, salary, CASE WHEN n % 11 <> 0 AND n % 17 <> 0 THEN posted_text END AS posted, user_id % 3 = 0 AS promoted FROM proc")
 def f5_f9_fields(spark, sf_dir):
+    """Fields of blocks, of which some have the badge and some a word like it."""
     c = P.candidates(spark, sf_dir)
+    c = c.withColumn("block", F.concat("block", F.when(F.col("user_id") % 3 == 0, " Promoted").otherwise(" unpromoted")))
     return c.select("seq", X.remote_type(F.col("block")).alias("remote_type"), X.employment_type(F.col("block")).alias("employment_type"), X.salary(F.col("block")).alias("salary"), X.posted_phrase(F.col("posted_text")).alias("posted"), X.is_promoted(F.col("block")).alias("promoted"))
 
 
