@@ -1,4 +1,4 @@
-"""Rules that are rows of a table: keywords met by their rarest part, and parts of text met by their first characters.
+"""Rules that are rows of a table: keywords met as runs of words, and parts of text met by their first characters.
 
 Both are equi-joins whose cost grows with the text and with what is found, not with text
 times rules; a small rule table is broadcast when Spark's size check allows it.
@@ -11,30 +11,59 @@ from pyspark.sql import functions as F
 
 #: Characters by which a part of text is looked up.
 GRAM = 4
+#: More words than a text can have.
+_ALL = 1 << 30
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)))
+def _from(values: Column, start: int) -> Column:
+    return values if start == 1 else F.slice(values, start, _ALL)
 
 
-def _longest(words: Column) -> Column:
-    return F.aggregate(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+def _joined(left: Column, right: Column) -> Column:
+    """Elements side by side put together; null where one side has ended."""
+    return F.zip_with(left, right, lambda x, y: F.concat(x, y))
 
 
-def matched(texts: DataFrame, rules: DataFrame, key: str, text: str = "text", rule: str = "rule_id", keyword: str = "keyword") -> DataFrame:
-    """(key, rule) of the keywords that stand in a text as whole words, whatever their case; keys and rules are unique, and blank keywords match nothing.
+def _pieces(low: Column) -> dict[str, Column]:
+    """Words, words with what follows them, and what stands between two words."""
+    return {k: F.regexp_extract_all(low, F.lit(p), F.lit(0)) for k, p in (("_w", r"(?U)\w+"), ("_ws", r"(?U)\w+\W*"), ("_b", r"(?U)(?<=\w)\W+(?=\w)"))}
+
 
-    A keyword's words are words of any text that has it, so it is looked up by the longest
-    of them; one that is a single word is found by that, others are then read in the text.
+def _runs(shapes: list[tuple[int, bool, bool]]) -> Column:
+    """The runs of a text (_w, _ws, _b) that have one of the shapes: so many words, and with them what stands before or after, up to the next word.
+
+    A keyword found between two word boundaries is such a run, whatever signs are in it: the
+    signs at its ends reach to a word, or there would be no boundary.
+    """
+    found = []
+    for n in sorted({n for n, _, _ in shapes}):
+        run = F.col("_w")
+        for _ in range(n - 1):
+            run = _joined(F.col("_ws"), _from(run, 2))
+        for _, before, after in sorted(s for s in shapes if s[0] == n):
+            one = F.col("_b") if n == 0 else _joined(F.col("_b"), _from(run, 2)) if before else run
+            found.append(_joined(one, _from(F.col("_b"), n + 1 if before else n)) if n and after else one)
+    return F.array_distinct(F.array_compact(F.concat(*found)))
+
+
+def _met(texts: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, columns of wanted) for the rows of `wanted` whose `_low` stands in a text as whole words.
+
+    Only shapes of keywords, a few numbers, come to the driver; each makes at most a run a
+    word of the text, and runs meet keywords by equality, so texts move as their runs alone.
     """
+    shape = F.struct(F.size(F.regexp_extract_all("_low", F.lit(r"(?U)\w+"), F.lit(0))).alias("n"), (~F.rlike("_low", F.lit(r"(?U)^\w"))).alias("before"), (~F.rlike("_low", F.lit(r"(?U)\w$"))).alias("after"))
+    shapes = [(r["n"], r["before"], r["after"]) for r in wanted.select(shape.alias("s")).distinct().select("s.*").collect()]
+    if not shapes:
+        return texts.select(key, F.lit("").alias("_low")).join(wanted, "_low")  # of no keywords, none
+    rows = texts.select(key, F.lower(text).alias("_text")).select(key, *[c.alias(k) for k, c in _pieces(F.col("_text")).items()])
+    return rows.select(key, F.explode(_runs(shapes)).alias("_low")).join(wanted, "_low")
+
+
+def matched(texts: DataFrame, rules: DataFrame, key: str, text: str = "text", rule: str = "rule_id", keyword: str = "keyword") -> DataFrame:
+    """(key, rule) of the keywords that stand in a text as whole words, whatever their case; keys and rules are unique, and blank keywords match nothing."""
     low = F.lower(F.trim(F.col(keyword)))
-    wanted = rules.where(low != "").select(rule, low.alias("_low")).withColumn("_word", _longest(_words(F.col("_low"))))
-    words = texts.select(key, F.explode(F.array_union(_words(F.lower(F.coalesce(text, F.lit("")))), F.array(F.lit("")))).alias("_word"))
-    hits = words.join(wanted, "_word")
-    sure = hits.where("_low = _word").select(key, rule)
-    pattern = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("_low", r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(r"\b"))
-    read = hits.where("_low <> _word").join(texts.select(key, F.lower(text).alias("_text")), key).where(F.rlike(F.col("_text"), pattern)).select(key, rule)
-    return sure.unionByName(read)
+    return _met(texts, rules.where(low != "").select(rule, low.alias("_low")), key, text).select(key, rule)
 
 
 def classified(rows: DataFrame, categories: DataFrame, keywords: DataFrame, key: str, title: str = "title", description: str | None = None) -> DataFrame:
@@ -43,10 +72,11 @@ def classified(rows: DataFrame, categories: DataFrame, keywords: DataFrame, key:
     `keywords` has category_id, keyword and match_type; all types but negative count alike.
     """
     parts = [F.nullif(F.col(c), F.lit("")) for c in (title, description) if c]
-    rules = keywords.join(categories.where("enabled").select(F.col("id").alias("category_id"), "name"), "category_id")
-    rules = rules.select(F.col("category_id").alias("_id"), "name", "keyword", (F.col("match_type") == "negative").alias("_no"), F.xxhash64("category_id", "keyword", "match_type").alias("rule_id")).dropDuplicates(["rule_id"])
-    found = matched(rows.select(key, F.concat_ws(" ", *parts).alias("text")), rules, key).join(rules.select("rule_id", "_id", "name", "_no"), "rule_id")
-    kept = found.groupBy(key, "_id").agg(F.max("name").alias("name"), F.bool_or("_no").alias("no")).where("not no")
+    on = categories.where("enabled").select(F.col("id").alias("category_id"), "name")
+    rules = keywords.join(on.select("category_id"), "category_id", "left_semi").select(F.col("category_id").alias("_id"), F.lower(F.trim("keyword")).alias("_low"), (F.col("match_type") == "negative").alias("_no"))
+    found = _met(rows.select(key, F.concat_ws(" ", *parts).alias("_all")), rules.where("_low <> ''").distinct(), key, "_all")
+    # Numbers only until here, so that a text's many hits become one row a category before they move.
+    kept = found.groupBy(key, "_id").agg(F.bool_or("_no").alias("no")).where("not no").join(on.withColumnRenamed("category_id", "_id"), "_id")
     names = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_id", "name"))).alias("_hits"))
     out = rows.join(names, key, "left").withColumn("categories", F.coalesce(F.transform("_hits", lambda h: h["name"]), F.array().cast("array<string>")))
     return out.drop("_hits")
@@ -57,8 +87,7 @@ def containing(texts: DataFrame, parts: DataFrame, key: str, text: str, part: st
 
     A part is looked up by its first GRAM characters among those that begin in the text.
     """
-    low = F.lower(F.col(text))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - GRAM + 1), lambda i: F.substring(low, i, F.lit(GRAM))))
-    rows = texts.where(F.length(text) >= GRAM).select(key, low.alias("_text"), F.explode(grams).alias("_gram"))
+    grams = F.array_distinct(F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    rows = texts.select(key, F.lower(text).alias("_text")).select(key, "_text", F.explode(grams).alias("_gram"))
     wanted = parts.where(F.length(part) >= GRAM).withColumn("_gram", F.lower(F.substring(part, 1, GRAM)))
     return rows.join(wanted, "_gram").where(F.contains("_text", F.lower(part))).select(key, *parts.columns)

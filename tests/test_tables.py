@@ -26,6 +26,20 @@ def test_keywords_are_whole_words(spark):
     assert H.matched(rows, rules.limit(0), "id").count() == 0 and H.matched(rows.limit(0), rules, "id").count() == 0
 
 
+def test_keywords_of_any_signs_agree_with_patterns(spark):
+    import re
+
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("ab+. -é_") for _ in range(rng.randrange(n)))
+    texts, words = {i: some(30) for i in range(120)}, sorted({some(7) for _ in range(150)})
+    rows, rules = spark.createDataFrame(list(texts.items()), "id int, text string"), spark.createDataFrame(list(enumerate(words)), "rule_id int, keyword string")
+    want = {(i, k) for i, t in texts.items() for k, w in enumerate(words) if w.strip() and re.search(r"\b" + re.escape(w.strip()) + r"\b", t)}
+    assert {tuple(r) for r in H.matched(rows, rules, "id").distinct().collect()} == want and len(want) > 300
+    parts = spark.createDataFrame([("ab+.",), ("B-A ",), ("a.ab",), ("aa",)], "part string")
+    held = {(i, p) for i, t in texts.items() for p in ("ab+.", "B-A ", "a.ab") if p.lower() in t}
+    assert {tuple(r) for r in H.containing(rows, parts, "id", "text", "part").collect()} == held
+
+
 def test_rule_tables_judge_as_expressions_do(spark):
     jobs = [(1, "AI Engineer", None), (2, "He said maintain", ""), (3, "Senior Python Developer", "php"), (4, None, None), (5, "", "Machine learning and python"), (6, "Junior php", "x")]
     categories = [(1, "PHP", True), (2, "AI", True), (3, "Python", True), (4, "Off", False), (5, "Empty", True)]
