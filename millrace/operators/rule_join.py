@@ -6,9 +6,11 @@ times rules; a small rule table is broadcast when Spark's size check allows it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import rules
+
 #: Characters by which a part of text is looked up.
 GRAM = 4
 #: More words than a text can have.
@@ -60,26 +62,37 @@ def _met(texts: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(_runs(shapes)).alias("_low")).join(wanted, "_low")
 
 
-def matched(texts: DataFrame, rules: DataFrame, key: str, text: str = "text", rule: str = "rule_id", keyword: str = "keyword") -> DataFrame:
+def matched(texts: DataFrame, wanted: DataFrame, key: str, text: str = "text", rule: str = "rule_id", keyword: str = "keyword") -> DataFrame:
     """(key, rule) of the keywords that stand in a text as whole words, whatever their case; keys and rules are unique, and blank keywords match nothing."""
     low = F.lower(F.trim(F.col(keyword)))
-    return _met(texts, rules.where(low != "").select(rule, low.alias("_low")), key, text).select(key, rule)
+    return _met(texts, wanted.where(low != "").select(rule, low.alias("_low")), key, text).select(key, rule)
 
 
-def classified(rows: DataFrame, categories: DataFrame, keywords: DataFrame, key: str, title: str = "title", description: str | None = None) -> DataFrame:
-    """Rows with `categories`: names, in the order of ids, of the enabled categories (id, name, enabled) that have a keyword in title and description and no negative one.
+def category_table(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The categories (id, name, enabled) and keywords (category_id, keyword, match_type) of rules.CATEGORIES as rows."""
+    named = list(enumerate(rules.CATEGORIES.items(), 1))
+    categories = spark.createDataFrame([(i, name, True) for i, (name, _) in named], "id int, name string, enabled boolean")
+    return categories, spark.createDataFrame([(i, w, "word_boundary") for i, (_, words) in named for w in words], "category_id int, keyword string, match_type string")
+
 
-    `keywords` has category_id, keyword and match_type; all types but negative count alike.
+def category_names(texts: DataFrame, categories: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, categories) of the texts that fit any: names, in the order of ids, of the enabled categories (id, name, enabled) that have a keyword in the text and no negative one.
+
+    `keywords` has category_id, keyword and match_type; all types but negative count alike. Keys are unique.
     """
-    parts = [F.nullif(F.col(c), F.lit("")) for c in (title, description) if c]
-    on = categories.where("enabled").select(F.col("id").alias("category_id"), "name")
-    rules = keywords.join(on.select("category_id"), "category_id", "left_semi").select(F.col("category_id").alias("_id"), F.lower(F.trim("keyword")).alias("_low"), (F.col("match_type") == "negative").alias("_no"))
-    found = _met(rows.select(key, F.concat_ws(" ", *parts).alias("_all")), rules.where("_low <> ''").distinct(), key, "_all")
+    on = categories.where("enabled").select(F.col("id").alias("_id"), "name")
+    wanted = keywords.select(F.col("category_id").alias("_id"), F.lower(F.trim("keyword")).alias("_low"), (F.col("match_type") == "negative").alias("_no"))
+    found = _met(texts, wanted.where("_low <> ''").join(on.select("_id"), "_id", "left_semi").distinct(), key, text)
     # Numbers only until here, so that a text's many hits become one row a category before they move.
-    kept = found.groupBy(key, "_id").agg(F.bool_or("_no").alias("no")).where("not no").join(on.withColumnRenamed("category_id", "_id"), "_id")
-    names = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_id", "name"))).alias("_hits"))
-    out = rows.join(names, key, "left").withColumn("categories", F.coalesce(F.transform("_hits", lambda h: h["name"]), F.array().cast("array<string>")))
-    return out.drop("_hits")
+    kept = found.groupBy(key, "_id").agg(F.bool_or("_no").alias("no")).where("not no").join(on, "_id")
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_id", "name"))).alias("_hits")).select(key, F.transform("_hits", lambda h: h["name"]).alias("categories"))
+
+
+def classified(rows: DataFrame, categories: DataFrame, keywords: DataFrame, key: str, title: str = "title", description: str | None = None) -> DataFrame:
+    """Rows with `categories`, the category_names() of their title and description; empty where none fits."""
+    parts = [F.nullif(F.col(c), F.lit("")) for c in (title, description) if c]
+    names = category_names(rows.select(key, F.concat_ws(" ", *parts).alias("_all")), categories, keywords, key, "_all")
+    return rows.join(names, key, "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
 
 
 def containing(texts: DataFrame, parts: DataFrame, key: str, text: str, part: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.text import employment_type, remote_type, salary
 from ..functions.urls import canonical_url, job_id, parser_of, platform_of
 from ..operators.identity import duplicates, fingerprint, fold
 from ..operators.judge import categories, freshness, reject_reason, status
+from ..operators.rule_join import category_names
 from ..sources.anchors import stored_field
 from ..stored import spread
 
@@ -38,18 +39,28 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def processed(found: DataFrame, fresh_hours: int = 24 * 30) -> DataFrame:
-    """Candidates with identity, fields, date, categories and an outcome: rejected, stale or accepted."""
+def processed(found: DataFrame, fresh_hours: int = 24 * 30, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Candidates with identity, fields, date, categories and an outcome: rejected, stale or accepted.
+
+    `tables` are categories and keywords as rule_join.category_table() has them, for rules
+    that change or are many; without them the fixed rules judge, as part of the expression.
+    The tables meet titles by a join on seq, which is unique.
+    """
     platform = parser_of(F.col("sender"))
     cleaned = {c: stored_field(F.col(c)) for c in FIELDS if c in found.columns}
+    fitting = categories(cleaned["title"], F.lit(None).cast("string"))
+    if tables is not None:
+        titles = found.select("seq", F.coalesce(cleaned["title"], F.lit("")).alias("_title"))
+        found = found.join(category_names(titles, *tables, "seq", "_title").withColumnRenamed("categories", "_fitting"), "seq", "left")
+        fitting = F.coalesce("_fitting", F.array().cast("array<string>"))
     read = F.struct(
         F.col("title").alias("_raw_title"), *[v.alias(c) for c, v in cleaned.items()],
         platform.alias("platform"), canonical_url(F.col("url"), platform).alias("job_url"), posted_at(F.col("posted_text"), F.col("received_at")).alias("job_posted_at"),
         remote_type(F.col("block")).alias("remote_type"), employment_type(F.col("block")).alias("employment_type"), stored_field(salary(F.col("block"))).alias("salary"),
-        categories(cleaned["title"], F.lit(None).cast("string")).alias("categories"),
+        fitting.alias("categories"),
     )
     # The generator computes each of these once a row; later filters on them would repeat the expressions else.
-    rows = found.withColumn("_read", F.explode(F.array(read))).select(*[c for c in found.columns if c not in cleaned], "_read.*")
+    rows = found.withColumn("_read", F.explode(F.array(read))).select(*[c for c in found.columns if c not in cleaned and c != "_fitting"], "_read.*")
     rows = rows.withColumn("platform_job_id", job_id(F.col("job_url"), F.col("platform")))
     rows = rows.withColumns({
         "reason": reject_reason(F.col("_raw_title"), F.col("job_url"), F.col("platform_job_id"), F.col("received_at"), F.col("platform"), F.col("title")),

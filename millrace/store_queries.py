@@ -487,6 +487,15 @@ def k1_keyset_page(spark, sf_dir):
     return rows.select("seq", "fingerprint", F.unix_micros("received_at").alias("received_us"))
 
 
+@query(f"WITH {PROCESSED} SELECT {FOLD} FROM fold")
+def h1_i4_table_rules(spark, sf_dir):
+    """Postings judged by category rules that are rows of tables, among them a category that is switched off and one whose keyword is denied."""
+    categories, keywords = H.category_table(spark)
+    categories = categories.unionByName(spark.createDataFrame([(80, "Off", False), (81, "Denied", True)], categories.schema))
+    keywords = keywords.unionByName(spark.createDataFrame([(80, "developer", "exact"), (81, "engineer", "exact"), (81, "engineer", "negative")], keywords.schema))
+    return flat(P.postings(P.processed(P.candidates(spark, sf_dir), tables=(categories, keywords))))
+
+
 @query(f"WITH {PROCESSED} SELECT {FOLD} FROM fold")
 def i4_j3_compaction(spark, sf_dir):
     """Postings of five batches, out of order; two compactions between them, and what they took in deleted."""

@@ -10,6 +10,7 @@ from millrace.operators import addresses as N
 from millrace.operators import judge as J
 from millrace.operators import platforms as T
 from millrace.operators import rule_join as H
+from millrace.plans import postings as P
 from millrace.stored import table_at
 from millrace.streaming import ingest as I
 
@@ -55,6 +56,17 @@ def test_rule_tables_judge_as_expressions_do(spark):
     assert got == plain and got[3] == ["PHP", "Python"] and got[6] == [] and got[1] == ["AI"] and got[5] == ["AI", "Python"]
 
 
+def test_candidates_are_judged_by_tables_as_by_constants(spark):
+    titles = ["Senior Python Developer", None, "", "<b>AI</b> Engineer", "Said nothing", "back-end &amp; Machine Learning", "<!-- x -->", "LLM Engineer"]
+    url = "https://www.linkedin.com/jobs/view/"
+    rows = spark.createDataFrame([(i, t, f"{url}{1000 + i % 5}", "a@linkedin.com", "Full time $50,000 a year", "2 days ago", i) for i, t in enumerate(titles)], "seq long, title string, url string, sender string, block string, posted_text string, _fit int")
+    rows = rows.withColumn("received_at", F.lit("2024-01-05").cast("timestamp"))
+    shown = lambda out: sorted(map(str, out.select("seq", "title", "categories", "status", "outcome", "fingerprint", "_fit").collect()))
+    assert shown(P.processed(rows, tables=H.category_table(spark))) == shown(P.processed(rows))
+    empty = tuple(t.limit(0) for t in H.category_table(spark))
+    assert {r.status for r in P.processed(rows, tables=empty).collect()} == {"IRRELEVANT"}
+
+
 def test_platforms_by_table_and_by_constants(spark):
     urls = [
         "https://uk.linkedin.com/comm/jobs/view/12/?trk=x&position=2", "https://www.indeed.com/viewjob?jk=AB1&from=x&vjk=2", "http://x.org/?u=glassdoor.com&src=1", "https://notlinkedin.com/comm/a?src=2", "https://wellfound.com/job-listings/a-b?src=1&b=2", "", "x", None,
