@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import archives, exact_dedup, jaccard_join, mixing, packing, quality, sentence_spans, suffix_dedup, suffixes, topk, toxicity
+from millrace.llm import archives, exact_dedup, jaccard_join, mixing, packing, quality, sentence_spans, suffix_dedup, suffixes, topk, toxicity, words
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id string, n long"
@@ -153,7 +153,7 @@ def test_sentence_spans(spark, docs):
     rows = sorted({(2**63 - 1 if r.doc_id is None else r.doc_id, r.n1, r.n2, r.text or "") for r in table.collect()})
     first, every = {}, {}
     for *name, t in rows:
-        bodies = pieces(t)
+        bodies = plain_pieces(t)
         every[(*name, t)] = found = []
         for a in range(len(bodies)):
             b = next((b for b in range(a + sentence_spans.LEAST_SENTENCES, len(bodies) + 1) if sum(len(x) for x in bodies[a:b]) >= sentence_spans.LEAST_WORDS), None)
@@ -173,7 +173,7 @@ def test_sentence_spans(spark, docs):
 
 
 def pieces(text):
-    """Words of the sentences of one text."""
+    """Words of the sentences of one text, as the operator cuts it."""
     import pyarrow as pa
 
     slices = list(sentence_spans.sliced(pa.array([text])))
@@ -182,6 +182,45 @@ def pieces(text):
     return [raw[a:b].decode().split() for a, b in zip(places[:-1], places[1:], strict=True)]
 
 
+def word_hash(word):
+    """The polynomial hash of one word's characters, in Python integers; mixed as all hashes of words are."""
+    total = sum((ord(c) + 1) * int(sentence_spans._FACTOR) * pow(sentence_spans._BASES[0], k, 1 << 64) for k, c in enumerate(word)) % (1 << 64)
+    return int(words.mix(words.mix(np.array([(total + len(word)) % (1 << 64)], np.uint64)), 5)[0])
+
+
+def plain_pieces(text):
+    """The same by the rules alone: a loop over words of a script with spaces, without arrays of the whole text."""
+    found = list(re.finditer(r"\S+", text))
+    starts = []
+    for k, m in enumerate(found):
+        between = text[found[k - 1].end() : m.start()] if k else ""
+        starts.append(k == 0 or "\n" in between or found[k - 1].group()[-1] in ".!?")
+    sentence = np.cumsum(starts).tolist()
+    least = [word_hash(m.group()) for m in found]
+    reach = sentence_spans.REACH
+    cut = list(starts)
+    for k in range(reach, len(found) - reach):
+        around = range(k - reach, k + reach + 1)
+        if sentence[around[0]] == sentence[around[-1]] and least[k] == min(least[i] for i in around):
+            cut[k + 1] = True
+    out = []
+    for m, new in zip(found, cut, strict=True):
+        if new:
+            out.append([])
+        out[-1].append(m.group())
+    return out
+
+
+def test_sentences_are_cut_by_the_rules_alone(docs):
+    """Segmentation against a plain loop over every text of the table, long and odd ones too, and over random text of marks and line ends."""
+    rng = np.random.default_rng(3)
+    texts = [r.text or "" for r in docs.collect()]
+    texts += ["".join(rng.choice(list("ab C.!? \n\t"), rng.integers(0, 400))) for _ in range(200)]
+    assert sum(len(plain_pieces(t)) for t in texts) > 1000
+    for t in texts:
+        assert pieces(t) == plain_pieces(t)
+
+
 def test_sentences_end_at_marks_lines_and_least_words():
     text = "One two. Three four!  Five\nsix 3.14 seven? Eight"
     assert pieces(text) == [["One", "two."], ["Three", "four!"], ["Five"], ["six", "3.14", "seven?"], ["Eight"]]
