@@ -306,7 +306,7 @@ def readings(rows, entropy, repeats, budget=None):
 
 @pytest.mark.parametrize("how", [{}, {"entropy": 0.9, "repeats": 20.0}, {"entropy": 1.0, "repeats": 1.5}, {"entropy": 0.5, "repeats": 9.0, "budget": 9000}])
 def test_mixing_plan(spark, docs, how):
-    base = docs.withColumn("source", F.concat(F.coalesce("source", F.lit("none")), F.pmod(F.hash("doc_id"), F.lit(2)).cast("string"))).where("doc_id <> 906 and doc_id <> 907 or doc_id is null").cache()
+    base = docs.withColumn("source", F.concat(F.coalesce("source", F.lit("none")), F.pmod(F.hash("doc_id"), F.lit(2)).cast("string"))).cache()
     rows = [(str(r.doc_id), r.text or "", r.source) for r in base.collect()]
     plan = mixing.mix_plan(base, block_tokens=2000, **how).collect()
     want = readings([(s, len(SPACE.sub(" ", t).split())) for _, t, s in rows], how.get("entropy", mixing.ENTROPY), how.get("repeats", mixing.REPEATS), how.get("budget"))
@@ -510,7 +510,7 @@ def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     sf = f"{tmp_path}/sf"
-    plain = docs.drop("kept", "component_id", "n").where("doc_id <> 906 and doc_id <> 907 or doc_id is null")
+    plain = docs.drop("kept", "component_id", "n")
     plain.write.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     labels.write.parquet(f"{sf}/labels.parquet")
@@ -546,11 +546,11 @@ def test_pipeline(spark, docs, tmp_path):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     assert collections.Counter(rows["near_dedup"]) == collections.Counter(r for r in rows["exact_dedup"] if r[0] is None or find(r[0]) == r[0])
-    # Readings of each source: all rows in whole epochs, and no row more than once in the last.
+    # Readings of each source: all rows in whole epochs, and no row more than once in the last; of 2.9999 readings the third is not whole.
     want = readings([(s, len((t or "").split())) for _, t, s in rows["near_dedup"]], mixing.ENTROPY, mixing.REPEATS)
     own = collections.Counter(rows["near_dedup"])
     for r, n in collections.Counter(rows["mixing"]).items():
-        assert int(want[r[2]] + 1e-3) * own[r] <= n <= (int(want[r[2]] - 1e-3) + 1) * own[r]
+        assert int(want[r[2]] + 1e-6) * own[r] <= n <= (int(want[r[2]] - 1e-3) + 1) * own[r]
     assert set(rows["mixing"]) == set(rows["near_dedup"])
     # Every word is in one piece, and batches are full but for the last of a bucket.
     packed = tables["packing"].collect()
