@@ -175,21 +175,33 @@ def fit_additive(x: np.ndarray, y: np.ndarray) -> Additive:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, most: int, id_col: str, text_col: str, *extra: str) -> DataFrame:
-    """(doc_id, text, y, extra columns) of at most `most` labelled rows outside the held-out fold, those with the smallest hash of their id.
-
-    Null labels and ids play no part; of several labels of one id the larger mean side counts,
-    and of several rows of one id the one whose text has the smallest hash.
-    """
+def _labels(labels: DataFrame, label: str, fold) -> DataFrame:
     y = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("y")).where("_id is not null and y is not null and not isnan(y)")
-    y = y.where(~fold(F.col("_id"))).groupBy("_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("_id"), "_id").limit(most)  # bounded, so it may be broadcast
+    return y.where(~fold(F.col("_id"))).groupBy("_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+
+
+def _with_labels(docs: DataFrame, y: DataFrame, id_col: str, text_col: str, *extra: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in extra])
-    rows = rows.join(F.broadcast(y), F.col("doc_id") == F.col("_id")).drop("_id")
+    rows = rows.join(y, F.col("doc_id") == F.col("_id")).drop("_id")
     least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", *extra)).alias("least")
     return rows.groupBy("doc_id", "y").agg(least).select("doc_id", "y", *[F.col(f"least.{c}") for c in ("text", *extra)])
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, fold, id_col: str, text_col: str, *extra: str) -> DataFrame:
+    """(doc_id, text, y, extra columns) of all labelled rows outside the held-out fold.
+
+    Null labels and ids play no part; of several labels of one id the larger mean side counts,
+    and of several rows of one id the one whose text has the smallest hash.
+    """
+    return _with_labels(docs, _labels(labels, label, fold), id_col, text_col, *extra)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, most: int, id_col: str, text_col: str, *extra: str) -> DataFrame:
+    """At most `most` of the labelled_rows(), those with the smallest hash of their id."""
+    y = _labels(labels, label, fold).orderBy(F.xxhash64("_id"), "_id").limit(most)  # bounded, so it may be broadcast
+    return _with_labels(docs, F.broadcast(y), id_col, text_col, *extra)
+
+
 def held_out(id_column, by: int = 5, rest: int = 0):
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(by).cast("bigint")) == rest
 
