@@ -24,7 +24,7 @@ UNITS = ["minutes", "hours", "days", "weeks", "months"]
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate postings, one for each event: tracked URLs, relative dates, and a block of text to read fields from."""
-    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("received_at"))
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("received_at")))
     n, job = F.col("event_id"), (F.col("user_id") * 7 + F.col("event_id") % 5)
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
     linkedin = F.concat(F.lit("https://"), pick(["www", "pk", "UK"], n), F.lit(".linkedin.com/comm/jobs/view/"), (1_000_000 + job).cast("string"), F.lit("/?trk=e"), n.cast("string"), F.lit("&utm_source=x"))

@@ -72,7 +72,14 @@ def table_at(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small input over all cores: a table of fewer partitions than cores is dealt out anew, a larger one is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Rows of a part that is dealt out; expressions on URLs and texts take some tenths of a millisecond a row.
+PART_ROWS = 50_000
+
+
+def spread(df: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """An input dealt out anew, over all cores and in parts of `part_rows` rows at most on average.
+
+    How a file splits says nothing of its rows: a Parquet file may give more splits than there
+    are cores, and have all rows in the few that hold the start of a row group.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // part_rows)))

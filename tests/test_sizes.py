@@ -5,6 +5,7 @@ from pathlib import Path
 from oracle import duck, spark_rows
 
 from millrace.queries import QUERIES, SQL
+from millrace.stored import spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,16 @@ def test_addresses_of_users_beyond_four_figures(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     both = events.unionByName(events.selectExpr("event_id + 1000 as event_id", "ts", "user_id + 9990 as user_id", "event_type", "value", "props"))
     assert same(spark, "c15_resolved_addresses", tables(spark, tmp_path, events=both.coalesce(1)))
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark):
+    """A file with more splits than cores, all rows of which are in one of them."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        table = spark.read.parquet(f"{SF}/events.parquet")
+        assert table.rdd.getNumPartitions() >= 8 and max(len(p) for p in table.rdd.glom().collect()) == table.count()
+        assert max(len(p) for p in spread(table).rdd.glom().collect()) <= table.count() // 8 + 1
+        assert spread(table, 10).rdd.getNumPartitions() == -(-table.count() // 10)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
