@@ -13,6 +13,8 @@ from .. import rules
 
 #: Characters by which a part of text is looked up.
 GRAM = 4
+#: Beginnings of parts that are sought in each text by themselves.
+MOST_STARTS = 500
 #: More words than a text can have.
 _ALL = 1 << 30
 
@@ -98,9 +100,14 @@ def classified(rows: DataFrame, categories: DataFrame, keywords: DataFrame, key:
 def containing(texts: DataFrame, parts: DataFrame, key: str, text: str, part: str) -> DataFrame:
     """(key, columns of parts) of the parts that a text contains anywhere, in lower case; parts have GRAM characters or more, shorter ones match nothing.
 
-    A part is looked up by its first GRAM characters among those that begin in the text.
+    A part is looked up by its first GRAM characters among those that begin in the text. Up to
+    MOST_STARTS of these come to the driver, and a text moves once for each that it has; only
+    more parts than that are looked up under all that begin in a text.
     """
+    wanted = parts.where(F.length(part) >= GRAM).withColumn("_gram", F.lower(F.substring(part, 1, GRAM)))
+    starts = [r["_gram"] for r in wanted.select("_gram").distinct().limit(MOST_STARTS + 1).collect()]
     grams = F.array_distinct(F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    if len(starts) <= MOST_STARTS:
+        grams = F.filter(F.lit(sorted(starts)).cast("array<string>"), lambda g: F.contains("_text", g))
     rows = texts.select(key, F.lower(text).alias("_text")).select(key, "_text", F.explode(grams).alias("_gram"))
-    wanted = parts.where(F.length(part) >= GRAM).withColumn("_gram", F.lower(F.substring(part, 1, GRAM)))
     return rows.join(wanted, "_gram").where(F.contains("_text", F.lower(part))).select(key, *parts.columns)

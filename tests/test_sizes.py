@@ -2,8 +2,12 @@
 
 from pathlib import Path
 
+import pytest
 from oracle import duck, spark_rows
 
+from millrace.operators import rule_join as R
+from millrace.operators.scrape import resolved
+from millrace.plans import serving as V
 from millrace.queries import QUERIES, SQL
 from millrace.stored import spread
 
@@ -46,3 +50,43 @@ def test_rows_of_one_row_group_are_dealt_out(spark):
         assert spread(table, 10).rdd.getNumPartitions() == -(-table.count() // 10)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _python_stages(frame) -> int:
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_redirects_judge_urls_once(spark):
+    """Starts are judged in the plan of the chase, hops aren't."""
+    urls = spark.createDataFrame([("https://x.org/1",)], "url string")
+    moves = spark.createDataFrame([("https://x.org/1", "https://x.org/2"), ("https://x.org/2", "http://10.0.0.1/")], "src string, dst string")
+    found = resolved(urls, moves)
+    assert _python_stages(found) == 1
+    assert [tuple(r) for r in found.collect()] == [("https://x.org/1", "https://x.org/1", 2, True, "internal or private address")]
+
+
+def test_texts_move_once_for_each_part_that_begins_in_them(spark):
+    texts = spark.createDataFrame([(1, "https://www.LINKEDIN.com/jobs/view/1234567890/?trk=" + "e" * 300), (2, "link to none"), (3, None)], "k int, t string")
+    parts = spark.createDataFrame([("a", "linkedin.com"), ("b", "Jobs/view"), ("c", "abc")], "slug string, d string")
+    exploded = []
+    real = R.F.explode
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(R.F, "explode", lambda c: exploded.append(c) or real(c))
+        found = R.containing(texts, parts, "k", "t", "d")
+    grams = texts.select(R.F.lower("t").alias("_text")).select(R.F.size(exploded[0]).alias("n")).where("n > 0")
+    assert sorted(r["n"] for r in grams.collect()) == [1, 2]
+    assert sorted((r["k"], r["slug"]) for r in found.collect()) == [(1, "a"), (1, "b")]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(R, "MOST_STARTS", 1)
+        assert sorted((r["k"], r["slug"]) for r in R.containing(texts, parts, "k", "t", "d").collect()) == [(1, "a"), (1, "b")]
+
+
+def test_published_parts_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "MOST_PARTS", 7, raising=False)
+    rows = spark.range(1000).selectExpr("timestamp_seconds(id div 3) as received_at", "id as seq")
+    V.publish(rows, f"{tmp_path}/v", 1, 10)
+    found = V.served(spark, f"{tmp_path}/v", 1)
+    assert found.index.count() <= 7 and found.count() == 1000
+    assert [r["seq"] for r in found.page(30, 20).collect()] == list(range(419, 399, -1))
+    last = found.page(1, 20).collect()[-1]
+    assert [r["seq"] for r in found.after(last["received_at"], last["seq"], 20).collect()] == list(range(979, 959, -1))
