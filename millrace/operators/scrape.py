@@ -11,6 +11,7 @@ from .. import rules
 from ..functions.text import search_text
 from ..functions.urls import any_in, unsafe_reason
 from ..sources.anchors import page_words
+from ..stored import written
 from .judge import keyword_matches
 
 # The search page and the tokens of its filters.
@@ -46,14 +47,16 @@ def resolved(urls: DataFrame, moves: DataFrame, hops: int = HOPS, reason=unsafe_
 
     Of several moves from one source the smallest counts. Every URL on the way is judged
     before it is followed; at the first that must not be, the chase stops, and final_url is
-    the URL that it began with.
+    the URL that it began with. A URL is judged where it is named, once for each move and once
+    for each start, so that no hop needs Python; moves with their reasons are stored.
     """
     moves = moves.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst"))
+    moves = written(moves.select("src", "dst", reason(F.col("dst")).alias("why")), "moves")
     out = urls.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), reason(F.col("url")).alias("reason"))
     for _ in range(hops):
         # Without a key a blocked chase finds no move.
         at = out.withColumn("at", F.when(F.col("reason").isNull(), F.col("final_url")))
-        out = at.join(moves, at["at"] == moves["src"], "left").select("url", F.coalesce("dst", "final_url").alias("final_url"), (F.col("hops") + F.col("dst").isNotNull().cast("int")).alias("hops"), F.coalesce("reason", F.when(F.col("dst").isNotNull(), reason(F.col("dst")))).alias("reason"))
+        out = at.join(moves, at["at"] == moves["src"], "left").select("url", F.coalesce("dst", "final_url").alias("final_url"), (F.col("hops") + F.col("dst").isNotNull().cast("int")).alias("hops"), F.coalesce("reason", "why").alias("reason"))
     blocked = F.col("reason").isNotNull()
     return out.select("url", F.when(blocked, F.col("url")).otherwise(F.col("final_url")).alias("final_url"), "hops", blocked.alias("blocked"), "reason")
 
