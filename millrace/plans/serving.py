@@ -13,16 +13,23 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..stored import removed, table_at
+from ..stored import removed, table_at, written
 
 #: Postings of a part, on average.
 PART_ROWS = 50_000
+#: Parts of a version at most: each is a folder of its own, and a row of the index.
+MOST_PARTS = 500
 
 
 def publish(postings: DataFrame, target: str, version: int, part_rows: int = PART_ROWS) -> None:
-    """Writes postings (received_at, seq, ...) as a version; seq is unique. Null instants come last, as oldest. A repeated version replaces itself."""
+    """Writes postings (received_at, seq, ...) as a version; seq is unique. Null instants come last, as oldest. A repeated version replaces itself.
+
+    Postings that would take more than MOST_PARTS parts lie in as many, which hold more than
+    `part_rows` then. They are stored first, as they are counted, sampled for ranges and written.
+    """
     newest = [F.col("received_at").desc_nulls_last(), F.col("seq").desc()]
-    parts = max(1, -(-postings.count() // part_rows))
+    postings = written(postings, "published")
+    parts = min(MOST_PARTS, max(1, -(-postings.count() // part_rows)))
     ranged = postings.repartitionByRange(parts, *newest).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *newest)
     at = f"{target}/version={version}"
     ranged.write.mode("overwrite").partitionBy("part").parquet(f"{at}/rows")
