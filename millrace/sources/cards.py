@@ -43,27 +43,49 @@ def _fits(node: Node, step: tuple[str, str, str, str, str]) -> bool:
     )
 
 
-def _found(node: Node, selector: str):
-    *above, last = _steps(selector)
+def _below(node: Node, above: list[tuple[str, str, str, str, str]]) -> bool:
+    """Whether ancestors fit the steps before the last, in their order."""
+    want, up = list(above), node.parent
+    while want and up is not None:
+        if _fits(up, want[-1]):
+            want.pop()
+        up = up.parent
+    return not want
+
+
+@cache
+def _by_tag(selectors: tuple[str, ...]) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for s in selectors:
+        found.setdefault(_steps(s)[-1][0], []).append(s)
+    return found
+
+
+def _found(node: Node, selectors: tuple[str, ...], every: bool = False) -> dict[str, list[Node]]:
+    """The first node below one, or every node, that each selector fits, from one walk."""
+    tags, out = _by_tag(selectors), {}
     for x in elements(node):
-        if _fits(x, last):
-            want, up = list(above), x.parent
-            while want and up is not None:
-                if _fits(up, want[-1]):
-                    want.pop()
-                up = up.parent
-            if not want:
-                yield x
+        for s in tags.get(x.tag, ()):
+            if every or s not in out:
+                *above, last = _steps(s)
+                if _fits(x, last) and _below(x, above):
+                    out.setdefault(s, []).append(x)
+    return out
+
+
+_FIELDS = {"link": LINK, "title": TITLE, "company": COMPANY, "location": LOCATION, "posted": POSTED}
+_SELECTORS = tuple(dict.fromkeys(s for v in _FIELDS.values() for s in v))
 
 
 def _read(html: str) -> list[dict]:
-    root, out = tree(html), []
-    for card in next((c for c in (list(_found(root, s)) for s in CARDS) if c), []):
-        first = {k: [x for x in (next(_found(card, s), None) for s in v) if x is not None] for k, v in (("link", LINK), ("title", TITLE), ("company", COMPANY), ("location", LOCATION), ("posted", POSTED))}
-        view = next(_found(card, LINK[-1]), None)
+    found, out = _found(tree(html), tuple(CARDS), every=True), []
+    for card in next((found[s] for s in CARDS if s in found), []):
+        own = _found(card, _SELECTORS)
+        first = {k: [own[s][0] for s in v if s in own] for k, v in _FIELDS.items()}
+        view = own.get(LINK[-1])
         out.append(
             {"pos": len(out), "ids": [card.attrs.get("data-occludable-job-id", ""), card.attrs.get("data-job-id", "")], "links": [x.attrs.get("href", "") for x in first["link"]]}
-            | {k: [joined(x, " ") for x in first[k]] for k in ("title", "company", "location", "posted")} | {"dates": [x.attrs.get("datetime", "") for x in first["posted"]], "view": joined(view, " ") if view else ""}
+            | {k: [joined(x, " ") for x in first[k]] for k in ("title", "company", "location", "posted")} | {"dates": [x.attrs.get("datetime", "") for x in first["posted"]], "view": joined(view[0], " ") if view else ""}
         )
     return out
 
