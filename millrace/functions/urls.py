@@ -23,6 +23,11 @@ def any_in(c: Column, parts: list[str]) -> Column:
     return reduce(Column.__or__, [F.contains(c, F.lit(p)) for p in parts], F.lit(False))
 
 
+def once(value: Column, then) -> Column:
+    """then(value), for which the value is computed once a row, however often `then` names it; it holds no Python function."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _pick(url: Column, platform: Column | None, value) -> Column:
     """value(platform) of the rule for a URL: that of the named platform, else the first whose domain is in the URL."""
     out = F.lit(None)
@@ -59,24 +64,26 @@ def canonical_url(url: Column, platform: Column | None = None, rule: Column | No
     The URL rules are those of the named platform, else of the first whose domain is in the
     URL; `rule` is a struct of them from a platform table (platforms.with_platform).
     """
-    url = _trim(url)
-    scheme, host, path, query = [F.regexp_extract(url, _PARTS, k) for k in (1, 2, 3, 4)]
-    scheme, host = F.lower(scheme), F.lower(host)
+    parts = lambda u: F.struct(u.alias("url"), *[F.regexp_extract(u, _PARTS, k).alias(n) for k, n in enumerate(("scheme", "host", "path", "query"), 1)])
+    return once(_trim(url), lambda u: once(parts(u), lambda p: _joined(p["url"], F.lower(p["scheme"]), F.lower(p["host"]), p["path"], p["query"], platform, rule)))
+
+
+def _joined(url: Column, scheme: Column, host: Column, path: Column, query: Column, platform: Column | None, rule: Column | None) -> Column:
+    """The canonical URL of the parts of one."""
     name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", "")
     if rule is None:
-        fixed = _pick(url, platform, lambda p: F.lit(None).cast("string") if p.host is None else F.when((name == p.domain) | F.endswith(name, F.lit(f".{p.domain}")), F.lit(p.host)))
+        fixed = once(name, lambda name: _pick(url, platform, lambda p: F.lit(None).cast("string") if p.host is None else F.when((name == p.domain) | F.endswith(name, F.lit(f".{p.domain}")), F.lit(p.host))))
         alias = _pick(url, platform, lambda p: F.lit(False) if p.alias is None else F.lit(True))
         path = F.when(F.coalesce(alias, F.lit(False)), F.regexp_replace(path, r"^(.*?)/comm/", "$1/")).otherwise(path)
     else:
         domain = F.lower(rule["domain"])
-        fixed = F.when((name == domain) | F.endswith(name, F.concat(F.lit("."), domain)), rule["host"])
+        fixed = once(name, lambda name: F.when((name == domain) | F.endswith(name, F.concat(F.lit("."), domain)), rule["host"]))
         # The first alias path in it becomes a slash.
         cut = F.coalesce(F.position(rule["alias"], path), F.lit(0))
         path = F.when(cut > 0, F.concat(F.substring(path, F.lit(1), cut), F.substring(path, cut + F.length(rule["alias"]), F.length(path)))).otherwise(path)
-    path = F.regexp_replace(path, "/{2,}", "/")
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    params = kept_params(query, url, platform, rule)
-    whole = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), F.coalesce(fixed, host))).otherwise(""), path, F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))
+    path = once(F.regexp_replace(path, "/{2,}", "/"), lambda path: F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path))
+    asked = once(kept_params(query, url, platform, rule), lambda params: F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))
+    whole = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), F.coalesce(fixed, host))).otherwise(""), path, asked)
     return F.when((scheme == "") & (host == ""), url).otherwise(whole)
 
 

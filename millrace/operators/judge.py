@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import is_reliable_title, search_text
-from ..functions.urls import any_in, is_job_url, job_id
+from ..functions.urls import any_in, is_job_url, job_id, once
 from ..sources.anchors import stored_field
 
 
@@ -51,15 +51,15 @@ def categories(title: Column, description: Column, wanted: dict[str, list[str]]
     """
     wanted, negative = wanted or rules.CATEGORIES, negative or {}
     text = F.lower(F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(description, F.lit(""))))
-    hits = []
-    for name, keywords in wanted.items():
-        if name in disabled:
-            continue
-        hit = text.rlike(_pattern(keywords))
-        if negative.get(name):
-            hit = hit & ~text.rlike(_pattern(negative[name]))
-        hits.append(F.when(hit, F.lit(name)))
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    wanted = {name: keywords for name, keywords in wanted.items() if name not in disabled}
+    if not wanted:
+        return F.array().cast("array<string>")
+
+    def hit(name: str, text: Column) -> Column:
+        found = text.rlike(_pattern(wanted[name]))
+        return found & ~text.rlike(_pattern(negative[name])) if negative.get(name) else found
+
+    return once(text, lambda text: F.array_compact(F.array(*[F.when(hit(name, text), F.lit(name)) for name in wanted])))
 
 
 def rule_tables(table: DataFrame) -> tuple[dict[str, list[str]], dict[str, list[str]]]:

@@ -4,9 +4,14 @@ from pathlib import Path
 
 import pytest
 from oracle import duck, spark_rows
+from pyspark.sql import functions as F
 
+from millrace.functions.dates import posted_at
+from millrace.functions.urls import canonical_url, parser_of
 from millrace.operators import rule_join as R
+from millrace.operators.judge import categories
 from millrace.operators.scrape import resolved
+from millrace.plans import postings as P
 from millrace.plans import serving as V
 from millrace.queries import QUERIES, SQL
 from millrace.stored import spread
@@ -90,3 +95,26 @@ def test_published_parts_are_bounded(spark, tmp_path, monkeypatch):
     assert [r["seq"] for r in found.page(30, 20).collect()] == list(range(419, 399, -1))
     last = found.page(1, 20).collect()[-1]
     assert [r["seq"] for r in found.after(last["received_at"], last["seq"], 20).collect()] == list(range(979, 959, -1))
+
+
+@pytest.mark.parametrize("what, most", [("url", 16), ("date", 7), ("categories", 1)])
+def test_a_rows_parts_are_computed_once(spark, what, most):
+    """How often a plan names the patterns that take a row's time; a part named twice was computed twice, and parts of parts four times."""
+    c = P.candidates(spark, SF)
+    found = {
+        "url": lambda: canonical_url(F.col("url"), parser_of(F.col("sender"))), "date": lambda: posted_at(F.col("posted_text"), F.col("received_at")),
+        "categories": lambda: categories(F.regexp_replace("title", "a", "b"), F.lit(None).cast("string")),
+    }
+    plan = c.select(found[what]().alias("x"))._jdf.queryExecution().analyzed().toString().lower()
+    assert 0 < plan.count("regexp_extract(") + plan.count("regexp_replace(") <= most
+
+
+@pytest.mark.parametrize("name", ["j3_category_pivot", "j3_posting_store", "i4_j4_events", "i4_j3_compaction", "k3_k8_served"])
+def test_postings_of_many_parts(spark, tmp_path, monkeypatch, name):
+    """One row group with keys beyond those of the table, dealt out over 30 parts: no part has more rows than asked, and the rows are those of the SQL."""
+    events, dealt = spark.read.parquet(f"{SF}/events.parquet"), []
+    more = events.unionByName(events.withColumns({"event_id": F.col("event_id") + 100_000, "user_id": F.col("user_id") + 2_000}))
+    sf_dir = tables(spark, tmp_path, events=more.coalesce(1))
+    monkeypatch.setattr(P, "spread", lambda df: dealt.append(spread(df, 70)) or dealt[-1])
+    assert same(spark, name, sf_dir)
+    assert len(dealt) == 1 and max(len(p) for p in dealt[0].rdd.glom().collect()) <= 80
