@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import once
+
 # Patterns of the fields.
 REMOTE = r"(?i)\b(remote|hybrid|on-?site)\b"
 EMPLOYMENT = r"(?i)\b(full[\s-]?time|part[\s-]?time|contract(?:or)?|temporary|temp\b|internship|intern\b|permanent|freelance)\b"
@@ -23,18 +25,17 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def remote_type(text: Column) -> Column:
-    found = F.lower(_found(text, REMOTE))
-    return F.when(found.isin("on-site", "onsite"), "onsite").otherwise(found)
+    return F.replace(F.lower(_found(text, REMOTE)), F.lit("on-site"), F.lit("onsite"))
 
 
 def employment_type(text: Column) -> Column:
-    found = F.regexp_replace(F.lower(_found(text, EMPLOYMENT)), " ", "-")
-    return F.when(found == "contractor", "contract").otherwise(found)
+    found = F.replace(F.lower(_found(text, EMPLOYMENT)), F.lit(" "), F.lit("-"))
+    return F.replace(found, F.lit("contractor"), F.lit("contract"))
 
 
 def salary(text: Column) -> Column:
-    found = F.coalesce(_found(text, f"({SALARY_CURRENCY})"), _found(text, f"({SALARY_PLAIN})"))
-    return F.trim(F.regexp_replace(found, r"\s+", " "))
+    found = once(F.regexp_extract(text, f"({SALARY_CURRENCY})", 1), lambda found: F.when(found == "", F.regexp_extract(text, f"({SALARY_PLAIN})", 1)).otherwise(found))
+    return F.trim(F.regexp_replace(F.nullif(found, F.lit("")), r"\s+", " "))
 
 
 def posted_phrase(text: Column) -> Column:

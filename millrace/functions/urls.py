@@ -15,8 +15,12 @@ from .. import rules
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
+#: All characters that Unicode calls white space.
+_BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def any_in(c: Column, parts: list[str]) -> Column:
@@ -48,12 +52,14 @@ def kept_params(query: Column, url: Column, platform: Column | None = None, rule
     pairs = F.filter(F.split(query, "&"), lambda x: x != "")
     decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
     pairs = F.transform(pairs, lambda x: F.struct(decoded(F.regexp_extract(x, "^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("v")))
+    common = lambda k: F.startswith(k, F.lit("utm_")) | k.isin(rules.TRACKING_PARAMS)
     if rule is None:
-        required = F.coalesce(_pick(url, platform, lambda p: _words(p.required)), _words(()))
-        noise = F.coalesce(_pick(url, platform, lambda p: _words([*rules.TRACKING_PARAMS, *p.tracking])), _words(rules.TRACKING_PARAMS))
+        # The words of the fixed rules are sets; arrays of them would be searched from end to end.
+        stays = lambda k: F.coalesce(_pick(url, platform, lambda p: (k.isin(*p.required) if p.required else F.lit(False)) | ~(common(k) | k.isin(*p.tracking))), ~common(k))
     else:
-        required, noise = F.coalesce(rule["required"], _words(())), F.concat(_words(rules.TRACKING_PARAMS), F.coalesce(rule["tracking"], _words(())))
-    kept = F.filter(pairs, lambda x: F.array_contains(required, F.lower(x["k"])) | ~(F.startswith(F.lower(x["k"]), F.lit("utm_")) | F.array_contains(noise, F.lower(x["k"]))))
+        required, noise = F.coalesce(rule["required"], _words(())), F.coalesce(rule["tracking"], _words(()))
+        stays = lambda k: F.array_contains(required, k) | ~(common(k) | F.array_contains(noise, k))
+    kept = F.filter(pairs, lambda x: stays(F.lower(x["k"])))
     encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
     return F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat(encoded(x["k"]), F.lit("="), encoded(x["v"]))), "&")
 
@@ -64,8 +70,9 @@ def canonical_url(url: Column, platform: Column | None = None, rule: Column | No
     The URL rules are those of the named platform, else of the first whose domain is in the
     URL; `rule` is a struct of them from a platform table (platforms.with_platform).
     """
-    parts = lambda u: F.struct(u.alias("url"), *[F.regexp_extract(u, _PARTS, k).alias(n) for k, n in enumerate(("scheme", "host", "path", "query"), 1)])
-    return once(_trim(url), lambda u: once(parts(u), lambda p: _joined(p["url"], F.lower(p["scheme"]), F.lower(p["host"]), p["path"], p["query"], platform, rule)))
+    named = [] if platform is None else [platform.alias("platform")]
+    parts = lambda u: F.struct(u.alias("url"), *named, *[F.regexp_extract(u, _PARTS, k).alias(n) for k, n in enumerate(("scheme", "host", "path", "query"), 1)])
+    return once(_trim(url), lambda u: once(parts(u), lambda p: _joined(p["url"], F.lower(p["scheme"]), F.lower(p["host"]), p["path"], p["query"], p["platform"] if named else None, rule)))
 
 
 def _joined(url: Column, scheme: Column, host: Column, path: Column, query: Column, platform: Column | None, rule: Column | None) -> Column:
@@ -94,9 +101,10 @@ def job_id(url: Column, platform: Column | None = None, rule: Column | None = No
         return F.try_element_at(found, F.lit(1))
 
     def first(p):
-        return F.coalesce(*[F.nullif(F.regexp_extract(url, pattern, 1), F.lit("")) for pattern in p.id_patterns])
+        *before, last = [F.regexp_extract(url, pattern, 1) for pattern in p.id_patterns]
+        return F.coalesce(*[F.nullif(found, F.lit("")) for found in before], last)
 
-    return _pick(url, platform, first)
+    return F.nullif(_pick(url, platform, first), F.lit(""))
 
 
 def is_job_url(url: Column) -> Column:

@@ -44,10 +44,17 @@ def _pattern(keywords: list[str]) -> str:
     return r"\b(?:" + "|".join(re.escape(k.lower()) for k in keywords) + r")\b"
 
 
+def _least(keywords: list[str]) -> list[str]:
+    """The keywords in lower case that contain no other one: a text with any of them all has one of these."""
+    low = dict.fromkeys(k.lower() for k in keywords)
+    return [k for k in low if not any(other != k and other in k for other in low)]
+
+
 def categories(title: Column, description: Column, wanted: dict[str, list[str]] | None = None, negative: dict[str, list[str]] | None = None, disabled: frozenset[str] = frozenset()) -> Column:
     """Names of matching categories in rule order: any keyword as whole words, none of the negative ones. Disabled categories play no part.
 
-    The small rule table becomes one alternation for each category, so there is no join.
+    The small rule table becomes one alternation for each category, so there is no join. A text
+    is searched for whole words only where it contains a keyword.
     """
     wanted, negative = wanted or rules.CATEGORIES, negative or {}
     text = F.lower(F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(description, F.lit(""))))
@@ -56,7 +63,7 @@ def categories(title: Column, description: Column, wanted: dict[str, list[str]]
         return F.array().cast("array<string>")
 
     def hit(name: str, text: Column) -> Column:
-        found = text.rlike(_pattern(wanted[name]))
+        found = any_in(text, _least(wanted[name])) & text.rlike(_pattern(wanted[name]))
         return found & ~text.rlike(_pattern(negative[name])) if negative.get(name) else found
 
     return once(text, lambda text: F.array_compact(F.array(*[F.when(hit(name, text), F.lit(name)) for name in wanted])))

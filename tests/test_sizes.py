@@ -7,9 +7,10 @@ from oracle import duck, spark_rows
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import posted_at
-from millrace.functions.urls import canonical_url, parser_of
+from millrace.functions.text import employment_type, remote_type, salary
+from millrace.functions.urls import _trim, canonical_url, job_id, parser_of
 from millrace.operators import rule_join as R
-from millrace.operators.judge import categories
+from millrace.operators.judge import _least, categories
 from millrace.operators.scrape import resolved
 from millrace.plans import postings as P
 from millrace.plans import serving as V
@@ -118,3 +119,41 @@ def test_postings_of_many_parts(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(P, "spread", lambda df: dealt.append(spread(df, 70)) or dealt[-1])
     assert same(spark, name, sf_dir)
     assert len(dealt) == 1 and max(len(p) for p in dealt[0].rdd.glom().collect()) <= 80
+
+
+def _times(frame, name: str) -> int:
+    return frame._jdf.queryExecution().optimizedPlan().toString().lower().count(f"{name}(")
+
+
+@pytest.mark.parametrize("what, most", [("remote", 1), ("employment", 1), ("salary", 2), ("id", 5)])
+def test_a_fields_pattern_is_searched_once(spark, what, most):
+    """How often a plan searches for a field's patterns; a posting's id has five, of which each platform tries its own."""
+    c = P.candidates(spark, SF)
+    found = {"remote": lambda: remote_type(F.col("block")), "employment": lambda: employment_type(F.col("block")), "salary": lambda: salary(F.col("block")), "id": lambda: job_id(F.col("url"), F.col("sender"))}
+    per_use = {"id": 2}.get(what, 1)  # by the name of the platform and by the domain in the URL
+    plan = c.select("seq", found[what]().alias("x"))
+    # An id that is the first of two patterns is compared with nothing and then taken.
+    assert 0 < _times(plan, "regexp_extract") <= per_use * most + (2 if what == "id" else 0)
+
+
+def test_words_of_fixed_rules_are_sets(spark):
+    c = P.candidates(spark, SF)
+    named, unnamed = (c.select(canonical_url(F.col("url"), p).alias("x")) for p in (parser_of(F.col("sender")), None))
+    assert _times(named, "array_contains") == _times(unnamed, "array_contains") == 0
+    # The platform is found once a row, however many rules ask for it.
+    assert named._jdf.queryExecution().optimizedPlan().toString().lower().count("indeed.com)") <= 8
+
+
+def test_urls_are_trimmed_of_all_unicode_blanks(spark):
+    points = spark.createDataFrame([(i, f" {chr(i)}x{chr(i)}y{chr(i)}\n") for i in range(1, 0x3100)], "i int, t string")
+    assert points.where(_trim(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    assert points.where(F.length(_trim(F.col("t"))) == 3).count() >= 20
+
+
+def test_categories_are_searched_for_only_where_a_keyword_is(spark):
+    texts = spark.createDataFrame([("Paid AI-Engineer",), ("said aid",), ("open cart, back-end",), ("phpx PHP",), (None,)], "t string")
+    found = texts.select(categories(F.col("t"), F.lit(None).cast("string")).alias("c"))
+    assert [r["c"] for r in found.collect()] == [["AI"], [], ["Backend", "OpenCart"], ["PHP"], []]
+    # Before a text is searched for whole words it is asked for keywords that contain no other one.
+    assert _least(["php developer", "PHP", "back-end", "end"]) == ["php", "end"]
+    assert _times(found, "contains") > 0
