@@ -20,10 +20,12 @@ def posted_at(text: Column, reference: Column) -> Column:
     Months and years are calendar steps with the day clamped. A count too large for a
     timestamp is null.
     """
-    day = F.regexp_replace(F.regexp_replace(F.nullif(F.regexp_extract(text, EXPLICIT, 1), F.lit("")), r"[.,]", " "), r"\s+", " ")
+    # Explicit dates name a year.
+    dated = F.when(text.rlike(r"\d{4}"), text)
+    day = F.regexp_replace(F.regexp_replace(F.nullif(F.regexp_extract(dated, EXPLICIT, 1), F.lit("")), r"[.,]", " "), r"\s+", " ")
     day = F.regexp_replace(day, "(?i)^sept ", "Sep ")
     named = once(day, lambda day: F.coalesce(F.try_to_timestamp(day, F.lit("MMM d yyyy")), F.try_to_timestamp(day, F.lit("MMMM d yyyy"))))
-    explicit = F.coalesce(named, F.try_to_timestamp(F.nullif(F.regexp_extract(text, ISO, 1), F.lit("")), F.lit("yyyy-MM-dd")))
+    explicit = F.coalesce(named, F.try_to_timestamp(F.nullif(F.regexp_extract(dated, ISO, 1), F.lit("")), F.lit("yyyy-MM-dd")))
     step = F.struct(F.regexp_extract(text, AGO, 1).try_cast("int").alias("n"), F.lower(F.regexp_extract(text, AGO, 2)).alias("unit"))
     relative = F.when(text.rlike(AGO), once(step, lambda s: _before(reference, F.when(s["n"] < 100_000, s["n"]), s["unit"]))).when(text.rlike(YESTERDAY), reference - F.expr("interval 1 day")).when(text.rlike(TODAY), reference)
     return once(F.coalesce(explicit, relative), lambda found: F.when(found <= reference, found))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .urls import once
 
 # Patterns of lines.
 TITLE_AT = r"([A-Za-z0-9 ./,&()+\-']{3,80}?)\s+at\s+([A-Za-z0-9 .,&()\-']{2,80})"
@@ -19,9 +20,21 @@ MARKUP = r"(?i)<!--|-->|\[if[^\]]*\]>?|<!\[endif\]?>?"
 FIELDS = "struct<title: string, company: string, location: string, remote: string>"
 
 
-def _whole(line: Column, pattern: str) -> Column:
-    flags = "(?i)" if pattern.startswith("(?i)") else ""
-    return line.rlike(f"{flags}^(?:{pattern.removeprefix('(?i)')})$")
+def _part(pattern: str, whole: bool = False) -> str:
+    """A pattern as one of several; `whole` patterns must cover a line."""
+    flags, pattern = ("i", pattern.removeprefix("(?i)")) if pattern.startswith("(?i)") else ("", pattern)
+    return f"(?{flags}:^(?:{pattern})$)" if whole else f"(?{flags}:{pattern})"
+
+
+# Lines that are no title, as one pattern, so that a line is searched once. Behind labels, badges, places, dates and salaries: lines that end in
+# the middle of a sentence, without letters and figures, with a first or last of several words of two characters at most, or with a short last word without vowel.
+_STARTS = [
+    _part(ACTION), _part(BADGE), _part(X.REMOTE, True), _part(X.POSTED, True), _part(PLACE), _part(X.SALARY_CURRENCY, True), _part(X.SALARY_PLAIN, True), r"[^\p{L}\p{N}]*\z", r"(?U:\S{0,2}\s|[^\saeiouAEIOU]{0,3}\z)",
+]
+NO_TITLE = rf"^(?:{'|'.join(_STARTS)})|$(?<=[.,;:])|(?U:\s(?:\S{{0,2}}|[^\saeiouAEIOU]{{0,3}})\z)"
+# What all lines "title at company" have, and characters and blanks that make lines need more than their trimming.
+AT = r"\sat\s"
+UNEVEN = r"[^\x20-\x7E\n]|  "
 
 
 def cleaned(text: Column) -> Column:
@@ -35,7 +48,12 @@ def cleaned_field(text: Column, cut: int = 255) -> Column:
 
 
 def lines_of(block: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(block, F.lit("")), r"\R"), cleaned), lambda x: x.isNotNull())
+    """Lines of a block, cleaned, those that aren't blank."""
+    block = F.coalesce(block, F.lit(""))
+    # One pass over the block instead of one over each line; a break of two characters leaves a blank line, which goes.
+    even = F.regexp_replace(F.regexp_replace(block, r"[\x0B\f\r\x85\u2028\u2029]", "\n"), r"(?U)[\s&&[^\n]]+", " ")
+    lines = F.split(F.when(block.rlike(UNEVEN), even).otherwise(block), "\n")
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_line(text: Column) -> Column:
@@ -47,25 +65,16 @@ def title_guess(subject: Column, text: Column) -> Column:
 
 
 def normal_remote(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(F.contains(low, F.lit("remote")), "remote").when(F.contains(low, F.lit("hybrid")), "hybrid").when(low.rlike("on-?site"), "onsite")
+    return once(F.lower(text), lambda low: F.when(F.contains(low, F.lit("remote")), "remote").when(F.contains(low, F.lit("hybrid")), "hybrid").when(low.rlike("on-?site"), "onsite"))
 
 
 def is_title_like(line: Column) -> Column:
     """Whether a line can be a title: none of a label, badge, place, date, salary or cut-off fragment. Null is none."""
-    line = F.trim(line)
-    words = F.split(line, r"(?U)\s+")
-    several, last = F.size(words) >= 2, F.element_at(words, -1)
-    no = (
-        (F.length(line) < 3) | line.rlike(ACTION) | ~line.rlike(r"[\p{L}\p{N}]") | line.rlike(BADGE) | _whole(line, X.REMOTE) | _whole(line, X.POSTED) | line.rlike(PLACE)
-        | _whole(line, X.SALARY_CURRENCY) | _whole(line, X.SALARY_PLAIN) | line.rlike(r"[.,;:]$") | (~F.contains(line, F.lit(" ")) & (F.length(line) < 6))
-        | (several & ((F.length(last) <= 2) | (F.length(words[0]) <= 2))) | (~last.rlike("(?i)[aeiou]") & (F.length(last) < 4))
-    )
-    return F.coalesce(~no, F.lit(False))
+    return once(F.trim(line), lambda line: F.coalesce((F.length(line) >= 3) & (F.contains(line, F.lit(" ")) | (F.length(line) >= 6)) & ~line.rlike(NO_TITLE), F.lit(False)))
 
 
 def is_remote_line(line: Column) -> Column:
-    return line.rlike(X.REMOTE)
+    return line.rlike(X.begins("RrHhOo", X.REMOTE))
 
 
 def following_place(lines: Column) -> Column:
@@ -81,9 +90,9 @@ def _inline(lines: Column, at: Column) -> Column:
     """One line "title at company - place"; without a place, that of the next lines."""
     line = F.element_at(lines, F.greatest(at, F.lit(1)).cast("int"))
     parts = F.split(F.regexp_extract(line, TITLE_AT, 2), " - ")
-    place = F.trim(F.try_element_at(parts, F.lit(2)))
-    place = F.coalesce(place, following_place(_from(lines, at + 1)))
-    return F.struct(F.trim(F.regexp_extract(line, TITLE_AT, 1)).alias("title"), F.trim(parts[0]).alias("company"), place.alias("location"), normal_remote(place).alias("remote"))
+    place = lambda parts: F.coalesce(F.trim(F.try_element_at(parts, F.lit(2))), following_place(_from(lines, at + 1)))
+    found = once(parts, lambda parts: F.struct(F.trim(parts[0]).alias("company"), place(parts).alias("location")))
+    return once(found, lambda x: F.struct(F.trim(F.regexp_extract(line, TITLE_AT, 1)).alias("title"), x["company"].alias("company"), x["location"].alias("location"), normal_remote(x["location"]).alias("remote")))
 
 
 def _one_per_line(lines: Column, at: Column) -> Column:
@@ -94,17 +103,22 @@ def _one_per_line(lines: Column, at: Column) -> Column:
         def state(company=None, location=None, done=False):
             return F.struct((s["company"] if company is None else company).alias("company"), (s["location"] if location is None else location).alias("location"), F.lit(done).alias("done"))
 
-        split = X.company_of(line)
+        split = X.company_and_place(line)
         plain = s["company"].isNull() & ~F.contains(line, F.lit(",")) & ~F.contains(line, F.lit("$")) & ~F.contains(line, F.lit("ago")) & ~line.rlike(ACTION)
-        return (
-            F.when(s["done"], s).when(split.isNotNull(), state(F.trim(split), F.trim(X.location_of(line)))).when(line.rlike(PLACE_REMOTE), state(location=line))
-            .when(is_remote_line(line) & ~F.contains(line, F.lit(",")), state(location=line, done=True)).when(line.rlike(PLACE), state(location=line))
+        unsplit = (
+            F.when(line.rlike(PLACE_REMOTE), state(location=line)).when(is_remote_line(line) & ~F.contains(line, F.lit(",")), state(location=line, done=True)).when(line.rlike(PLACE), state(location=line))
             .when(plain, state(company=line)).otherwise(state(done=True))
         )
+        return F.when(s["done"], s).otherwise(once(split, lambda x: F.when(x.isNotNull(), state(F.trim(x["company"]), F.trim(x["location"]))).otherwise(unsplit)))
 
     none = F.lit(None).cast("string")
     read = F.aggregate(_from(lines, at + 1), F.struct(none.alias("company"), none.alias("location"), F.lit(False).alias("done")), step)
-    return F.struct(title.alias("title"), read["company"].alias("company"), read["location"].alias("location"), normal_remote(read["location"]).alias("remote"))
+    return once(read, lambda x: F.struct(title.alias("title"), x["company"].alias("company"), x["location"].alias("location"), normal_remote(x["location"]).alias("remote")))
+
+
+def _place(lines: Column, holds) -> Column:
+    """The place of the first line for which a condition holds, from 1; 0 for none. Lines behind it aren't asked."""
+    return F.greatest(F.aggregate(lines, F.lit(0), lambda s, x: F.when(s > 0, s).when(holds(x), F.lit(1) - s).otherwise(s - 1)), F.lit(0))
 
 
 def with_fields(rows: DataFrame, lines: str, name: str) -> DataFrame:
@@ -113,12 +127,12 @@ def with_fields(rows: DataFrame, lines: str, name: str) -> DataFrame:
     Digest headers, labels at the start and badges are no lines. Each step is a column of
     its own, as the next ones use it many times.
     """
-    rows = rows.withColumn("_body", F.filter(lines, lambda x: ~x.rlike(DIGEST_HEADER)))
-    rows = rows.withColumn("_kept", F.array_position(F.transform("_body", lambda x: ~x.rlike(ACTION)), F.lit(True)))
+    rows = rows.withColumn("_body", F.filter(lines, lambda x: ~x.rlike(X.begins("0-9JjMmNn", DIGEST_HEADER))))
+    rows = rows.withColumn("_kept", _place(F.col("_body"), lambda x: ~x.rlike(ACTION)))
     rows = rows.withColumn("_body", F.filter(F.when(F.col("_kept") > 0, _from(F.col("_body"), F.greatest("_kept", F.lit(1)))), lambda x: ~x.rlike(BADGE)))
     rows = rows.withColumns({
-        "_inline": F.array_position(F.transform(F.slice("_body", 1, 8), lambda x: x.rlike(TITLE_AT)), F.lit(True)),
-        "_plain": F.array_position(F.transform("_body", is_title_like), F.lit(True)),
+        "_inline": _place(F.slice("_body", 1, 8), lambda x: x.rlike(AT) & x.rlike(TITLE_AT)),
+        "_plain": _place(F.col("_body"), is_title_like),
     })
     body, inline, plain = F.col("_body"), F.col("_inline"), F.col("_plain")
     return rows.withColumn(name, F.when(inline > 0, _inline(body, inline)).when(plain > 0, _one_per_line(body, plain)).cast(FIELDS)).drop("_body", "_kept", "_inline", "_plain")

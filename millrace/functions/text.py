@@ -24,39 +24,51 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def begins(letters: str, pattern: str) -> str:
+    """A pattern that is tried only where one of the letters is with which all that it finds begins."""
+    return f"(?=[{letters}]){pattern}"
+
+
 def remote_type(text: Column) -> Column:
-    return F.replace(F.lower(_found(text, REMOTE)), F.lit("on-site"), F.lit("onsite"))
+    return F.replace(F.lower(_found(text, begins("RrHhOo", REMOTE))), F.lit("on-site"), F.lit("onsite"))
 
 
 def employment_type(text: Column) -> Column:
-    found = F.replace(F.lower(_found(text, EMPLOYMENT)), F.lit(" "), F.lit("-"))
+    found = F.replace(F.lower(_found(text, begins("FfPpCcTtIi", EMPLOYMENT))), F.lit(" "), F.lit("-"))
     return F.replace(found, F.lit("contractor"), F.lit("contract"))
 
 
+def _where(text: Column, mark: str, found: Column) -> Column:
+    """What a pattern finds, searched for only where the mark, a part of all that it can find, is; else an empty text."""
+    return F.when(text.rlike(mark), found).when(text.isNotNull(), "")
+
+
 def salary(text: Column) -> Column:
-    found = once(F.regexp_extract(text, f"({SALARY_CURRENCY})", 1), lambda found: F.when(found == "", F.regexp_extract(text, f"({SALARY_PLAIN})", 1)).otherwise(found))
+    currency, plain = F.regexp_extract(text, f"({SALARY_CURRENCY})", 1), F.regexp_extract(text, f"({SALARY_PLAIN})", 1)
+    found = once(_where(text, r"[$€£DPRs.]\s?\d", currency), lambda found: F.when(found == "", _where(text, r"\d,\d\d\d", plain)).otherwise(found))
     return F.trim(F.regexp_replace(F.nullif(found, F.lit("")), r"\s+", " "))
 
 
 def posted_phrase(text: Column) -> Column:
-    return _found(text, POSTED, 0)
+    return F.nullif(_where(text, r"(?i)\s(?:ago|now)", F.regexp_extract(text, begins("PpJj0-9", POSTED), 0)), F.lit(""))
 
 
 def is_promoted(text: Column) -> Column:
-    return text.rlike(PROMOTED)
+    return text.rlike(begins("PpSs", PROMOTED))
 
 
 def company_of(line: Column) -> Column:
-    return F.when(_has_place(line), _found(line, COMPANY_LOCATION, 1))
+    return company_and_place(line)["company"]
 
 
 def location_of(line: Column) -> Column:
-    return F.when(_has_place(line), _found(line, COMPANY_LOCATION, 2))
+    return company_and_place(line)["location"]
 
 
-def _has_place(line: Column) -> Column:
-    place = F.regexp_extract(line, COMPANY_LOCATION, 2)
-    return F.contains(place, F.lit(",")) | place.rlike(REMOTE)
+def company_and_place(line: Column) -> Column:
+    """struct(company, location) of a line "company - place"; null where it names none."""
+    place, found = F.regexp_extract(line, COMPANY_LOCATION, 2), lambda c: F.nullif(c, F.lit(""))
+    return once(place, lambda place: F.when(F.contains(place, F.lit(",")) | place.rlike(REMOTE), F.struct(found(F.regexp_extract(line, COMPANY_LOCATION, 1)).alias("company"), found(place).alias("location"))))
 
 
 def is_reliable_title(title: Column) -> Column:

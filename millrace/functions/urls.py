@@ -24,7 +24,9 @@ def _trim(c: Column) -> Column:
 
 
 def any_in(c: Column, parts: list[str]) -> Column:
-    return reduce(Column.__or__, [F.contains(c, F.lit(p)) for p in parts], F.lit(False))
+    """Whether one of the parts is in a text; those that contain another one need no search."""
+    least = [p for p in dict.fromkeys(parts) if not any(q != p and q in p for q in parts)]
+    return reduce(Column.__or__, [F.contains(c, F.lit(p)) for p in least], F.lit(False))
 
 
 def once(value: Column, then) -> Column:
@@ -47,15 +49,15 @@ def _words(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def kept_params(query: Column, url: Column, platform: Column | None = None, rule: Column | None = None) -> Column:
-    """The query string without tracking parameters, sorted by decoded name and value, encoded again."""
+def kept_params(query: Column, platform: Column | None = None, rule: Column | None = None) -> Column:
+    """The query string without tracking parameters, sorted by decoded name and value, encoded again; `platform` is the one whose rules hold."""
     pairs = F.filter(F.split(query, "&"), lambda x: x != "")
     decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
     pairs = F.transform(pairs, lambda x: F.struct(decoded(F.regexp_extract(x, "^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("v")))
     common = lambda k: F.startswith(k, F.lit("utm_")) | k.isin(rules.TRACKING_PARAMS)
     if rule is None:
         # The words of the fixed rules are sets; arrays of them would be searched from end to end.
-        stays = lambda k: F.coalesce(_pick(url, platform, lambda p: (k.isin(*p.required) if p.required else F.lit(False)) | ~(common(k) | k.isin(*p.tracking))), ~common(k))
+        stays = lambda k: F.coalesce(_by_name(platform, lambda p: (k.isin(*p.required) if p.required else F.lit(False)) | ~(common(k) | k.isin(*p.tracking))), ~common(k))
     else:
         required, noise = F.coalesce(rule["required"], _words(())), F.coalesce(rule["tracking"], _words(()))
         stays = lambda k: F.array_contains(required, k) | ~(common(k) | F.array_contains(noise, k))
@@ -70,26 +72,48 @@ def canonical_url(url: Column, platform: Column | None = None, rule: Column | No
     The URL rules are those of the named platform, else of the first whose domain is in the
     URL; `rule` is a struct of them from a platform table (platforms.with_platform).
     """
-    named = [] if platform is None else [platform.alias("platform")]
-    parts = lambda u: F.struct(u.alias("url"), *named, *[F.regexp_extract(u, _PARTS, k).alias(n) for k, n in enumerate(("scheme", "host", "path", "query"), 1)])
-    return once(_trim(url), lambda u: once(parts(u), lambda p: _joined(p["url"], F.lower(p["scheme"]), F.lower(p["host"]), p["path"], p["query"], p["platform"] if named else None, rule)))
+    # The platform whose rules hold is found once; each rule is then asked for by its name.
+    named = lambda u: [] if rule is not None else [ruled_by(u, platform).alias("platform")]
+    parts = lambda u: F.struct(u.alias("url"), *named(u), *[F.regexp_extract(u, _PARTS, k).alias(n) for k, n in enumerate(("scheme", "host", "path", "query"), 1)])
+    return once(_trim(url), lambda u: once(parts(u), lambda p: _joined(p["url"], F.lower(p["scheme"]), F.lower(p["host"]), p["path"], p["query"], p["platform"] if rule is None else None, rule)))
+
+
+def ruled_by(url: Column, platform: Column | None = None) -> Column:
+    """The platform whose URL rules hold for a URL: the named one, if it has any, else the first whose domain is in the URL; null for none."""
+    out = once(F.lower(url), lambda low: reduce(lambda found, p: F.when(F.contains(low, F.lit(p.domain)), F.lit(p.slug)).otherwise(found), reversed(rules.PLATFORMS), F.lit(None).cast("string")))
+    return out if platform is None else F.when(platform.isin([p.slug for p in rules.PLATFORMS]), platform).otherwise(out)
+
+
+def _by_name(platform: Column, value) -> Column:
+    """value(platform) of the rules of the platform that ruled_by() names."""
+    out = F.lit(None)
+    for p in reversed(rules.PLATFORMS):
+        out = F.when(platform == p.slug, value(p)).otherwise(out)
+    return out
+
+
+def _where(needed: Column, change, value: Column) -> Column:
+    """change(value) where a test that costs less says that it changes something."""
+    return F.when(needed, change(value)).otherwise(value)
 
 
 def _joined(url: Column, scheme: Column, host: Column, path: Column, query: Column, platform: Column | None, rule: Column | None) -> Column:
     """The canonical URL of the parts of one."""
-    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", "")
+    name = _where(F.contains(host, F.lit("@")), lambda x: F.regexp_replace(x, "^.*@", ""), host)
+    name = _where(F.contains(host, F.lit(":")), lambda x: F.regexp_replace(x, r":\d*$", ""), name)
     if rule is None:
-        fixed = once(name, lambda name: _pick(url, platform, lambda p: F.lit(None).cast("string") if p.host is None else F.when((name == p.domain) | F.endswith(name, F.lit(f".{p.domain}")), F.lit(p.host))))
-        alias = _pick(url, platform, lambda p: F.lit(False) if p.alias is None else F.lit(True))
-        path = F.when(F.coalesce(alias, F.lit(False)), F.regexp_replace(path, r"^(.*?)/comm/", "$1/")).otherwise(path)
+        fixed = once(name, lambda name: _by_name(platform, lambda p: F.lit(None).cast("string") if p.host is None else F.when((name == p.domain) | F.endswith(name, F.lit(f".{p.domain}")), F.lit(p.host))))
+        alias = F.coalesce(_by_name(platform, lambda p: F.lit(p.alias is not None)), F.lit(False))
+        path = _where(alias & F.contains(path, F.lit("/comm/")), lambda x: F.regexp_replace(x, r"^(.*?)/comm/", "$1/"), path)
     else:
         domain = F.lower(rule["domain"])
         fixed = once(name, lambda name: F.when((name == domain) | F.endswith(name, F.concat(F.lit("."), domain)), rule["host"]))
         # The first alias path in it becomes a slash.
         cut = F.coalesce(F.position(rule["alias"], path), F.lit(0))
         path = F.when(cut > 0, F.concat(F.substring(path, F.lit(1), cut), F.substring(path, cut + F.length(rule["alias"]), F.length(path)))).otherwise(path)
-    path = once(F.regexp_replace(path, "/{2,}", "/"), lambda path: F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path))
-    asked = once(kept_params(query, url, platform, rule), lambda params: F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))
+    path = once(path, lambda path: _where(F.contains(path, F.lit("//")), lambda x: F.regexp_replace(x, "/{2,}", "/"), path))
+    path = once(path, lambda path: _where((F.length(path) > 1) & path.rlike("/$"), lambda x: F.regexp_replace(x, "/+$", ""), path))
+    asked = F.when(query != "", once(kept_params(query, platform, rule), lambda params: F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))).otherwise("")
     whole = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), F.coalesce(fixed, host))).otherwise(""), path, asked)
     return F.when((scheme == "") & (host == ""), url).otherwise(whole)
 
@@ -112,7 +136,7 @@ def is_job_url(url: Column) -> Column:
 
 
 def is_other_url(url: Column) -> Column:
-    return any_in(F.lower(url), rules.OTHER_URLS)
+    return once(F.lower(url), lambda low: any_in(low, rules.OTHER_URLS))
 
 
 def is_bare_domain(url: Column) -> Column:
@@ -120,14 +144,15 @@ def is_bare_domain(url: Column) -> Column:
 
 
 def is_nav_anchor(text: Column) -> Column:
+    words = r"\b(" + "|".join(map(re.escape, rules.NAV_WORDS)) + r")\b"
     text = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
-    return (text != "") & (any_in(text, rules.NAV_PHRASES) | text.rlike(r"\b(" + "|".join(map(re.escape, rules.NAV_WORDS)) + r")\b"))
+    return once(text, lambda text: (text != "") & (any_in(text, rules.NAV_PHRASES) | any_in(text, rules.NAV_WORDS) & text.rlike(words)))
 
 
 def link_score(url: Column, anchor: Column) -> Column:
     """Confidence that a link is the posting's own, two decimals, 0.99 at most."""
-    score = F.lit(rules.BASE_SCORE) + F.when(any_in(F.lower(anchor), rules.APPLY_PHRASES), rules.ANCHOR_SCORE).otherwise(0.0)
-    score = score + F.when(any_in(F.lower(url), rules.KNOWN_DOMAINS), rules.DOMAIN_SCORE).otherwise(0.0) + F.when(is_job_url(url), rules.JOB_URL_SCORE).otherwise(0.0)
+    score = F.lit(rules.BASE_SCORE) + F.when(once(F.lower(anchor), lambda low: any_in(low, rules.APPLY_PHRASES)), rules.ANCHOR_SCORE).otherwise(0.0)
+    score = score + F.when(once(F.lower(url), lambda low: any_in(low, rules.KNOWN_DOMAINS)), rules.DOMAIN_SCORE).otherwise(0.0) + F.when(is_job_url(url), rules.JOB_URL_SCORE).otherwise(0.0)
     return F.round(F.least(score, F.lit(rules.MOST_SCORE)), 2)
 
 

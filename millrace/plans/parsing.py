@@ -15,8 +15,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..functions.dates import posted_at
 from ..operators.identity import one_per_id
-from ..sources.anchors import anchor_places, anchors, unescaped
-from ..sources.html import rendered
+from ..sources.anchors import anchor_places, page, unescaped
 from ..sources.messages import text_links
 from ..stored import written
 
@@ -26,32 +25,56 @@ FILLED = ["company", "location", "remote_type", "salary", "employment_type", "po
 CARD_LINK = r"(?i)jobcard[-_]?body"
 
 
-def _anchor_rows(messages: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    plain = F.transform(text_links(F.col("text")), lambda u, i: F.struct(i.alias("pos"), u.alias("url"), F.lit("").alias("anchor_text"), none.alias("holder"), none.alias("above"), F.lit("").alias("below")))
-    rows = messages.select("message_id", "slug", F.explode_outer(F.when(F.size("found") > 0, F.col("found")).otherwise(plain)).alias("a")).where("a is not null").select("message_id", "slug", "a.*")
-    return rows.withColumn("own", U.canonical_url(F.col("url"), F.col("slug")))
+def _computed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once a row, whatever is asked of it later."""
+    rest = [c for c in rows.columns if c != name]
+    return rows.select(*rest, F.explode(F.array(value)).alias(name))
+
+
+def _first_of_each(rows: Column, *order) -> Column:
+    """Of an array of structs the first of each value of order[0], by the rest of the order; one for each value, sorted by it."""
+    rows = F.array_sort(F.transform(rows, lambda x: F.struct(*[o(x).alias(f"k{i}") for i, o in enumerate(order)], x.alias("row"))))
+    return U.once(rows, lambda rows: F.transform(F.filter(rows, lambda x, i: (i == 0) | (x["k0"] != rows[F.greatest(i - 1, F.lit(0))]["k0"])), lambda x: x["row"]))
+
+
+def _judged(found: Column, slug: Column) -> Column:
+    """The anchors of a message with what is asked of their URLs more than once: own and canonical URL, whether they lead to a posting, and whether they may."""
 
+    def judge(x: Column) -> Column:
+        url, text = x["url"], x["anchor_text"]
+        ruled = U.ruled_by(url)
+        own = U.canonical_url(url, slug)
+        # The rules of the platform that sent the message are mostly those of its URLs too.
+        same = F.coalesce(ruled, F.lit("")) == F.coalesce(U.ruled_by(url, slug), F.lit(""))
+        may = x["first"] & ~U.is_other_url(url) & ~U.is_bare_domain(url) & ~U.is_nav_anchor(text)
+        return U.once(own, lambda own: F.struct(
+            *[x[c].alias(c) for c in ("pos", "url", "anchor_text", "holder", "above", "below")], own.alias("own"), F.when(same, own).otherwise(U.canonical_url(url)).alias("canonical"),
+            may.alias("may"), U.is_job_url(url).alias("job"),
+        ))
 
-def _links(rows: DataFrame) -> DataFrame:
-    """The postings' links of each message, once per canonical URL with the longest anchor text, and what surrounds the best anchor."""
-    url, text = F.col("url"), F.col("anchor_text")
-    first = rows.groupBy("message_id", "url", "own").agg(F.min_by("anchor_text", "pos").alias("anchor_text"), F.min("pos").alias("pos"))
-    first = first.where(U.is_job_url(url) & ~U.is_other_url(url) & ~U.is_bare_domain(url) & ~U.is_nav_anchor(text))
-    links = first.groupBy("message_id", U.canonical_url(url).alias("canonical")).agg(
-        F.max_by(F.struct("url", "anchor_text", "own"), F.struct(F.length(F.trim(text)), -F.col("pos"))).alias("l"), F.min("pos").alias("ord"),
-    ).select("message_id", "ord", "l.*")
-    best = rows.groupBy("message_id", "own").agg(F.max_by(F.struct("holder", text.alias("best_text"), "above", "below"), F.struct(F.length("anchor_text"), -F.col("pos"))).alias("b"))
-    return links.join(best.select("message_id", "own", "b.*"), ["message_id", "own"], "left")
+    return F.transform(found, judge)
 
 
-def _best(rows: DataFrame) -> DataFrame:
-    """The best scored link of each message of no known platform, the first of ties, if it leads to a posting itself."""
-    url, text = F.col("url"), F.col("anchor_text")
-    first = rows.where("slug = 'generic'").groupBy("message_id", "url", "own").agg(F.min_by("anchor_text", "pos").alias("anchor_text"), F.min("pos").alias("pos"))
-    first = first.where(~U.is_other_url(url) & ~U.is_bare_domain(url) & ~U.is_nav_anchor(text))
-    best = first.groupBy("message_id").agg(F.max_by(F.struct("url", "own"), F.struct(U.link_score(url, text), -F.col("pos"))).alias("top"))
-    return best.where(U.is_job_url(F.col("top.url")))
+def _links(found: Column) -> Column:
+    """The postings' links of a message in order, once per canonical URL with the longest anchor text, and what surrounds the best anchor."""
+    size = lambda x: -F.length(F.trim(x["anchor_text"]))
+    canonical, own, pos = (lambda x: x["canonical"]), (lambda x: x["own"]), (lambda x: x["pos"])
+    wanted = F.filter(found, lambda x: x["may"] & x["job"])
+    best = _first_of_each(found, own, lambda x: -F.length(x["anchor_text"]), pos)
+
+    def link(chosen: Column, first: Column, best: Column) -> Column:
+        at = F.filter(best, lambda x: x["own"] == chosen["own"])[0]
+        return U.once(at, lambda at: F.struct(first["pos"].alias("ord"), *[chosen[c].alias(c) for c in ("url", "anchor_text", "own")], at["holder"].alias("holder"), at["anchor_text"].alias("best_text"), at["above"].alias("above"), at["below"].alias("below")))
+
+    # Both have one row for each canonical URL, in the same order.
+    pairs = U.once(wanted, lambda x: F.arrays_zip(_first_of_each(x, canonical, size, pos).alias("chosen"), _first_of_each(x, canonical, pos).alias("first")))
+    return U.once(best, lambda best: F.array_sort(F.transform(pairs, lambda x: link(x["chosen"], x["first"], best))))
+
+
+def _best(found: Column) -> Column:
+    """The best scored link of a message, the first of ties, if it leads to a posting itself."""
+    scored = F.transform(F.filter(found, lambda x: x["may"]), lambda x: F.struct(U.link_score(x["url"], x["anchor_text"]).alias("score"), (-x["pos"]).alias("place"), x["url"].alias("url"), x["own"].alias("own"), x["job"].alias("job")))
+    return U.once(F.array_max(scored), lambda x: F.when(x["job"], F.struct(x["url"].alias("url"), x["own"].alias("own"))))
 
 
 def _is_title_anchor(text: Column) -> Column:
@@ -68,16 +91,22 @@ def blocks(messages: DataFrame) -> DataFrame:
     message of no known platform with a blank subject and only empty blocks has one row
     more, with `last`: its best link and the whole text.
     """
-    text = F.coalesce(F.nullif(F.col("plain_text"), F.lit("")), rendered(F.col("html"))["text"], F.lit(""))
-    m = messages.select("message_id", F.coalesce("subject", F.lit("")).alias("subject"), "received_at", anchors(F.col("html")).alias("found"), U.parser_of(F.coalesce("sender", F.lit(""))).alias("slug"), text.alias("text"))
-    # Parsed once and stored: the rows below are aggregated three times.
-    m = written(m, "parsed")
-    rows = _anchor_rows(m)
-    links = _links(rows)
-    links = links.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("ord", "url", "anchor_text", "own", "holder", "best_text", "above", "below"))).alias("links"))
-    j = m.drop("found").join(links, "message_id").join(_best(rows), "message_id", "left")
-    j = j.withColumn("pieces", F.split(F.regexp_replace(F.translate("text", MARK, ""), L.TITLE_AT, MARK + "$0"), MARK))
-    j = j.withColumns({"in_cards": F.exists("links", lambda x: x["holder"].isNotNull()), "inline": (F.size("links") > 1) & (F.size("pieces") == F.size("links") + 1)})
+    m = messages.select("message_id", F.coalesce("subject", F.lit("")).alias("subject"), "received_at", page(F.col("html"), F.col("plain_text")).alias("page"), U.parser_of(F.coalesce("sender", F.lit(""))).alias("slug"))
+    m = m.select("message_id", "subject", "received_at", "slug", "page.*")
+    none = F.lit(None).cast("string")
+    plain = F.transform(text_links(F.col("text")), lambda u, i: F.struct(i.alias("pos"), u.alias("url"), F.lit("").alias("anchor_text"), none.alias("holder"), none.alias("above"), F.lit("").alias("below"), F.lit(True).alias("first")))
+    m = m.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(plain))
+    # Each step is a column of its own, and a generator between two of them keeps the next ones from computing it again.
+    j = _computed(m, "found", _judged(F.col("found"), F.col("slug")))
+    # Asked for only where the subject can't be a title.
+    top = F.when((F.col("slug") == "generic") & (F.trim("subject") == ""), _best(F.col("found")))
+    j = _computed(j, "x", F.struct(_links(F.col("found")).alias("links"), top.alias("top"))).select("message_id", "subject", "received_at", "slug", "text", "x.*").where("size(links) > 0")
+    text = F.col("text")
+    text = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "")).otherwise(text)
+    j = j.withColumn("in_cards", F.exists("links", lambda x: x["holder"].isNotNull()))
+    pieces = F.split(F.regexp_replace(text, L.TITLE_AT, MARK + "$0"), MARK)
+    j = j.withColumn("pieces", F.when(~F.col("in_cards") & (F.size("links") > 1) & text.rlike(L.AT), pieces))
+    j = j.withColumn("inline", F.coalesce(F.size("pieces") == F.size("links") + 1, F.lit(False)))
     j = j.withColumn("places", anchor_places(F.when(~F.col("in_cards") & ~F.col("inline"), F.col("text")), F.transform("links", lambda x: x["anchor_text"])))
     located = F.exists("places", lambda p: p >= 0)
 
@@ -94,15 +123,15 @@ def blocks(messages: DataFrame) -> DataFrame:
     none, empty = F.lit(None).cast("string"), F.lit("")
     last = F.struct(F.lit(0).alias("ord"), F.col("top.url").alias("url"), empty.alias("anchor_text"), F.col("top.own").alias("own"), none.alias("best_text"), none.alias("above"), empty.alias("below"), F.col("text").alias("block"), F.lit(True).alias("last"))
     j = j.withColumn("blocks", F.transform("links", block))
-    lost = F.col("top").isNotNull() & (F.trim("subject") == "") & F.forall("blocks", lambda x: L.first_line(x["block"]).isNull())
+    lost = F.col("top").isNotNull() & F.forall("blocks", lambda x: L.first_line(x["block"]).isNull())
     titled = (F.col("slug") == "glassdoor") & F.exists("links", lambda x: _is_title_anchor(x["best_text"]))
     # Outer, though no list is empty: the filter that Spark infers otherwise repeats the expressions.
     return j.select("message_id", "slug", "subject", "received_at", titled.alias("by_anchor"), F.explode_outer(F.when(lost, F.array_append("blocks", last)).otherwise(F.col("blocks"))).alias("x")).select("message_id", "slug", "subject", "received_at", "by_anchor", "x.*")
 
 
-def _around_title(rows: DataFrame, name: str) -> DataFrame:
-    """Adds the fields where the anchor's text is the title, if it can be one: company and place are read again from the other lines."""
-    rows = rows.withColumn("_anchor", L.cleaned(F.col("anchor_text"))).withColumn("_at", F.array_position(F.transform("lines", F.lower), F.lower("_anchor")))
+def _around_title(rows: DataFrame, name: str, asked: Column) -> DataFrame:
+    """Adds the fields where the anchor's text is the title, if it can be one: company and place are read again from the other lines. Rows that aren't asked for keep theirs."""
+    rows = rows.withColumn("_anchor", F.when(asked, L.cleaned(F.col("anchor_text")))).withColumn("_at", F.array_position(F.transform("lines", F.lower), F.lower("_anchor")))
     at, anchor, f, again, none = F.col("_at"), F.col("_anchor"), F.col("f"), F.col("_again"), F.lit(None).cast("string")
     rest = F.concat(F.slice("lines", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), F.slice("lines", (at + 1).cast("int"), F.greatest(F.size("lines"), F.lit(1))))
     rows = L.with_fields(rows.withColumn("_rest", F.when(at > 0, rest)), "_rest", "_again").withColumn("_titled", L.is_title_like(anchor))
@@ -128,9 +157,10 @@ def candidates(messages: DataFrame) -> DataFrame:
     received_at, job_posted_at, posted_date, remote_type, salary, employment_type,
     is_promoted, first_seen. Empty tables give empty results.
     """
-    b = blocks(messages).withColumn("lines", L.lines_of(unescaped(F.col("block"))))
-    b = _around_title(L.with_fields(b, "lines", "f"), "around")
     by_anchor, slug = F.col("by_anchor"), F.col("slug")
+    # Cards of a digest whose titles are its anchors are read by their anchors alone.
+    b = blocks(messages).withColumn("lines", L.lines_of(unescaped(F.when(~by_anchor, F.col("block")))))
+    b = _around_title(L.with_fields(b, "lines", "f"), "around", ~by_anchor & (slug == "linkedin"))
     named = F.struct(
         F.when(_is_title_anchor(F.col("best_text")), F.col("best_text")).alias("title"), F.col("above").alias("company"),
         F.try_element_at(F.filter(L.lines_of(F.col("below")), lambda x: x.rlike(L.PLACE)), F.lit(1)).alias("location"), F.lit(None).cast("string").alias("remote"),
@@ -148,6 +178,8 @@ def candidates(messages: DataFrame) -> DataFrame:
     ).where("title is not null")
     filled = sum((F.col(c).isNotNull().cast("int") for c in FILLED[1:]), F.col(FILLED[0]).isNotNull().cast("int"))
     rank = [F.col("url").rlike(CARD_LINK), filled, F.length(F.trim("anchor_text"))]
-    rows = rows.withColumn("one", F.when(F.col("source") == "linkedin", F.col("platform_job_id")))
-    rows = one_per_id(rows, "message_id", "one", rank, "ord", FILLED)
+    # Stored, as rows without an id stand for themselves: only the others are moved and merged.
+    rows = written(rows.withColumn("one", F.when(F.col("source") == "linkedin", F.col("platform_job_id"))), "entries")
+    merged = one_per_id(rows.where("one is not null"), "message_id", "one", rank, "ord", FILLED)
+    rows = merged.unionByName(rows.where("one is null").withColumn("first_seen", F.col("ord")).select(merged.columns))
     return rows.withColumn("job_posted_at", posted_at(F.col("posted_date"), F.col("received_at"))).drop("one", "url", "anchor_text")

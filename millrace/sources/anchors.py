@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.lines import cleaned_field
-from .dom import Node, block_text, elements, joined, tree
+from .dom import Node, block_text, elements, joined, page_text, tree, tree_and_anchors
 
 # Tags that may hold one posting, the longest text of such a holder, and the tags and number of following lines.
 HOLDERS = {"table", "tr", "td", "li", "div", "p", "section", "article", "ul", "ol"}
@@ -17,8 +17,9 @@ HOLDER_CHARS = 900
 LINE_TAGS = {"p", "div", "span", "td", "li"}
 LINES = 10
 
-ANCHOR = "struct<pos: int, url: string, anchor_text: string, holder: string, above: string, below: string>"
-_KIND = pa.list_(pa.struct([("pos", pa.int32()), *((n, pa.string()) for n in ("url", "anchor_text", "holder", "above", "below"))]))
+PAGE = "struct<text: string, found: array<struct<pos: int, url: string, anchor_text: string, holder: string, above: string, below: string, first: boolean>>>"
+_ANCHORS = pa.list_(pa.struct([("pos", pa.int32()), *((n, pa.string()) for n in ("url", "anchor_text", "holder", "above", "below")), ("first", pa.bool_())]))
+_PAGE = pa.struct([("text", pa.string()), ("found", _ANCHORS)])
 
 
 def _holder(anchor: Node, seen: dict[int, str]) -> str | None:
@@ -57,23 +58,29 @@ def _below(anchor: Node) -> str:
     return "\n".join(lines)
 
 
-def _anchors(html: str) -> list[dict]:
-    out, seen = [], {}
-    for a in elements(tree(html)):
-        url = a.attrs.get("href", "").strip() if a.tag == "a" else ""
+def _page(html: str, plain: str | None) -> dict:
+    out, holders, urls = [], {}, set()
+    root, found = tree_and_anchors(html)
+    for a in found:
+        url = a.attrs.get("href", "").strip()
         if url.startswith(("http://", "https://")):
-            out.append({"pos": len(out), "url": url, "anchor_text": joined(a), "holder": _holder(a, seen), "above": _above(a), "below": _below(a)})
-    return out
+            out.append({"pos": len(out), "url": url, "anchor_text": joined(a), "holder": _holder(a, holders), "above": _above(a), "below": _below(a), "first": url not in urls})
+            urls.add(url)
+    return {"text": plain or page_text(root), "found": out}
 
 
-def anchors(html: Column) -> Column:
-    """All anchors with absolute URLs in order: holder is the text of the nearest card-like ancestor, above the paragraph before, below the lines after. Null html gives none."""
+def page(html: Column, plain: Column) -> Column:
+    """struct(text, found) of a message, whose page is read once: its plain text, or where that is null or empty that of the page, and all anchors with absolute URLs in order.
 
-    @F.arrow_udf(f"array<{ANCHOR}>")
-    def read(column: pa.Array) -> pa.Array:
-        return pa.array([_anchors(h) if h else [] for h in column.to_pylist()], _KIND)
+    Of an anchor, holder is the text of the nearest card-like ancestor, above the paragraph
+    before, below the lines after; first says that no anchor before it has its URL.
+    """
 
-    return read(html)
+    @F.arrow_udf(PAGE)
+    def read(pages: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([_page(h, t) if h else {"text": t or "", "found": []} for h, t in zip(pages.to_pylist(), texts.to_pylist(), strict=True)], _PAGE)
+
+    return read(html, plain)
 
 
 def _places(text: str, probes: list[str | None]) -> list[int]:
