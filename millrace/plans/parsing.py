@@ -1,8 +1,8 @@
 """From messages to candidates: links, one block of text for each link, fields, and one record per posting of a message.
 
-Anchors leave the page as rows; choosing links and anchors are aggregates by message and
-URL. Only the links of one message come together in one row, as its plain text must be cut
-between them.
+A page gives the array of its anchors, and links are chosen among them in the row of their
+message, as its plain text must be cut between them: nothing moves before the entries of one
+posting are merged.
 """
 
 from __future__ import annotations
